@@ -80,3 +80,83 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     k = F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("v")) / bw, 2))
     return (grid.groupBy("i", "x").agg(F.sum(k).alias("_s"))
             .select("i", "x", (F.col("_s") / (n * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density")))
+
+
+# ---------------------------------------------------------------- ranking metrics
+def _score_counts(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
+    """Pre-aggregate to one row per (class, distinct score): positives and rows."""
+    return (df.groupBy(cls, score)
+            .agg(F.sum(_c(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("nn")))
+
+
+def average_precision(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
+    """Average precision per class: ``sum over thresholds of (R_k - R_k-1) * P_k``,
+    thresholds at the distinct scores (equal scores are one step).  Classes
+    without positives give null (excluded from the macro mean)."""
+    sc = _score_counts(df, cls, label, score)
+    w = Window.partitionBy(cls).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = sc.select(cls, "tp", F.sum("tp").over(w).alias("ctp"), F.sum("nn").over(w).alias("cn"))
+    tot = sc.groupBy(cls).agg(F.sum("tp").alias("P"))
+    return (cum.join(tot, cls)
+            .groupBy(cls).agg(F.sum(F.col("tp") / F.col("P") * F.col("ctp") / F.col("cn")).alias("ap"),
+                              F.first("P").alias("n_pos")))
+
+
+def roc_auc(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
+    """ROC AUC per class by the mid-rank formula (ties count one half);
+    null when a class has only positives or only negatives."""
+    sc = _score_counts(df, cls, label, score)
+    w = Window.partitionBy(cls).orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sc.withColumn("before", F.coalesce(F.sum("nn").over(w), F.lit(0)))
+    mid = F.col("before") + (F.col("nn") + 1) / 2.0
+    agg = ranked.groupBy(cls).agg(F.sum(F.col("tp") * mid).alias("rs"), F.sum("tp").alias("P"),
+                                  F.sum("nn").alias("T"))
+    Nn = F.col("T") - F.col("P")
+    auc = (F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * Nn)
+    return agg.select(cls, F.when((F.col("P") > 0) & (Nn > 0), auc).alias("auc"))
+
+
+def macro(df: DataFrame, value: str, out: str) -> DataFrame:
+    return df.agg(F.avg(value).alias(out))
+
+
+# ---------------------------------------------------------------- classification metrics
+def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
+    return df.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def weighted_f1(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """Support-weighted F1 and accuracy from the confusion counts (0/0 -> 0)."""
+    cm = confusion(df, true, pred)
+    support = cm.groupBy(F.col("t").alias("c")).agg(F.sum("n").alias("sup"))
+    predicted = cm.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("npred"))
+    tp = cm.where(F.col("t") == F.col("p")).select(F.col("t").alias("c"), F.col("n").alias("tp"))
+    per = (support.join(predicted, "c", "full").join(tp, "c", "left")
+           .select("c", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("sup", "npred", "tp")]))
+    prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
+    rec = F.when(F.col("sup") > 0, F.col("tp") / F.col("sup")).otherwise(0.0)
+    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
+    return per.agg((F.sum(f1 * F.col("sup")) / F.sum("sup")).alias("weighted_f1"),
+                   (F.sum("tp") / F.sum("sup")).alias("accuracy"))
+
+
+def hit_any(df: DataFrame, scores: str, multi_hot: str) -> DataFrame:
+    """Percent of rows whose argmax class is one of the true labels."""
+    from ..functions.vectors import argmax
+    hit = F.element_at(F.col(multi_hot), argmax(scores) + 1) > 0
+    return df.agg((F.avg(hit.cast("double")) * 100).alias("hit_any"))
+
+
+def per_dimension_metrics(df: DataFrame, pred: str, true: str) -> DataFrame:
+    """MSE, Pearson r and R^2 per output dimension of two aligned arrays."""
+    z = df.select(F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(true).alias("y"))).alias("dim", "pv"))
+    p, y = F.col("pv.p"), F.col("pv.y")
+    return z.groupBy("dim").agg(F.avg((p - y) * (p - y)).alias("mse"), F.corr(p, y).alias("pearson_r"),
+                                (F.lit(1.0) - F.avg((p - y) * (p - y)) / F.var_pop(y)).alias("r2"))
+
+
+def affect_metrics(df: DataFrame, pred: str, true: str) -> DataFrame:
+    """Per-dimension metrics and their unweighted means (mean R^2 = uniform R^2)."""
+    per = per_dimension_metrics(df, pred, true)
+    return per.agg(F.avg("mse").alias("mean_mse"), F.avg("pearson_r").alias("mean_pearson_r"),
+                   F.avg("r2").alias("r2_uniform"))

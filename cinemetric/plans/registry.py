@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_predictor
+from . import catalog_index, catalog_predictor
 
-CATALOGS = [catalog_predictor]
+CATALOGS = [catalog_predictor, catalog_index]
 
 
 def registry() -> dict:
