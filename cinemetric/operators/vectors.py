@@ -48,7 +48,9 @@ def scaler_apply(df: DataFrame, vec: str, stats: DataFrame, out: str | None = No
     arr = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("a"))
     mean = arr.select(F.transform("a", lambda s: s["mean"])).scalar()
     sd = arr.select(F.transform("a", lambda s: s["sd"])).scalar()
-    return df.withColumn(out or vec, V.scale(vec, mean, sd))
+    # Subqueries may not sit inside higher-order functions: project them first.
+    tmp = df.withColumn("_mean", mean).withColumn("_sd", sd)
+    return tmp.withColumn(out or vec, V.scale(vec, "_mean", "_sd")).drop("_mean", "_sd")
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "mean_vec",
@@ -79,11 +81,11 @@ def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec:
     sorted by id) and ``class_ids`` (the order).  Vectors are expected to be
     normalised already (cosine).  ``engine='numpy'`` runs the products as an
     Arrow batch matrix multiply."""
-    m = _class_matrix(classes, cls, cvec)
-    ids = F.transform(m, lambda s: s["c"])
+    items = items.withColumn("_cm", _class_matrix(classes, cls, cvec))
+    ids = F.transform("_cm", lambda s: s["c"])
     if engine == "sql":
-        sc = F.transform(m, lambda s: F.lit(scale) * V.dot(F.col(vec), s["v"]))
-        return items.withColumn(out, sc).withColumn("class_ids", ids)
+        sc = F.transform("_cm", lambda s: F.lit(scale) * V.dot(F.col(vec), s["v"]))
+        return items.withColumn(out, sc).withColumn("class_ids", ids).drop("_cm")
     rows = classes.select(cls, cvec).orderBy(cls).collect()  # bounded by MAX_CLASSES (checked above)
     mat = np.array([r[cvec] for r in rows], dtype=float).T * scale
     bc = items.sparkSession.sparkContext.broadcast(mat)
@@ -97,7 +99,7 @@ def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec:
                 continue
             yield pd.Series(list(np.vstack(s.to_numpy()) @ w))
 
-    return items.withColumn(out, _mm(F.col(vec))).withColumn("class_ids", ids)
+    return items.withColumn(out, _mm(F.col(vec))).withColumn("class_ids", ids).drop("_cm")
 
 
 def ranked_classes(scores: Column, class_ids: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_index, catalog_predictor
+from . import catalog_index, catalog_predictor, catalog_vectors
 
-CATALOGS = [catalog_predictor, catalog_index]
+CATALOGS = [catalog_predictor, catalog_index, catalog_vectors]
 
 
 def registry() -> dict:
