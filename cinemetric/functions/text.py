@@ -89,7 +89,7 @@ def before_ellipsis(c) -> Column:
 
 def _first_nonempty_stripped(parts: Column) -> Column:
     stripped = F.filter(F.transform(parts, lambda p: py_strip(p)), lambda p: p != F.lit(""))
-    return F.element_at(stripped, 1)
+    return F.try_element_at(stripped, F.lit(1))
 
 
 def clean_translation(c, whole_words: bool = False) -> Column:
@@ -109,7 +109,7 @@ def clean_translation(c, whole_words: bool = False) -> Column:
     for sep in JOIN_SEPARATORS:
         t = F.array_join(F.transform(F.split(t, _char_class(sep)), lambda p: py_strip(p)), " ")
     parts = F.transform(F.split(t, SPLIT_WORD), lambda p: strip_chars(py_strip(p), PART_STRIP_CHARS))
-    first = F.element_at(F.filter(parts, lambda p: p != F.lit("")), 1)
+    first = F.try_element_at(F.filter(parts, lambda p: p != F.lit("")), F.lit(1))
     t = F.lower(F.coalesce(first, t))
     if whole_words:
         for word in ["the", "a", "an", "to"]:

@@ -131,8 +131,8 @@ def long_videos(playlist: DataFrame, duration: str = "duration", min_s: int = 20
     is known and either has more than two parts or weighs ``60*a + b > min_s``
     (pairs beyond the second part are ignored, so a single ``45`` counts 2700)."""
     parts = F.split(F.substring_index(F.col(duration), ",", 1), ":")
-    a = F.try_element_at(parts, F.lit(1)).cast("long")
-    b = F.try_element_at(parts, F.lit(2)).cast("long")
+    a = F.try_element_at(parts, F.lit(1)).try_cast("long")
+    b = F.try_element_at(parts, F.lit(2)).try_cast("long")
     weight = F.lit(60) * a + F.coalesce(b, F.lit(0))
     return playlist.where(F.col(duration).isNotNull() & ((F.size(parts) > 2) | (weight > min_s)))
 
