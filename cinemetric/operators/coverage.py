@@ -145,3 +145,17 @@ def frame_name(idx: Column, width: int = 8, ext: str = ".jpg") -> Column:
 def frame_number(name: Column) -> Column:
     """File name -> frame number: the digits before the first dot."""
     return F.regexp_extract(name, r"(\d+)\.", 1).cast("long")
+
+
+def intervals_complete(clips: DataFrame, frames: DataFrame, first: str, last: str, video: str = "video_id",
+                       frame: str = "frame_idx", chunk_size: int | None = 4096) -> DataFrame:
+    """Keep clip rows whose integer frame range ``[first, last]`` is fully present
+    in ``frames`` (equi-joins on the two end frames plus the rank difference)."""
+    chunk = F.floor(F.col(frame) / chunk_size) if chunk_size else None
+    nf = running_sum(frames.select(video, frame), [video], [frame], F.lit(1), "rn", chunk=chunk)
+    a = nf.select(F.col(video).alias("_v1"), F.col(frame).alias("_f1"), F.col("rn").alias("_r1"))
+    b = nf.select(F.col(video).alias("_v2"), F.col(frame).alias("_f2"), F.col("rn").alias("_r2"))
+    j = (clips.join(a, (F.col(video) == F.col("_v1")) & (F.col(first) == F.col("_f1")))
+         .join(b, (F.col(video) == F.col("_v2")) & (F.col(last) == F.col("_f2"))))
+    return (j.where(F.col("_r2") - F.col("_r1") == F.col(last) - F.col(first))
+            .drop("_v1", "_f1", "_r1", "_v2", "_f2", "_r2"))
