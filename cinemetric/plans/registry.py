@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_frames, catalog_index, catalog_predictor, catalog_vectors
+from . import catalog_batches, catalog_frames, catalog_index, catalog_predictor, catalog_vectors
 
-CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames]
+CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches]
 
 
 def registry() -> dict:
