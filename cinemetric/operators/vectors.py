@@ -103,10 +103,11 @@ def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec:
 
 
 def ranked_classes(scores: Column, class_ids: Column) -> Column:
-    """Array of (rank, class, score) sorted by score desc, ties to the higher class id."""
+    """Array of (rank, class, score) sorted by score desc; ties go to the higher
+    class index (classes are held in ascending id order)."""
     pairs = F.arrays_zip(scores.alias("s"), class_ids.alias("c"))
-    srt = F.array_sort(F.transform(pairs, lambda p: F.struct((-p["s"]).alias("ns"), (-p["c"]).alias("nc"),
-                                                               p["c"].alias("c"), p["s"].alias("s"))))
+    srt = F.array_sort(F.transform(pairs, lambda p, i: F.struct((-p["s"]).alias("ns"), (-i).alias("ni"),
+                                                                  p["c"].alias("c"), p["s"].alias("s"))))
     return F.transform(srt, lambda p, i: F.struct((i + 1).alias("rank"), p["c"].alias("class_id"),
                                                   p["s"].alias("score")))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog_batches, catalog_frames, catalog_index, catalog_predictor, catalog_vectors
+from . import (catalog_batches, catalog_frames, catalog_index, catalog_models, catalog_predictor,
+               catalog_vectors)
 
-CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches]
+CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches, catalog_models]
 
 
 def registry() -> dict:
