@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import (catalog_batches, catalog_frames, catalog_index, catalog_models, catalog_predictor,
+from . import (catalog_batches, catalog_frames, catalog_index, catalog_io, catalog_models, catalog_predictor,
                catalog_vectors)
 
-CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches, catalog_models]
+CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches, catalog_models,
+            catalog_io]
 
 
 def registry() -> dict:

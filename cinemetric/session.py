@@ -78,3 +78,11 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh folder under the shared checkpoint directory for intermediate
+    tables (never a machine-local temp folder on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/cinemetric-scratch/{name}-{uuid.uuid4().hex}"
