@@ -96,3 +96,24 @@ QUERIES = {
     "scores_by_video": (q_scores_by_video, SQL_SCORES_BY_VIDEO),
     "incremental": (q_incremental, SQL_INCREMENTAL),
 }
+
+
+# Fixed small merge table for the tokenisation query (the reference ships none).
+DEMO_MERGES = [("t", "h"), ("th", "e</w>"), ("e", "r"), ("i", "n"), ("a", "n"), ("o", "n"), ("e", "n"),
+               ("r", "e"), ("in", "g</w>"), ("an", "d</w>")]
+
+
+def q_context_tokens(spark, sf):
+    """Whole documents tokenised (entity unescape, clean, split, byte-level BPE
+    per distinct token) into 77-id context windows, truncated with the end id."""
+    from ..operators import tokenize as TK
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    enc = TK.encode_texts(docs, "doc_id", "text", DEMO_MERGES)
+    vocab = TK.build_vocab(DEMO_MERGES)
+    sot, eot = (vocab[s] for s in TK.SPECIALS["clip"])
+    win = TK.context_window(F.col("ids"), sot, eot, mode="truncate")
+    return enc.select("doc_id", F.size("ids").alias("n_ids"),
+                      F.array_join(F.transform(win, lambda x: x.cast("string")), " ").alias("context"))
+
+
+QUERIES["context_tokens"] = (q_context_tokens, None)

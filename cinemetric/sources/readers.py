@@ -121,7 +121,7 @@ def read_whitespace_table(spark: SparkSession, path: str, names: list[str], skip
     """Whitespace-separated text (SRC-06).  Line order matters (line number is
     the row id), so each small per-movie file is read whole and its lines
     numbered; ``file`` and ``line_no`` (0-based, after the skip) are added."""
-    raw = spark.read.option("wholetext", True).text(path).select(
+    raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("ln", "line"))
     raw = raw.where(F.trim("line") != "")
     if skip_first:
@@ -144,7 +144,7 @@ def read_tsv_per_video(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     """A JSON document that is one map ``{key: value}`` -> rows (key, value) (SRC-08)."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.explode(F.from_json("value", f"map<string, {value_type}>")).alias("key", "value"))
 
 
@@ -155,7 +155,7 @@ def read_transcripts(spark: SparkSession, path: str, video_from: str = "dir") ->
     """Transcript JSON arrays, one file per video (SRC-09): rows
     (video_id, cap_idx, text, start, duration); the video id is the parent
     directory name (or the file stem)."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     vid = (F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1) if video_from == "dir"
            else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1))
     ex = doc.select(vid.alias("video_id"), F.posexplode(F.from_json("value", TRANSCRIPT_TYPE)).alias("cap_idx", "c"))
@@ -168,7 +168,7 @@ def read_boxes(spark: SparkSession, path: str, keyed_by_video: bool = False) ->
     Per-video files hold a list of one-key maps ``[{"00001321.jpg": [[x1,y1,x2,y2,s],...]}, ...]``;
     a later entry for the same frame wins (SET-08).  The whole-set form is one
     map ``{video: {frame: boxes}}``."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     if keyed_by_video:
         m = doc.select(F.explode(F.from_json("value", f"map<string, map<string, {BOX_ARRAY}>>")).alias("video_id", "fm"))
         rows = m.select("video_id", F.explode("fm").alias("frame_name", "boxes"))
@@ -192,7 +192,7 @@ CLIP_INDEX_TYPE = ("array<struct<video_id:string, duration:double, start_frame:i
 
 def read_clip_index(spark: SparkSession, path: str) -> DataFrame:
     """Clip index JSON array; ``row_idx`` keeps the file order (SRC-11)."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.posexplode(F.from_json("value", CLIP_INDEX_TYPE)).alias("row_idx", "r")).select(
         F.col("row_idx").cast("long"), "r.*")
 
@@ -212,7 +212,9 @@ def read_detection_labels(spark: SparkSession, path: str) -> DataFrame:
     (more than 8 fields) turned into their bounding ``x y w h``.  Output: one
     row per file with ``rows`` = array of double arrays (``null`` on a parse
     error) and ``file``."""
-    doc = spark.read.option("wholetext", True).text(path)
+    # binaryFile keeps empty files (a text scan yields no row for them)
+    doc = spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
     lines = F.filter(F.split(F.trim("value"), r"\r?\n"), lambda l: F.trim(l) != "")
     parsed = F.transform(lines, lambda l: F.transform(F.split(F.trim(l), r"\s+"), lambda x: x.try_cast("double")))
     is_seg = F.exists(parsed, lambda r: F.size(r) > 8)
@@ -225,7 +227,12 @@ def read_detection_labels(spark: SparkSession, path: str) -> DataFrame:
         return F.array(r[0], (x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1)
 
     rows = F.when(is_seg, F.transform(parsed, seg_to_box)).otherwise(parsed)
-    return doc.select(F.col("_metadata.file_path").alias("file"), rows.alias("rows"))
+    parsed_rows = doc.select("file", rows.alias("rows"))
+    # zero-length files are skipped by file scans but kept in the file index:
+    # they are the "empty" label files (file names only, one row per file)
+    listed = spark.createDataFrame([(f.replace("file:///", "file:/"),) for f in doc.inputFiles()], "file string")
+    return listed.join(parsed_rows, "file", "left").select(
+        "file", F.coalesce("rows", F.array().cast("array<array<double>>")).alias("rows"))
 
 
 def validate_labels(labels: DataFrame, images: DataFrame, label_path: Column) -> DataFrame:
@@ -307,7 +314,7 @@ def read_prompt_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     schema = T.StructType([T.StructField("classes", T.ArrayType(T.ArrayType(T.StringType()))),
                            T.StructField("templates", T.ArrayType(T.StringType()))])
     parse = F.udf(lambda b: _parse_vocab_block(b or ""), schema)
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     sections = doc.select(F.posexplode(F.split("value", r"\n## ")).alias("i", "sec")).where("i > 0")
     ds = sections.select(F.trim(F.split("sec", "\n")[0]).alias("dataset"), parse("sec").alias("v"))
     classes = ds.select("dataset", F.posexplode("v.classes").alias("class_id", "names"))
