@@ -184,3 +184,46 @@ QUERIES = {
     "reindex": (q_reindex, SQL_REINDEX),
     "rolling_mean": (q_rolling_mean, SQL_ROLLING_MEAN),
 }
+
+
+# ------------------------------------------------------------------ polynomial smoothing
+SG_LEN, SG_ORDER = 7, 3
+
+
+def q_savgol(spark, sf):
+    from ..operators.smoothing import savgol
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "value")
+    s = savgol(e, "value", ["ts", "event_id"], SG_LEN, SG_ORDER, by=["user_id"], chunk=64)
+    return s.select("event_id", F.round("smoothed", 6).alias("smoothed"))
+
+
+def _savgol_sql() -> str:
+    import numpy as np
+    from ..operators.smoothing import fit_matrix, window_layout
+    left, right, t = window_layout(SG_LEN)
+    half = SG_LEN // 2
+    coef = fit_matrix(SG_LEN, SG_ORDER, np.arange(SG_LEN) - left - t, np.array([0.0]))[0]
+    head = fit_matrix(SG_LEN, SG_ORDER, np.arange(SG_LEN, dtype=float), np.arange(half, dtype=float))
+    tail = fit_matrix(SG_LEN, SG_ORDER, np.arange(SG_LEN, dtype=float), np.arange(SG_LEN - half, SG_LEN, dtype=float))
+    cv = ", ".join(f"({j - left}, {float(c)!r})" for j, c in enumerate(coef))
+    hv = ", ".join(f"({i}, {s}, {float(head[i, s])!r})" for i in range(half) for s in range(SG_LEN))
+    tv = ", ".join(f"({i}, {s}, {float(tail[i, s])!r})" for i in range(half) for s in range(SG_LEN))
+    return f"""
+WITH b AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn,
+                  count(*) OVER (PARTITION BY user_id) AS n FROM events),
+cf(off, c) AS (VALUES {cv}),
+hw(t, s, w) AS (VALUES {hv}),
+tw(t, s, w) AS (VALUES {tv}),
+mid AS (SELECT b.user_id, b.rn, sum(cf.c * o.value) AS v, count(*) AS k FROM b, cf, b o
+        WHERE o.user_id = b.user_id AND o.rn = b.rn + cf.off GROUP BY 1, 2),
+hd AS (SELECT b.user_id, hw.t AS rn, sum(hw.w * b.value) AS v FROM b JOIN hw ON hw.s = b.rn WHERE b.n >= {SG_LEN} GROUP BY 1, 2),
+tl AS (SELECT b.user_id, b.n - {half} + tw.t AS rn, sum(tw.w * b.value) AS v FROM b JOIN tw ON tw.s = b.rn - (b.n - {SG_LEN})
+       WHERE b.n >= {SG_LEN} GROUP BY 1, 2)
+SELECT b.event_id, round(CASE WHEN b.rn >= b.n - {half} THEN tl.v WHEN b.rn < {half} THEN hd.v
+                              WHEN mid.k = {SG_LEN} THEN mid.v END, 6) AS smoothed
+FROM b LEFT JOIN mid ON mid.user_id = b.user_id AND mid.rn = b.rn
+       LEFT JOIN hd ON hd.user_id = b.user_id AND hd.rn = b.rn
+       LEFT JOIN tl ON tl.user_id = b.user_id AND tl.rn = b.rn"""
+
+
+QUERIES["savgol"] = (q_savgol, _savgol_sql())
