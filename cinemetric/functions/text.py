@@ -106,11 +106,24 @@ def clean_translation(c, whole_words: bool = False) -> Column:
     has_ellipsis = t.contains("...")
     first_part = _first_nonempty_stripped(F.split(t, r"\.\.\."))
     t = F.when(has_ellipsis & first_part.isNotNull(), first_part).otherwise(t)
-    for sep in JOIN_SEPARATORS:
-        t = F.array_join(F.transform(F.split(t, _char_class(sep)), lambda p: py_strip(p)), " ")
-    parts = F.transform(F.split(t, SPLIT_WORD), lambda p: strip_chars(py_strip(p), PART_STRIP_CHARS))
-    first = F.try_element_at(F.filter(parts, lambda p: p != F.lit("")), F.lit(1))
-    t = F.lower(F.coalesce(first, t))
+    def join_separators(x):
+        # split on each separator, strip every part, re-join with one space ==
+        # replace the separator and its surrounding whitespace by one space
+        for sep in JOIN_SEPARATORS:
+            x = py_strip(F.regexp_replace(x, rf"(?U)\s*{_char_class(sep)}\s*", " "))
+        return x
+
+    # Then the first part around the raw substring "and" that is not empty
+    # after strip() + strip(".,;").  Separators never create or break an
+    # "and", so the parts can be found on the text before the separators are
+    # joined: a part is empty iff it is separators/whitespace around a run of
+    # "." / ";" only.  One anchored regex skips the empty parts and takes the
+    # next one, so only that (short) part goes through the remaining steps.
+    sep_ws = "[\\s" + "".join("\\" + c if c in "-" else c for c in JOIN_SEPARATORS) + "]*"
+    skip = rf"(?:{sep_ws}[.;]*{sep_ws}{SPLIT_WORD})*"
+    head = F.regexp_extract(t, rf"(?sU)^{skip}(.*?)(?:{SPLIT_WORD}|\z)", 1)
+    first = strip_chars(py_strip(join_separators(head)), PART_STRIP_CHARS)
+    t = F.lower(F.when(first != F.lit(""), first).otherwise(join_separators(t)))
     if whole_words:
         for word in ["the", "a", "an", "to"]:
             t = F.regexp_replace(t, rf"(?U)\b{word}\b\s?", "")

@@ -40,9 +40,11 @@ def word_times(captions: DataFrame, video: str = "video_id", order: str = "cap_i
                labeller=default_punctuation) -> DataFrame:
     """One row per word with ``time_range = (s + i*d, s + (i+1)*d)``, ``d = (end-start)/n``.
     Captions without words produce no rows.  Needs ``end`` (see ``clip_ends``)."""
-    ws = py_words("text")
-    exploded = captions.select(video, order, "start", "end", F.size(ws).alias("_n"),
-                               F.posexplode(ws).alias("w_idx", "_raw"))
+    # Materialise the word array once: an expression over the input row that
+    # sits next to a generator would otherwise be re-evaluated per output row.
+    arr = captions.select(video, order, "start", "end", py_words("text").alias("_ws"))
+    arr = arr.select(video, order, "start", "end", "_ws", F.size("_ws").alias("_n"))
+    exploded = arr.select(video, order, "start", "end", "_n", F.posexplode("_ws").alias("w_idx", "_raw"))
     d = (F.col("end") - F.col("start")) / F.col("_n")
     lab = labeller(F.col("_raw"))
     return exploded.select(

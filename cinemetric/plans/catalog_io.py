@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.sequence import global_row_index
-from ..session import scratch_path
+from ..session import read_table, scratch_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from . import proxies as P
@@ -107,7 +107,7 @@ def q_context_tokens(spark, sf):
     """Whole documents tokenised (entity unescape, clean, split, byte-level BPE
     per distinct token) into 77-id context windows, truncated with the end id."""
     from ..operators import tokenize as TK
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf, "documents", spread_rows=True).select("doc_id", "text")
     enc = TK.encode_texts(docs, "doc_id", "text", DEMO_MERGES)
     vocab = TK.build_vocab(DEMO_MERGES)
     sot, eot = (vocab[s] for s in TK.SPECIALS["clip"])

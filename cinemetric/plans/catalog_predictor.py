@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators.quantiles import exact_quantile
+from ..session import read_table
 from . import proxies as P
 
 R6 = 6  # decimals kept for floating results compared across engines
@@ -211,8 +212,10 @@ def word_score(w):
 
 
 def q_sentence_mean(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    scores = F.transform(T.words("text"), lambda w: word_score(w))
+    docs = read_table(spark, sf, "documents", spread_rows=True).select("doc_id", "text")
+    # one pass over the text: the score array is materialised, then summarised
+    docs = docs.select("doc_id", F.transform(T.words("text"), lambda w: word_score(w)).alias("_s"))
+    scores = F.col("_s")
     n = F.size(scores)
     mean = F.aggregate(scores, F.lit(0.0), lambda a, b: a + b) / n
     return docs.select(

@@ -29,7 +29,7 @@ def p_expr(spark: SparkSession, sf: str) -> DataFrame:
     part = read_table(spark, sf, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
         F.col("p_name").alias("text"), F.lit("en").alias("lang"))
-    docs = read_table(spark, sf, "documents").select(
+    docs = read_table(spark, sf, "documents", spread_rows=True).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", "lang")
     return nation.unionByName(part).unionByName(docs)
 
@@ -53,7 +53,7 @@ P_SCORE_SQL = """p_score AS (
 
 
 def p_caption(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "conversations").select(
+    return read_table(spark, sf, "conversations", spread_rows=True).select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("cap_idx"), "text",
         (F.col("turn").cast("double") * 6).alias("start"),
         (F.lit(2) + F.length("text") % 7).cast("double").alias("duration"))

@@ -75,3 +75,13 @@ def test_weighted_f1(spark):
     # sklearn: per-class f1 = [0.667, 0.5, 0.0], supports [2,1,1]
     assert r["weighted_f1"] == pytest.approx((2 * 2 / 3 + 0.5) / 4)
     assert r["accuracy"] == pytest.approx(0.5)
+
+
+def test_exact_quantiles_distributed_path(spark, monkeypatch):
+    from cinemetric.operators import quantiles as Q
+    monkeypatch.setattr(Q, "SMALL_DISTINCT", 10)
+    rng = np.random.default_rng(5)
+    vals = np.round(rng.normal(size=3000), 2)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    assert Q.exact_quantiles(df, "x", qs) == pytest.approx(list(np.quantile(vals, qs)), abs=1e-12)
