@@ -47,8 +47,9 @@ def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     """Equal-width histogram between min and max; the last bin is closed;
     empty bins are kept.  Columns: bin (0-based), lo, hi, n."""
     x = _c(column).cast("double")
-    stats = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
-    mn, mx = stats.select("mn").scalar(), stats.select("mx").scalar()
+    # one scalar subquery carrying both statistics (evaluated once)
+    st = df.agg(F.struct(F.min(x).alias("mn"), F.max(x).alias("mx")).alias("s")).scalar()
+    mn, mx = st["mn"], st["mx"]
     width = (mx - mn)
     raw = F.when(width == 0, F.lit(0)).otherwise(F.floor((x - mn) * F.lit(float(bins)) / width))
     idx = F.least(F.lit(bins - 1), raw).cast("int")
@@ -69,9 +70,9 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     distinct values, then summed per grid point with map-side partial sums."""
     x = _c(column).cast("double")
     vals = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"),
-                F.max(x).alias("mx"))
-    n, sd, mn, mx = (st.select(c).scalar() for c in ("n", "sd", "mn", "mx"))
+    st = df.agg(F.struct(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"),
+                         F.max(x).alias("mx")).alias("s")).scalar()
+    n, sd, mn, mx = (st[c] for c in ("n", "sd", "mn", "mx"))
     bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
     lo = mn - F.lit(cut) * bw
     step = (mx - mn + F.lit(2 * cut) * bw) / F.lit(points - 1)

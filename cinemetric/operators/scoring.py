@@ -39,10 +39,9 @@ def znorm(df: DataFrame, score: str, by: list[str] | None = None, out: str | Non
         joined = df.join(stats, on=by, how="left")
         mu, sd = F.col("_mu"), F.col("_sd")
     else:
-        stats = df.agg(F.avg(score).alias("_mu"), F.stddev_samp(score).alias("_sd"))
+        st = df.agg(F.struct(F.avg(score).alias("mu"), F.stddev_samp(score).alias("sd")).alias("s")).scalar()
         joined = df
-        mu = stats.select("_mu").scalar()
-        sd = stats.select("_sd").scalar()
+        mu, sd = st["mu"], st["sd"]
     degenerate = sd.isNull() | (sd == 0)
     value = F.when(degenerate, F.lit(target_mean)).otherwise(
         (F.col(score) - mu) / sd * F.lit(target_sd) + F.lit(target_mean))

@@ -45,11 +45,11 @@ def scaler_fit(df: DataFrame, vec: str) -> DataFrame:
 
 def scaler_apply(df: DataFrame, vec: str, stats: DataFrame, out: str | None = None) -> DataFrame:
     """``(x - mean) / sd`` with the fitted arrays as scalar subqueries (size = dims)."""
-    arr = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("a"))
-    mean = arr.select(F.transform("a", lambda s: s["mean"])).scalar()
-    sd = arr.select(F.transform("a", lambda s: s["sd"])).scalar()
+    a = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("a")).select(
+        F.struct(F.transform("a", lambda s: s["mean"]).alias("m"), F.transform("a", lambda s: s["sd"]).alias("s"))
+    ).scalar()
     # Subqueries may not sit inside higher-order functions: project them first.
-    tmp = df.withColumn("_mean", mean).withColumn("_sd", sd)
+    tmp = df.withColumn("_st", a).withColumn("_mean", F.col("_st.m")).withColumn("_sd", F.col("_st.s")).drop("_st")
     return tmp.withColumn(out or vec, V.scale(vec, "_mean", "_sd")).drop("_mean", "_sd")
 
 
