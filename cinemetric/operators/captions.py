@@ -99,3 +99,27 @@ def regroup_status(captions: DataFrame, words: DataFrame, labelled: DataFrame |
 
 def failure_rate(status: DataFrame) -> DataFrame:
     return status.agg(F.avg(F.when(F.col("same_length"), 0.0).otherwise(1.0)).alias("failure_rate"))
+
+
+def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",
+                         order: tuple[str, str] = ("cap_idx", "w_idx")) -> DataFrame:
+    """Model hook for punctuation (UDF-03): ``labeller(list[str]) -> list[(word,
+    punc, conf)]`` sees the words of one video in order (a punctuation model
+    needs the running text).  Runs as ``applyInPandas`` per video; the input
+    needs ``word`` and ``time_range``; the output replaces word/punc/conf."""
+    import pandas as pd
+
+    cols = [video, *order, "word", "time_range"]
+    schema = words.select(*cols).schema.add("punc", "string").add("punc_conf", "double")
+
+    def per_video(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="mergesort").reset_index(drop=True)
+        lab = labeller(pdf["word"].tolist())
+        if len(lab) != len(pdf):
+            raise ValueError("labeller must return one label per word")
+        pdf["word"] = [w for w, _, _ in lab]
+        pdf["punc"] = [p for _, p, _ in lab]
+        pdf["punc_conf"] = [float(c) for _, _, c in lab]
+        return pdf
+
+    return words.select(*cols).groupBy(video).applyInPandas(per_video, schema)

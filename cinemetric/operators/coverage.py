@@ -147,6 +147,19 @@ def frame_number(name: Column) -> Column:
     return F.regexp_extract(name, r"(\d+)\.", 1).cast("long")
 
 
+def useful_frames(frames: DataFrame, captions: DataFrame, fps: int = 24, keep: bool = True,
+                  video: str = "video_id", frame: str = "frame_idx") -> DataFrame:
+    """Frames inside (``keep``) or outside (``keep=False``) the bracket-free
+    captions: each caption covers ``int(start*fps) ..< int((start+dur)*fps)``
+    (JN-14, FLT-03, SET-05)."""
+    cap = captions.where(~F.col("text").contains("["))
+    lo = (F.col("start") * fps).cast("long")
+    hi = (F.col("start") * fps + F.col("duration") * fps).cast("long")
+    span = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+    useful = cap.select(video, F.explode(span).alias(frame)).distinct()
+    return frames.join(useful, [video, frame], "left_semi" if keep else "left_anti")
+
+
 def intervals_complete(clips: DataFrame, frames: DataFrame, first: str, last: str, video: str = "video_id",
                        frame: str = "frame_idx", chunk_size: int | None = 4096) -> DataFrame:
     """Keep clip rows whose integer frame range ``[first, last]`` is fully present

@@ -74,3 +74,10 @@ def rebase_frames(joints: DataFrame, video: str = "video_id", frame: str = "fram
     """Re-number frames per video to start at 1 (``frame - min + 1``)."""
     mins = joints.groupBy(video).agg(F.min(frame).alias("_m"))
     return joints.join(mins, video).withColumn(frame, F.col(frame) - F.col("_m") + 1).drop("_m")
+
+
+def label_at_time(samples: DataFrame, annotations: DataFrame, movie: str = "movie_id",
+                  frame: str = "label_frame", time: str = "Time") -> DataFrame:
+    """Sample -> annotation row whose time equals the label frame (JN-09)."""
+    a = annotations.withColumnRenamed(time, frame)
+    return samples.join(a, [movie, frame])

@@ -155,3 +155,21 @@ def zero_shot(items: DataFrame, keys: list[str], vec: str, prompts: DataFrame, c
     protos = class_prototypes(prompts, cls, pvec)
     scored = score_matrix(items.withColumn(vec, V.l2_normalize(vec)), vec, protos, cls, "prototype")
     return top_labels(scored, keys, "scores", k)
+
+
+def word_numbers(tokens: DataFrame, keys: list[str], order: str, piece: str, end_marker: str = "</w>",
+                 out: str = "word_no") -> DataFrame:
+    """Sub-token -> word number (WN-09): a word ends at a piece carrying the
+    end-of-word marker, so the word number is the count of such pieces before
+    this one.  Special tokens and padding should be removed first."""
+    from pyspark.sql import Window
+    ends = F.col(piece).endswith(end_marker).cast("long")
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return tokens.withColumn(out, F.coalesce(F.sum(ends).over(w), F.lit(0)))
+
+
+def pool_subwords(tokens: DataFrame, keys: list[str], order: str, piece: str, vec: str,
+                  out: str = "word_vec") -> DataFrame:
+    """Word vector = mean of its sub-token vectors (AG-13)."""
+    numbered = word_numbers(tokens, keys, order, piece)
+    return mean_vectors(numbered, [*keys, "word_no"], vec, out)

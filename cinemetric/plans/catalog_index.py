@@ -203,14 +203,8 @@ SELECT video_id, duration FROM k WHERE split_part(video_id, '&', 1) NOT IN ('3',
 
 def q_useful_frames(spark, sf, fps: int = 24):
     """Frames inside bracket-free captions (JN-14, FLT-03, SET-05)."""
-    cap = C.drop_bracketed(P.p_caption(spark, sf))
-    lo = (F.col("start") * fps).cast("long")
-    hi = (F.col("start") * fps + F.col("duration") * fps).cast("long")
-    span = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
-    useful = cap.select("video_id", F.explode(span).alias("frame_idx")).distinct()
     frames = P.p_frame(spark, sf).select("video_id", "frame_idx")
-    kept = frames.join(useful, ["video_id", "frame_idx"], "left_semi")
-    return kept
+    return V.useful_frames(frames, P.p_caption(spark, sf), fps=fps, keep=True)
 
 
 SQL_USEFUL_FRAMES = P.with_ctes(P.P_CAPTION_SQL, P.P_FRAME_SQL) + """

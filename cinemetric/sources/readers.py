@@ -330,3 +330,11 @@ def read_playlist(spark: SparkSession, path: str) -> DataFrame:
 def read_side_array(spark: SparkSession, path: str, name: str = "values") -> DataFrame:
     """Row-aligned side arrays stored as Parquet (row_idx, values) (SRC-18)."""
     return spark.read.parquet(path).select(F.col("row_idx").cast("long"), F.col(name))
+
+
+def read_joints(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Joint rows ``(video_id, frame, person_id, joints array<struct<x,y,conf>>)``
+    with frames re-based to start at 1 per video (SRC-13, WN-06)."""
+    from ..operators.shots import rebase_frames
+    df = spark.read.format(fmt).load(path)
+    return rebase_frames(df, "video_id", "frame")
