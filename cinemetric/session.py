@@ -42,6 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -96,3 +97,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/cinemetric-scratch/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable inside Python workers (pandas UDFs and
+    grouped maps pickle functions by module reference).  The package folder is
+    zipped once and added with ``addPyFile``, which is how Spark distributes
+    Python code to every executor."""
+    import zipfile
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        base = tempfile.mkdtemp(prefix="cinemetric-pkg-")  # code artefact served by the driver
+    base = base.replace("file:", "", 1) if base.startswith("file:") else base
+    os.makedirs(base, exist_ok=True)
+    target = os.path.join(base, f"cinemetric-{os.getpid()}-{id(sc)}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
