@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import (catalog_batches, catalog_frames, catalog_index, catalog_io, catalog_models, catalog_predictor,
-               catalog_stream, catalog_vectors)
+               catalog_stream, catalog_tables, catalog_vectors)
 
 CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches, catalog_models,
-            catalog_io, catalog_stream]
+            catalog_io, catalog_stream, catalog_tables]
 
 
 def registry() -> dict:
