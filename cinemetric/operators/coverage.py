@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import running_sum
+from .sequence import running_sum, running_sums
 
 # Frame rate and minimum clip length of the index build.
 FPS = 8
@@ -33,27 +33,46 @@ def number_frames(frames: DataFrame, video: str = "video_id", frame: str = "fram
     count of boxed frames), two-level when ``chunk_size`` is set."""
     chunk = F.floor(F.col(frame) / chunk_size) if chunk_size else None
     f = frames.select(video, frame, F.col(has_box).cast("long").alias("box"))
-    f = running_sum(f, [video], [frame], F.lit(1), "rn", chunk=chunk)
-    return running_sum(f, [video], [frame], F.col("box"), "pb", chunk=chunk)
+    return running_sums(f, [video], [frame], {"rn": F.lit(1), "pb": F.col("box")}, chunk=chunk)
 
 
 def frame_coverage(clips: DataFrame, frames: DataFrame, video: str = "video_id", fps: int = FPS,
                    video_len: int = VIDEO_LEN, frame: str = "frame_idx", has_box: str = "has_box",
-                   chunk_size: int | None = 4096) -> DataFrame:
+                   chunk_size: int | None = 4096, keys: list[str] | None = None) -> DataFrame:
     """Keep clips with at least ``video_len`` frames, all present on disk; add
-    ``start_frame``, ``end_frame`` and ``has_person`` (share of boxed frames)."""
+    ``start_frame``, ``end_frame`` and ``has_person`` (share of boxed frames).
+
+    With ``keys`` (columns that identify a clip, e.g. video and caption
+    position) both end frames are looked up in a single join: each clip
+    becomes two end-point rows, joined once to the numbered frames and folded
+    back per clip.  Without keys, two joins (one per end point) are used."""
     s, e = frame_bounds(F.col("start"), F.col("end"), fps)
     c = clips.withColumn("start_frame", s).withColumn("end_frame", e) \
         .where(F.col("end_frame") - F.col("start_frame") + 1 >= video_len)
     nf = number_frames(frames, video, frame, has_box, chunk_size)
-    at_s = nf.select(F.col(video).alias("_v1"), F.col(frame).alias("_f1"), F.col("rn").alias("rn_s"),
-                     F.col("pb").alias("pb_s"), F.col("box").alias("box_s"))
-    at_e = nf.select(F.col(video).alias("_v2"), F.col(frame).alias("_f2"), F.col("rn").alias("rn_e"),
-                     F.col("pb").alias("pb_e"))
-    j = (c.join(at_s, (F.col(video) == F.col("_v1")) & (F.col("start_frame") == F.col("_f1")))
-         .join(at_e, (F.col(video) == F.col("_v2")) & (F.col("end_frame") == F.col("_f2"))))
     n = F.col("end_frame") - F.col("start_frame") + 1
-    return (j.where(F.col("rn_e") - F.col("rn_s") == F.col("end_frame") - F.col("start_frame"))
+    if keys:
+        ends = c.select(*keys, video, F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("start_frame").alias("_f")),
+            F.struct(F.lit(1).alias("side"), F.col("end_frame").alias("_f")))).alias("_p"))
+        ends = ends.select(*keys, video, F.col("_p.side").alias("side"), F.col("_p._f").alias(frame))
+        hit = ends.join(nf, [video, frame])
+        folded = hit.groupBy(*keys).agg(
+            F.max(F.when(F.col("side") == 0, F.col("rn"))).alias("rn_s"),
+            F.max(F.when(F.col("side") == 0, F.col("pb"))).alias("pb_s"),
+            F.max(F.when(F.col("side") == 0, F.col("box"))).alias("box_s"),
+            F.max(F.when(F.col("side") == 1, F.col("rn"))).alias("rn_e"),
+            F.max(F.when(F.col("side") == 1, F.col("pb"))).alias("pb_e"))
+        j = c.join(folded, keys)
+    else:
+        at_s = nf.select(F.col(video).alias("_v1"), F.col(frame).alias("_f1"), F.col("rn").alias("rn_s"),
+                         F.col("pb").alias("pb_s"), F.col("box").alias("box_s"))
+        at_e = nf.select(F.col(video).alias("_v2"), F.col(frame).alias("_f2"), F.col("rn").alias("rn_e"),
+                         F.col("pb").alias("pb_e"))
+        j = (c.join(at_s, (F.col(video) == F.col("_v1")) & (F.col("start_frame") == F.col("_f1")))
+             .join(at_e, (F.col(video) == F.col("_v2")) & (F.col("end_frame") == F.col("_f2"))))
+    return (j.where(F.col("rn_s").isNotNull() & F.col("rn_e").isNotNull()
+                    & (F.col("rn_e") - F.col("rn_s") == F.col("end_frame") - F.col("start_frame")))
             .withColumn("has_person", (F.col("pb_e") - F.col("pb_s") + F.col("box_s")) / n)
             .drop("_v1", "_f1", "_v2", "_f2", "rn_s", "pb_s", "box_s", "rn_e", "pb_e"))
 

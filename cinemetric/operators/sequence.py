@@ -15,23 +15,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
-                inclusive: bool = True, chunk: Column | None = None) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``."""
-    v = F.col(value) if isinstance(value, str) else value
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column | str],
+                 inclusive: bool = True, chunk: Column | None = None) -> DataFrame:
+    """Add one running sum per ``values`` entry (``out -> value``) per ``keys``
+    in ``order``; all sums share one window (and one chunk-total pass)."""
+    vals = {o: (F.col(v) if isinstance(v, str) else v) for o, v in values.items()}
     frame_end = Window.currentRow if inclusive else -1
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.withColumn(out, F.coalesce(F.sum(v).over(w), F.lit(0)))
-    d = df.withColumn("_chunk", chunk).withColumn("_v", v)
-    totals = d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
+        for o, v in vals.items():
+            df = df.withColumn(o, F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return df
+    tmp = {o: f"_v_{o}" for o in vals}
+    d = df.withColumn("_chunk", chunk)
+    for o, v in vals.items():
+        d = d.withColumn(tmp[o], v)
+    totals = d.groupBy(*keys, "_chunk").agg(*[F.sum(tmp[o]).alias(f"_t_{o}") for o in vals])
     wt = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(wt), F.lit(0)).alias("_off"))
+    offsets = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{o}").over(wt), F.lit(0)).alias(f"_off_{o}")
+                                               for o in vals])
     wi = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    inner = d.withColumn("_in", F.coalesce(F.sum("_v").over(wi), F.lit(0)))
-    return (inner.join(offsets, [*keys, "_chunk"])
-            .withColumn(out, F.col("_off") + F.col("_in"))
-            .drop("_chunk", "_v", "_in", "_off"))
+    inner = d
+    for o in vals:
+        inner = inner.withColumn(f"_in_{o}", F.coalesce(F.sum(tmp[o]).over(wi), F.lit(0)))
+    out = inner.join(offsets, [*keys, "_chunk"])
+    for o in vals:
+        out = out.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
+    drop = ["_chunk"] + [c for o in vals for c in (tmp[o], f"_in_{o}", f"_off_{o}")]
+    return out.drop(*drop)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
+                inclusive: bool = True, chunk: Column | None = None) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``."""
+    return running_sums(df, keys, order, {out: value}, inclusive, chunk)
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[str], out: str,

@@ -81,7 +81,7 @@ SELECT video_id, CAST(sent_idx AS BIGINT) AS sent_idx, text, round(start, 6) AS
 
 def q_sentence_coverage(spark, sf):
     """Regrouped sentences checked against the frame table (index build on sentences)."""
-    cov = V.frame_coverage(_sentences(spark, sf), P.p_frame(spark, sf))
+    cov = V.frame_coverage(_sentences(spark, sf), P.p_frame(spark, sf), keys=["video_id", "sent_idx"])
     return cov.select("video_id", "sent_idx", "start_frame", "end_frame", F.round("has_person", R6).alias("has_person"))
 
 
@@ -103,7 +103,7 @@ FROM covered"""
 
 def _index(spark, sf):
     clips = _captions(spark, sf).withColumn("duration", F.col("end") - F.col("start"))
-    cov = V.frame_coverage(clips, P.p_frame(spark, sf))
+    cov = V.frame_coverage(clips, P.p_frame(spark, sf), keys=["video_id", "cap_idx"])
     return V.attach_scores(cov, P.p_neutral(spark, sf).withColumnRenamed("neutral", "neutral_score"),
                            ["video_id", "cap_idx"], "neutral_score")
 

@@ -51,11 +51,14 @@ def test_frame_coverage_scale_form_equals_range_join(spark):
     rng = np.random.default_rng(1)
     frames = [(v, int(f), bool(rng.random() < 0.6)) for v in ("a", "b") for f in range(1, 400) if rng.random() > 0.01]
     fdf = spark.createDataFrame(frames, "video_id string, frame_idx long, has_box boolean")
-    clips = [(v, float(s), float(s + d)) for v in ("a", "b") for s, d in zip(rng.uniform(0, 45, 60), rng.uniform(0.5, 4, 60))]
-    cdf = spark.createDataFrame(clips, "video_id string, start double, end double")
+    clips = [(v, i, float(s), float(s + d)) for v in ("a", "b")
+             for i, (s, d) in enumerate(zip(rng.uniform(0, 45, 60), rng.uniform(0.5, 4, 60)))]
+    cdf = spark.createDataFrame(clips, "video_id string, cid int, start double, end double")
     fast = sorted(tuple(r) for r in V.frame_coverage(cdf, fdf, chunk_size=16).collect())
+    keyed = V.frame_coverage(cdf, fdf, chunk_size=16, keys=["video_id", "cid"])
+    keyed = sorted(tuple(r) for r in keyed.select(*V.frame_coverage(cdf, fdf).columns).collect())
     naive = sorted(tuple(r) for r in V.frame_coverage_naive(cdf, fdf).collect())
-    assert fast == naive and len(fast) > 0
+    assert fast == naive and keyed == naive and len(fast) > 0
 
 
 def test_long_videos_and_select_clips(spark):
