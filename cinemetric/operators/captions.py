@@ -6,25 +6,29 @@ Input: ``(video_id, cap_idx, text, start, duration)``.  Caption order is data
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words as py_words
-from .sequence import running_sum
+from .sequence import next_value, row_number, running_sum
 
 # Sentence mark, default exclusion pattern, unknown-mark label.
 SPLIT_PUNC = "."
 EXCLUDE_ON = r".*\["
 NO_PUNC = "0"
+SENTENCE_CHUNK = 4096     # sentences per chunk of the two-level numbering
 
 
-def clip_ends(captions: DataFrame, video: str = "video_id", order: str = "cap_idx") -> DataFrame:
+def clip_ends(captions: DataFrame, video: str = "video_id", order: str = "cap_idx",
+              chunk: Column | None = None) -> DataFrame:
     """``end = min(start + duration, next start)``; the last caption keeps its own end.
-    The next caption is taken before empty captions are removed."""
-    w = Window.partitionBy(video).orderBy(order)
+    The next caption is taken before empty captions are removed.  ``chunk``
+    (e.g. ``cap_idx div 256``) takes the lead in two levels (see
+    ``sequence.next_value``) so a long video is not one task."""
     own = F.col("start") + F.col("duration")
-    nxt = F.lead("start").over(w)
-    return captions.withColumn("end", F.when(nxt.isNull(), own).otherwise(F.least(own, nxt)))
+    with_next = next_value(captions, [video], [order], "start", "_next_start", chunk=chunk)
+    nxt = F.col("_next_start")
+    return with_next.withColumn("end", F.when(nxt.isNull(), own).otherwise(F.least(own, nxt))).drop("_next_start")
 
 
 def default_punctuation(word: Column) -> Column:
@@ -77,8 +81,10 @@ def regroup(words: DataFrame, video: str = "video_id", order: tuple[str, str] =
                     "start", "end", (F.col("end") - F.col("start")).alias("duration")))
     if exclude_on:
         sent = sent.where(~F.col("text").rlike(f"^(?:{exclude_on})"))
-    w = Window.partitionBy(video).orderBy("_g")
-    return sent.withColumn("sent_idx", (F.row_number().over(w) - 1).cast("long")).drop("_g")
+    # sentence number over the kept sentences; two-level when chunked
+    sent_chunk = F.floor(F.col("_g") / SENTENCE_CHUNK) if chunk is not None else None
+    sent = row_number(sent, [video], ["_g"], "_rn", chunk=sent_chunk)
+    return sent.withColumn("sent_idx", (F.col("_rn") - 1).cast("long")).drop("_g", "_rn")
 
 
 def drop_bracketed(captions: DataFrame, text: str = "text") -> DataFrame:
@@ -88,17 +94,24 @@ def drop_bracketed(captions: DataFrame, text: str = "text") -> DataFrame:
 
 def regroup_status(captions: DataFrame, words: DataFrame, labelled: DataFrame | None = None,
                    video: str = "video_id") -> DataFrame:
-    """Per video: words produced vs words labelled (the reference's status is
-    always true; ours compares the counts) and the failure share."""
+    """Per processed video (every video with captions): words given timings vs
+    words returned by the labeller (the reference's status is always true;
+    ours compares the counts).  The three aggregates share the video
+    partitioning, so the joins add no shuffle."""
     labelled = labelled if labelled is not None else words
+    vids = captions.groupBy(video).agg(F.count(F.lit(1)).alias("n_captions"))
     a = words.groupBy(video).agg(F.count(F.lit(1)).alias("n_timed"))
     b = labelled.groupBy(video).agg(F.count(F.lit(1)).alias("n_labelled"))
-    return a.join(b, video, "full").select(
-        video, (F.coalesce("n_timed", F.lit(0)) == F.coalesce("n_labelled", F.lit(0))).alias("same_length"))
+    j = vids.join(a, video, "left").join(b, video, "left")
+    nt, nl = F.coalesce("n_timed", F.lit(0)), F.coalesce("n_labelled", F.lit(0))
+    return j.select(video, nt.alias("n_timed"), nl.alias("n_labelled"), (nt == nl).alias("same_length"))
 
 
 def failure_rate(status: DataFrame) -> DataFrame:
-    return status.agg(F.avg(F.when(F.col("same_length"), 0.0).otherwise(1.0)).alias("failure_rate"))
+    """Share of processed videos whose labelled word count differs (AG-25)."""
+    failed = F.when(F.col("same_length"), 0).otherwise(1)
+    return status.agg(F.count(F.lit(1)).alias("n_videos"), F.sum(failed).cast("long").alias("n_failed"),
+                      F.avg(failed.cast("double")).alias("failure_rate"))
 
 
 def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",

@@ -116,6 +116,11 @@ def index_counts(index: DataFrame) -> DataFrame:
                      F.count_if(F.col("has_person") == 1).alias("n_with_person_all"))
 
 
+def video_ids(index: DataFrame, video: str = "video_id") -> DataFrame:
+    """Distinct video ids of an index, with the number of clips of each (AG-31)."""
+    return index.groupBy(video).agg(F.count(F.lit(1)).alias("n_clips"))
+
+
 def video_id_from_link(link: Column) -> Column:
     """Watch link -> id (text after ``?v=``); other strings unchanged."""
     return F.when(link.contains("https://www.youtube.com/watch"), F.substring_index(link, "?v=", -1)).otherwise(link)

@@ -95,21 +95,25 @@ def exact_quantiles(df: DataFrame, column: str | Column, qs: list[float],
         running += int(r["n"])
 
     def pick(batches):
-        # One partition of (v, c, pid), already sorted by v.
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values("v", kind="mergesort")
-        pid = int(pdf["pid"].iloc[0])
-        hi = offsets[pid] + pdf["c"].cumsum()          # rank (0-based) of the last copy + 1
-        lo = hi - pdf["c"]
-        out = []
-        for r in wanted:
-            hit = pdf["v"][(lo <= r) & (r < hi)]
-            if len(hit):
-                out.append((r, float(hit.iloc[0])))
-        if out:
-            yield pd.DataFrame(out, columns=["r", "v"])
+        # One range partition of (v, c, pid) in ascending v (the checkpoint keeps
+        # the sorted order).  Batches are consumed one at a time with a running
+        # rank, so a task holds one Arrow batch, never the whole partition.
+        import numpy as np
+        seen, last = None, None
+        for b in batches:
+            if len(b) == 0:
+                continue
+            if seen is None:
+                seen = offsets[int(b["pid"].iloc[0])]
+            v, c = b["v"].to_numpy(), b["c"].to_numpy()
+            if (last is not None and v[0] < last) or bool((np.diff(v) < 0).any()):
+                raise RuntimeError("range partition is not sorted")
+            hi = seen + np.cumsum(c)                 # rank (0-based) of the last copy + 1
+            lo0 = seen
+            out = [(r, float(v[np.searchsorted(hi, r, side="right")])) for r in wanted if lo0 <= r < hi[-1]]
+            if out:
+                yield pd.DataFrame(out, columns=["r", "v"])
+            seen, last = int(hi[-1]), v[-1]
 
     found = {int(r["r"]): float(r["v"]) for r in
              ranged.mapInPandas(pick, "r long, v double").collect()}

@@ -68,3 +68,25 @@ def global_row_index(df: DataFrame, order: list[str], out: str = "row_idx") -> D
     schema = ordered.schema.add(out, "long")
     rdd = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
     return spark.createDataFrame(rdd, schema)
+
+
+def next_value(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
+               chunk: Column | None = None) -> DataFrame:
+    """Add ``out`` = ``value`` of the next row per ``keys`` in ``order`` (null
+    on the last row).  With ``chunk`` (monotone in the order) the lead is taken
+    inside each (key, chunk) window; the last row of a chunk takes the first
+    value of the next non-empty chunk, found on the small one-row-per-chunk
+    table, so no task holds more than one chunk of a key."""
+    v = F.col(value) if isinstance(value, str) else value
+    if chunk is None:
+        return df.withColumn(out, F.lead(v).over(Window.partitionBy(*keys).orderBy(*order)))
+    d = df.withColumn("_chunk", chunk).withColumn("_val", v)
+    w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    d = d.withColumn("_lead_in", F.lead("_val").over(w_in)) \
+        .withColumn("_last_in", F.lead(F.lit(1)).over(w_in).isNull())
+    firsts = d.groupBy(*keys, "_chunk").agg(F.min_by("_val", F.struct(*order)).alias("_first"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk")
+    nxt = firsts.select(*keys, "_chunk", F.lead("_first").over(wc).alias("_next_first"))
+    j = d.join(nxt, [*keys, "_chunk"])
+    return (j.withColumn(out, F.when(F.col("_last_in"), F.col("_next_first")).otherwise(F.col("_lead_in")))
+            .drop("_chunk", "_val", "_lead_in", "_last_in", "_next_first"))

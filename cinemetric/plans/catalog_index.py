@@ -18,7 +18,7 @@ BLOCKLIST = ["3", "7", "11"]
 
 
 def _captions(spark, sf):
-    return C.clip_ends(P.p_caption(spark, sf))
+    return C.clip_ends(P.p_caption(spark, sf), chunk=F.floor(F.col("cap_idx") / 256))
 
 
 ENDS_SQL = """
@@ -224,10 +224,39 @@ SELECT video_id, frame_idx, lpad(CAST(frame_idx AS VARCHAR), 8, '0') || '.jpg' A
 FROM p_frame"""
 
 
+def q_index_videos(spark, sf):
+    """Distinct videos of the selected clip index with their clip counts (AG-31)."""
+    idx = V.select_clips(_index(spark, sf), dmin=2.0, dmax=10.0, text_min=3, neutral_max=0.5, person_min=0.0)
+    return V.video_ids(idx)
+
+
+SQL_INDEX_VIDEOS = P.with_ctes(P.P_CAPTION_SQL, P.P_FRAME_SQL, P.P_NEUTRAL_SQL) + CLIP_CTE + """
+SELECT video_id, CAST(count(*) AS BIGINT) AS n_clips
+FROM idx WHERE duration > 2.0 AND duration < 10.0 AND length(text) >= 3 AND neutral_score <= 0.5 AND has_person >= 0.0
+GROUP BY video_id"""
+
+
+# A punctuation model returns no label for a token without any letter or
+# digit (for example a lone "-"); the stand-in labeller keeps the other tokens.
+LABELLED_WORD = r"[\p{L}\p{N}]"
+
+
 def q_regroup_failure_rate(spark, sf):
+    """Share of videos whose labelled word count differs from the timed word
+    count (AG-25), with the stand-in labeller above."""
     caps = _captions(spark, sf)
     words = C.word_times(caps)
-    return C.failure_rate(C.regroup_status(caps, words))
+    labelled = words.where(F.col("word").rlike(LABELLED_WORD))
+    st = C.failure_rate(C.regroup_status(caps, words, labelled))
+    return st.select("n_videos", "n_failed", F.round("failure_rate", R6).alias("failure_rate"))
+
+
+SQL_REGROUP_FAILURE_RATE = P.with_ctes(P.P_CAPTION_SQL) + WORDS_CTE + """
+, st AS (SELECT c.video_id, count(w.word) AS n_timed,
+                count(w.word) FILTER (WHERE regexp_matches(w.word, '[\p{L}\p{N}]')) AS n_labelled
+         FROM (SELECT DISTINCT video_id FROM p_caption) c LEFT JOIN words w USING (video_id) GROUP BY c.video_id)
+SELECT CAST(count(*) AS BIGINT) AS n_videos, CAST(count(*) FILTER (WHERE n_timed <> n_labelled) AS BIGINT) AS n_failed,
+       round(avg(CASE WHEN n_timed <> n_labelled THEN 1.0 ELSE 0.0 END), 6) AS failure_rate FROM st"""
 
 
 
@@ -244,4 +273,6 @@ QUERIES = {
     "long_videos": (q_long_videos, SQL_LONG_VIDEOS),
     "useful_frames": (q_useful_frames, SQL_USEFUL_FRAMES),
     "frame_names": (q_frame_names, SQL_FRAME_NAMES),
+    "index_videos": (q_index_videos, SQL_INDEX_VIDEOS),
+    "regroup_failure_rate": (q_regroup_failure_rate, SQL_REGROUP_FAILURE_RATE),
 }

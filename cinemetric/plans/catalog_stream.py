@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import read_table, scratch_path
 from ..streaming import stateful as ST
 
 R6 = 6
@@ -53,8 +53,42 @@ SQL_STREAM_LATEST = """SELECT user_id, arg_max(event_id, ts) AS event_id, arg_ma
 FROM events GROUP BY user_id"""
 
 
+def _doc_scores(df):
+    """Documents with a stand-in raw model score in [1, 5] derived from their length."""
+    return df.select("doc_id", "text", (F.lit(1.0) + F.lit(4.0) * (F.col("n_chars") % 997) / 996.0).alias("raw"))
+
+
+def q_stream_scores(spark, sf):
+    """Score arriving expressions (ST-04): routes, clamp, per-route
+    normalisation and tail smoothing with statistics frozen from a batch fit
+    of the same table, applied to the documents read as a file stream."""
+    stats, tail = ST.fit_frozen_stats(_doc_scores(read_table(spark, sf, "documents")), "text", "raw")
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "documents.parquet").parquet(sf))
+    out = ST.score_stream(_doc_scores(stream), "text", "raw", stats, tail)
+    t = ST.run_available(out, scratch_path(spark, "scores"), scratch_path(spark, "scores-ckpt"))
+    return t.select("doc_id", "Model_Used", F.round("Predicted_Concreteness", R6).alias("score"))
+
+
+_DOC_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
+
+SQL_STREAM_SCORES = f"""
+WITH d AS (SELECT doc_id, 1 + 4 * (n_chars % 997) / 996.0 AS raw, {_DOC_WORDS} AS n FROM documents WHERE text IS NOT NULL)
+, c AS (SELECT doc_id, greatest(1.0, least(5.0, raw)) AS p0,
+               CASE WHEN n > 8 THEN 'Sentence' WHEN n > 1 THEN 'Multiword' ELSE 'Single-word' END AS Model_Used FROM d)
+, s AS (SELECT Model_Used, avg(p0) AS mu, stddev_samp(p0) AS sd FROM c GROUP BY 1)
+, z AS (SELECT c.*, CASE WHEN sd IS NULL OR sd = 0 THEN 3.0 ELSE (p0 - mu) / sd * 1.0 + 3.0 END AS pz
+        FROM c JOIN s USING (Model_Used))
+, t AS (SELECT quantile_cont(pz, 0.9) AS t FROM z)
+SELECT doc_id, Model_Used, round(greatest(1.0, least(5.0,
+       CASE WHEN t.t < 5 AND pz > t.t THEN pz * (1 - 0.1 * (pz - t.t) / (5 - t.t)) ELSE pz END)), 6) AS score
+FROM z, t"""
+
+
 QUERIES = {
     "stream_every_nth": (q_stream_every_nth, SQL_STREAM_EVERY_NTH),
     "stream_rolling_mean": (q_stream_rolling_mean, SQL_STREAM_ROLLING_MEAN),
     "stream_latest": (q_stream_latest, SQL_STREAM_LATEST),
+    "stream_scores": (q_stream_scores, SQL_STREAM_SCORES),
 }

@@ -82,6 +82,21 @@ def score_stream(rows: DataFrame, text: str, score: str, route_stats: DataFrame,
     return j.withColumn("Predicted_Concreteness", S.clamp(sm)).drop("_p", "mu", "sd")
 
 
+def fit_frozen_stats(rows: DataFrame, text: str, score: str,
+                     quantile_method: str = "distributed") -> tuple[DataFrame, float | None]:
+    """Batch fit of the statistics ``score_stream`` freezes: per-route mean and
+    sample sd of the clamped score, and the exact tail quantile of the
+    normalised score.  The route table has at most one row per route (three),
+    so it is brought back and rebuilt as a literal table: later micro-batches
+    join that fixed table instead of re-running the fit."""
+    r = rows.withColumn("Model_Used", TX.model_used(text)).withColumn("_p", S.clamp(score))
+    z = S.znorm(r, "_p", by=["Model_Used"], out="_z")
+    stats = (r.groupBy("Model_Used").agg(F.avg("_p").alias("mu"), F.stddev_samp("_p").alias("sd")))
+    frozen = rows.sparkSession.createDataFrame(stats.collect(), stats.schema)  # <= 3 rows (one per route)
+    from ..operators.quantiles import exact_quantile
+    return frozen, exact_quantile(z, "_z", S.TAIL_QUANTILE, quantile_method)
+
+
 def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
     """Process everything available (``availableNow``) into a Parquet sink
     under the shared folder, then return the written table.  Append mode."""
