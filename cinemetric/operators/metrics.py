@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import RANGE, running_sum, running_sums
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -95,8 +97,10 @@ def average_precision(df: DataFrame, cls: str, label: str, score: str) -> DataFr
     thresholds at the distinct scores (equal scores are one step).  Classes
     without positives give null (excluded from the macro mean)."""
     sc = _score_counts(df, cls, label, score)
-    w = Window.partitionBy(cls).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = sc.select(cls, "tp", F.sum("tp").over(w).alias("ctp"), F.sum("nn").over(w).alias("cn"))
+    # prefix sums per class in descending score, two-level over range chunks
+    # (a class has as many rows as distinct scores; few classes, many scores)
+    cum = running_sums(sc, [cls], [F.col(score).desc()], {"ctp": "tp", "cn": "nn"}, chunk=RANGE) \
+        .select(cls, "tp", "ctp", "cn")
     tot = sc.groupBy(cls).agg(F.sum("tp").alias("P"))
     return (cum.join(tot, cls)
             .groupBy(cls).agg(F.sum(F.col("tp") / F.col("P") * F.col("ctp") / F.col("cn")).alias("ap"),
@@ -107,8 +111,7 @@ def roc_auc(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
     """ROC AUC per class by the mid-rank formula (ties count one half);
     null when a class has only positives or only negatives."""
     sc = _score_counts(df, cls, label, score)
-    w = Window.partitionBy(cls).orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sc.withColumn("before", F.coalesce(F.sum("nn").over(w), F.lit(0)))
+    ranked = running_sum(sc, [cls], [F.col(score).asc()], "nn", "before", inclusive=False, chunk=RANGE)
     mid = F.col("before") + (F.col("nn") + 1) / 2.0
     agg = ranked.groupBy(cls).agg(F.sum(F.col("tp") * mid).alias("rs"), F.sum("tp").alias("P"),
                                   F.sum("nn").alias("T"))

@@ -52,12 +52,22 @@ def assign_split(df: DataFrame, key: str, weights=(0.9, 0.1, 0.0), names=("train
 
 
 def stratified_split(df: DataFrame, cls: str, key: str, sizes=(("train", 150), ("val", 50), ("test", 100)),
-                     seed: int = 0, out: str = "split") -> DataFrame:
+                     seed: int = 0, out: str = "split", salt_buckets: int | None = None) -> DataFrame:
     """Balanced sample per class: rank rows of each class by a stable draw and
     give the first n1 to the first split, the next n2 to the second, ...;
     rows beyond the total are not sampled (dropped)."""
-    w = Window.partitionBy(cls).orderBy(stable_key(seed, key), key)
-    r = df.withColumn("_rn", F.row_number().over(w))
+    # Two-phase exact top-N per class: rows are first ranked inside
+    # (class, salt) buckets and only each bucket's first N survive; the final
+    # rank per class then runs over at most buckets x N rows, so a class
+    # holding most of the table is never one task.
+    total = sum(n for _, n in sizes)
+    buckets = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [stable_key(seed, key), F.col(key)]
+    salted = df.withColumn("_salt", F.abs(F.xxhash64(F.col(key))) % buckets)
+    w1 = Window.partitionBy(cls, "_salt").orderBy(*order)
+    cand = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= total).drop("_r1", "_salt")
+    w = Window.partitionBy(cls).orderBy(*order)
+    r = cand.withColumn("_rn", F.row_number().over(w))
     expr, lo = None, 0
     for name, n in sizes:
         cond = (F.col("_rn") > lo) & (F.col("_rn") <= lo + n)
@@ -88,7 +98,8 @@ def reindex(df: DataFrame, old: str, out: str = "row_idx") -> DataFrame:
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: list[str], value: str, k: int,
-                 out: str = "rolling") -> DataFrame:
-    """Mean of the last ``k`` values (fewer at the start)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(k - 1), 0)
-    return df.withColumn(out, F.avg(value).over(w))
+                 out: str = "rolling", chunk_rows: int | None = 4096) -> DataFrame:
+    """Mean of the last ``k`` values (fewer at the start); chunked with a halo
+    so one long series is not one task (``sequence.rolling_mean``)."""
+    from .sequence import rolling_mean as chunked_rolling_mean
+    return chunked_rolling_mean(df, keys, order, value, k, out, chunk_rows)

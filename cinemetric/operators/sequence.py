@@ -15,10 +15,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column | str],
-                 inclusive: bool = True, chunk: Column | None = None) -> DataFrame:
+RANGE = "range"   # chunk by range-partition id (see ``range_chunks``)
+
+
+def range_chunks(df: DataFrame, keys: list, order: list, out: str = "_rchunk",
+                 partitions: int | None = None) -> DataFrame:
+    """Range-partition on ``(keys, order)`` and tag every row with its
+    partition id.  Within one key the id never decreases along the order, so
+    it is a valid chunk column for the two-level helpers, and a key holding a
+    third of all rows is spread over many partitions of bounded size without
+    the caller knowing anything about the order column's values."""
+    from ..session import cut_lineage
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The range bounds come from sampling and the partition id is not a
+    # function of the row, so the tagged rows are written once (reliable
+    # checkpoint in the shared checkpoint folder): every later branch (chunk
+    # totals, in-chunk windows) reads the same ids, also after a task retry.
+    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(out, F.spark_partition_id()))
+
+
+def _chunked(df: DataFrame, keys: list, order: list, chunk):
+    """Resolve ``chunk``: ``RANGE`` tags range-partition ids; returns
+    (frame, chunk column, helper columns to drop at the end)."""
+    if isinstance(chunk, str) and chunk == RANGE:
+        return range_chunks(df, keys, order), F.col("_rchunk"), ["_rchunk"]
+    return df, chunk, []
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column | str],
+                 inclusive: bool = True, chunk: Column | str | None = None) -> DataFrame:
     """Add one running sum per ``values`` entry (``out -> value``) per ``keys``
-    in ``order``; all sums share one window (and one chunk-total pass)."""
+    in ``order``; all sums share one window (and one chunk-total pass).
+    ``chunk``: a column monotone in the order, or ``RANGE``."""
+    df, chunk, extra = _chunked(df, keys, order, chunk)
     vals = {o: (F.col(v) if isinstance(v, str) else v) for o, v in values.items()}
     frame_end = Window.currentRow if inclusive else -1
     if chunk is None:
@@ -41,18 +70,18 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     out = inner.join(offsets, [*keys, "_chunk"])
     for o in vals:
         out = out.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
-    drop = ["_chunk"] + [c for o in vals for c in (tmp[o], f"_in_{o}", f"_off_{o}")]
+    drop = ["_chunk", *extra] + [c for o in vals for c in (tmp[o], f"_in_{o}", f"_off_{o}")]
     return out.drop(*drop)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
-                inclusive: bool = True, chunk: Column | None = None) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list, value: Column | str, out: str,
+                inclusive: bool = True, chunk: Column | str | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``."""
     return running_sums(df, keys, order, {out: value}, inclusive, chunk)
 
 
-def row_number(df: DataFrame, keys: list[str], order: list[str], out: str,
-               chunk: Column | None = None) -> DataFrame:
+def row_number(df: DataFrame, keys: list[str], order: list, out: str,
+               chunk: Column | str | None = None) -> DataFrame:
     """1-based position per key (two-level when ``chunk`` is given)."""
     if chunk is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -70,8 +99,8 @@ def global_row_index(df: DataFrame, order: list[str], out: str = "row_idx") -> D
     return spark.createDataFrame(rdd, schema)
 
 
-def next_value(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
-               chunk: Column | None = None) -> DataFrame:
+def next_value(df: DataFrame, keys: list[str], order: list, value: Column | str, out: str,
+               chunk: Column | str | None = None) -> DataFrame:
     """Add ``out`` = ``value`` of the next row per ``keys`` in ``order`` (null
     on the last row).  With ``chunk`` (monotone in the order) the lead is taken
     inside each (key, chunk) window; the last row of a chunk takes the first
@@ -80,6 +109,7 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], value: Column |
     v = F.col(value) if isinstance(value, str) else value
     if chunk is None:
         return df.withColumn(out, F.lead(v).over(Window.partitionBy(*keys).orderBy(*order)))
+    df, chunk, extra = _chunked(df, keys, order, chunk)
     d = df.withColumn("_chunk", chunk).withColumn("_val", v)
     w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     d = d.withColumn("_lead_in", F.lead("_val").over(w_in)) \
@@ -89,4 +119,26 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], value: Column |
     nxt = firsts.select(*keys, "_chunk", F.lead("_first").over(wc).alias("_next_first"))
     j = d.join(nxt, [*keys, "_chunk"])
     return (j.withColumn(out, F.when(F.col("_last_in"), F.col("_next_first")).otherwise(F.col("_lead_in")))
-            .drop("_chunk", "_val", "_lead_in", "_last_in", "_next_first"))
+            .drop("_chunk", "_val", "_lead_in", "_last_in", "_next_first", *extra))
+
+
+def rolling_mean(df: DataFrame, keys: list[str], order: list, value: str, k: int, out: str,
+                 chunk_rows: int | None = 4096) -> DataFrame:
+    """Mean of the last ``k`` values per key (fewer at the start).
+
+    With ``chunk_rows`` the rows of each key are numbered in two levels, cut
+    into chunks of ``chunk_rows`` positions, and the first ``k - 1`` rows of
+    each chunk's successor get a copy (halo) in the chunk before, so every
+    window runs per (key, chunk) and stays exact."""
+    if not chunk_rows:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(k - 1), 0)
+        return df.withColumn(out, F.avg(value).over(w))
+    size = max(int(chunk_rows), k)
+    n = row_number(df, keys, order, "_rn", chunk=RANGE)
+    owner = F.floor((F.col("_rn") - 1) / size)
+    # a row also feeds the next chunk when it is among the last k-1 of its own
+    halo = F.when((F.col("_rn") - 1) % size >= size - (k - 1), F.array(owner, owner + 1)).otherwise(F.array(owner))
+    spread = n.withColumn("_own", owner).withColumn("_c", F.explode(halo))
+    w = Window.partitionBy(*keys, "_c").orderBy("_rn").rowsBetween(-(k - 1), 0)
+    return (spread.withColumn(out, F.avg(value).over(w)).where(F.col("_own") == F.col("_c"))
+            .drop("_rn", "_own", "_c"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import next_value, range_chunks, row_number
+
 # Open-ended last clip length (8 s at 24 fps) and clip length.
 OPEN_END_FRAMES = 8 * 24
 CLIP_LEN = 8
@@ -17,10 +19,13 @@ def shots_from_cuts(cuts: DataFrame, movie: str = "movie_id", start: str = "star
     before the next start; the last end is -1 (open).  ``shot_no`` is 1-based."""
     starts = cuts.select(movie, F.col(start).cast("long").alias("start_frame")).unionByName(
         cuts.select(movie).distinct().select(movie, F.lit(0).cast("long").alias("start_frame")))
-    w = Window.partitionBy(movie).orderBy("start_frame")
-    return starts.select(movie, "start_frame",
-                         F.coalesce(F.lead("start_frame").over(w) - 1, F.lit(-1).cast("long")).alias("end_frame"),
-                         F.row_number().over(w).cast("long").alias("shot_no"))
+    # lead and numbering per movie in two levels over range chunks
+    tagged = range_chunks(starts, [movie], ["start_frame"])
+    nxt = next_value(tagged, [movie], ["start_frame"], "start_frame", "_next", chunk=F.col("_rchunk"))
+    num = row_number(nxt, [movie], ["start_frame"], "shot_no", chunk=F.col("_rchunk"))
+    return num.select(movie, "start_frame",
+                      F.coalesce(F.col("_next") - 1, F.lit(-1).cast("long")).alias("end_frame"),
+                      F.col("shot_no").cast("long").alias("shot_no"))
 
 
 def close_open_end(start: Column, end: Column, length: int = OPEN_END_FRAMES) -> Column:

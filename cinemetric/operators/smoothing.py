@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import global_row_index
+from .sequence import RANGE, global_row_index, row_number
 
 
 def window_layout(length: int) -> tuple[int, int, float]:
@@ -50,8 +50,8 @@ def savgol(df: DataFrame, value: str, order_cols: list[str], length: int, polyor
 
     keys = list(by or [])
     if keys:
-        w = Window.partitionBy(*keys).orderBy(*order_cols)
-        numbered = df.withColumn("_rn", F.row_number().over(w) - 1)
+        # two-level numbering over range chunks: one long series is not one task
+        numbered = row_number(df, keys, order_cols, "_rn", chunk=RANGE).withColumn("_rn", F.col("_rn") - 1)
     else:
         numbered = global_row_index(df, order_cols, "_rn")
     n = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else \

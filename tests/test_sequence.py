@@ -55,3 +55,20 @@ def test_clip_ends_and_regroup_chunked(spark, monkeypatch):
     plain = sorted(C.regroup(words).collect())
     chunked = sorted(C.regroup(words, chunk=F.floor(F.col("cap_idx") / 5)).collect())
     assert plain == chunked and len(plain) > 3
+
+
+def test_range_chunks_with_hot_key(spark):
+    """One key holds most rows; range chunks split it; results equal the plain window."""
+    from cinemetric.operators.sequence import RANGE, rolling_mean, running_sums
+    rnd = random.Random(5)
+    rows = [("hot", i, float(rnd.randint(0, 9))) for i in range(400)]
+    rows += [(f"k{j}", i, float(rnd.randint(0, 9))) for j in range(5) for i in range(rnd.randint(1, 20))]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    key = lambda r: (r["k"], r["i"])
+    a = sorted(running_sums(df, ["k"], ["i"], {"s": "x", "n": F.lit(1)}).collect(), key=key)
+    b = sorted(running_sums(df, ["k"], ["i"], {"s": "x", "n": F.lit(1)}, chunk=RANGE).collect(), key=key)
+    assert a == b
+    plain = {key(r): r["m"] for r in rolling_mean(df, ["k"], ["i"], "x", 5, "m", chunk_rows=None).collect()}
+    chunked = {key(r): r["m"] for r in rolling_mean(df, ["k"], ["i"], "x", 5, "m", chunk_rows=7).collect()}
+    assert plain.keys() == chunked.keys()
+    assert all(abs(plain[k] - chunked[k]) < 1e-12 for k in plain)
