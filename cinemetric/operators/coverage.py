@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast
 from .sequence import running_sum, running_sums
 
 # Frame rate and minimum clip length of the index build.
@@ -135,7 +136,7 @@ def anti_blocklist(df: DataFrame, blocklist: DataFrame, video: str = "video_id")
     """Drop videos whose base id is listed; the list is a small fixed table."""
     bl = blocklist.select(F.col(blocklist.columns[0]).cast("string").alias("_b")).distinct()
     return (df.withColumn("_base", base_video_id(F.col(video).cast("string")))
-            .join(F.broadcast(bl), F.col("_base") == F.col("_b"), "left_anti").drop("_base"))
+            .join(checked_broadcast(bl), F.col("_base") == F.col("_b"), "left_anti").drop("_base"))
 
 
 def valid_videos(*id_sets: DataFrame, video: str = "video_id", require: list[DataFrame] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast
 from .sequence import global_row_index
 
 # The 26 movie-clip emotion categories (multi-hot order).
@@ -45,7 +46,7 @@ def apply_corrections(df: DataFrame, drops: DataFrame | None, patches: DataFrame
         if unmatched.limit(1).count():
             raise ValueError("a patch correction matches no row")
         p = patches.select(*keys, F.col(patch_col).alias("_patch"))
-        out = out.join(F.broadcast(p), keys, "left").withColumn(patch_col, F.coalesce("_patch", F.col(patch_col))) \
+        out = out.join(checked_broadcast(p), keys, "left").withColumn(patch_col, F.coalesce("_patch", F.col(patch_col))) \
             .drop("_patch")
     return out
 
@@ -118,7 +119,7 @@ def positional_join(left: DataFrame, right: DataFrame, order_left: list[str], or
 
 def label_index(df: DataFrame, label: str, classes: DataFrame, name: str = "name", idx: str = "class_id") -> DataFrame:
     """Label name -> index through a small class table; an unknown name is an error (SC-27)."""
-    j = df.join(F.broadcast(classes.select(F.col(name).alias(label), F.col(idx).alias("_i"))), label, "left")
+    j = df.join(checked_broadcast(classes.select(F.col(name).alias(label), F.col(idx).alias("_i"))), label, "left")
     return j.withColumn(idx, F.when(F.col("_i").isNull(), F.raise_error(F.concat(F.lit("unknown label "), F.col(label))))
                         .otherwise(F.col("_i"))).drop("_i")
 
@@ -131,7 +132,7 @@ def multi_hot(names: Column, classes: list[str] = MOVIE_CLASSES) -> Column:
 def nearest_category(words: DataFrame, word_map: DataFrame, word: str = "word") -> DataFrame:
     """Word -> category through a (category, words array) map table (SC-28)."""
     flat = word_map.select(F.col("category"), F.explode("words").alias(word))
-    return words.join(F.broadcast(flat), word, "left")
+    return words.join(checked_broadcast(flat), word, "left")
 
 
 def label_score(scores: Column, label: str = "neutral") -> Column:

@@ -253,7 +253,7 @@ def q_regroup_failure_rate(spark, sf):
 
 SQL_REGROUP_FAILURE_RATE = P.with_ctes(P.P_CAPTION_SQL) + WORDS_CTE + """
 , st AS (SELECT c.video_id, count(w.word) AS n_timed,
-                count(w.word) FILTER (WHERE regexp_matches(w.word, '[\p{L}\p{N}]')) AS n_labelled
+                count(w.word) FILTER (WHERE regexp_matches(w.word, '[\\p{L}\\p{N}]')) AS n_labelled
          FROM (SELECT DISTINCT video_id FROM p_caption) c LEFT JOIN words w USING (video_id) GROUP BY c.video_id)
 SELECT CAST(count(*) AS BIGINT) AS n_videos, CAST(count(*) FILTER (WHERE n_timed <> n_labelled) AS BIGINT) AS n_failed,
        round(avg(CASE WHEN n_timed <> n_labelled THEN 1.0 ELSE 0.0 END), 6) AS failure_rate FROM st"""

@@ -32,8 +32,12 @@ def write_clip_index(index: DataFrame, path: str) -> None:
 
 def write_transcripts(sentences: DataFrame, path: str, video: str = "video_id", order: str = "sent_idx") -> None:
     """Cleaned transcript per video (SNK-03): one directory per video with the
-    sentences as JSON lines sorted by position."""
-    (sentences.repartition(video).sortWithinPartitions(video, order)
+    sentences as JSON lines sorted by position.  Range partitioning on
+    (video, position) gives each task a contiguous slice, so a long video is
+    written by several tasks as several files whose part numbers follow the
+    sentence order, instead of by one task."""
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (sentences.repartitionByRange(n, video, order).sortWithinPartitions(video, order)
      .write.mode("overwrite").partitionBy(video).json(path))
 
 
@@ -81,7 +85,11 @@ def pack_frames(spark: SparkSession, root: str, out: str, glob: str = "*.jpg") -
              .option("recursiveFileLookup", True).load(root))
     packed = files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("video_id"),
                           F.regexp_extract("path", r"([^/]+)$", 1).alias("frame_name"), "content")
-    packed.repartition("video_id").write.mode("overwrite").partitionBy("video_id").parquet(out)
+    # range slices of (video, frame): a video with many frames is packed by
+    # several tasks (several files in its directory), never by one
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed.repartitionByRange(n, "video_id", "frame_name").sortWithinPartitions("video_id", "frame_name") \
+        .write.mode("overwrite").partitionBy("video_id").parquet(out)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

@@ -74,7 +74,7 @@ def score_stream(rows: DataFrame, text: str, score: str, route_stats: DataFrame,
     smoothing with the given threshold -> clamp.  ``route_stats`` is a small
     batch table (one row per route) joined as a static side."""
     r = rows.withColumn("Model_Used", TX.model_used(text)).withColumn("_p", S.clamp(score))
-    j = r.join(F.broadcast(route_stats), "Model_Used", "left")
+    j = r.join(F.broadcast(route_stats), "Model_Used", "left")  # one row per route: at most three
     z = F.when(F.col("sd").isNull() | (F.col("sd") == 0), F.lit(S.TARGET_MEAN)) \
         .otherwise((F.col("_p") - F.col("mu")) / F.col("sd") * S.TARGET_SD + S.TARGET_MEAN)
     t = F.lit(float(tail_threshold))
