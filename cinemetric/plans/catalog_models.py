@@ -81,7 +81,7 @@ def q_zero_shot_prompts(spark, sf):
 
 def q_select_templates(spark, sf):
     items, classes = _brand_classes(spark, sf)
-    hist = select_templates(items, "p_partkey", "text", "brand", classes, "brand", "names", TEMPLATES, max_templates=3)
+    hist = select_templates(items, "p_partkey", "text", "brand", classes, "brand", "names", TEMPLATES)
     return spark.createDataFrame(hist, "step int, template string, top1 double")
 
 

@@ -98,6 +98,12 @@ def test_shots_helpers(spark):
     ann = spark.createDataFrame([("m", 4, 0.5), ("m", 5, 0.7)], "movie_id string, Time int, valence double")
     got = [(r["sid"], r["valence"]) for r in SH.label_at_time(samples, ann).collect()]
     assert got == [("s1", 0.5)]
+    ann2 = spark.createDataFrame([("v", 0, "happy")], "video_id string, person_id int, label string")
+    joints = spark.createDataFrame([("v", 0, 1, [(10.2, 20.7, 0.9), (0.0, 0.0, 0.0), (30.5, 5.1, 0.8)])],
+                                   "video_id string, person_id int, frame int, "
+                                   "joints array<struct<x:double,y:double,conf:double>>")
+    pb = B.person_boxes(ann2, joints).first()
+    assert pb["label"] == "happy" and list(pb["bbox"]) == [5, 10, 21, 31]     # [y1, x1, y2, x2]
     bx = spark.createDataFrame([([[0.0, 0.0, 1.0, 1.0, 0.4], [0.0, 0.0, 2.0, 2.0, 0.6]],)], "b array<array<double>>")
     assert bx.select(B.boxes_above("b").alias("k")).first()["k"] == [[0.0, 0.0, 2.0, 2.0, 0.6]]
 
