@@ -115,11 +115,16 @@ def failure_rate(status: DataFrame) -> DataFrame:
 
 
 def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",
-                         order: tuple[str, str] = ("cap_idx", "w_idx")) -> DataFrame:
+                         order: tuple[str, str] = ("cap_idx", "w_idx"),
+                         captions_per_call: int | None = 256) -> DataFrame:
     """Model hook for punctuation (UDF-03): ``labeller(list[str]) -> list[(word,
-    punc, conf)]`` sees the words of one video in order (a punctuation model
-    needs the running text).  Runs as ``applyInPandas`` per video; the input
-    needs ``word`` and ``time_range``; the output replaces word/punc/conf."""
+    punc, conf)]`` sees the words of a video in order (a punctuation model
+    needs the running text).  Runs as ``applyInPandas`` per (video, run of
+    ``captions_per_call`` consecutive captions), so one long video is many
+    bounded calls - the same windowing a punctuation model applies to long
+    text itself; ``None`` gives the model each whole video in one call.  The
+    input needs ``word`` and ``time_range``; the output replaces
+    word/punc/conf."""
     import pandas as pd
 
     cols = [video, *order, "word", "time_range"]
@@ -135,4 +140,8 @@ def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",
         pdf["punc_conf"] = [float(c) for _, _, c in lab]
         return pdf
 
+    if captions_per_call:
+        run = F.floor(F.col(order[0]) / captions_per_call).alias("_run")
+        return words.select(*cols, run).groupBy(video, "_run").applyInPandas(
+            lambda pdf: per_video(pdf.drop(columns=["_run"])), schema)
     return words.select(*cols).groupBy(video).applyInPandas(per_video, schema)

@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..session import has_at_most
+from ..session import cut_lineage
+from .sequence import global_row_index
 
-MAX_CLASSES = 100_000
+# Largest class matrix (classes x vector width) carried by one scalar subquery.
+MAX_MATRIX_VALUES = 4_000_000
 
 
 def explode_dims(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
@@ -69,24 +71,20 @@ def class_prototypes(prompts: DataFrame, cls: str, vec: str, out: str = "prototy
 
 
 def _class_matrix(classes: DataFrame, cls: str, vec: str) -> Column:
-    if not has_at_most(classes, MAX_CLASSES):
-        raise ValueError(f"more than {MAX_CLASSES} classes; score with a join instead")
+    """All class vectors, sorted by class id, as one scalar subquery (the
+    caller has checked its size)."""
     arr = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(vec).alias("v")))).alias("m"))
     return arr.select("m").scalar()
 
 
-def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec: str,
-                 out: str = "scores", scale: float = 100.0, engine: str = "sql") -> DataFrame:
-    """Add ``out`` = array of ``scale * <item, class>`` in class order (classes
-    sorted by id) and ``class_ids`` (the order).  Vectors are expected to be
-    normalised already (cosine).  ``engine='numpy'`` runs the products as an
-    Arrow batch matrix multiply."""
+def _score_block(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec: str, out: str,
+                 scale: float, engine: str) -> DataFrame:
     items = items.withColumn("_cm", _class_matrix(classes, cls, cvec))
     ids = F.transform("_cm", lambda s: s["c"])
     if engine == "sql":
         sc = F.transform("_cm", lambda s: F.lit(scale) * V.dot(F.col(vec), s["v"]))
         return items.withColumn(out, sc).withColumn("class_ids", ids).drop("_cm")
-    rows = classes.select(cls, cvec).orderBy(cls).collect()  # bounded by MAX_CLASSES (checked above)
+    rows = classes.select(cls, cvec).orderBy(cls).collect()  # one block: size checked by the caller
     mat = np.array([r[cvec] for r in rows], dtype=float).T * scale
     bc = items.sparkSession.sparkContext.broadcast(mat)
 
@@ -102,6 +100,43 @@ def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec:
     return items.withColumn(out, _mm(F.col(vec))).withColumn("class_ids", ids).drop("_cm")
 
 
+def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec: str,
+                 out: str = "scores", scale: float = 100.0, engine: str = "sql",
+                 max_values: int = MAX_MATRIX_VALUES) -> DataFrame:
+    """Add ``out`` = array of ``scale * <item, class>`` in class order (classes
+    sorted by id) and ``class_ids`` (the order).  Vectors are expected to be
+    normalised already (cosine).  ``engine='numpy'`` runs the products as an
+    Arrow batch matrix multiply.
+
+    The class matrix shipped with the tasks holds at most ``max_values``
+    numbers (classes x width, checked with a bounded probe).  A larger class
+    table is cut into blocks of that size in class order; each block is scored
+    the same way, and the per-block score arrays of an item (one row per
+    block) are concatenated in block order, so the result is exact and no
+    task or broadcast holds more than one block."""
+    # one aggregate job gives both the class count and the vector width
+    st = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(cvec)).alias("w")).first()
+    per_block = max(1, int(max_values) // int(st["w"] or 1))
+    if st["n"] <= per_block:
+        return _score_block(items, vec, classes, cls, cvec, out, scale, engine)
+    # fixed item ids and block assignment, written once (every block reads them)
+    keyed = cut_lineage(items.withColumn("_item", F.monotonically_increasing_id()))
+    blocked = cut_lineage(global_row_index(classes.select(cls, cvec), [cls], "_ci")
+                          .withColumn("_blk", F.floor(F.col("_ci") / per_block)))
+    n_blocks = int(blocked.agg(F.max("_blk").alias("b")).first()["b"]) + 1
+    parts = None
+    for b in range(n_blocks):
+        part = _score_block(keyed.select("_item", vec), vec, blocked.where(F.col("_blk") == b), cls, cvec,
+                            "_s", scale, engine)
+        part = part.select("_item", F.lit(b).alias("_blk"), "_s", F.col("class_ids").alias("_ids"))
+        parts = part if parts is None else parts.unionByName(part)
+    merged = (parts.groupBy("_item")          # one row per block for each item: bounded
+              .agg(F.array_sort(F.collect_list(F.struct("_blk", "_s", "_ids"))).alias("_p"))
+              .select("_item", F.flatten(F.transform("_p", lambda p: p["_s"])).alias(out),
+                      F.flatten(F.transform("_p", lambda p: p["_ids"])).alias("class_ids")))
+    return keyed.join(merged, "_item").drop("_item")
+
+
 def ranked_classes(scores: Column, class_ids: Column) -> Column:
     """Array of (rank, class, score) sorted by score desc; ties go to the higher
     class index (classes are held in ascending id order)."""

@@ -85,3 +85,22 @@ def test_exact_quantiles_distributed_path(spark, monkeypatch):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
     qs = [0.0, 0.25, 0.5, 0.9, 1.0]
     assert Q.exact_quantiles(df, "x", qs) == pytest.approx(list(np.quantile(vals, qs)), abs=1e-12)
+
+
+@pytest.mark.parametrize("engine", ["sql", "numpy"])
+def test_score_matrix_blocks_equal_one_matrix(spark, engine):
+    """More classes than one block holds: block-wise scores equal the single matrix."""
+    import random
+    from cinemetric.operators import vectors as O
+    rnd = random.Random(3)
+    items = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(12)],
+                                  "id int, v array<double>")
+    classes = spark.createDataFrame([(c, [rnd.uniform(-1, 1) for _ in range(4)]) for c in range(9)],
+                                    "c int, p array<double>")
+    one = {r["id"]: (r["class_ids"], r["scores"]) for r in O.score_matrix(items, "v", classes, "c", "p", engine=engine).collect()}
+    blk = {r["id"]: (r["class_ids"], r["scores"])
+           for r in O.score_matrix(items, "v", classes, "c", "p", engine=engine, max_values=8).collect()}
+    assert one.keys() == blk.keys()
+    for k in one:
+        assert one[k][0] == blk[k][0] == list(range(9))
+        assert one[k][1] == pytest.approx(blk[k][1], abs=1e-12)
