@@ -88,15 +88,28 @@ def row_number(df: DataFrame, keys: list[str], order: list, out: str,
     return running_sum(df, keys, order, F.lit(1), out, inclusive=True, chunk=chunk)
 
 
-def global_row_index(df: DataFrame, order: list[str], out: str = "row_idx") -> DataFrame:
+def global_row_index(df: DataFrame, order: list, out: str = "row_idx") -> DataFrame:
     """0-based dense position over the whole table by ``order`` without a
-    single-partition window: range-sort, then ``zipWithIndex`` (one job for the
-    partition sizes, then a narrow pass)."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order)
-    schema = ordered.schema.add(out, "long")
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return spark.createDataFrame(rdd, schema)
+    single-partition window and without leaving the JVM: the rows are
+    range-partitioned on the order and written once with their partition id
+    (``range_chunks``); one small aggregate counts the rows of each partition
+    (one row per partition comes back), and each row's index is its
+    partition's offset plus its position after a local sort of the partition
+    (the low bits of ``monotonically_increasing_id``)."""
+    t = range_chunks(df, [], order)
+    counts = {int(r["_rchunk"]): int(r["n"]) for r in
+              t.groupBy("_rchunk").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, run = [], 0
+    for pid in range(max(counts, default=-1) + 1):
+        offsets.append(run)
+        run += counts.get(pid, 0)
+    if not offsets:
+        return t.drop("_rchunk").withColumn(out, F.lit(None).cast("long"))
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_rchunk") + 1)
+    # the checkpointed partitions are read back one to one, so after a local
+    # sort the id's low 33 bits are the row's position inside its partition
+    pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return t.sortWithinPartitions(*order).withColumn(out, off + pos).drop("_rchunk")
 
 
 def next_value(df: DataFrame, keys: list[str], order: list, value: Column | str, out: str,

@@ -111,7 +111,8 @@ def attach_boxes(frames: DataFrame, boxes: DataFrame, keys: list[str], strict: b
 
 def positional_join(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
     """Join two tables by row position (JN-06, JN-15): each side gets a dense
-    index from a range sort + ``zipWithIndex``, then an equi-join on it."""
+    index (``sequence.global_row_index``: range partitions, per-partition
+    counts, local positions), then an equi-join on it."""
     a = global_row_index(left, order_left, "row_idx")
     b = global_row_index(right, order_right, "row_idx")
     return a.join(b, "row_idx")

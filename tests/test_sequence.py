@@ -72,3 +72,15 @@ def test_range_chunks_with_hot_key(spark):
     chunked = {key(r): r["m"] for r in rolling_mean(df, ["k"], ["i"], "x", 5, "m", chunk_rows=7).collect()}
     assert plain.keys() == chunked.keys()
     assert all(abs(plain[k] - chunked[k]) < 1e-12 for k in plain)
+
+
+def test_global_row_index_dense_and_ordered(spark):
+    from cinemetric.operators.sequence import global_row_index
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 300)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(13)
+    got = sorted((r["row_idx"], r["v"], r["id"]) for r in global_row_index(df, ["v", "id"]).collect())
+    assert [g[0] for g in got] == list(range(2000))
+    assert [(g[1], g[2]) for g in got] == sorted((v, i) for i, v in rows)
+    empty = global_row_index(df.where("id < 0"), ["v"])
+    assert empty.count() == 0 and "row_idx" in empty.columns
