@@ -234,7 +234,17 @@ SELECT doc_id, CAST(len(s) AS INTEGER) AS n_words,
 FROM w"""
 
 
+def q_expression_predictions(spark, sf):
+    """The flagship end to end on the expression proxy (nation, part and
+    document texts): routing, distinct-text encoders, per-route regressors,
+    sentence word scores, normalisation and tail smoothing.  Hashing encoders
+    and a fixed-weight network have no SQL twin: rows-only check."""
+    from .concreteness import OUTPUT_COLUMNS, flagship
+    return flagship(spark, sf).select("id", *OUTPUT_COLUMNS)
+
+
 QUERIES = {
+    "expression_predictions": (q_expression_predictions, None),
     "expression_routes": (q_expression_routes, SQL_EXPRESSION_ROUTES),
     "route_counts": (q_route_counts, SQL_ROUTE_COUNTS),
     "clean_translation": (q_clean_translation, SQL_CLEAN_TRANSLATION),

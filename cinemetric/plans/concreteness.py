@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.encoders import HashingEncoder, encode_column
 from ..operators import scoring as S
 from ..operators.regressor import Regressor, predict_column
-from ..session import checked_broadcast
+from ..session import checked_broadcast, cut_lineage
 from . import proxies as P
 
 OUTPUT_COLUMNS = ["Predicted_Concreteness", "English_Translation", "Detected_Language",
@@ -91,12 +91,18 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
 
     sentences = base.where(F.col("Model_Used") == T.ROUTE_SENTENCE)
     words = sentences.select("_row", F.posexplode(T.words(tr)).alias("_pos", "_word"))
-    wvecs = embedder.embed_distinct(words, "_word", "wvec")
     svec = sentences.select("_row", encode_column(tr, embedder.affect).alias("svec"))
-    wscored = (words.join(wvecs, "_word").join(svec, "_row")
-               .withColumn("_w", S.clamp(predict_column(F.concat(F.slice("wvec", 1, embedder.base.dim), "svec"),
-                                                        single_model, spark)))
-               .select("_row", "_pos", "_w"))
+    # A word's score depends only on (sentence, word): each distinct pair is
+    # embedded and scored once, and only the score goes back to the
+    # occurrences (repeated words in a long text are not re-scored, and the
+    # vectors never travel with every occurrence).
+    pairs = words.select("_row", "_word").distinct()
+    wvecs = embedder.embed_distinct(pairs, "_word", "wvec")   # distinct words, from the (smaller) pairs
+    pair_scores = (pairs.join(svec, "_row").join(wvecs, "_word")
+                   .withColumn("_w", S.clamp(predict_column(F.concat(F.slice("wvec", 1, embedder.base.dim), "svec"),
+                                                            single_model, spark)))
+                   .select("_row", "_word", "_w"))
+    wscored = words.join(pair_scores, ["_row", "_word"]).select("_row", "_pos", "_w")
     if sentence_norm == "sentence":
         wscored = S.znorm(wscored, "_w", by=["_row"])
     else:
@@ -109,7 +115,10 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
                         F.coalesce(T.format_scores(F.transform("_ws", lambda s: s["_w"])), F.lit("3.0")))
             .withColumn("_p", F.coalesce("_p", F.lit(3.0))).drop("_ws"))
 
-    allrows = scored.unionByName(sent)
+    # The tail threshold is a global quantile over every score: written once
+    # (reliable checkpoint), the encoders and regressors run a single time and
+    # both the quantile job and the output read the same rows.
+    allrows = cut_lineage(scored.unionByName(sent))
     allrows = S.smooth_tail(allrows, "_p", quantile_method=quantile_method)
     out = allrows.withColumn("Predicted_Concreteness", S.clamp("_p")).drop("_p", "_row", "was_translated")
     return out
