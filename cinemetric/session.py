@@ -37,6 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+        # checkpoint files of DataFrames that are no longer referenced are
+        # removed from the shared folder instead of piling up
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CINEMETRIC_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
