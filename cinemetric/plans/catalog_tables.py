@@ -96,7 +96,86 @@ SELECT (SELECT count(*) FROM (SELECT video_id FROM c INTERSECT SELECT video_id F
        NOT EXISTS (SELECT 1 FROM c WHERE video_id NOT IN (SELECT video_id FROM b)) AS is_subset"""
 
 
+def q_language_subset(spark, sf):
+    """Rows in one language having a title or a description (FLT-20): the
+    documents' text and source stand in for the two fields."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text", "source")
+    return TB.subset_language(d, "lang", "en", "text", "source").select("doc_id")
+
+
+SQL_LANGUAGE_SUBSET = """
+SELECT doc_id FROM documents
+WHERE lang = 'en' AND (length(trim(coalesce(text, ''))) > 0 OR length(trim(coalesce(source, ''))) > 0)"""
+
+
+def q_short_clips(spark, sf):
+    """Caption clips with fewer than the wanted 32 frames (4 s at 8 fps) are
+    dropped and counted (FLT-18)."""
+    from ..operators import captions as C
+    from ..operators.coverage import frame_bounds
+    caps = C.clip_ends(P.p_caption(spark, sf), chunk=F.floor(F.col("cap_idx") / 256))
+    s, e = frame_bounds(F.col("start"), F.col("end"))
+    clips = caps.select("video_id", "cap_idx", s.alias("start_frame"), e.alias("end_frame"))
+    kept, dropped = TB.min_frames(clips, "start_frame", "end_frame", 32)
+    return (kept.agg(F.count(F.lit(1)).alias("value")).select(F.lit("n_kept").alias("metric"), "value")
+            .unionByName(dropped.select(F.lit("n_dropped").alias("metric"), F.col("n_dropped").alias("value"))))
+
+
+SQL_SHORT_CLIPS = P.with_ctes(P.P_CAPTION_SQL) + """
+, ends AS (SELECT *, CASE WHEN lead(start) OVER w IS NULL THEN start + duration
+                          ELSE least(start + duration, lead(start) OVER w) END AS "end"
+           FROM p_caption WINDOW w AS (PARTITION BY video_id ORDER BY cap_idx))
+, c AS (SELECT CAST(floor("end" * 8) AS BIGINT) - CAST(ceil(start * 8) AS BIGINT) + 1 AS n FROM ends)
+SELECT 'n_kept' AS metric, CAST(count(*) FILTER (WHERE n >= 32) AS BIGINT) AS value FROM c
+UNION ALL SELECT 'n_dropped', CAST(count(*) FILTER (WHERE n < 32) AS BIGINT) FROM c"""
+
+
+def q_split_members(spark, sf):
+    """Label rows of the documents listed for ``train+val`` (FLT-09); the split
+    lists come from the documents (ids ending 0-7 train, 8 val, 9 test)."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test")
+    splits = d.select(F.col("doc_id").alias("key"), split.alias("split"))
+    lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    return TB.select_split(lab, splits, "doc_id", "train+val")
+
+
+SQL_SPLIT_MEMBERS = """
+SELECT doc_id, quality, toxic FROM labels
+WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 <= 8)"""
+
+
+def q_word_dedupe(spark, sf):
+    """Per document: words, distinct words kept in first-seen order (SET-06,
+    first three shown) and whether any word repeats (SET-07)."""
+    from ..functions import text as TX
+    d = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").isNotNull())
+    w = d.select("doc_id", TX.words("text").alias("w"))
+    u = w.select("doc_id", "w", TB.dedupe_keep_first(F.col("w")).alias("u"))
+    return u.select("doc_id", F.size("w").alias("n_words"), F.size("u").alias("n_distinct"),
+                    TB.has_duplicate_rows(F.col("w")).alias("has_duplicates"),
+                    F.slice("u", 1, 3).alias("first_distinct"))
+
+
+SQL_WORD_DEDUPE = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w
+           FROM documents WHERE text IS NOT NULL)
+, x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d)
+, f AS (SELECT doc_id, word, min(i) AS i FROM x GROUP BY doc_id, word)
+, r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f)
+, t AS (SELECT doc_id, count(*) AS n_distinct, list(word ORDER BY k) FILTER (WHERE k <= 3) AS first_distinct
+        FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS INTEGER) AS n_words, CAST(coalesce(t.n_distinct, 0) AS INTEGER) AS n_distinct,
+       len(d.w) <> coalesce(t.n_distinct, 0) AS has_duplicates,
+       coalesce(t.first_distinct, CAST([] AS VARCHAR[])) AS first_distinct
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
 QUERIES = {
+    "language_subset": (q_language_subset, SQL_LANGUAGE_SUBSET),
+    "short_clips": (q_short_clips, SQL_SHORT_CLIPS),
+    "split_members": (q_split_members, SQL_SPLIT_MEMBERS),
+    "word_dedupe": (q_word_dedupe, SQL_WORD_DEDUPE),
     "audit_nulls": (q_audit_nulls, SQL_AUDIT_NULLS),
     "clip_keys": (q_clip_keys, SQL_CLIP_KEYS),
     "label_index": (q_label_index, SQL_LABEL_INDEX),
