@@ -89,7 +89,68 @@ def q_incremental(spark, sf):
 SQL_INCREMENTAL = "SELECT doc_id, source FROM documents WHERE source <> 'src0'"
 
 
+
+def q_utterances_csv(spark, sf):
+    """Dialogue turns written as a headed, quoted multi-line CSV and read back
+    with the dialogue reader: ids as ints and the clip key (SRC-05, PRJ-02)."""
+    c = read_table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("Sr No."), F.col("text").alias("Utterance"),
+        F.col("conv_id").cast("string").alias("Dialogue_ID"), F.col("turn").cast("string").alias("Utterance_ID"))
+    path = scratch_path(spark, "utterances")
+    c.write.option("header", True).option("escape", '"').csv(path)
+    return RD.read_utterances(spark, path).select("clip_key", "Dialogue_ID", "Utterance_ID", "Utterance")
+
+
+SQL_UTTERANCES_CSV = """
+SELECT 'dia' || conv_id || '_utt' || turn AS clip_key, CAST(conv_id AS INTEGER) AS Dialogue_ID,
+       CAST(turn AS INTEGER) AS Utterance_ID, text AS Utterance FROM conversations"""
+
+
+def q_predictions_csv(spark, sf):
+    """Finished scores written by the prediction sink (input columns, the seven
+    prediction columns, per-word scores formatted at the sink) and read back
+    (SNK-01)."""
+    from ..operators import scoring as S
+    fin = S.finish_scores(P.p_score(spark, sf), "pred", "route", out="Predicted_Concreteness")
+    out = fin.select("l_orderkey", "l_linenumber", "Predicted_Concreteness",
+                     F.col("route").alias("English_Translation"), F.lit("en").alias("Detected_Language"),
+                     F.lit(False).alias("Is_Multiword"), F.lit(False).alias("Is_Sentence"),
+                     F.lit("Single-word").alias("Model_Used"),
+                     F.array("pred", "truth").alias("Per_Word_Predictions"))
+    path = scratch_path(spark, "predictions")
+    SK.write_predictions(out, path, ["l_orderkey", "l_linenumber"])
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("l_orderkey").cast("long").alias("l_orderkey"),
+                       F.col("l_linenumber").cast("int").alias("l_linenumber"),
+                       F.round(F.col("Predicted_Concreteness").cast("double"), 6).alias("score"),
+                       F.col("English_Translation").alias("route"), "Model_Used",
+                       F.col("Per_Word_Predictions").alias("per_word"))
+
+
+def q_splits_parquet(spark, sf):
+    """Split assignment written one directory per split and read back with
+    the split recovered from the directory names (SNK-08, SM-03)."""
+    from .catalog_batches import q_assign_split
+    path = scratch_path(spark, "splits")
+    SK.write_splits(q_assign_split(spark, sf), path)
+    return spark.read.parquet(path).select("doc_id", "split")
+
+
+def _splits_sql() -> str:
+    from .catalog_batches import _split_sql
+    return _split_sql()
+
+
+def _predictions_sql() -> str:
+    from .catalog_predictor import _FINISH_SQL
+    return P.with_ctes(P.P_SCORE_SQL) + _FINISH_SQL + """
+SELECT l_orderkey, l_linenumber, round(score, 6) AS score, route, 'Single-word' AS Model_Used,
+       printf('%.2f', pred) || ';' || printf('%.2f', truth) AS per_word FROM fin"""
+
 QUERIES = {
+    "utterances_csv": (q_utterances_csv, SQL_UTTERANCES_CSV),
+    "splits_parquet": (q_splits_parquet, _splits_sql()),
+    "predictions_csv": (q_predictions_csv, _predictions_sql()),
     "expressions_csv": (q_expressions_csv, SQL_EXPRESSIONS_CSV),
     "transcripts_json": (q_transcripts_json, SQL_TRANSCRIPTS_JSON),
     "clip_index_json": (q_clip_index_json, SQL_CLIP_INDEX_JSON),
