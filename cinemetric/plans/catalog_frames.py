@@ -179,6 +179,25 @@ SELECT vec_id, round(1100.0 * (cx - w / 2), 4) AS px1, round(1100.0 * (cy + h /
 FROM c"""
 
 
+
+def q_label_at_time(spark, sf):
+    """Samples -> annotation row whose time equals the label frame (JN-09).
+    Annotations are one row per (movie, time): the mean value of the events
+    of that movie at that time step."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    ann = (e.groupBy((F.col("user_id") % 10).alias("movie_id"), (F.col("event_id") % 89).alias("Time"))
+           .agg(F.avg("value").alias("valence")))
+    samples = e.select("event_id", (F.col("user_id") % 10).alias("movie_id"),
+                       (F.col("event_id") % 97).alias("label_frame"))
+    return S.label_at_time(samples, ann).select("event_id", "movie_id", "label_frame",
+                                                F.round("valence", R6).alias("valence"))
+
+
+SQL_LABEL_AT_TIME = """
+WITH ann AS (SELECT user_id % 10 AS movie_id, event_id % 89 AS t, avg(value) AS valence FROM events GROUP BY 1, 2)
+SELECT e.event_id, e.user_id % 10 AS movie_id, e.event_id % 97 AS label_frame, round(ann.valence, 6) AS valence
+FROM events e JOIN ann ON ann.movie_id = e.user_id % 10 AND ann.t = e.event_id % 97"""
+
 # ------------------------------------------------------------------ joints, masks, batches
 def p_joints(spark, sf):
     v = P.p_vec(spark, sf)
@@ -242,6 +261,7 @@ FROM a"""
 
 QUERIES = {
     "shots": (q_shots, SQL_SHOTS),
+    "label_at_time": (q_label_at_time, SQL_LABEL_AT_TIME),
     "clip_frames": (q_clip_frames, SQL_CLIP_FRAMES),
     "centered_clips": (q_centered_clips, SQL_CENTERED_CLIPS),
     "box_rescale": (q_box_rescale, SQL_BOX_RESCALE),

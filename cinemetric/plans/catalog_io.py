@@ -147,7 +147,66 @@ def _predictions_sql() -> str:
 SELECT l_orderkey, l_linenumber, round(score, 6) AS score, route, 'Single-word' AS Model_Used,
        printf('%.2f', pred) || ';' || printf('%.2f', truth) AS per_word FROM fin"""
 
+
+def q_joints_parquet(spark, sf):
+    """Joint rows written as Parquet (video, frame, person, joints) and read
+    back with frames re-based to start at 1 per video (SRC-13, WN-06)."""
+    e = read_table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % 37).alias("video_id"), (F.col("vec_id") + 100).alias("frame"),
+        (F.col("vec_id") % 3).alias("person_id"),
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.struct(
+            F.abs(F.element_at("embedding", j * 3 + 1)).cast("double").alias("x"),
+            F.abs(F.element_at("embedding", j * 3 + 2)).cast("double").alias("y"),
+            F.abs(F.element_at("embedding", j * 3 + 3)).cast("double").alias("conf"))).alias("joints"))
+    path = scratch_path(spark, "joints")
+    e.write.parquet(path)
+    back = RD.read_joints(spark, path)
+    return back.select("video_id", "frame", "person_id", F.round(F.col("joints")[0]["x"], 6).alias("x0"))
+
+
+SQL_JOINTS_PARQUET = """
+SELECT vec_id % 37 AS video_id, vec_id + 100 - min(vec_id + 100) OVER (PARTITION BY vec_id % 37) + 1 AS frame,
+       vec_id % 3 AS person_id, round(CAST(abs(embedding[1]) AS DOUBLE), 6) AS x0 FROM embeddings"""
+
+
+def q_side_array(spark, sf):
+    """Logits stored apart from their table as (row_idx, values) Parquet, read
+    back and joined to the table by row position (SRC-18, JN-06)."""
+    from ..operators import tables as TB
+    lab = read_table(spark, sf, "labels").select("doc_id", F.array(F.col("quality").cast("double"),
+                                                                  F.col("toxic").cast("double")).alias("values"))
+    side = global_row_index(lab, ["doc_id"], "row_idx").select("row_idx", "values")
+    path = scratch_path(spark, "side")
+    side.write.parquet(path)
+    arr = RD.read_side_array(spark, path)
+    docs = read_table(spark, sf, "labels").select("doc_id")
+    j = TB.positional_join(docs, arr.withColumnRenamed("row_idx", "_orig"), ["doc_id"], ["_orig"])
+    return j.select("row_idx", "doc_id", "values")
+
+
+SQL_SIDE_ARRAY = """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id,
+       [CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)] AS "values" FROM labels"""
+
+
+def q_crops_parquet(spark, sf):
+    """Crop geometry written one directory per class and read back (SNK-09)."""
+    from .catalog_frames import q_crop_boxes
+    crops = q_crop_boxes(spark, sf).join(P.p_box(spark, sf).select("vec_id", F.col("label").alias("cls")), "vec_id")
+    path = scratch_path(spark, "crops")
+    SK.write_crops(crops, path, "cls")
+    return spark.read.parquet(path).select("vec_id", "cls", "cx1", "cy1", "cx2", "cy2")
+
+
+def _crops_sql() -> str:
+    from .catalog_frames import SQL_CROP_BOXES
+    return f"""SELECT c.vec_id, e.label AS cls, cx1, cy1, cx2, cy2
+FROM ({SQL_CROP_BOXES}) c JOIN embeddings e USING (vec_id)"""
+
 QUERIES = {
+    "joints_parquet": (q_joints_parquet, SQL_JOINTS_PARQUET),
+    "side_array": (q_side_array, SQL_SIDE_ARRAY),
+    "crops_parquet": (q_crops_parquet, _crops_sql()),
     "utterances_csv": (q_utterances_csv, SQL_UTTERANCES_CSV),
     "splits_parquet": (q_splits_parquet, _splits_sql()),
     "predictions_csv": (q_predictions_csv, _predictions_sql()),
