@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .sequence import global_row_index
+from .sequence import RANGE, global_row_index, running_sum
 
 # Largest class matrix (classes x vector width) carried by one scalar subquery.
 MAX_MATRIX_VALUES = 4_000_000
@@ -193,18 +193,17 @@ def zero_shot(items: DataFrame, keys: list[str], vec: str, prompts: DataFrame, c
 
 
 def word_numbers(tokens: DataFrame, keys: list[str], order: str, piece: str, end_marker: str = "</w>",
-                 out: str = "word_no") -> DataFrame:
+                 out: str = "word_no", chunk=RANGE) -> DataFrame:
     """Sub-token -> word number (WN-09): a word ends at a piece carrying the
     end-of-word marker, so the word number is the count of such pieces before
-    this one.  Special tokens and padding should be removed first."""
-    from pyspark.sql import Window
+    this one.  Special tokens and padding should be removed first.  The count
+    is two-level over range chunks, so one very long text is not one task."""
     ends = F.col(piece).endswith(end_marker).cast("long")
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.withColumn(out, F.coalesce(F.sum(ends).over(w), F.lit(0)))
+    return running_sum(tokens, keys, [order], ends, out, inclusive=False, chunk=chunk)
 
 
 def pool_subwords(tokens: DataFrame, keys: list[str], order: str, piece: str, vec: str,
-                  out: str = "word_vec") -> DataFrame:
+                  out: str = "word_vec", chunk=RANGE) -> DataFrame:
     """Word vector = mean of its sub-token vectors (AG-13)."""
-    numbered = word_numbers(tokens, keys, order, piece)
+    numbered = word_numbers(tokens, keys, order, piece, chunk=chunk)
     return mean_vectors(numbered, [*keys, "word_no"], vec, out)

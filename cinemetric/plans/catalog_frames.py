@@ -198,6 +198,24 @@ WITH ann AS (SELECT user_id % 10 AS movie_id, event_id % 89 AS t, avg(value) AS
 SELECT e.event_id, e.user_id % 10 AS movie_id, e.event_id % 97 AS label_frame, round(ann.valence, 6) AS valence
 FROM events e JOIN ann ON ann.movie_id = e.user_id % 10 AND ann.t = e.event_id % 97"""
 
+
+def q_label_rows(spark, sf):
+    """Label-row helpers on the box table: width and height swapped for EXIF
+    orientation 6 or 8 (SC-34, orientation from the id), every class collapsed
+    to 0 (SC-33) and one item repeated as a clip of 3 (SC-32)."""
+    from ..operators import tables as TB
+    b = P.p_box(spark, sf)
+    size = TB.oriented_size(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("vec_id") % 9)
+    rows = F.array(F.array(F.col("label").cast("double"), "x1", "y1", "x2", "y2"))
+    return b.select("vec_id", size["w"].alias("ow"), size["h"].alias("oh"),
+                    TB.single_class(rows).alias("one_class"), TB.repeat_item(F.col("label"), 3).alias("clip"))
+
+
+SQL_LABEL_ROWS = P.with_ctes(P.P_BOX_SQL) + """
+SELECT vec_id, CASE WHEN vec_id % 9 IN (6, 8) THEN y2 - y1 ELSE x2 - x1 END AS ow,
+       CASE WHEN vec_id % 9 IN (6, 8) THEN x2 - x1 ELSE y2 - y1 END AS oh,
+       [[0.0, x1, y1, x2, y2]] AS one_class, [label, label, label] AS clip FROM p_box"""
+
 # ------------------------------------------------------------------ joints, masks, batches
 def p_joints(spark, sf):
     v = P.p_vec(spark, sf)
@@ -262,6 +280,7 @@ FROM a"""
 QUERIES = {
     "shots": (q_shots, SQL_SHOTS),
     "label_at_time": (q_label_at_time, SQL_LABEL_AT_TIME),
+    "label_rows": (q_label_rows, SQL_LABEL_ROWS),
     "clip_frames": (q_clip_frames, SQL_CLIP_FRAMES),
     "centered_clips": (q_centered_clips, SQL_CENTERED_CLIPS),
     "box_rescale": (q_box_rescale, SQL_BOX_RESCALE),

@@ -90,6 +90,34 @@ SQL_TEMPORAL_MEAN = P.with_ctes(P.P_VEC_SQL) + EXPLODE_SQL + """
 SELECT batch_id, dim, round(avg(x), 6) AS m FROM e GROUP BY batch_id, dim"""
 
 
+
+def q_subword_pooling(spark, sf):
+    """Document words cut into 3-character pieces (the last one carries the
+    end-of-word marker), piece vectors (length, piece index), then the word
+    number of every piece (WN-09) and the mean piece vector per word (AG-13)."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").isNotNull())
+    w = d.select("doc_id", F.posexplode(TX.words("text")).alias("wp", "word"))
+    n = F.ceil(F.length("word") / 3.0).cast("int")
+    p = w.select("doc_id", "wp", "word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    piece = F.substring("word", F.col("i") * 3 + 1, 3)
+    piece = F.when(F.col("i") == F.col("n") - 1, F.concat(piece, F.lit("</w>"))).otherwise(piece)
+    toks = p.select("doc_id", (F.col("wp").cast("long") * (1 << 20) + F.col("i")).alias("pos"), piece.alias("piece"),
+                    F.array(F.length(piece).cast("double"), F.col("i").cast("double")).alias("v"))
+    pooled = O.pool_subwords(toks, ["doc_id"], "pos", "piece", "v")
+    return pooled.select("doc_id", "word_no", F.transform("word_vec", lambda x: F.round(x, R6)).alias("word_vec"))
+
+
+SQL_SUBWORD_POOLING = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w
+           FROM documents WHERE text IS NOT NULL)
+, x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS wp FROM d)
+, p AS (SELECT doc_id, wp, word, CAST(ceil(length(word) / 3.0) AS BIGINT) AS n,
+               unnest(range(0, CAST(ceil(length(word) / 3.0) AS BIGINT))) AS i FROM x)
+, q AS (SELECT doc_id, wp, i, CASE WHEN i = n - 1 THEN substring(word, 3 * i + 1, 3) || '</w>'
+                                   ELSE substring(word, 3 * i + 1, 3) END AS piece FROM p)
+SELECT doc_id, wp AS word_no, [round(avg(length(piece)), 6), round(avg(i), 6)] AS word_vec
+FROM q GROUP BY doc_id, wp"""
+
 def _zero_shot_scores(spark, sf):
     v = P.p_vec(spark, sf)
     protos = O.class_prototypes(v.where(~F.col("is_test")), "label", "embedding")
@@ -258,6 +286,7 @@ QUERIES = {
     "class_prototypes": (q_class_prototypes, SQL_CLASS_PROTOTYPES),
     "temporal_mean": (q_temporal_mean, SQL_TEMPORAL_MEAN),
     "zero_shot_top5": (q_zero_shot_top5, SQL_ZERO_SHOT_TOP5),
+    "subword_pooling": (q_subword_pooling, SQL_SUBWORD_POOLING),
     "topk_accuracy": (q_topk_accuracy, SQL_TOPK_ACCURACY),
     "zero_shot_f1": (q_zero_shot_f1, SQL_ZERO_SHOT_F1),
     "softmax_logits": (q_softmax_logits, SQL_SOFTMAX_LOGITS),
