@@ -171,7 +171,81 @@ SELECT d.doc_id, CAST(len(d.w) AS INTEGER) AS n_words, CAST(coalesce(t.n_distinc
 FROM d LEFT JOIN t USING (doc_id)"""
 
 
+
+# Fixed target columns per mode (PRJ-01), on the embeddings proxy.
+TARGET_MODES = {"vad": ["valence", "arousal", "dominance"], "cat": ["label"]}
+
+
+def q_affect_targets(spark, sf):
+    """Target columns chosen by mode (PRJ-01): ``vad`` keeps three continuous
+    targets, here the first three embedding values."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        "vec_id", "label", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(n)
+                             for i, n in enumerate(TARGET_MODES["vad"])])
+    return TB.select_target(e, "vad", TARGET_MODES, ["vec_id"])
+
+
+SQL_AFFECT_TARGETS = """
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS valence, round(CAST(embedding[2] AS DOUBLE), 6) AS arousal,
+       round(CAST(embedding[3] AS DOUBLE), 6) AS dominance FROM embeddings"""
+
+
+def q_label_corrections(spark, sf):
+    """Known-bad rows removed and one value patched by natural id (FLT-08);
+    the correction lists name existing rows (ids ending 7 in fifty are
+    dropped, ids ending 3 get quality 1)."""
+    lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    drops = lab.where(F.col("doc_id") % 50 == 7).select("doc_id")
+    patches = lab.where(F.col("doc_id") % 50 == 3).select("doc_id", F.lit(1).cast(lab.schema["quality"].dataType)
+                                                          .alias("quality"))
+    return TB.apply_corrections(lab, drops, patches, ["doc_id"], "quality")
+
+
+SQL_LABEL_CORRECTIONS = """
+SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN 1 ELSE quality END AS quality, toxic
+FROM labels WHERE doc_id % 50 <> 7"""
+
+
+def q_annotated_docs(spark, sf):
+    """Items that have a label file (FLT-19): document image paths mapped to
+    label paths (``/images/`` -> ``/labels/``, suffix -> ``.txt``, JN-13) and
+    kept when that label file is listed."""
+    from ..sources.readers import label_path_for
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+        "doc_id", F.concat(F.lit("/data/images/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
+    files = spark.read.parquet(f"{sf}/labels.parquet").select(
+        F.concat(F.lit("/data/labels/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"))
+    return TB.annotated_only(docs, files, "path", label_path_for(F.col("path")))
+
+
+SQL_ANNOTATED_DOCS = """
+SELECT doc_id, '/data/images/' || doc_id || '.jpg' AS path FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels)"""
+
+
+def q_frame_boxes(spark, sf):
+    """Frame -> box list with the default empty list for frames without boxes
+    (JN-05); boxes exist for every seventh frame of the frame proxy."""
+    frames = P.p_frame(spark, sf).select("video_id", "frame_idx")
+    f = F.col("frame_idx").cast("double")
+    boxes = frames.where(F.col("frame_idx") % 7 == 0).select(
+        "video_id", "frame_idx", F.array(F.array(f % 640, f % 480, f % 640 + 10, f % 480 + 10, F.lit(0.9))).alias("boxes"))
+    return TB.attach_boxes(frames, boxes, ["video_id", "frame_idx"]).select(
+        "video_id", "frame_idx", F.size("boxes").alias("n_boxes"), "boxes")
+
+
+SQL_FRAME_BOXES = P.with_ctes(P.P_FRAME_SQL) + """
+SELECT video_id, frame_idx, CASE WHEN frame_idx % 7 = 0 THEN 1 ELSE 0 END AS n_boxes,
+       CASE WHEN frame_idx % 7 = 0 THEN [[CAST(frame_idx % 640 AS DOUBLE), CAST(frame_idx % 480 AS DOUBLE),
+                                          CAST(frame_idx % 640 AS DOUBLE) + 10, CAST(frame_idx % 480 AS DOUBLE) + 10, 0.9]]
+            ELSE CAST([] AS DOUBLE[][]) END AS boxes
+FROM p_frame"""
+
 QUERIES = {
+    "affect_targets": (q_affect_targets, SQL_AFFECT_TARGETS),
+    "label_corrections": (q_label_corrections, SQL_LABEL_CORRECTIONS),
+    "annotated_docs": (q_annotated_docs, SQL_ANNOTATED_DOCS),
+    "frame_boxes": (q_frame_boxes, SQL_FRAME_BOXES),
     "language_subset": (q_language_subset, SQL_LANGUAGE_SUBSET),
     "short_clips": (q_short_clips, SQL_SHORT_CLIPS),
     "split_members": (q_split_members, SQL_SPLIT_MEMBERS),
