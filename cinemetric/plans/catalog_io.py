@@ -203,7 +203,58 @@ def _crops_sql() -> str:
     return f"""SELECT c.vec_id, e.label AS cls, cx1, cy1, cx2, cy2
 FROM ({SQL_CROP_BOXES}) c JOIN embeddings e USING (vec_id)"""
 
+
+def q_clip_annotations_csv(spark, sf):
+    """Headerless 37-column annotation CSV (video, person, frame span, 26 body
+    classes, valence / arousal / dominance, three demographic strings,
+    confidence) written from the embeddings and read back by schema (SRC-03)."""
+    e = read_table(spark, sf, "embeddings")
+    x = lambda i: F.col("embedding")[i].cast("double")
+    cols = [F.col("vec_id").cast("string"), (F.col("vec_id") % 3).cast("string"),
+            (F.col("vec_id") * 2).cast("string"), (F.col("vec_id") * 2 + 40).cast("string")]
+    cols += [x(i).cast("string") for i in range(len(RD.BODY_CLASSES) + 3)]
+    cols += [F.when(F.col("label") % 2 == 0, "male").otherwise("female"), F.lit("adult"),
+             F.concat(F.lit("g"), (F.col("label") % 3).cast("string")),
+             F.abs(x(len(RD.BODY_CLASSES) + 3)).cast("string")]
+    path = scratch_path(spark, "annotations")
+    e.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).write.option("header", False).csv(path)
+    back = RD.read_clip_annotations(spark, path)
+    last = RD.BODY_CLASSES[-1]
+    return back.select(F.col("video_id").cast("long").alias("vec_id"), "person_id", "start_frame", "end_frame",
+                       F.round(RD.BODY_CLASSES[0], 6).alias("first_class"), F.round(last, 6).alias("last_class"),
+                       F.round("dominance", 6).alias("dominance"), "gender", "ethnicity",
+                       F.round("confidence_score", 6).alias("confidence_score"))
+
+
+def _annotations_sql() -> str:
+    n = len(RD.BODY_CLASSES)
+    return f"""
+SELECT vec_id, CAST(vec_id % 3 AS INTEGER) AS person_id, CAST(vec_id * 2 AS INTEGER) AS start_frame,
+       CAST(vec_id * 2 + 40 AS INTEGER) AS end_frame, round(CAST(embedding[1] AS DOUBLE), 6) AS first_class,
+       round(CAST(embedding[{n}] AS DOUBLE), 6) AS last_class, round(CAST(embedding[{n + 3}] AS DOUBLE), 6) AS dominance,
+       CASE WHEN label % 2 = 0 THEN 'male' ELSE 'female' END AS gender, 'g' || (label % 3) AS ethnicity,
+       round(abs(CAST(embedding[{n + 4}] AS DOUBLE)), 6) AS confidence_score FROM embeddings"""
+
+
+def q_list_cells_csv(spark, sf):
+    """CSV whose cells hold list literals, ``(x, y)`` or ``[x, y]``, read back
+    and parsed as JSON arrays, never evaluated (SRC-04)."""
+    b = P.p_box(spark, sf)
+    pair = F.concat_ws(", ", F.col("x1").cast("string"), F.col("y1").cast("string"))
+    cell = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("("), pair, F.lit(")"))) \
+        .otherwise(F.concat(F.lit("["), pair, F.lit("]")))
+    path = scratch_path(spark, "list-cells")
+    b.select("vec_id", cell.alias("bbox")).write.option("header", True).csv(path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("vec_id").cast("long").alias("vec_id"), RD.parse_list_literal("bbox").alias("bbox"))
+
+
+SQL_LIST_CELLS_CSV = P.with_ctes(P.P_BOX_SQL) + """
+SELECT vec_id, [x1, y1] AS bbox FROM p_box"""
+
 QUERIES = {
+    "clip_annotations_csv": (q_clip_annotations_csv, _annotations_sql()),
+    "list_cells_csv": (q_list_cells_csv, SQL_LIST_CELLS_CSV),
     "joints_parquet": (q_joints_parquet, SQL_JOINTS_PARQUET),
     "side_array": (q_side_array, SQL_SIDE_ARRAY),
     "crops_parquet": (q_crops_parquet, _crops_sql()),
