@@ -216,6 +216,75 @@ SELECT vec_id, CASE WHEN vec_id % 9 IN (6, 8) THEN y2 - y1 ELSE x2 - x1 END AS o
        CASE WHEN vec_id % 9 IN (6, 8) THEN x2 - x1 ELSE y2 - y1 END AS oh,
        [[0.0, x1, y1, x2, y2]] AS one_class, [label, label, label] AS clip FROM p_box"""
 
+
+def q_person_boxes(spark, sf):
+    """Annotation -> joints of the same (video, person) -> one box per joint
+    row (JN-08 + AG-10).  Joint rows come from the embeddings (three joints
+    each, scaled to pixels); an annotation is one row per (video, person)."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    joints = e.select((F.col("vec_id") % 37).alias("video_id"), (F.col("vec_id") % 3).alias("person_id"),
+                      F.col("vec_id").alias("frame"),
+                      F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.struct(
+                          (F.abs(F.element_at("embedding", j * 3 + 1)) * 100).cast("double").alias("x"),
+                          (F.abs(F.element_at("embedding", j * 3 + 2)) * 100).cast("double").alias("y"),
+                          F.abs(F.element_at("embedding", j * 3 + 3)).cast("double").alias("conf"))).alias("joints"))
+    ann = e.groupBy((F.col("vec_id") % 37).alias("video_id"), (F.col("vec_id") % 3).alias("person_id")) \
+        .agg(F.min("label").alias("label"))
+    pb = B.person_boxes(ann, joints)
+    return pb.select("video_id", "person_id", "frame", "label", *[pb["bbox"][i].alias(n)
+                                                                  for i, n in enumerate(["y1", "x1", "y2", "x2"])])
+
+
+SQL_PERSON_BOXES = """
+WITH j AS (SELECT vec_id % 37 AS video_id, vec_id % 3 AS person_id, vec_id AS frame, unnest(range(0, 3)) AS k, embedding
+           FROM embeddings)
+, p AS (SELECT video_id, person_id, frame, CAST(abs(embedding[k * 3 + 1]) * 100 AS DOUBLE) AS x,
+               CAST(abs(embedding[k * 3 + 2]) * 100 AS DOUBLE) AS y FROM j)
+, ann AS (SELECT vec_id % 37 AS video_id, vec_id % 3 AS person_id, min(label) AS label FROM embeddings GROUP BY 1, 2)
+SELECT p.video_id, p.person_id, frame, ann.label, CAST(floor(min(y)) AS BIGINT) AS y1, CAST(floor(min(x)) AS BIGINT) AS x1,
+       CAST(ceil(max(y)) AS BIGINT) AS y2, CAST(ceil(max(x)) AS BIGINT) AS x2
+FROM p JOIN ann ON ann.video_id = p.video_id AND ann.person_id = p.person_id
+GROUP BY p.video_id, p.person_id, frame, ann.label"""
+
+
+# Fixed label names of the per-label text scorer proxy (seven sentiment labels).
+SCORE_LABELS = ["anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise"]
+
+
+def q_neutral_score(spark, sf):
+    """Score of the ``neutral`` label picked out of an array of (label, score)
+    structs (SC-30); the per-label scores are the softmax of the logit proxy."""
+    from ..functions import vectors as VEC
+    from ..operators import tables as TB
+    lg = P.p_logits(spark, sf)
+    sm = VEC.softmax("logits")
+    labels = F.array(*[F.lit(n) for n in SCORE_LABELS])
+    scores = F.arrays_zip(labels.alias("label"), sm.alias("score"))
+    return lg.select("vec_id", F.round(TB.label_score(scores, "neutral"), R6).alias("neutral"))
+
+
+SQL_NEUTRAL_SCORE = P.with_ctes(P.P_LOGITS_SQL) + """
+, x AS (SELECT vec_id, unnest(logits) AS v, generate_subscripts(logits, 1) AS i FROM p_logits)
+, m AS (SELECT vec_id, max(v) AS mx FROM x GROUP BY vec_id)
+, e AS (SELECT x.vec_id, i, exp(v - mx) AS ev FROM x JOIN m USING (vec_id))
+SELECT vec_id, round(sum(ev) FILTER (WHERE i = 5) / sum(ev), 6) AS neutral FROM e GROUP BY vec_id"""
+
+
+def q_boxed_frames(spark, sf):
+    """Frames whose box list is empty are dropped (FLT-13) after the default
+    empty-list lookup (JN-05)."""
+    from ..operators import tables as TB
+    from ..sources.readers import frames_with_box
+    frames = P.p_frame(spark, sf).select("video_id", "frame_idx")
+    f = F.col("frame_idx").cast("double")
+    boxes = frames.where(F.col("frame_idx") % 7 == 0).select(
+        "video_id", "frame_idx", F.array(F.array(f % 640, f % 480, f % 640 + 10, f % 480 + 10, F.lit(0.9))).alias("boxes"))
+    return frames_with_box(TB.attach_boxes(frames, boxes, ["video_id", "frame_idx"])).select("video_id", "frame_idx")
+
+
+SQL_BOXED_FRAMES = P.with_ctes(P.P_FRAME_SQL) + """
+SELECT video_id, frame_idx FROM p_frame WHERE frame_idx % 7 = 0"""
+
 # ------------------------------------------------------------------ joints, masks, batches
 def p_joints(spark, sf):
     v = P.p_vec(spark, sf)
@@ -281,6 +350,9 @@ QUERIES = {
     "shots": (q_shots, SQL_SHOTS),
     "label_at_time": (q_label_at_time, SQL_LABEL_AT_TIME),
     "label_rows": (q_label_rows, SQL_LABEL_ROWS),
+    "person_boxes": (q_person_boxes, SQL_PERSON_BOXES),
+    "neutral_score": (q_neutral_score, SQL_NEUTRAL_SCORE),
+    "boxed_frames": (q_boxed_frames, SQL_BOXED_FRAMES),
     "clip_frames": (q_clip_frames, SQL_CLIP_FRAMES),
     "centered_clips": (q_centered_clips, SQL_CENTERED_CLIPS),
     "box_rescale": (q_box_rescale, SQL_BOX_RESCALE),
