@@ -74,14 +74,18 @@ def is_multiword(c) -> Column:
     return n_words(c) > MULTIWORD_MIN_WORDS
 
 
-def model_used(c) -> Column:
-    """Route name; a sentence is tested first (it is also multiword)."""
-    n = n_words(c)
+def route_of_count(n: Column) -> Column:
+    """Route name from a word count; a sentence is tested first (it is also multiword)."""
     return (F.when(n > SENTENCE_MIN_WORDS, F.lit(ROUTE_SENTENCE))
             .when(n > MULTIWORD_MIN_WORDS, F.lit(ROUTE_MULTIWORD))
             .otherwise(F.lit(ROUTE_SINGLE)))
 
 
+def model_used(c) -> Column:
+    """Route name of a text."""
+    return route_of_count(n_words(c))
+
+
 def before_ellipsis(c) -> Column:
     """Text before the first ``...`` (the whole text when there is none)."""
     return F.substring_index(_col(c), "...", 1)

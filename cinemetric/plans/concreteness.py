@@ -75,10 +75,12 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
     embedder = embedder or TextEmbedder()
     base = translate(df.dropna(subset=[text]), text, lang, lookup)
     tr = F.col("English_Translation")
-    base = (base.withColumn("_row", F.col(key))
-            .withColumn("Is_Multiword", T.is_multiword(tr))
-            .withColumn("Is_Sentence", T.is_sentence(tr))
-            .withColumn("Model_Used", T.model_used(tr)))
+    # the word count of a (possibly very long) text is computed once per row
+    base = base.withColumn("_row", F.col(key)).withColumn("_nw", T.n_words(tr))
+    nw = F.col("_nw")
+    base = (base.withColumn("Is_Multiword", nw > T.MULTIWORD_MIN_WORDS)
+            .withColumn("Is_Sentence", nw > T.SENTENCE_MIN_WORDS)
+            .withColumn("Model_Used", T.route_of_count(nw)).drop("_nw"))
     # _row is the caller's unique key, used to join word scores back to sentences.
     phrases = base.where(F.col("Model_Used") != T.ROUTE_SENTENCE)
     vecs = embedder.embed_distinct(phrases, "English_Translation")
@@ -98,10 +100,14 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
     # vectors never travel with every occurrence).
     pairs = words.select("_row", "_word").distinct()
     wvecs = embedder.embed_distinct(pairs, "_word", "wvec")   # distinct words, from the (smaller) pairs
-    pair_scores = (pairs.join(svec, "_row").join(wvecs, "_word")
-                   .withColumn("_w", S.clamp(predict_column(F.concat(F.slice("wvec", 1, embedder.base.dim), "svec"),
-                                                            single_model, spark)))
-                   .select("_row", "_word", "_w"))
+    # written once: the word-score statistics (a scalar subquery) and the
+    # per-sentence means both read these rows, so the encoder and regressor
+    # UDFs run a single time
+    pair_scores = cut_lineage(
+        pairs.join(svec, "_row").join(wvecs, "_word")
+        .withColumn("_w", S.clamp(predict_column(F.concat(F.slice("wvec", 1, embedder.base.dim), "svec"),
+                                                 single_model, spark)))
+        .select("_row", "_word", "_w"))
     wscored = words.join(pair_scores, ["_row", "_word"]).select("_row", "_pos", "_w")
     if sentence_norm == "sentence":
         wscored = S.znorm(wscored, "_w", by=["_row"])
