@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words as py_words
-from .sequence import next_value, row_number, running_sum
+from .sequence import next_value, row_number, running_sums
 
 # Sentence mark, default exclusion pattern, unknown-mark label.
 SPLIT_PUNC = "."
@@ -71,9 +71,10 @@ def regroup(words: DataFrame, video: str = "video_id", order: tuple[str, str] =
     lands in a single task.  Output: video, sent_idx (0-based over kept
     sentences), text, start, end, duration."""
     is_mark = (F.col("punc") == split_punc).cast("long")
-    g = running_sum(words, [video], list(order), is_mark, "_g", inclusive=False, chunk=chunk)
-    totals = words.groupBy(video).agg(F.sum(is_mark).alias("_k"))
-    kept = g.join(totals, video).where((F.col("_g") >= 1) & (F.col("_g") < F.col("_k")))
+    # exclusive mark count per word, plus the video's mark total from the
+    # same pass (no second aggregation over all words)
+    g = running_sums(words, [video], list(order), {"_g": is_mark}, inclusive=False, chunk=chunk, key_totals=True)
+    kept = g.where((F.col("_g") >= 1) & (F.col("_g") < F.col("_g_total")))
     sent = (kept.groupBy(video, "_g")
             .agg(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col("word")))).alias("_w"),
                  F.min("time_range.start").alias("start"), F.max("time_range.end").alias("end"))

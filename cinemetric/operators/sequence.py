@@ -43,10 +43,13 @@ def _chunked(df: DataFrame, keys: list, order: list, chunk):
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column | str],
-                 inclusive: bool = True, chunk: Column | str | None = None) -> DataFrame:
+                 inclusive: bool = True, chunk: Column | str | None = None,
+                 key_totals: bool = False) -> DataFrame:
     """Add one running sum per ``values`` entry (``out -> value``) per ``keys``
     in ``order``; all sums share one window (and one chunk-total pass).
-    ``chunk``: a column monotone in the order, or ``RANGE``."""
+    ``chunk``: a column monotone in the order, or ``RANGE``.  ``key_totals``
+    also adds ``{out}_total`` (the sum over the whole key), taken from the
+    small per-chunk totals table instead of another pass over the rows."""
     df, chunk, extra = _chunked(df, keys, order, chunk)
     vals = {o: (F.col(v) if isinstance(v, str) else v) for o, v in values.items()}
     frame_end = Window.currentRow if inclusive else -1
@@ -54,6 +57,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str,
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
         for o, v in vals.items():
             df = df.withColumn(o, F.coalesce(F.sum(v).over(w), F.lit(0)))
+            if key_totals:
+                df = df.withColumn(f"{o}_total", F.coalesce(F.sum(v).over(Window.partitionBy(*keys)), F.lit(0)))
         return df
     tmp = {o: f"_v_{o}" for o in vals}
     d = df.withColumn("_chunk", chunk)
@@ -63,6 +68,9 @@ def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str,
     wt = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{o}").over(wt), F.lit(0)).alias(f"_off_{o}")
                                                for o in vals])
+    if key_totals:
+        kt = totals.groupBy(*keys).agg(*[F.coalesce(F.sum(f"_t_{o}"), F.lit(0)).alias(f"{o}_total") for o in vals])
+        offsets = offsets.join(kt, keys)
     wi = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     inner = d
     for o in vals:
