@@ -31,6 +31,15 @@ SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PART
 FROM events) WHERE rn % 4 = 0"""
 
 
+
+def q_stream_every_nth_batchwise(spark, sf):
+    """ST-01 in its scale form: per micro-batch two-level numbering with
+    per-source counts kept in a versioned state table."""
+    ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
+    out, state = scratch_path(spark, "every-nth-b"), scratch_path(spark, "every-nth-b-state")
+    ST.every_nth_batchwise(ev, "user_id", ["ts", "event_id"], 4, out, state, scratch_path(spark, "every-nth-b-ckpt"))
+    return spark.read.parquet(out).select("user_id", "event_id")
+
 def q_stream_rolling_mean(spark, sf):
     ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
     out = ST.rolling_mean_stream(ev, "user_id", ["ts", "event_id"], "value", "event_id", 5)
@@ -88,6 +97,7 @@ FROM z, t"""
 
 QUERIES = {
     "stream_every_nth": (q_stream_every_nth, SQL_STREAM_EVERY_NTH),
+    "stream_every_nth_batchwise": (q_stream_every_nth_batchwise, SQL_STREAM_EVERY_NTH),
     "stream_rolling_mean": (q_stream_rolling_mean, SQL_STREAM_ROLLING_MEAN),
     "stream_latest": (q_stream_latest, SQL_STREAM_LATEST),
     "stream_scores": (q_stream_scores, SQL_STREAM_SCORES),

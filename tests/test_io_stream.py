@@ -138,3 +138,24 @@ def test_bpe_and_context_window(spark):
     assert w2[-1] == 5
     short = spark.createDataFrame([([5],)], "ids array<int>").select(TK.context_window(F.col("ids"), 1, 2)).first()[0]
     assert short[:4] == [1, 5, 2, 0] and len(short) == 77
+
+
+def test_every_nth_batchwise_across_batches(spark, tmp_dir):
+    """Three files streamed one per trigger (arrival order = time order): the
+    versioned per-source counts carry over, and the kept events equal the
+    batch answer (every 4th event per source over all rows)."""
+    rows = [(i, i, 7 if i % 5 else 3, float(i)) for i in range(1, 61)]   # source 7 is hot
+    src = f"{tmp_dir}/events"
+    schema = "event_id long, ts long, user_id long, value double"
+    for part, lo in enumerate((1, 21, 41)):
+        spark.createDataFrame([r for r in rows if lo <= r[0] < lo + 20], schema).coalesce(1) \
+            .write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.every_nth_batchwise(stream, "user_id", ["ts", "event_id"], 4, f"{tmp_dir}/o", f"{tmp_dir}/st", f"{tmp_dir}/ck")
+    got = sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_dir}/o").collect())
+    want = []
+    for u in (3, 7):
+        ids = [r[0] for r in rows if r[2] == u]
+        want += [e for k, e in enumerate(ids, 1) if k % 4 == 0]
+    assert got == sorted(want)
+    assert len([d for d in os.listdir(f"{tmp_dir}/st") if d.startswith("batch=")]) == 3
