@@ -51,6 +51,16 @@ SQL_STREAM_ROLLING_MEAN = """SELECT event_id, round(avg(value) OVER (PARTITION B
                               ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events"""
 
 
+
+def q_stream_rolling_mean_batchwise(spark, sf):
+    """ST-03 in its scale form: per micro-batch halo of the last k-1 values
+    per source from a versioned state table, chunked rolling means."""
+    ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
+    out, state = scratch_path(spark, "rolling-b"), scratch_path(spark, "rolling-b-state")
+    ST.rolling_mean_batchwise(ev, "user_id", ["ts", "event_id"], "value", "event_id", 5, out, state,
+                              scratch_path(spark, "rolling-b-ckpt"))
+    return spark.read.parquet(out).select("event_id", F.round("rolling", R6).alias("rolling"))
+
 def q_stream_latest(spark, sf):
     ev = _events_stream(spark, sf)
     out = ST.latest_per_source(ev, "user_id", "ts", ["event_id", "event_type", "value"])
@@ -99,6 +109,7 @@ QUERIES = {
     "stream_every_nth": (q_stream_every_nth, SQL_STREAM_EVERY_NTH),
     "stream_every_nth_batchwise": (q_stream_every_nth_batchwise, SQL_STREAM_EVERY_NTH),
     "stream_rolling_mean": (q_stream_rolling_mean, SQL_STREAM_ROLLING_MEAN),
+    "stream_rolling_mean_batchwise": (q_stream_rolling_mean_batchwise, SQL_STREAM_ROLLING_MEAN),
     "stream_latest": (q_stream_latest, SQL_STREAM_LATEST),
     "stream_scores": (q_stream_scores, SQL_STREAM_SCORES),
 }

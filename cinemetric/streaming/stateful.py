@@ -106,6 +106,41 @@ def rolling_mean_stream(events: DataFrame, key: str, order: list[str], value: st
                                                       GroupStateTimeout.NoTimeout)
 
 
+
+def rolling_mean_batchwise(events: DataFrame, key: str, order: list[str], value: str, id_col: str, k: int,
+                           out_path: str, state_path: str, checkpoint: str, chunk_rows: int = 4096) -> None:
+    """Scale form of ``rolling_mean_stream``: per micro-batch, the last
+    ``k - 1`` rows of every key from earlier batches (a state table versioned
+    by batch id) are put in front of the batch rows, the rolling mean runs in
+    chunks with a halo (``sequence.rolling_mean``), and the new last ``k - 1``
+    rows per key are found with a two-level count, so a hot key is never one
+    task.  Writes ``(key, id, rolling)`` for the batch rows under
+    ``out_path/batch=<id>``; a retried batch rewrites the same versions."""
+    from ..operators.sequence import RANGE, rolling_mean, running_sums
+
+    cols = list(dict.fromkeys([key, *order, value, id_col]))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cur = batch.select(*cols).withColumn("_seq", F.lit(1)).withColumn("_pos", F.lit(None).cast("long"))
+        rows = cur
+        if batch_id > 0:
+            halo = spark.read.parquet(f"{state_path}/batch={batch_id - 1}").withColumn("_seq", F.lit(0))
+            rows = halo.select(*cols, "_seq", "_pos").unionByName(cur)
+        # earlier batches first (arrival order), kept rows in their old order
+        ordering = ["_seq", "_pos", *order]
+        means = rolling_mean(rows, [key], ordering, value, k, "rolling", chunk_rows=chunk_rows)
+        means.where(F.col("_seq") == 1).select(key, id_col, "rolling") \
+            .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        numbered = running_sums(rows, [key], ordering, {"_n": F.lit(1)}, chunk=RANGE, key_totals=True)
+        last = numbered.where(F.col("_n") > F.col("_n_total") - (k - 1))
+        last.select(*cols, F.col("_n").cast("long").alias("_pos")) \
+            .write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+
+    q = (events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
 def score_stream(rows: DataFrame, text: str, score: str, route_stats: DataFrame, tail_threshold: float) -> DataFrame:
     """Stateless scoring of arriving expressions with frozen statistics:
     route -> clamp -> z-normalise with the given (route, mu, sd) -> tail

@@ -159,3 +159,26 @@ def test_every_nth_batchwise_across_batches(spark, tmp_dir):
         want += [e for k, e in enumerate(ids, 1) if k % 4 == 0]
     assert got == sorted(want)
     assert len([d for d in os.listdir(f"{tmp_dir}/st") if d.startswith("batch=")]) == 3
+
+
+def test_rolling_mean_batchwise_across_batches(spark, tmp_dir):
+    """Three files streamed one per trigger: the halo of the last k-1 rows per
+    source carries over, and the means equal the batch rolling mean."""
+    rows = [(i, i, 7 if i % 5 else 3, float((i * 37) % 11)) for i in range(1, 61)]
+    src = f"{tmp_dir}/events"
+    schema = "event_id long, ts long, user_id long, value double"
+    for lo in (1, 21, 41):
+        spark.createDataFrame([r for r in rows if lo <= r[0] < lo + 20], schema).coalesce(1) \
+            .write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.rolling_mean_batchwise(stream, "user_id", ["ts", "event_id"], "value", "event_id", 5,
+                              f"{tmp_dir}/o", f"{tmp_dir}/st", f"{tmp_dir}/ck", chunk_rows=3)
+    got = {r["event_id"]: r["rolling"] for r in spark.read.parquet(f"{tmp_dir}/o").collect()}
+    want = {}
+    for u in (3, 7):
+        vals = [(r[0], r[3]) for r in rows if r[2] == u]
+        for j, (e, _v) in enumerate(vals):
+            win = [v for _, v in vals[max(0, j - 4): j + 1]]
+            want[e] = sum(win) / len(win)
+    assert got.keys() == want.keys()
+    assert all(abs(got[e] - want[e]) < 1e-12 for e in want)
