@@ -99,12 +99,12 @@ def average_precision(df: DataFrame, cls: str, label: str, score: str) -> DataFr
     sc = _score_counts(df, cls, label, score)
     # prefix sums per class in descending score, two-level over range chunks
     # (a class has as many rows as distinct scores; few classes, many scores)
-    cum = running_sums(sc, [cls], [F.col(score).desc()], {"ctp": "tp", "cn": "nn"}, chunk=RANGE) \
-        .select(cls, "tp", "ctp", "cn")
-    tot = sc.groupBy(cls).agg(F.sum("tp").alias("P"))
-    return (cum.join(tot, cls)
-            .groupBy(cls).agg(F.sum(F.col("tp") / F.col("P") * F.col("ctp") / F.col("cn")).alias("ap"),
-                              F.first("P").alias("n_pos")))
+    # the class's positive total comes with the prefix sums (from the small
+    # chunk-total table), so no join on the few-valued class key is needed
+    cum = running_sums(sc, [cls], [F.col(score).desc()], {"ctp": "tp", "cn": "nn"}, chunk=RANGE,
+                       key_totals=True).select(cls, "tp", "ctp", "cn", F.col("ctp_total").alias("P"))
+    return cum.groupBy(cls).agg(F.sum(F.col("tp") / F.col("P") * F.col("ctp") / F.col("cn")).alias("ap"),
+                                F.first("P").alias("n_pos"))
 
 
 def roc_auc(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:

@@ -24,19 +24,22 @@ def clamp(c, lo: float = SCORE_MIN, hi: float = SCORE_MAX) -> Column:
 
 
 def znorm(df: DataFrame, score: str, by: list[str] | None = None, out: str | None = None,
-          target_mean: float = TARGET_MEAN, target_sd: float = TARGET_SD) -> DataFrame:
+          target_mean: float = TARGET_MEAN, target_sd: float = TARGET_SD, fixed_groups: bool = False) -> DataFrame:
     """Z-normalise ``score`` within each ``by`` group to ``target_mean``/``target_sd``
     using the sample standard deviation.
 
-    Statistics are a grouped aggregate joined back on the key (one row per group,
-    so the join side is tiny and AQE broadcasts it); without ``by`` they are
-    scalar subqueries.  A group whose sample sd is null (one row) or 0 gets
+    Statistics are a grouped aggregate joined back on the key (one row per
+    group); ``fixed_groups=True`` declares that the groups are a fixed small
+    set (the three routes), so the statistics are broadcast and the rows are
+    never shuffled onto as few tasks as there are groups.  Otherwise the join
+    is left to the planner (many groups: a balanced shuffle join, with AQE's
+    skew handling).  Without ``by`` they are scalar subqueries.  A group whose sample sd is null (one row) or 0 gets
     ``target_mean`` and ``norm_degenerate = true``.
     """
     out = out or score
     if by:
         stats = df.groupBy(*by).agg(F.avg(score).alias("_mu"), F.stddev_samp(score).alias("_sd"))
-        joined = df.join(stats, on=by, how="left")
+        joined = df.join(F.broadcast(stats) if fixed_groups else stats, on=by, how="left")
         mu, sd = F.col("_mu"), F.col("_sd")
     else:
         st = df.agg(F.struct(F.avg(score).alias("mu"), F.stddev_samp(score).alias("sd")).alias("s")).scalar()
@@ -79,6 +82,6 @@ def finish_scores(df: DataFrame, score: str, route: str, out: str = "Predicted_C
     """Order of the reference: clamp -> z-normalise per route -> tail smoothing
     over all routes together -> clamp."""
     step = df.withColumn("_p", clamp(score))
-    step = znorm(step, "_p", by=[route])
+    step = znorm(step, "_p", by=[route], fixed_groups=True)
     step = smooth_tail(step, "_p", quantile_method=quantile_method)
     return step.withColumn(out, clamp("_p")).drop("_p")

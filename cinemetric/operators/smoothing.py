@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import RANGE, global_row_index, row_number
+from .sequence import RANGE, global_row_index, running_sums
 
 
 def window_layout(length: int) -> tuple[int, int, float]:
@@ -50,13 +50,15 @@ def savgol(df: DataFrame, value: str, order_cols: list[str], length: int, polyor
 
     keys = list(by or [])
     if keys:
-        # two-level numbering over range chunks: one long series is not one task
-        numbered = row_number(df, keys, order_cols, "_rn", chunk=RANGE).withColumn("_rn", F.col("_rn") - 1)
+        # two-level numbering over range chunks: one long series is not one
+        # task; the series length comes from the same pass (chunk totals), so
+        # nothing is joined back on the series key
+        base = (running_sums(df, keys, order_cols, {"_rn": F.lit(1)}, chunk=RANGE, key_totals=True)
+                .withColumn("_rn", F.col("_rn") - 1).withColumnRenamed("_rn_total", "_n"))
     else:
         numbered = global_row_index(df, order_cols, "_rn")
-    n = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else \
-        numbered.agg(F.count(F.lit(1)).alias("_n"))
-    base = numbered.join(n, keys) if keys else numbered.withColumn("_n", F.lit(n.select("_n").scalar()))
+        n = numbered.agg(F.count(F.lit(1)).alias("_n"))
+        base = numbered.withColumn("_n", F.lit(n.select("_n").scalar()))
 
     # interior: chunked windows with a halo of left/right neighbours
     owner = F.floor(F.col("_rn") / chunk)

@@ -103,7 +103,7 @@ SELECT l_orderkey, l_linenumber, route, round(score, 6) AS score FROM fin"""
 
 
 def q_znorm_routes(spark, sf):
-    z = S.znorm(P.p_score(spark, sf), "pred", by=["route"], out="z")
+    z = S.znorm(P.p_score(spark, sf), "pred", by=["route"], out="z", fixed_groups=True)
     return z.select("l_orderkey", "l_linenumber", "route", F.round("z", R6).alias("z"), "norm_degenerate")
 
 

@@ -88,7 +88,7 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
     raw = F.when(F.col("Model_Used") == T.ROUTE_SINGLE, predict_column("vec", single_model, spark)) \
            .otherwise(predict_column("vec", multi_model, spark))
     scored = scored.withColumn("_p", S.clamp(raw)).drop("vec")
-    scored = S.znorm(scored, "_p", by=["Model_Used"]).drop("norm_degenerate") \
+    scored = S.znorm(scored, "_p", by=["Model_Used"], fixed_groups=True).drop("norm_degenerate") \
         .withColumn("Per_Word_Predictions", F.lit(""))
 
     sentences = base.where(F.col("Model_Used") == T.ROUTE_SENTENCE)

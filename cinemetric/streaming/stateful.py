@@ -163,7 +163,7 @@ def fit_frozen_stats(rows: DataFrame, text: str, score: str,
     so it is brought back and rebuilt as a literal table: later micro-batches
     join that fixed table instead of re-running the fit."""
     r = rows.withColumn("Model_Used", TX.model_used(text)).withColumn("_p", S.clamp(score))
-    z = S.znorm(r, "_p", by=["Model_Used"], out="_z")
+    z = S.znorm(r, "_p", by=["Model_Used"], out="_z", fixed_groups=True)
     stats = (r.groupBy("Model_Used").agg(F.avg("_p").alias("mu"), F.stddev_samp("_p").alias("sd")))
     frozen = rows.sparkSession.createDataFrame(stats.collect(), stats.schema)  # <= 3 rows (one per route)
     from ..operators.quantiles import exact_quantile
