@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast
 from .sequence import next_value, range_chunks, row_number
 
 # Open-ended last clip length (8 s at 24 fps) and clip length.
@@ -78,7 +79,9 @@ def uniform_frames(lo: Column, hi: Column, k: int = 8) -> Column:
 def rebase_frames(joints: DataFrame, video: str = "video_id", frame: str = "frame") -> DataFrame:
     """Re-number frames per video to start at 1 (``frame - min + 1``)."""
     mins = joints.groupBy(video).agg(F.min(frame).alias("_m"))
-    return joints.join(mins, video).withColumn(frame, F.col(frame) - F.col("_m") + 1).drop("_m")
+    # one row per video: broadcast when the probe proves it small, so a long
+    # video's rows are not all shuffled to one join task
+    return joints.join(checked_broadcast(mins), video).withColumn(frame, F.col(frame) - F.col("_m") + 1).drop("_m")
 
 
 def label_at_time(samples: DataFrame, annotations: DataFrame, movie: str = "movie_id",

@@ -70,7 +70,7 @@ def audit_nulls(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
 def audit_clips(clips: DataFrame, totals: DataFrame, movie: str, length: int = 8, max_label: int = 7) -> DataFrame:
     """Clip bounds audit (FLT-11): clips whose length, label position or end
     does not fit; an empty result means every clip is sound."""
-    j = clips.join(totals, movie)
+    j = clips.join(checked_broadcast(totals), movie)   # one row per movie
     bad = ((F.col("end_frame") - F.col("start_frame") != length) | (F.col("label_frame") < 0)
            | (F.col("label_frame") > max_label) | (F.col("end_frame") > F.col("total")))
     return j.where(bad)
