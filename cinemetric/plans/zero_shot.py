@@ -9,7 +9,6 @@ accuracy (AG-15).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.encoders import HashingEncoder, encode_column
