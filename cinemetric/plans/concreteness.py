@@ -99,13 +99,16 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
     # occurrences (repeated words in a long text are not re-scored, and the
     # vectors never travel with every occurrence).
     pairs = words.select("_row", "_word").distinct()
-    wvecs = embedder.embed_distinct(pairs, "_word", "wvec")   # distinct words, from the (smaller) pairs
+    # distinct words (from the smaller pairs table); a word's score uses only
+    # the base encoder, so only that half is computed and shuffled
+    wvecs = (pairs.select("_word").distinct()
+             .select("_word", encode_column("_word", embedder.base).alias("wvec")))
     # written once: the word-score statistics (a scalar subquery) and the
     # per-sentence means both read these rows, so the encoder and regressor
     # UDFs run a single time
     pair_scores = cut_lineage(
         pairs.join(svec, "_row").join(wvecs, "_word")
-        .withColumn("_w", S.clamp(predict_column(F.concat(F.slice("wvec", 1, embedder.base.dim), "svec"),
+        .withColumn("_w", S.clamp(predict_column(F.concat("wvec", "svec"),
                                                  single_model, spark)))
         .select("_row", "_word", "_w"))
     wscored = words.join(pair_scores, ["_row", "_word"]).select("_row", "_pos", "_w")
