@@ -270,6 +270,42 @@ SQL_NEUTRAL_SCORE = P.with_ctes(P.P_LOGITS_SQL) + """
 SELECT vec_id, round(sum(ev) FILTER (WHERE i = 5) / sum(ev), 6) AS neutral FROM e GROUP BY vec_id"""
 
 
+
+# Fixed keyword lists of the stand-in per-label text scorer (our own choice).
+SCORER_KEYWORDS = {
+    "anger": ["angry", "hate", "mad", "furious"],
+    "joy": ["happy", "great", "love", "good", "glad"],
+    "neutral": ["the", "a", "is", "and", "of", "to"],
+    "sadness": ["sad", "sorry", "miss", "lost"],
+}
+
+
+def q_caption_neutral(spark, sf):
+    """Per-label scores of every caption from the text-scorer hook (UDF-04,
+    an Arrow pandas UDF) and the ``neutral`` score picked out (SC-30), as
+    the neutral-score preprocessing does for each caption."""
+    from ..functions.encoders import KeywordLabelScorer, label_scores_column
+    from ..operators import tables as TB
+    cap = P.p_caption(spark, sf)
+    scores = label_scores_column("text", KeywordLabelScorer(SCORER_KEYWORDS))
+    return cap.select("video_id", "cap_idx", F.round(TB.label_score(scores, "neutral"), R6).alias("neutral"))
+
+
+def _caption_neutral_sql() -> str:
+    # the scorer's tokens: contractions, letter runs, single digits, other runs
+    pat = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}\p{Nl}\p{No}]+|\p{Nd}|[^\s\p{L}\p{N}_]+"
+    hits = ",\n       ".join(
+        f"len(list_filter(toks, lambda x: list_contains({[w.lower() for w in ws]!r}, x))) AS h_{lab}"
+        for lab, ws in SCORER_KEYWORDS.items())
+    labs = list(SCORER_KEYWORDS)
+    mx = "greatest(" + ", ".join(f"h_{l}" for l in labs) + ")"
+    den = " + ".join(f"exp(h_{l} - m)" for l in labs)
+    return P.with_ctes(P.P_CAPTION_SQL) + f"""
+, t AS (SELECT video_id, cap_idx, regexp_extract_all(lower(coalesce(text, '')), '{pat.replace("'", "''")}') AS toks FROM p_caption)
+, h AS (SELECT video_id, cap_idx, {hits} FROM t)
+, g AS (SELECT *, {mx} AS m FROM h)
+SELECT video_id, cap_idx, round(exp(h_neutral - m) / ({den}), 6) AS neutral FROM g"""
+
 def q_boxed_frames(spark, sf):
     """Frames whose box list is empty are dropped (FLT-13) after the default
     empty-list lookup (JN-05)."""
@@ -353,6 +389,7 @@ QUERIES = {
     "person_boxes": (q_person_boxes, SQL_PERSON_BOXES),
     "neutral_score": (q_neutral_score, SQL_NEUTRAL_SCORE),
     "boxed_frames": (q_boxed_frames, SQL_BOXED_FRAMES),
+    "caption_neutral": (q_caption_neutral, _caption_neutral_sql()),
     "clip_frames": (q_clip_frames, SQL_CLIP_FRAMES),
     "centered_clips": (q_centered_clips, SQL_CENTERED_CLIPS),
     "box_rescale": (q_box_rescale, SQL_BOX_RESCALE),
