@@ -79,6 +79,23 @@ SELECT video_id, CAST(sent_idx AS BIGINT) AS sent_idx, text, round(start, 6) AS
        round("end" - start, 6) AS duration FROM kept"""
 
 
+
+def _dot_labeller(words: list[str]) -> list[tuple[str, str, float]]:
+    """Python labeller for the hook: a trailing dot is the sentence mark."""
+    return [(w[:-1], ".", 1.0) if w.endswith(".") else (w, "0", 1.0) for w in words]
+
+
+def q_regroup_labelled(spark, sf):
+    """Sentences regrouped from words labelled by a Python punctuation model
+    through the hook (UDF-03: ``applyInPandas`` per run of captions of a
+    video); with the dot rule as the model it equals ``regroup_sentences``."""
+    keep_raw = lambda w: F.struct(w.alias("word"), F.lit("0").alias("punc"), F.lit(1.0).alias("punc_conf"))
+    words = C.word_times(_captions(spark, sf), labeller=keep_raw)
+    lab = C.label_words_by_video(words, _dot_labeller)
+    s = C.regroup(lab, chunk=F.floor(F.col("cap_idx") / 256))
+    return s.select("video_id", "sent_idx", "text", F.round("start", R6).alias("start"),
+                    F.round("end", R6).alias("end"), F.round("duration", R6).alias("duration"))
+
 def q_sentence_coverage(spark, sf):
     """Regrouped sentences checked against the frame table (index build on sentences)."""
     cov = V.frame_coverage(_sentences(spark, sf), P.p_frame(spark, sf), keys=["video_id", "sent_idx"])
@@ -265,6 +282,7 @@ QUERIES = {
     "caption_ends": (q_caption_ends, SQL_CAPTION_ENDS),
     "word_times": (q_word_times, SQL_WORD_TIMES),
     "regroup_sentences": (q_regroup_sentences, SQL_REGROUP_SENTENCES),
+    "regroup_labelled": (q_regroup_labelled, SQL_REGROUP_SENTENCES),
     "sentence_coverage": (q_sentence_coverage, SQL_SENTENCE_COVERAGE),
     "frame_coverage": (q_frame_coverage, SQL_FRAME_COVERAGE),
     "clip_index": (q_clip_index, SQL_CLIP_INDEX),
