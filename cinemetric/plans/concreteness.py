@@ -52,8 +52,11 @@ def translate(df: DataFrame, text: str, lang: str | None, lookup: DataFrame | No
     df = df.withColumn("Detected_Language", F.coalesce(lang_col, F.lit("unknown")))
     if lookup is None:
         return df.withColumn("English_Translation", F.col(text)).withColumn("was_translated", F.lit(False))
-    lk = lookup.select(F.col("lang").alias("_l"), F.col("text").alias("_t"),
-                       T.clean_translation("translation").alias("_tr"))
+    # one translation per (language, text): a lookup with repeated keys must
+    # not multiply the input rows (the smallest cleaned text is kept)
+    lk = (lookup.select(F.col("lang").alias("_l"), F.col("text").alias("_t"),
+                        T.clean_translation("translation").alias("_tr"))
+          .groupBy("_l", "_t").agg(F.min("_tr").alias("_tr")))
     j = df.join(checked_broadcast(lk), (F.col("Detected_Language") == F.col("_l")) & (F.col(text) == F.col("_t")), "left")
     is_en = F.col("Detected_Language") == "en"
     return (j.withColumn("English_Translation", F.when(is_en | F.col("_tr").isNull(), F.col(text)).otherwise(F.col("_tr")))
