@@ -92,6 +92,26 @@ SELECT c.movie_id, CAST(c.label_idx AS BIGINT) AS label_idx, CAST(start_frame AS
 FROM c JOIN cnt USING (movie_id, label_idx) WHERE n = end_frame - start_frame"""
 
 
+
+def q_clip_audit(spark, sf):
+    """Clip bounds audit of the centred clips (FLT-11): per movie, clips
+    whose length is not 8, whose label position is outside 0..7 or whose end
+    passes the movie's frame total."""
+    from ..operators import tables as TB
+    frames = P.p_frame(spark, sf)
+    totals = frames.groupBy(F.col("video_id").alias("movie_id")).agg(F.count(F.lit(1)).alias("total"))
+    cl = S.centered_clips(totals, split="test").select("movie_id", "start_frame", "end_frame", "label_frame")
+    bad = TB.audit_clips(cl, totals, "movie_id").groupBy("movie_id").agg(F.count(F.lit(1)).alias("n_bad"))
+    per = cl.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n_clips"))
+    return per.join(bad, "movie_id", "left").select("movie_id", "n_clips", F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+
+
+SQL_CLIP_AUDIT = SQL_CENTERED_CLIPS.split(", cnt AS")[0] + """
+SELECT movie_id, count(*) AS n_clips,
+       count(*) FILTER (WHERE end_frame - start_frame <> 8 OR label_frame < 0 OR label_frame > 7 OR end_frame > total)
+         AS n_bad
+FROM c JOIN tot USING (movie_id) GROUP BY movie_id"""
+
 # ------------------------------------------------------------------ box geometry
 def _imgsize(label):
     return (F.lit(455) + label * 100), (F.lit(256) + label * 50)
@@ -392,6 +412,7 @@ QUERIES = {
     "caption_neutral": (q_caption_neutral, _caption_neutral_sql()),
     "clip_frames": (q_clip_frames, SQL_CLIP_FRAMES),
     "centered_clips": (q_centered_clips, SQL_CENTERED_CLIPS),
+    "clip_audit": (q_clip_audit, SQL_CLIP_AUDIT),
     "box_rescale": (q_box_rescale, SQL_BOX_RESCALE),
     "letterbox": (q_letterbox, SQL_LETTERBOX),
     "box_filters": (q_box_filters, SQL_BOX_FILTERS),
