@@ -190,8 +190,14 @@ CLIP_INDEX_TYPE = ("array<struct<video_id:string, duration:double, start_frame:i
                    "neutral_score:double, has_person:double>>")
 
 
-def read_clip_index(spark: SparkSession, path: str) -> DataFrame:
-    """Clip index JSON array; ``row_idx`` keeps the file order (SRC-11)."""
+def read_clip_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Clip index JSON array; ``row_idx`` keeps the file order (SRC-11).  The
+    reference format is one array per file, read by one task per file;
+    ``lines=True`` reads the JSON-lines form written by
+    ``sinks.write_clip_index`` (rows carry ``row_idx``), split across tasks."""
+    if lines:
+        row = CLIP_INDEX_TYPE[len("array<"):-1]
+        return spark.read.schema(f"row_idx long, {row[len('struct<'):-1].replace(':', ' ')}").json(path)
     doc = spark.read.text(path, wholetext=True)
     return doc.select(F.posexplode(F.from_json("value", CLIP_INDEX_TYPE)).alias("row_idx", "r")).select(
         F.col("row_idx").cast("long"), "r.*")

@@ -172,3 +172,12 @@ def test_sinks_small_files(spark, tmp_dir):
     SK.write_transcripts(sents, tp)
     v = spark.read.json(os.path.join(tp, "video_id=v"))
     assert sorted(r["sent_idx"] for r in v.collect()) == list(range(30))
+
+
+def test_clip_index_json_lines_round_trip(spark, tmp_dir):
+    rows = [(i, f"v{i % 3}", 2.5 + i, i * 10, i * 10 + 20, f"t{i}", 0.1 * i, 1.0) for i in range(7)]
+    idx = spark.createDataFrame(rows, "row_idx long, video_id string, duration double, start_frame int, "
+                                      "end_frame int, text string, neutral_score double, has_person double")
+    SK.write_clip_index(idx.repartition(3), f"{tmp_dir}/ci")
+    back = RD.read_clip_index(spark, f"{tmp_dir}/ci", lines=True).orderBy("row_idx").collect()
+    assert [(r["row_idx"], r["video_id"], r["end_frame"]) for r in back] == [(r[0], r[1], r[4]) for r in rows]
