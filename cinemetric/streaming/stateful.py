@@ -182,8 +182,6 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> DataFram
 def run_updates(stream: DataFrame, out_path: str, checkpoint: str, key: str) -> DataFrame:
     """Update-mode aggregation: each micro-batch's changed rows are appended
     with the batch id; the returned table keeps the last version per key."""
-    from pyspark.sql import Window
-
     def sink(batch_df, batch_id):
         batch_df.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
@@ -191,5 +189,6 @@ def run_updates(stream: DataFrame, out_path: str, checkpoint: str, key: str) ->
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     t = stream.sparkSession.read.parquet(out_path)
-    w = Window.partitionBy(key).orderBy(F.col("_batch").desc())
-    return t.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+    # last version per key: an aggregate (partial on the map side), no per-key sort
+    cols = [c for c in t.columns if c not in (key, "_batch")]
+    return t.groupBy(key).agg(F.max_by(F.struct(*cols), "_batch").alias("_last")).select(key, "_last.*")
