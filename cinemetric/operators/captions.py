@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words as py_words
-from .sequence import next_value, row_number, running_sums
+from .sequence import RANGE, next_value, row_number, running_sums
 
 # Sentence mark, default exclusion pattern, unknown-mark label.
 SPLIT_PUNC = "."
@@ -20,11 +20,12 @@ SENTENCE_CHUNK = 4096     # sentences per chunk of the two-level numbering
 
 
 def clip_ends(captions: DataFrame, video: str = "video_id", order: str = "cap_idx",
-              chunk: Column | None = None) -> DataFrame:
+              chunk: Column | str | None = RANGE) -> DataFrame:
     """``end = min(start + duration, next start)``; the last caption keeps its own end.
     The next caption is taken before empty captions are removed.  ``chunk``
-    (e.g. ``cap_idx div 256``) takes the lead in two levels (see
-    ``sequence.next_value``) so a long video is not one task."""
+    (e.g. ``cap_idx div 256``, or ``RANGE``, the default) takes the lead in
+    two levels (see ``sequence.next_value``) so a long video is not one task;
+    ``None`` uses one window per video."""
     own = F.col("start") + F.col("duration")
     with_next = next_value(captions, [video], [order], "start", "_next_start", chunk=chunk)
     nxt = F.col("_next_start")
@@ -60,7 +61,7 @@ def word_times(captions: DataFrame, video: str = "video_id", order: str = "cap_i
 
 def regroup(words: DataFrame, video: str = "video_id", order: tuple[str, str] = ("cap_idx", "w_idx"),
             split_punc: str = SPLIT_PUNC, exclude_on: str | None = EXCLUDE_ON,
-            chunk: Column | None = None) -> DataFrame:
+            chunk: Column | str | None = RANGE) -> DataFrame:
     """Sentences between consecutive marks: words after one mark up to and
     including the next.  Words up to the first mark and after the last are
     dropped (reference behaviour).  ``exclude_on`` drops sentences whose text
