@@ -11,10 +11,10 @@ Distribution: documents with the same set are one class (a grouped minimum).
 Signatures of the classes are banded; bucket rows are range-partitioned on
 (bucket, random order), so a bucket holding a third of all rows is cut over
 many tasks.  Neighbours in a bucket are candidates; their whole sets confirm
-the link; union-find groups the links.  Buckets whose members are still in
-different groups are then searched further, best signature agreement first, in
-blocks, until every pair that shares a bucket and may reach the threshold is
-either in one group or tested.
+the link; union-find groups the links.  In buckets whose members are still in
+different groups, the members outside the largest group meet all others in
+blocks of bounded size (signatures first, then whole sets), so every pair that
+shares a bucket ends in one group or is tested; only links leave a block.
 """
 
 from __future__ import annotations
@@ -198,32 +198,74 @@ def _confirm(percent: int):
     return run
 
 
-def _open_pairs(percent: int, low: int, high: int):
-    """Candidates of the members outside their bucket's largest group: the
-    low..high-1 best signature agreements with members of other groups."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        right = pdf[pdf["side"] == 0]
-        left = pdf[pdf["side"] == 1]
-        rs = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), POSITIONS)
-        rr, rn, rid = right["root"].to_numpy(), right["n_shingles"].to_numpy(), right["rep"].to_numpy()
-        a, b, more = [], [], False
-        for sig, root, n, rep in zip(left["sig"], left["root"], left["n_shingles"], left["rep"]):
-            agree = (rs == np.frombuffer(sig, np.uint8)).mean(axis=1)
-            fit = (agree >= percent / 100 - SLACK) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n)) & (rid != rep)
-            at = np.flatnonzero(fit)
-            if not len(at):
+def _runs(batches, keys: list[str]):
+    """Complete runs of equal keys of sorted Arrow batches, as Arrow tables."""
+    carry = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
+        if not len(t):
+            continue
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(new).tolist()
+        for lo, hi in zip([0, *cuts[:-1]], cuts):
+            yield t.slice(lo, hi - lo)
+        carry = t.slice(cuts[-1] if cuts else 0)
+    if carry is not None and len(carry):
+        yield carry
+
+
+def _similar_blocks(percent: int):
+    """Members of the blocks in which a member outside the bucket's largest
+    group may reach the threshold with a member of another group, by set sizes
+    and signature agreement."""
+    def run(batches):
+        for t in _runs(batches, ["bucket", "i", "j"]):
+            side, root, n, rep = (t.column(c).to_numpy() for c in ("side", "root", "n_shingles", "rep"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), POSITIONS)
+            right, left = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            keep = np.zeros(len(t), bool)
+            for x in left.tolist():
+                at = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+                if len(at):
+                    at = at[(sig[at] == sig[x]).mean(axis=1) >= percent / 100 - SLACK]
+                    if len(at):
+                        keep[x] = True
+                        keep[at] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).select(["bucket", "i", "j", "side", "rep", "root"]).to_batches()
+    return run
+
+
+def _exact_blocks(percent: int):
+    """One confirmed link for each left member and each other group that it
+    reaches within its block, on whole sets."""
+    def run(batches):
+        for t in _runs(batches, ["bucket", "i", "j"]):
+            side, root, rep = (t.column(c).to_numpy() for c in ("side", "root", "rep"))
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+            right = np.flatnonzero(side == 0)
+            if not len(right):
                 continue
-            at = at[np.lexsort((rid[at], -agree[at]))]
-            more = more or len(at) > high
-            at = at[low:high]
-            at = at[rr[at] != root]
-            a += np.minimum(rid[at], rep).tolist()
-            b += np.maximum(rid[at], rep).tolist()
-        out = pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
-        if more:                                 # a mark that this block has lower ranks left
-            out = pd.concat([out, pd.DataFrame({"a": [-1], "b": [-1]})])
-        out["more"] = out["b"].eq(-1) & out["a"].eq(-1)
-        return out
+            sizes = np.array([len(sets[y]) for y in right])
+            names, code = np.unique(np.concatenate([sets[y] for y in right]), return_inverse=True)
+            start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            mark = np.zeros(len(names), np.int64)
+            a, b = [], []
+            for x in np.flatnonzero(side == 1).tolist():
+                at = np.searchsorted(names, sets[x])
+                at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == sets[x])]
+                mark[at] = 1
+                both = np.add.reduceat(mark[code], start)
+                mark[at] = 0
+                hit = right[(100 * both >= percent * (sizes + len(sets[x]) - both)) & (root[right] != root[x])]
+                _, one = np.unique(root[hit], return_index=True)
+                a += [int(rep[x])] * len(one)
+                b += rep[hit[one]].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
@@ -280,34 +322,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tested = confirm(pairs)
     links = tested.where("linked").select("a", "b")
     roots = components(links)
-    low, high = 0, 4
-    while True:
-        m = in_buckets.where("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        m = m.withColumn("root", F.coalesce("root", "rep"))
-        groups = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = groups.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all")) \
-            .where("groups > 1").select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("left_blocks"),
-                                        F.ceil(F.col("all") / BLOCK).cast("int").alias("right_blocks"))
-        m = m.join(main, "bucket").join(light, "rep")
-        h = F.xxhash64("rep")
-        left = m.where("root <> main").withColumn("i", F.pmod(h, F.col("left_blocks"))) \
-            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1))).withColumn("side", F.lit(1))
-        right = m.withColumn("j", F.pmod(h, F.col("right_blocks"))) \
-            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1))).withColumn("side", F.lit(0))
-        cols = ["bucket", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "side", "rep", "root", "n_shingles", "sig"]
-        found = written(left.select(*cols).unionByName(right.select(*cols)).groupBy("bucket", "i", "j")
-                        .applyInPandas(_open_pairs(percent, low, high), "a long, b long, more boolean"), "open")
-        fresh = found.where("not more").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = found.where("more").limit(1).count() > 0
-        again = confirm(fresh)
-        new = again.where("linked").select("a", "b")
-        if new.limit(1).count():
-            links = links.union(new)
-            roots = components(links)
-        if not more:
-            break
-        tested = tested.union(again)
-        low, high = high, 4 * high
+    # Buckets whose members are still in different groups: the members outside
+    # the largest group meet all members, block by block.
+    m = in_buckets.where("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    m = m.withColumn("root", F.coalesce("root", "rep"))
+    groups = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    rest = F.sum("n") - F.max("n")
+    main = groups.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups"),
+                                        F.ceil(rest / BLOCK).cast("int").alias("left_blocks"),
+                                        F.ceil(F.sum("n") / BLOCK).cast("int").alias("right_blocks")).where("groups > 1")
+    m = m.join(main, "bucket")
+    h = F.xxhash64("rep")
+    left = m.where("root <> main").withColumn("i", F.pmod(h, F.col("left_blocks"))) \
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1))).withColumn("side", F.lit(1))
+    right = m.withColumn("j", F.pmod(h, F.col("right_blocks"))) \
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1))).withColumn("side", F.lit(0))
+    cols = ["bucket", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "side", "rep", "root"]
+    block = ["bucket", "i", "j"]
+    both = left.select(*cols).unionByName(right.select(*cols)).join(light, "rep")
+    near = written(both.repartition(parts, *block).sortWithinPartitions(*block)
+                   .mapInArrow(_similar_blocks(percent), "bucket long, i long, j long, side int, rep long, root long"), "open")
+    more = written(near.join(sets, "rep").repartition(parts, *block).sortWithinPartitions(*block)
+                   .mapInArrow(_exact_blocks(percent), "a long, b long").distinct(), "more")
+    roots = components(links.union(more))
     label = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("digest", F.coalesce("root", "rep").alias("root"))
     out = feats.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")) \
