@@ -37,6 +37,31 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, t.m AS component_id, d.doc_id =
 FROM documents d LEFT JOIN n USING (doc_id) JOIN t ON t.d = d.doc_id
 """
 
+def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixmerge import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: All 50-byte windows as hexadecimal strings, cut out of pieces of 1000 bytes.
+OP10_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, k, substr(x, 2000 * k + 1, 2098) AS y, least(1000, length(x) // 2 - 49 - 1000 * k) AS n
+      FROM (SELECT doc_id, x, unnest(range(0, (length(x) // 2) // 1000 + 1)) AS k FROM h)),
+w AS (SELECT doc_id, 1000 * k + j AS i, substr(y, 2 * j + 1, 100) AS s FROM (SELECT doc_id, k, y, unnest(range(0, greatest(n, 0))) AS j FROM p)),
+m AS (SELECT s, min(doc_id) AS d FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.d < w.doc_id),
+r AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM
+      (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS b FROM hit)),
+q AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, g),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z0 FROM q),
+k AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(x, 2 * z0 + 1, 2 * (a - z0)), '' ORDER BY a) AS head
+      FROM c JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {
     "op5_superminhash": (op5_superminhash, OP5_SQL),
+    "op10_suffix_merge": (op10_suffix_merge, OP10_SQL),
 }
