@@ -178,7 +178,7 @@ def _send_hashes(buckets: int):
         doc, pos, h = _block_anchors(ids, texts)
         step = max(1, len(h) // SAMPLE)
         pick = b"".join(texts[d][p:p + GRAM].tobytes() for d, p in zip(doc[::step].tolist(), pos[::step].tolist()))
-        rows = [(-1, block, pick, np.array([len(h)], np.int64).tobytes())]
+        rows = [(-1 - block, block, pick, np.array([len(h)], np.int64).tobytes())]
         who = np.array(ids, np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
         order = np.lexsort((who, h))
         h, who = h[order], who[order]
@@ -196,17 +196,25 @@ def _send_hashes(buckets: int):
 
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block the bucket's hashes that occur in two documents."""
+    """Per block the bucket's hashes that occur in two documents; sampled
+    grams (negative buckets) pass through."""
+    if int(pdf["bucket"].iloc[0]) < 0:
+        return pdf[["block", "bucket", "hashes", "twice"]]
     hs = [np.frombuffer(x, np.uint32) for x in pdf["hashes"]]
-    tw = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(pdf["twice"], hs)]
-    both = np.sort(np.concatenate([*(np.unique(h) for h in hs), *(np.unique(h[t]) for h, t in zip(hs, tw))]))
-    again = np.unique(both[1:][both[1:] == both[:-1]])
-    rows = []
-    for block, h in zip(pdf["block"], hs):
-        mine = np.intersect1d(h, again)
-        if len(mine):
-            rows.append((int(block), int(pdf["bucket"].iloc[0]), mine.tobytes()))
-    return pd.DataFrame(rows, columns=["block", "bucket", "hashes"])
+    h = np.concatenate(hs)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(pdf["twice"], hs)]).astype(bool)
+    both = np.sort(np.concatenate([h, h[twice]]))
+    again = both[1:][both[1:] == both[:-1]]
+    again = again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
+    found = np.searchsorted(again, h)
+    mine = again[np.minimum(found, len(again) - 1)] == h if len(again) else np.zeros(len(h), bool)
+    rows, lo = [], 0
+    for block, v in zip(pdf["block"], hs):
+        m = mine[lo:lo + len(v)]
+        lo += len(v)
+        if m.any():
+            rows.append((int(block), int(pdf["bucket"].iloc[0]), v[m].tobytes(), b""))
+    return pd.DataFrame(rows, columns=["block", "bucket", "hashes", "twice"])
 
 
 def _candidates(pdf: pd.DataFrame, replies: pd.DataFrame, buckets: int):
@@ -249,9 +257,23 @@ def _shared(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(s: np.ndarray) -> np.ndarray:
+    """Spans (document, start, end), overlapping or touching ones joined."""
+    if not len(s):
+        return s
+    s = s[np.lexsort((s[:, 1], s[:, 0]))]
+    doc = np.cumsum(np.concatenate([[0], s[1:, 0] != s[:-1, 0]]))
+    shift = doc * (int(s[:, 2].max()) + 2)                # keeps documents apart in one number line
+    reach = np.maximum.accumulate(s[:, 2] + shift)
+    new = np.concatenate([[True], s[1:, 1] + shift[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    end = reach[np.concatenate([at[1:], [len(s)]]) - 1] - shift[at]
+    return np.stack([s[at, 0], s[at, 1], end], axis=1)
+
+
 def _front_coded(buckets: int, splitters: np.ndarray):
     """The block's sorted run, cut at the splitters and front-coded, and the
-    spans that are decided within the block (merger -1)."""
+    spans that are decided within the block (a row without suffixes)."""
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         who, pos, right, left, rlen, llen = _candidates(pdf, replies, buckets)
         block, rows = int(key[0]), []
@@ -264,7 +286,7 @@ def _front_coded(buckets: int, splitters: np.ndarray):
         least = who[new][group] if len(who) else who
         gone = (who > least) & (rlen.astype(int) + llen >= WIDTH)
         spans = np.stack([who[gone], pos[gone] - llen[gone], pos[gone] + rlen[gone]], axis=1).astype(np.int64)
-        rows.append((-1, block, b"", b"", spans.tobytes()))
+        rows.append((block % (len(splitters) + 1), block, b"", b"", _joined(spans).tobytes()))
         keep = (who == least) & (rlen.astype(int) + llen >= WIDTH)
         who, pos, right, left, rlen, llen = (x[keep] for x in (who, pos, right, left, rlen, llen))
         merger = np.searchsorted(splitters, _as_strings(right[:, :GRAM]), "right") if len(who) else np.zeros(0, np.int64)
@@ -359,7 +381,13 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
 
 
 def _merger(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("block")
+    """Merge the runs of one range and mark its windows; spans that blocks
+    decided themselves pass through."""
+    done = pdf[pdf["heads"].str.len() == 0]
+    passed = [(int(b), x) for b, x in zip(done["block"], done["who"]) if len(x)]
+    pdf = pdf[pdf["heads"].str.len() > 0].sort_values("block")
+    if not len(pdf):
+        return pd.DataFrame(passed, columns=["block", "spans"])
     heads = [np.frombuffer(x, np.uint8).reshape(-1, 3 + LEFT) for x in pdf["heads"]]
     who = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["who"]]
     runs = [(decode(h[:, 0], np.frombuffer(r, np.uint8)), h[:, 0].tolist()) for h, r in zip(heads, pdf["rest"])]
@@ -402,22 +430,16 @@ def _merger(pdf: pd.DataFrame) -> pd.DataFrame:
     hit = np.flatnonzero(most >= 0)
     spans = np.stack([doc[hit], who[hit, 1] - most[hit], who[hit, 1] - best[hit] + WIDTH], axis=1)
     rows = [(int(b), spans[block[hit] == b].astype(np.int64).tobytes()) for b in np.unique(block[hit])]
-    return pd.DataFrame(rows, columns=["block", "spans"])
+    return pd.DataFrame(passed + rows, columns=["block", "spans"])
 
 
 def _finish(key, pdf: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     s = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 3) for x in spans["spans"])])
-    s = s[np.lexsort((s[:, 1], s[:, 0]))]
+    s = _joined(s)
     out = []
     for doc, raw in zip(*_block_texts(pdf)):
         raw = raw.tobytes()
-        mine = s[np.searchsorted(s[:, 0], doc, "left"):np.searchsorted(s[:, 0], doc, "right")]
-        joined: list[list[int]] = []
-        for _, a, b in mine.tolist():
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
+        joined = s[np.searchsorted(s[:, 0], doc, "left"):np.searchsorted(s[:, 0], doc, "right"), 1:].tolist()
         kept, at = [], 0
         for a, b in joined:
             kept.append(raw[at:a])
@@ -472,14 +494,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     blocks = max(2, math.ceil(size / BLOCK_BYTES))
     buckets = mergers = blocks
     dealt = docs.mapInArrow(_packed(blocks), "block long, ids binary, sizes binary, texts binary")
-    hashes = written(dealt.groupBy("block").applyInPandas(_send_hashes(buckets), "bucket long, block long, hashes binary, twice binary"), "hashes")
-    replies = written(hashes.where("bucket >= 0").groupBy("bucket").applyInPandas(_repeated, "block long, bucket long, hashes binary"), "repeated")
-    bounds = splitters(hashes, mergers)
-    runs = written(dealt.groupBy("block").cogroup(replies.groupBy("block"))
-                   .applyInPandas(_front_coded(buckets, bounds), "merger long, block long, heads binary, rest binary, who binary"), "runs")
-    merged = runs.where("merger >= 0").groupBy("merger").applyInPandas(_merger, "block long, spans binary")
-    local = runs.where("merger < 0").select("block", F.col("who").alias("spans"))
-    spans = written(merged.unionByName(local), "spans")
+    hashes = dealt.groupBy("block").applyInPandas(_send_hashes(buckets), "bucket long, block long, hashes binary, twice binary")
+    answers = written(hashes.groupBy("bucket").applyInPandas(_repeated, "block long, bucket long, hashes binary, twice binary"), "repeated")
+    bounds = splitters(answers, mergers)
+    replies = answers.where("bucket >= 0").select("block", "bucket", "hashes")
+    runs = dealt.groupBy("block").cogroup(replies.groupBy("block")) \
+        .applyInPandas(_front_coded(buckets, bounds), "merger long, block long, heads binary, rest binary, who binary")
+    spans = written(runs.groupBy("merger").applyInPandas(_merger, "block long, spans binary"), "spans")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_finish, fields)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
