@@ -61,7 +61,53 @@ SELECT h.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGIN
 FROM h LEFT JOIN k USING (doc_id)
 """
 
+def op1_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .containment import contained_items
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS sh FROM
+      (SELECT item_id, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS j FROM b WHERE len(ws) > 0)),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j:j + k - 1], ' ') AS sh FROM
+      (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM w, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k)),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN i USING (k, sh) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, n_found, n_found / n AS containment FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n - 1e-9
+"""
+
+
+def op3_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")) \
+        .select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The taken words by one running sum per source over the same hash order.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  CAST('0x' || substr(md5('1:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+f AS (SELECT *, source_size / weight AS r, 1.5 * sum(source_size) OVER () AS budget,
+             coalesce(sum(2 * source_size) OVER o, 0) AS full_before, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS weight_left
+      FROM w WINDOW o AS (ORDER BY source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, CAST(budget - full_before AS DOUBLE) / weight_left AS level FROM f),
+t AS (SELECT *, 2 * source_size <= level * weight AS stops FROM l),
+g AS (SELECT source, source_size, CAST(CASE WHEN stops OR x IS NULL THEN 2 * source_size ELSE x * weight END AS DOUBLE) AS target
+      FROM (SELECT *, (SELECT arg_min(level, r) FROM t WHERE NOT stops) AS x FROM t)),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS passes FROM g),
+c AS (SELECT d.*, p.source_size, p.target, p.passes, CAST(round(p.target) AS BIGINT) - p.passes * p.source_size AS rest,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM c
+"""
+
 QUERIES = {
+    "op1_minhash_containment": (op1_minhash_containment, OP1_SQL),
+    "op3_splitting_tree": (op3_splitting_tree, OP3_SQL),
     "op5_superminhash": (op5_superminhash, OP5_SQL),
     "op10_suffix_merge": (op10_suffix_merge, OP10_SQL),
 }
