@@ -20,8 +20,8 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Whole pair-wise comparison; for small tables (the driver's oracle run).
 OP5_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) = 1 THEN [ws[1]]
-        ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[j] || ' ' || ws[j + 1] END AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS j FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 f AS (SELECT sh, count(*) AS c FROM s GROUP BY sh HAVING count(*) > 1),
 o AS (SELECT s.doc_id, s.sh, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(f.c, 1), s.sh) AS r
