@@ -153,7 +153,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float =
         .agg(F.sort_array(F.collect_list(F.struct((F.col("x") - F.col("first")).cast("int").alias("copy"), "shard"))).alias("places"))
     table = written(blocks.join(where, ["_sk", "block"], "left").select("_sk", "block", F.col("before").alias("_before"), F.col("rest").alias("_rest"),
                                                                         F.col("passes").alias("_passes"), F.col("places").alias("_places")), "draws")
-    out = keyed.join(F.broadcast(plan.select("_sk", "bits", "source_size", "target")), "_sk") \
+    out = keyed.join(plan.select("_sk", "bits", "source_size", "target"), "_sk") \
         .withColumn("block", block).join(table, ["_sk", "block"])
     inside = Window.partitionBy("_sk", "block").orderBy("_u", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     extra = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before") - F.coalesce(F.sum("_size").over(inside), F.lit(0))))

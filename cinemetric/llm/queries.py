@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +105,53 @@ c AS (SELECT d.*, p.source_size, p.target, p.passes, CAST(round(p.target) AS BIG
 SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM c
 """
 
+def op2_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .factormachine import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 0.5)
+
+
+def op4_assignment_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import secret_spans
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_subword_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subwordbag import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 0.7)
+
+
+def op7_winnowed_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licensescan import licenses
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenrollup import corpus_totals
+    return corpus_totals(table(spark, sf_dir, "documents"), scratch_path(spark, "rollup"))
+
+
+def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prunedgraph import near_duplicate_vectors
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+#: All pairs of normalised vectors; for small tables (the driver's oracle run).
+OP9_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+t AS (WITH RECURSIVE r(d, x) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.d, p.b FROM r JOIN p ON p.a = r.x) SELECT d, min(x) AS m FROM r GROUP BY d)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, t.m AS component_id, v.vec_id = t.m AS kept FROM v LEFT JOIN n ON n.a = v.vec_id JOIN t ON t.d = v.vec_id
+"""
+
 QUERIES = {
+    "op2_factor_machine": (op2_factor_machine, None),
+    "op4_assignment_lexing": (op4_assignment_lexing, None),
+    "op6_subword_bag": (op6_subword_bag, None),
+    "op7_winnowed_licenses": (op7_winnowed_licenses, None),
+    "op8_token_rollup": (op8_token_rollup, None),
+    "op9_pruned_graph": (op9_pruned_graph, OP9_SQL),
     "op1_minhash_containment": (op1_minhash_containment, OP1_SQL),
     "op3_splitting_tree": (op3_splitting_tree, OP3_SQL),
     "op5_superminhash": (op5_superminhash, OP5_SQL),
