@@ -22,7 +22,6 @@ import re
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,40 +155,63 @@ def candidates(items: Items, h: np.ndarray, first: np.ndarray, k: int) -> set[tu
     return out
 
 
+def _hits(items: Items, whole: pa.RecordBatch, threshold: float):
+    """(row, item, shingles of the item, shingles found) of a batch."""
+    _, offsets = T.text_bytes(whole.column("text"))
+    for lo, hi in T.row_slices(offsets, SLICE):
+        texts = whole.column("text").slice(lo, hi - lo)
+        w = T.words(texts)
+        for kk in sorted(items.groups):
+            h, first = T.shingles(w, kk)
+            # texts below kk words hold no run of kk words
+            short = np.diff(w.first) < kk
+            if short.any():
+                h = h[np.repeat(~short, np.diff(first))]
+                first = np.concatenate([[0], np.cumsum(np.where(short, 0, np.diff(first)))])
+            by_doc: dict[int, list[int]] = {}
+            for d, i in sorted(candidates(items, h, first, kk)):
+                mine = items.hashes[i]
+                if np.isin(mine, h[first[d]:first[d + 1]]).sum() >= threshold * len(mine) - 1e-9:
+                    by_doc.setdefault(d, []).append(i)
+            for d, found in by_doc.items():
+                have = set(word_shingles(texts[d].as_py(), kk))
+                for i in found:
+                    n, m = len(items.words[i]), len(items.words[i] & have)
+                    if m >= threshold * n - 1e-9:
+                        yield lo + d, i, n, m
+
+
 def _search(block: list[tuple], k: int, threshold: float):
     def run(batches):
         items = Items([i for i, _ in block], [t for _, t in block], k, threshold)
         for whole in batches:
-            _, offsets = T.text_bytes(whole.column("text"))
-            out = []
-            for lo, hi in T.row_slices(offsets, SLICE):
-                batch = whole.slice(lo, hi - lo)
-                ids, texts = batch.column("doc_id"), batch.column("text")
-                w = T.words(texts)
-                for kk in sorted(items.groups):
-                    h, first = T.shingles(w, kk)
-                    # texts below kk words hold no run of kk words
-                    short = np.diff(w.first) < kk
-                    if short.any():
-                        keep = np.repeat(~short, np.diff(first))
-                        h, first = h[keep], np.concatenate([[0], np.cumsum(np.where(short, 0, np.diff(first)))])
-                    by_doc: dict[int, list[int]] = {}
-                    for d, i in sorted(candidates(items, h, first, kk)):
-                        mine = items.hashes[i]
-                        if np.isin(mine, h[first[d]:first[d + 1]]).sum() >= threshold * len(mine) - 1e-9:
-                            by_doc.setdefault(d, []).append(i)
-                    for d, found in by_doc.items():
-                        have = set(word_shingles(texts[d].as_py(), kk))
-                        for i in found:
-                            n, m = len(items.words[i]), len(items.words[i] & have)
-                            if m >= threshold * n - 1e-9:
-                                out.append((ids[d].as_py(), items.ids[i], n, m, m / n))
+            ids = whole.column("doc_id")
+            out = [(ids[d].as_py(), items.ids[i], n, m, m / n) for d, i, n, m in _hits(items, whole, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                 ["doc_id", "item_id", "n_shingles", "n_found", "containment"])
     return run
 
 
+def _without(block: list[tuple], k: int, threshold: float):
+    def run(batches):
+        items = Items([i for i, _ in block], [t for _, t in block], k, threshold)
+        for whole in batches:
+            keep = np.ones(whole.num_rows, bool)
+            keep[[d for d, *_ in _hits(items, whole, threshold)]] = False
+            yield whole.filter(pa.array(keep))
+    return run
+
+
+def item_blocks(items: DataFrame):
+    """The items in parts of at most about ``ITEM_BYTES`` of text, one at a time."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, math.ceil(total_bytes(items, "text") / ITEM_BYTES))
+    for b in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield sorted(((r["item_id"], r["text"]) for r in mine), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per (document row, test item) with containment of ``threshold``
     or more: doc_id, item_id, n_shingles (of the item), n_found, containment.
@@ -199,20 +221,15 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     items match nothing; repeated rows each give their rows; null ids are
     carried as nulls; other columns are ignored; empty tables give an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil(total_bytes(items, "text") / ITEM_BYTES))
-    parts = []
-    for b in range(blocks):                  # a bounded part of the items at a time meets all documents
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        mine = sorted(((r["item_id"], r["text"]) for r in mine), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        parts.append(docs.mapInArrow(_search(mine, k, threshold),
-                                     "doc_id long, item_id long, n_shingles long, n_found long, containment double"))
+    parts = [docs.mapInArrow(_search(block, k, threshold), "doc_id long, item_id long, n_shingles long, n_found long, containment double")
+             for block in item_blocks(items)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` (all their columns) that contain no item.  A null
-    doc_id is judged by its own text like any other row."""
-    tagged = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    hit = contained_items(tagged.select(F.col("_row").alias("doc_id"), "text"), items, k, threshold).select(F.col("doc_id").alias("_row")).distinct()
-    return tagged.join(hit, "_row", "left_anti").drop("_row")
+    """The rows of ``docs`` (all their columns) that contain no item: one
+    map-only filter per block of items, so no text is shuffled.  Each row is
+    judged by its own text, whatever its doc_id; null and empty texts stay."""
+    for block in item_blocks(items):
+        docs = docs.mapInArrow(_without(block, k, threshold), docs.schema)
+    return docs

@@ -163,8 +163,7 @@ def _train(batches):
     ids = np.frombuffer(b"".join(pdf["ids"]), np.int32)
     x = np.frombuffer(b"".join(pdf["x"]), np.float32)
     first = np.concatenate([[0], np.cumsum([len(v) // 4 for v in pdf["ids"]])]).astype(np.int64)
-    if not len(pdf):                  # nothing to learn from: every score is just above one half
-        yield pd.DataFrame({"b": [1e-6], "w": [np.zeros(FEATURES, np.float32).tobytes()], "v": [np.zeros((FEATURES, FACTORS), np.float32).tobytes()]})
+    if not len(pdf):
         return
     b, w, v = fit(ids, x, first, pdf["y"].to_numpy(np.float64))
     yield pd.DataFrame({"b": [b], "w": [w.tobytes()], "v": [v.tobytes()]})
@@ -183,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     rows = _with_chars(training_rows(docs.select(*have), labels, label, limit)) \
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "chars", "y")
     sparse = rows.mapInArrow(_sparse, "doc_id long, y int, ids binary, x binary")
-    got = sparse.repartition(1).mapInPandas(_train, "b double, w binary, v binary").collect()[0]
+    got = sparse.repartition(1).mapInPandas(_train, "b double, w binary, v binary").collect()
+    if not got:                       # no labelled row: every score is just above one half
+        return 1e-6, np.zeros(FEATURES, np.float32), np.zeros((FEATURES, FACTORS), np.float32)
+    got = got[0]
     return got["b"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(FEATURES, FACTORS)
 
 

@@ -105,8 +105,9 @@ def quotas(draws: DataFrame, shards: int, total: int, seed: int) -> DataFrame:
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), ident))
-    return docs.withColumns({"_size": word_count(F.col("text")), "_u": F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long"),
-                             "_sk": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))})
+    return docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("_size"),
+                       F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("_u"),
+                       F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("_sk"))
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float =
     added = {"size", "source_size", "target", "draws", "taken"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     keyed = _keyed(docs, seed)
-    slim = written(keyed.select(F.col("source").cast("string").alias("source"), "doc_id", "_size", "_u", "_sk"), "sizes")
+    slim = written(keyed.drop("_doc"), "sizes")
     per = slim.groupBy("_sk").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK_DOCS))).cast("int")
     plan = targets(per.select("source", "source_size"), weights, share, most)
@@ -162,7 +163,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float =
     made = F.filter(F.transform(F.coalesce("_places", F.array().cast("array<struct<copy:int,shard:bigint>>")),
                                 lambda p: F.struct(p["copy"].alias("copy"), p["shard"].alias("shard"), take(p).alias("take"))), lambda p: p["take"] > 0)
     out = out.withColumn("draws", made).withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, p: a + p["take"]))
-    return out.withColumn("size", F.col("_size")).select(*docs.columns, "size", "source_size", "target", "draws", "taken")
+    return out.withColumn("size", F.col("_size")).select("_doc.*", "size", "source_size", "target", "draws", "taken")
 
 
 def shards(mixed: DataFrame, seed: int = 1) -> DataFrame:

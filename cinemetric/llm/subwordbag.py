@@ -209,6 +209,8 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, flo
 
 def _train(batches):
     pdf = pd.concat([*batches, pd.DataFrame({"doc_id": [], "y": [], "text": []})]).sort_values("doc_id")
+    if not len(pdf):
+        return
     value, b, empty = fit([t or "" for t in pdf["text"]], pdf["y"].to_numpy(np.int64))
     yield pd.DataFrame({"value": [value.tobytes()], "b": [b], "empty": [empty]})
 
@@ -218,7 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     labelled rows outside the held-out third, trained in one task."""
     rows = training_rows(docs.select("doc_id", "text"), labels, label, limit) \
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("long").alias("y"), F.col("text").cast("string").alias("text"))
-    got = rows.repartition(1).mapInPandas(_train, "value binary, b double, empty double").collect()[0]
+    got = rows.repartition(1).mapInPandas(_train, "value binary, b double, empty double").collect()
+    if not got:                              # no labelled row: nothing is toxic
+        return np.zeros(BUCKETS, np.float32), -3.0, -3.0
+    got = got[0]
     return np.frombuffer(got["value"], np.float32), got["b"], got["empty"]
 
 

@@ -35,7 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one with the smallest doc_id; of rows that share a doc_id the one with the
     smallest text.  Blank texts and null ids have no copies and stay."""
     groups = written(superminhash.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "groups")
-    out = docs.join(groups.where("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct(), "doc_id", "left_anti")
+    gone = groups.where("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti")       # the same plan at every size
     again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():
         again = written(again, "again")
