@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                          .join(members.select("bucket", "rep").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
                                .where("size > 1"), "bucket"), "buckets")
     wanted = in_buckets.select("rep").distinct()
-    sets = written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    sets = written(docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi")   # the same plan at every size
                    .mapInArrow(_set_blobs(k), "rep long, elements binary"), "sets")
     light = written(classes.join(wanted, "rep", "left_semi").select("rep", "n_shingles", "sig"), "light")
 
