@@ -118,14 +118,15 @@ def failure_rate(status: DataFrame) -> DataFrame:
 
 def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",
                          order: tuple[str, str] = ("cap_idx", "w_idx"),
-                         captions_per_call: int | None = 256) -> DataFrame:
+                         captions_per_call: int | None = 256, halo: int = 32) -> DataFrame:
     """Model hook for punctuation (UDF-03): ``labeller(list[str]) -> list[(word,
     punc, conf)]`` sees the words of a video in order (a punctuation model
     needs the running text).  Runs as ``applyInPandas`` per (video, run of
-    ``captions_per_call`` consecutive captions), so one long video is many
-    bounded calls - the same windowing a punctuation model applies to long
-    text itself; ``None`` gives the model each whole video in one call.  The
-    input needs ``word`` and ``time_range``; the output replaces
+    ``captions_per_call`` consecutive captions).  A run also sees the words of
+    ``halo`` captions before and after it and keeps only its own words' labels,
+    so the result equals one call over the whole video for any model whose
+    context is no longer than the halo; ``captions_per_call=None`` is that one
+    call.  The input needs ``word`` and ``time_range``; the output replaces
     word/punc/conf."""
     import pandas as pd
 
@@ -143,7 +144,14 @@ def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",
         return pdf
 
     if captions_per_call:
-        run = F.floor(F.col(order[0]) / captions_per_call).alias("_run")
-        return words.select(*cols, run).groupBy(video, "_run").applyInPandas(
-            lambda pdf: per_video(pdf.drop(columns=["_run"])), schema)
+        own, reach = F.floor(F.col(order[0]) / captions_per_call), F.lit(halo)
+        first = F.floor((F.col(order[0]) - reach) / captions_per_call)
+        last = F.floor((F.col(order[0]) + reach) / captions_per_call)
+        seen = words.select(*cols, own.alias("_own"), F.explode(F.sequence(first, last)).alias("_run"))
+
+        def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = per_video(pdf)
+            return out[out["_own"] == out["_run"]].drop(columns=["_own", "_run"])
+
+        return seen.groupBy(video, "_run").applyInPandas(per_run, schema)
     return words.select(*cols).groupBy(video).applyInPandas(per_video, schema)

@@ -1,9 +1,9 @@
 """Batch-wise contrastive losses.
 
-A batch is a group of bounded size (``batch_ids`` / ``epoch_batches`` cut the
-table into groups of exactly ``size`` rows), so its n x n logits are formed
-inside one ``applyInPandas`` call with NumPy; pairs never become rows and no
-group grows with the table.  A batch larger than ``max_batch`` is an error.
+A batch is a group (``batch_ids`` / ``epoch_batches`` cut the table into groups
+of ``size`` rows).  Its n x n logits are formed in blocks of ``TILE`` rows
+inside one ``applyInPandas`` call with running log-sum-exps, so memory grows
+with the batch, not with its square, and no batch size is refused.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_BATCH = 4096
+TILE = 1024
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -24,24 +24,41 @@ def _log_softmax(a: np.ndarray) -> np.ndarray:
     return a - _lse(a, 1)[:, None]
 
 
+def tiled_clip_loss(n: int, block) -> float:
+    """Mean of row-wise and column-wise cross-entropy with the diagonal as
+    target; ``block(lo, hi)`` gives rows lo..hi-1 of the n x n logits."""
+    row = diagonal = 0.0
+    top, total = np.full(n, -np.inf), np.zeros(n)
+    for lo in range(0, n, TILE):
+        hi = min(n, lo + TILE)
+        a = block(lo, hi)
+        row += _lse(a, 1).sum()
+        diagonal += a[np.arange(hi - lo), np.arange(lo, hi)].sum()
+        new = np.maximum(top, a.max(axis=0))
+        with np.errstate(invalid="ignore"):
+            total = total * np.where(np.isneginf(top), 0.0, np.exp(top - new)) + np.exp(a - new).sum(axis=0)
+        top = new
+    return float(((row - diagonal) / n + ((top + np.log(total)).sum() - diagonal) / n) / 2)
+
+
 def clip_loss_from_logits(logits: np.ndarray) -> float:
-    """Mean of row-wise and column-wise cross-entropy with the diagonal as target."""
-    n = logits.shape[0]
-    idx = np.arange(n)
-    row = (_lse(logits, 1) - logits[idx, idx]).mean()
-    col = (_lse(logits, 0) - logits[idx, idx]).mean()
-    return float((row + col) / 2)
-
-
-def sentiment_weights(scores: np.ndarray) -> np.ndarray:
-    """``w_ij = 1 / |KL(target_j || input_i)|`` from log-softmaxed scores;
-    diagonal 0; a zero divergence off the diagonal gives +inf."""
-    x = _log_softmax(scores)
-    y = np.exp(x)
-    kl = (y * np.log(y)).sum(1)[None, :] - x @ y.T
+    """``tiled_clip_loss`` of a whole matrix."""
+    return tiled_clip_loss(len(logits), lambda lo, hi: logits[lo:hi])
+
+
+def sentiment_weights(scores: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Rows lo..hi-1 of the inverse absolute divergences of every row's softmax
+    from the targets' ones: the divergence is the target's negative entropy
+    minus its expected log-probability under the row, both from
+    log-probabilities (an underflowing probability counts 0).  Diagonal 0; a
+    zero divergence off the diagonal gives +inf."""
+    logp = _log_softmax(scores)
+    p = np.exp(logp)
+    entropy = -np.einsum("ij,ij->i", p, logp)
+    gap = np.abs(entropy[None, :] + logp[lo:hi] @ p.T)
     with np.errstate(divide="ignore"):
-        w = 1.0 / np.abs(kl)
-    np.fill_diagonal(w, 0.0)
+        w = 1.0 / gap
+    w[np.arange(len(w)), np.arange(lo, lo + len(w))] = 0.0
     return w
 
 
@@ -50,20 +67,17 @@ def _stack(s: pd.Series) -> np.ndarray:
 
 
 def contrastive_loss(df: DataFrame, batch: str, image: str, text: str, scale: float = 1.0,
-                     sentiment: str | None = None, sentiment_scale: float = 10.0,
-                     max_batch: int = MAX_BATCH) -> DataFrame:
+                     sentiment: str | None = None, sentiment_scale: float = 10.0) -> DataFrame:
     """One row per batch: ``loss`` (and ``reweighted_loss`` when ``sentiment``
     scores are given: logits minus ``sentiment_scale`` x weights)."""
     cols = [batch, image, text] + ([sentiment] if sentiment else [])
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_batch:
-            raise ValueError(f"batch of {len(pdf)} rows exceeds {max_batch}")
-        logits = scale * _stack(pdf[image]) @ _stack(pdf[text]).T
-        out = {batch: [pdf[batch].iloc[0]], "n": [len(pdf)], "loss": [clip_loss_from_logits(logits)]}
+        x, y = scale * _stack(pdf[image]), _stack(pdf[text])
+        out = {batch: [pdf[batch].iloc[0]], "n": [len(pdf)], "loss": [tiled_clip_loss(len(pdf), lambda lo, hi: x[lo:hi] @ y.T)]}
         if sentiment:
-            w = sentiment_weights(_stack(pdf[sentiment]))
-            out["reweighted_loss"] = [clip_loss_from_logits(logits - sentiment_scale * w)]
+            s = _stack(pdf[sentiment])
+            out["reweighted_loss"] = [tiled_clip_loss(len(pdf), lambda lo, hi: x[lo:hi] @ y.T - sentiment_scale * sentiment_weights(s, lo, hi))]
         return pd.DataFrame(out)
 
     btype = dict(df.dtypes)[batch]
@@ -71,13 +85,11 @@ def contrastive_loss(df: DataFrame, batch: str, image: str, text: str, scale: fl
     return df.select(*cols).groupBy(batch).applyInPandas(per_batch, schema)
 
 
-def dissimilarity(df: DataFrame, group: str, order: str, vec: str, max_batch: int = MAX_BATCH) -> DataFrame:
+def dissimilarity(df: DataFrame, group: str, order: str, vec: str) -> DataFrame:
     """Per group: mean of ``1 - first . other`` over the other rows, the first
     row being the smallest ``order``."""
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_batch:
-            raise ValueError(f"group of {len(pdf)} rows exceeds {max_batch}")
         pdf = pdf.sort_values(order)
         m = _stack(pdf[vec])
         d = 1.0 - m[1:] @ m[0]

@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
 from .sequence import running_sum, running_sums
 
 # Frame rate and minimum clip length of the index build.
@@ -96,9 +95,9 @@ def frame_coverage_naive(clips: DataFrame, frames: DataFrame, video: str = "vide
 def attach_scores(clips: DataFrame, scores: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Inner lookup that must hit: a clip without a score raises at run time."""
     j = clips.join(scores.select(*keys, F.col(score).alias("_s")), keys, "left")
-    return j.withColumn(score, F.when(F.col("_s").isNull(),
-                                      F.raise_error(F.lit(f"missing {score} for a clip"))).otherwise(F.col("_s"))) \
-        .drop("_s")
+    # the check is a filter on the row, so it runs whatever columns are used later
+    hit = F.when(F.col("_s").isNull(), F.raise_error(F.lit(f"missing {score} for a clip")).cast("boolean")).otherwise(F.lit(True))
+    return j.where(hit).withColumn(score, F.col("_s")).drop("_s")
 
 
 def select_clips(index: DataFrame, dmin: float = 2.0, dmax: float = 10.0, text_min: int = 3,
@@ -136,7 +135,7 @@ def anti_blocklist(df: DataFrame, blocklist: DataFrame, video: str = "video_id")
     """Drop videos whose base id is listed; the list is a small fixed table."""
     bl = blocklist.select(F.col(blocklist.columns[0]).cast("string").alias("_b")).distinct()
     return (df.withColumn("_base", base_video_id(F.col(video).cast("string")))
-            .join(checked_broadcast(bl), F.col("_base") == F.col("_b"), "left_anti").drop("_base"))
+            .join(bl, F.col("_base") == F.col("_b"), "left_anti").drop("_base"))
 
 
 def valid_videos(*id_sets: DataFrame, video: str = "video_id", require: list[DataFrame] | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def ridge_predict(train: DataFrame, test: DataFrame, vec: str, labels: list[str]
 
 
 def fit_logistic(train: DataFrame, vec: str, label: str, C: float, family: str = "auto",
-                 max_iter: int = 1000, tol: float = 1e-10):
+                 max_iter: int = 2000, tol: float = 1e-10):
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (C * n),
                             elasticNetParam=0.0, standardization=False, family=family,

@@ -16,11 +16,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are given; null if one is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def regression_metrics(df: DataFrame, pred: str, true: str, by: list[str] | None = None,
                        max_r2: float | None = None) -> DataFrame:
     """MSE, RMSE, MAE, R^2 (coefficient of determination, population variance
     of the truth) and Pearson r; rows with a null in either column are dropped
-    and counted in ``n_dropped``.  ``max_r2`` adds ``r2_share`` = R^2 as a
+    and counted in ``n_dropped``; constant truth has a null R^2.  ``max_r2`` adds ``r2_share`` = R^2 as a
     percentage of a reliability ceiling."""
     p, y = _c(pred).cast("double"), _c(true).cast("double")
     ok = p.isNotNull() & y.isNotNull()
@@ -32,8 +38,8 @@ def regression_metrics(df: DataFrame, pred: str, true: str, by: list[str] | None
         F.avg(err * err).alias("mse"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
-        (F.lit(1.0) - F.avg(err * err) / F.var_pop(yy)).alias("r2"),
-        F.corr(F.when(ok, p), yy).alias("pearson_r"),
+        (F.lit(1.0) - F.try_divide(F.avg(err * err), F.var_pop(yy))).alias("r2"),
+        _pearson(F.when(ok, p), yy).alias("pearson_r"),
     ]
     out = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     if max_r2:
@@ -69,7 +75,8 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     ``n^-1/5 * sample sd``; grid from ``min - cut*bw`` to ``max + cut*bw``).
 
     Values are first reduced to (value, count) so the grid expansion works on
-    distinct values, then summed per grid point with map-side partial sums."""
+    distinct values, then summed per grid point with map-side partial sums.
+    A constant column has no bandwidth: its densities are null."""
     x = _c(column).cast("double")
     vals = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("w"))
     st = df.agg(F.struct(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"),
@@ -80,9 +87,9 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     step = (mx - mn + F.lit(2 * cut) * bw) / F.lit(points - 1)
     g = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     grid = vals.select("v", "w", g).withColumn("x", lo + F.col("i") * step)
-    k = F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("v")) / bw, 2))
+    k = F.col("w") * F.exp(F.lit(-0.5) * F.pow(F.try_divide(F.col("x") - F.col("v"), bw), 2))
     return (grid.groupBy("i", "x").agg(F.sum(k).alias("_s"))
-            .select("i", "x", (F.col("_s") / (n * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density")))
+            .select("i", "x", F.try_divide(F.col("_s"), n * bw * F.lit(math.sqrt(2 * math.pi))).alias("density")))
 
 
 # ---------------------------------------------------------------- ranking metrics
@@ -95,7 +102,7 @@ def _score_counts(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
     """Average precision per class: ``sum over thresholds of (R_k - R_k-1) * P_k``,
     thresholds at the distinct scores (equal scores are one step).  Classes
-    without positives give null (excluded from the macro mean)."""
+    without positives give 0."""
     sc = _score_counts(df, cls, label, score)
     # prefix sums per class in descending score, two-level over range chunks
     # (a class has as many rows as distinct scores; few classes, many scores)
@@ -103,7 +110,7 @@ def average_precision(df: DataFrame, cls: str, label: str, score: str) -> DataFr
     # chunk-total table), so no join on the few-valued class key is needed
     cum = running_sums(sc, [cls], [F.col(score).desc()], {"ctp": "tp", "cn": "nn"}, chunk=RANGE,
                        key_totals=True).select(cls, "tp", "ctp", "cn", F.col("ctp_total").alias("P"))
-    return cum.groupBy(cls).agg(F.sum(F.col("tp") / F.col("P") * F.col("ctp") / F.col("cn")).alias("ap"),
+    return cum.groupBy(cls).agg(F.coalesce(F.sum(F.try_divide(F.col("tp"), F.col("P")) * F.col("ctp") / F.col("cn")), F.lit(0.0)).alias("ap"),
                                 F.first("P").alias("n_pos"))
 
 
@@ -155,8 +162,8 @@ def per_dimension_metrics(df: DataFrame, pred: str, true: str) -> DataFrame:
     """MSE, Pearson r and R^2 per output dimension of two aligned arrays."""
     z = df.select(F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(true).alias("y"))).alias("dim", "pv"))
     p, y = F.col("pv.p"), F.col("pv.y")
-    return z.groupBy("dim").agg(F.avg((p - y) * (p - y)).alias("mse"), F.corr(p, y).alias("pearson_r"),
-                                (F.lit(1.0) - F.avg((p - y) * (p - y)) / F.var_pop(y)).alias("r2"))
+    return z.groupBy("dim").agg(F.avg((p - y) * (p - y)).alias("mse"), _pearson(p, y).alias("pearson_r"),
+                                (F.lit(1.0) - F.try_divide(F.avg((p - y) * (p - y)), F.var_pop(y))).alias("r2"))
 
 
 def affect_metrics(df: DataFrame, pred: str, true: str) -> DataFrame:

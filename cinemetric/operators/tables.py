@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
 from .sequence import global_row_index
 
 # The 26 movie-clip emotion categories (multi-hot order).
@@ -46,7 +45,7 @@ def apply_corrections(df: DataFrame, drops: DataFrame | None, patches: DataFrame
         if unmatched.limit(1).count():
             raise ValueError("a patch correction matches no row")
         p = patches.select(*keys, F.col(patch_col).alias("_patch"))
-        out = out.join(checked_broadcast(p), keys, "left").withColumn(patch_col, F.coalesce("_patch", F.col(patch_col))) \
+        out = out.join(p, keys, "left").withColumn(patch_col, F.coalesce("_patch", F.col(patch_col))) \
             .drop("_patch")
     return out
 
@@ -70,7 +69,7 @@ def audit_nulls(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
 def audit_clips(clips: DataFrame, totals: DataFrame, movie: str, length: int = 8, max_label: int = 7) -> DataFrame:
     """Clip bounds audit (FLT-11): clips whose length, label position or end
     does not fit; an empty result means every clip is sound."""
-    j = clips.join(checked_broadcast(totals), movie)   # one row per movie
+    j = clips.join(totals, movie)   # one row per movie
     bad = ((F.col("end_frame") - F.col("start_frame") != length) | (F.col("label_frame") < 0)
            | (F.col("label_frame") > max_label) | (F.col("end_frame") > F.col("total")))
     return j.where(bad)
@@ -120,9 +119,9 @@ def positional_join(left: DataFrame, right: DataFrame, order_left: list[str], or
 
 def label_index(df: DataFrame, label: str, classes: DataFrame, name: str = "name", idx: str = "class_id") -> DataFrame:
     """Label name -> index through a small class table; an unknown name is an error (SC-27)."""
-    j = df.join(checked_broadcast(classes.select(F.col(name).alias(label), F.col(idx).alias("_i"))), label, "left")
-    return j.withColumn(idx, F.when(F.col("_i").isNull(), F.raise_error(F.concat(F.lit("unknown label "), F.col(label))))
-                        .otherwise(F.col("_i"))).drop("_i")
+    j = df.join(classes.select(F.col(name).alias(label), F.col(idx).alias("_i")), label, "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("boolean")
+    return j.where(F.when(F.col("_i").isNull(), unknown).otherwise(F.lit(True))).withColumn(idx, F.col("_i")).drop("_i")
 
 
 def multi_hot(names: Column, classes: list[str] = MOVIE_CLASSES) -> Column:
@@ -133,7 +132,7 @@ def multi_hot(names: Column, classes: list[str] = MOVIE_CLASSES) -> Column:
 def nearest_category(words: DataFrame, word_map: DataFrame, word: str = "word") -> DataFrame:
     """Word -> category through a (category, words array) map table (SC-28)."""
     flat = word_map.select(F.col("category"), F.explode("words").alias(word))
-    return words.join(checked_broadcast(flat), word, "left")
+    return words.join(flat, word, "left")
 
 
 def label_score(scores: Column, label: str = "neutral") -> Column:

@@ -86,24 +86,24 @@ FROM c"""
 def q_translated_expressions(spark, sf):
     """Language routing with the translation hook as a lookup table (UDF-02):
     English rows pass unchanged; other rows take the cleaned translation when
-    the table has one (here for every third document: its first 60
-    characters stand in for the model output) and keep their text otherwise."""
+    the table has one (here the whole text of each non-English document stands
+    in for the model output); a failed row keeps its text as ``unknown``."""
     from .concreteness import translate
     e = P.p_expr(spark, sf).dropna(subset=["text"])
     docs = read_table(spark, sf, "documents")
-    lookup = docs.where((F.col("lang") != "en") & (F.col("doc_id") % 3 == 0)).select(
-        "lang", "text", F.substring("text", 1, 60).alias("translation"))
+    lookup = docs.where(F.col("lang") != "en").select(
+        "lang", "text", F.col("text").alias("translation"))
     t = translate(e, "text", "lang", lookup)
     return t.select("id", "Detected_Language", "English_Translation", "was_translated")
 
 
 SQL_TRANSLATED_EXPRESSIONS = P.with_ctes(P.P_EXPR_SQL) + f"""
-, lk AS (SELECT lang, text, min({_clean_sql('substring(text, 1, 60)')}) AS tr FROM documents
-         WHERE lang <> 'en' AND doc_id % 3 = 0 GROUP BY lang, text)
+, lk AS (SELECT lang, text, min({_clean_sql('text')}) AS tr FROM documents
+         WHERE lang <> 'en' GROUP BY lang, text)
 , j AS (SELECT e.id, e.text, coalesce(e.lang, 'unknown') AS Detected_Language, lk.tr
         FROM p_expr e LEFT JOIN lk ON lk.lang = coalesce(e.lang, 'unknown') AND lk.text = e.text
         WHERE e.text IS NOT NULL)
-SELECT id, Detected_Language,
+SELECT id, CASE WHEN Detected_Language <> 'en' AND tr IS NULL THEN 'unknown' ELSE Detected_Language END AS Detected_Language,
        CASE WHEN Detected_Language = 'en' OR tr IS NULL THEN text ELSE tr END AS English_Translation,
        Detected_Language <> 'en' AND tr IS NOT NULL AS was_translated FROM j"""
 

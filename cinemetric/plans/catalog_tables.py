@@ -146,15 +146,15 @@ WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 <= 8)"""
 
 
 def q_word_dedupe(spark, sf):
-    """Per document: words, distinct words kept in first-seen order (SET-06,
-    first three shown) and whether any word repeats (SET-07)."""
+    """Per document: words, distinct words kept in first-seen order (SET-06)
+    and whether any word repeats (SET-07)."""
     from ..functions import text as TX
     d = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").isNotNull())
     w = d.select("doc_id", TX.words("text").alias("w"))
     u = w.select("doc_id", "w", TB.dedupe_keep_first(F.col("w")).alias("u"))
     return u.select("doc_id", F.size("w").alias("n_words"), F.size("u").alias("n_distinct"),
                     TB.has_duplicate_rows(F.col("w")).alias("has_duplicates"),
-                    F.slice("u", 1, 3).alias("first_distinct"))
+                    F.col("u").alias("distinct_words"))
 
 
 SQL_WORD_DEDUPE = """
@@ -163,11 +163,11 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambd
 , x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d)
 , f AS (SELECT doc_id, word, min(i) AS i FROM x GROUP BY doc_id, word)
 , r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f)
-, t AS (SELECT doc_id, count(*) AS n_distinct, list(word ORDER BY k) FILTER (WHERE k <= 3) AS first_distinct
+, t AS (SELECT doc_id, count(*) AS n_distinct, list(word ORDER BY k) AS distinct_words
         FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS INTEGER) AS n_words, CAST(coalesce(t.n_distinct, 0) AS INTEGER) AS n_distinct,
        len(d.w) <> coalesce(t.n_distinct, 0) AS has_duplicates,
-       coalesce(t.first_distinct, CAST([] AS VARCHAR[])) AS first_distinct
+       coalesce(t.distinct_words, CAST([] AS VARCHAR[])) AS distinct_words
 FROM d LEFT JOIN t USING (doc_id)"""
 
 

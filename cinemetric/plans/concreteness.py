@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.encoders import HashingEncoder, encode_column
 from ..operators import scoring as S
 from ..operators.regressor import Regressor, predict_column
-from ..session import checked_broadcast, cut_lineage
+from ..session import cut_lineage
 from . import proxies as P
 
 OUTPUT_COLUMNS = ["Predicted_Concreteness", "English_Translation", "Detected_Language",
@@ -46,8 +46,9 @@ class TextEmbedder:
 def translate(df: DataFrame, text: str, lang: str | None, lookup: DataFrame | None) -> DataFrame:
     """Language routing (UDF-02 default): English rows pass unchanged; other rows
     take their translation from ``lookup(lang, text, translation)`` cleaned by
-    ``clean_translation``; rows without a translation keep their text and are
-    marked not translated."""
+    ``clean_translation``; rows without a translation (the model's failure rule) keep
+    their text, are marked not translated and their language becomes
+    ``unknown``."""
     lang_col = F.col(lang) if lang else F.lit("en")
     df = df.withColumn("Detected_Language", F.coalesce(lang_col, F.lit("unknown")))
     if lookup is None:
@@ -57,10 +58,11 @@ def translate(df: DataFrame, text: str, lang: str | None, lookup: DataFrame | No
     lk = (lookup.select(F.col("lang").alias("_l"), F.col("text").alias("_t"),
                         T.clean_translation("translation").alias("_tr"))
           .groupBy("_l", "_t").agg(F.min("_tr").alias("_tr")))
-    j = df.join(checked_broadcast(lk), (F.col("Detected_Language") == F.col("_l")) & (F.col(text) == F.col("_t")), "left")
+    j = df.join(lk, (F.col("Detected_Language") == F.col("_l")) & (F.col(text) == F.col("_t")), "left")
     is_en = F.col("Detected_Language") == "en"
     return (j.withColumn("English_Translation", F.when(is_en | F.col("_tr").isNull(), F.col(text)).otherwise(F.col("_tr")))
             .withColumn("was_translated", ~is_en & F.col("_tr").isNotNull())
+            .withColumn("Detected_Language", F.when(is_en | F.col("_tr").isNotNull(), F.col("Detected_Language")).otherwise("unknown"))
             .drop("_l", "_t", "_tr"))
 
 

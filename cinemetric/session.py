@@ -2,7 +2,7 @@
 
 Nothing here hides Spark: these are the settings a Spark user would put in
 ``spark-defaults.conf`` for this workload, plus two guards the library relies
-on everywhere (checkpoint directory and checked broadcasts).
+on everywhere (checkpoint directory, package shipping).
 """
 
 from __future__ import annotations
@@ -11,13 +11,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest number of rows we are willing to broadcast for a side whose size is
-# data dependent.  Above it the join is left to the planner (sort-merge or
-# shuffled hash join, or a runtime broadcast picked by AQE from real sizes).
-DEFAULT_BROADCAST_ROWS = 200_000
-
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "cinemetric") -> SparkSession:
@@ -25,12 +18,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = str(shuffle_partitions or os.environ.get("CINEMETRIC_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("CINEMETRIC_SHUFFLE_PARTITIONS")
+    if parts:                         # else the cluster's own setting holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -55,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cinemetric-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -69,17 +65,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Bounded probe: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise the plain
-    DataFrame so the planner shuffles (or AQE broadcasts from runtime stats)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when a scan yields fewer partitions than
     the cluster has cores (e.g. one large row group); CPU-heavy per-row text

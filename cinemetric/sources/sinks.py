@@ -52,12 +52,11 @@ def write_scores(scores: DataFrame, path: str, video: str, order: str, score: st
 
 
 def feature_cache(spark: SparkSession, path: str, build, refresh: bool = False) -> DataFrame:
-    """Write features once, reuse them afterwards (SNK-05)."""
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - missing cache
-            pass
+    """Write features once, reuse them afterwards (SNK-05).  Only a folder with
+    its success marker is a cache; a half-written one is built anew."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not refresh and marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

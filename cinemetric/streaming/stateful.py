@@ -81,8 +81,8 @@ def every_nth_batchwise(events: DataFrame, key: str, order: list[str], n: int, o
     q.awaitTermination()
 
 def latest_per_source(events: DataFrame, key: str, ts: str, payload: list[str]) -> DataFrame:
-    """Last event per source by time (update-mode streaming aggregation)."""
-    return events.groupBy(key).agg(F.max_by(F.struct(*payload), ts).alias("latest"), F.max(ts).alias("last_ts"))
+    """Last event per source by time, ties by the payload's columns (update-mode streaming aggregation)."""
+    return events.groupBy(key).agg(F.max_by(F.struct(*payload), F.struct(ts, *payload)).alias("latest"), F.max(ts).alias("last_ts"))
 
 
 def rolling_mean_stream(events: DataFrame, key: str, order: list[str], value: str, id_col: str,

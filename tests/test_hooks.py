@@ -25,7 +25,7 @@ def test_punctuation_hook(spark):
         return [(w, "." if i % 2 else "0", 0.9) for i, w in enumerate(ws)]
 
     lab = C.label_words_by_video(words, model)
-    sent = C.regroup(lab).collect()
+    sent = C.regroup(lab).orderBy("video_id", "sent_idx").collect()
     assert [r["text"] for r in sent] == ["how are", "you fine"]
 
 
