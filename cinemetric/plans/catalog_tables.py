@@ -77,15 +77,14 @@ SQL_BINARIZE = "SELECT event_id, CAST(value >= 10.0 AS INTEGER) AS v FROM events
 
 def q_set_checks(spark, sf):
     """Intersection size, union size, concatenation size and subset test of
-    caption videos vs boxed-frame videos in one grouped pass (no joins)."""
-    cap = P.p_caption(spark, sf).select("video_id", F.lit("c").alias("src"))
-    boxed = P.p_frame(spark, sf).where("has_box").select("video_id", F.lit("b").alias("src"))
-    per = (TB.concat_tables(cap, boxed).groupBy("video_id")
-           .agg(F.max((F.col("src") == "c").cast("int")).alias("in_c"),
-                F.max((F.col("src") == "b").cast("int")).alias("in_b"), F.count(F.lit(1)).alias("rows")))
-    return per.agg(F.count_if((F.col("in_c") == 1) & (F.col("in_b") == 1)).alias("n_intersect"),
-                   F.count(F.lit(1)).alias("n_union"), F.sum("rows").alias("n_concat"),
-                   (F.count_if((F.col("in_c") == 1) & (F.col("in_b") == 0)) == 0).alias("is_subset"))
+    caption videos and boxed-frame videos."""
+    cap = P.p_caption(spark, sf).select("video_id")
+    boxed = P.p_frame(spark, sf).where("has_box").select("video_id")
+    count = F.count(F.lit(1))
+    return TB.concat_tables(cap, boxed).agg(count.alias("n_concat")).select(
+        TB.intersection_size(cap, boxed, "video_id").scalar().alias("n_intersect"),
+        TB.union_ids(cap, boxed, col="video_id").agg(count.alias("n")).scalar().alias("n_union"), "n_concat",
+        F.lit(TB.is_subset(cap, boxed, "video_id")).alias("is_subset"))
 
 
 SQL_SET_CHECKS = P.with_ctes(P.P_CAPTION_SQL, P.P_FRAME_SQL) + """
