@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import (catalog_batches, catalog_frames, catalog_index, catalog_io, catalog_models, catalog_predictor,
+from . import (catalog_batches, catalog_files, catalog_frames, catalog_index, catalog_io, catalog_models, catalog_predictor,
                catalog_stream, catalog_tables, catalog_vectors)
 
 CATALOGS = [catalog_predictor, catalog_index, catalog_vectors, catalog_frames, catalog_batches, catalog_models,
-            catalog_io, catalog_stream, catalog_tables]
+            catalog_io, catalog_files, catalog_stream, catalog_tables]
 
 
 def registry() -> dict:
