@@ -150,15 +150,39 @@ def normalize_whitespace(c) -> Column:
     return F.lower(py_strip(F.regexp_replace(_col(c), _WS, " ")))
 
 
-def tokens(c) -> Column:
-    """Tokeniser split: contractions, letter runs, single digits, other runs."""
-    return F.regexp_extract_all(_col(c), F.lit(TOKEN_PATTERN), 0)
+def tokens(c, specials: tuple[str, ...] = ()) -> Column:
+    """Tokeniser split: special tokens (kept whole), contractions, letter runs,
+    single digits, other runs."""
+    whole = "".join(f"\\Q{t}\\E|" for t in specials)
+    return F.regexp_extract_all(_col(c), F.lit(TOKEN_PATTERN.replace("(?i)", f"(?i){whole}", 1)), 0)
+
+
+def _fixed_point(x: Column, decimals: int) -> Column:
+    """A finite double with ``decimals`` places, rounded half-even on its exact
+    binary value.  The fraction times 2**52 is exact (and whole from |x| = 1
+    on), so the remainder of an integer division by 2**52 decides."""
+    unit, ten = 1 << 52, 10 ** decimals
+    whole = F.floor(F.abs(x))
+    scaled = (F.abs(x) - whole) * F.lit(float(unit))
+    n = F.floor(scaled)
+    more = F.floor((scaled - n) * ten)                  # bits below 2**-52, only for |x| < 1
+    total = n * ten + more
+    q = F.shiftright(total, 52)
+    rest = total - F.shiftleft(q, 52)
+    beyond = (scaled - n) * ten > more
+    up = (rest > unit // 2) | ((rest == unit // 2) & (beyond | (q % 2 == 1)))
+    v = whole * ten + q + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    digits = F.concat(((v - v % ten) / F.lit(ten)).cast("bigint").cast("string"), F.lit("."), F.lpad((v % ten).cast("string"), decimals, "0"))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), digits)
 
 
 def format_scores(c, decimals: int = 2, sep: str = ";") -> Column:
-    """Array of doubles as ``%.2f`` values joined by ``;`` (Java formatting:
-    half-up on the shortest decimal form)."""
-    return F.array_join(F.transform(_col(c), lambda x: F.format_string(f"%.{decimals}f", x)), sep)
+    """Array of doubles as ``%.2f`` values joined by ``;``, rounded as Python
+    does (half-even on the binary value); 1 to 3 decimals."""
+    if not 1 <= decimals <= 3:
+        raise ValueError("format_scores takes 1 to 3 decimals")
+    return F.array_join(F.transform(_col(c), lambda x: F.when(F.isnan(x) | (F.abs(x) > 1e12), F.format_string(f"%.{decimals}f", x))
+                                    .otherwise(_fixed_point(x, decimals))), sep)
 
 
 def fill_template(template, name) -> Column:

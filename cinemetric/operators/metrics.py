@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,22 +76,36 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     """Gaussian kernel density on an even grid (Scott bandwidth
     ``n^-1/5 * sample sd``; grid from ``min - cut*bw`` to ``max + cut*bw``).
 
-    Values are first reduced to (value, count) so the grid expansion works on
-    distinct values, then summed per grid point with map-side partial sums.
-    A constant column has no bandwidth: its densities are null."""
+    The statistics are one row; then every task adds up the kernels of its rows
+    at the grid points, batch by batch, and hands on one row per point, so
+    nothing but ``points`` partial sums a task is shuffled.  A constant column
+    has no bandwidth: its densities are null."""
     x = _c(column).cast("double")
-    vals = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    st = df.agg(F.struct(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"),
-                         F.max(x).alias("mx")).alias("s")).scalar()
-    n, sd, mn, mx = (st[c] for c in ("n", "sd", "mn", "mx"))
-    bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
-    lo = mn - F.lit(cut) * bw
-    step = (mx - mn + F.lit(2 * cut) * bw) / F.lit(points - 1)
-    g = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    grid = vals.select("v", "w", g).withColumn("x", lo + F.col("i") * step)
-    k = F.col("w") * F.exp(F.lit(-0.5) * F.pow(F.try_divide(F.col("x") - F.col("v"), bw), 2))
-    return (grid.groupBy("i", "x").agg(F.sum(k).alias("_s"))
-            .select("i", "x", F.try_divide(F.col("_s"), n * bw * F.lit(math.sqrt(2 * math.pi))).alias("density")))
+    vals = df.where(x.isNotNull()).select(x.alias("v"))
+    st = vals.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
+    schema = "i int, x double, s double"
+    n, bw = st["n"], (st["sd"] or 0.0) * st["n"] ** -0.2 if st["n"] else 0.0
+    if not n:
+        return df.sparkSession.createDataFrame([], "i int, x double, density double")
+    lo = st["mn"] - cut * bw
+    grid = lo + np.arange(points) * (st["mx"] - st["mn"] + 2 * cut * bw) / (points - 1)
+
+    def kernels(batches):
+        total = np.zeros(points)
+        for b in batches:
+            v = b["v"].to_numpy()
+            for at in range(0, len(v), 1024):
+                total += np.exp(-0.5 * ((grid[:, None] - v[at:at + 1024]) / bw) ** 2).sum(axis=1)
+        yield pd.DataFrame({"i": np.arange(points, dtype=np.int32), "x": grid, "s": total})
+
+    def no_kernels(batches):
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"i": np.arange(points, dtype=np.int32), "x": grid, "s": np.full(points, np.nan)})
+
+    sums = vals.mapInPandas(kernels if bw else no_kernels, schema).groupBy("i", "x").agg(F.sum("s").alias("s"))
+    scale = F.lit(float(n * bw * math.sqrt(2 * math.pi)))
+    return sums.select("i", "x", F.when(F.lit(bool(bw)), F.try_divide(F.col("s"), scale)).alias("density"))
 
 
 # ---------------------------------------------------------------- ranking metrics

@@ -57,6 +57,24 @@ class Regressor:
         h2 = np.maximum(h1 @ p["w2"] + p["b2"], 0)
         return (h2 @ p["w3"] + p["b3"])[:, 0]
 
+    def hidden_left(self, left: np.ndarray) -> np.ndarray:
+        """First-layer share of the leading input columns (reused for every
+        right half these are paired with)."""
+        p, d = self.params, left.shape[1]
+        return ((left - p["scale_mean"][:d]) / p["scale_sd"][:d]) @ p["w1"][:d]
+
+    def forward_pairs(self, left: np.ndarray, ids: np.ndarray, right: np.ndarray, step: int = 8192) -> np.ndarray:
+        """``forward`` of the rows (left vector ``ids[i]``, right vector), with
+        ``left`` from ``hidden_left``; ``step`` rows are held at once."""
+        p, d = self.params, len(self.params["scale_mean"]) - len(right)
+        share = ((right - p["scale_mean"][d:]) / p["scale_sd"][d:]) @ p["w1"][d:] + p["b1"]
+        out = np.empty(len(ids))
+        for lo in range(0, len(ids), step):
+            h1 = np.maximum(left[ids[lo:lo + step]] + share, 0)
+            h2 = np.maximum(h1 @ p["w2"] + p["b2"], 0)
+            out[lo:lo + step] = (h2 @ p["w3"] + p["b3"])[:, 0]
+        return out
+
     def grads(self, x: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
         """Sum (not mean) of squared-error gradients over the rows."""
         p = self.params

@@ -1,9 +1,9 @@
 """Byte-level BPE tokenisation as a Spark job (SC-06..SC-10, UDF-07).
 
 text -> clean (entity unescape, whitespace collapse, lower) -> token split
-(JVM regex) -> each *distinct* token is byte-mapped and merged once (Arrow
-pandas UDF with the merge ranks broadcast) -> joined back -> ids in token
-order -> fixed-length context window.
+(JVM regex, special tokens whole) -> byte mapping and merges (Arrow pandas UDF
+on the token array, each worker remembering the tokens it has merged) -> ids in
+token order -> fixed-length context window.  No step shuffles.
 
 The merge table is an input (the reference ships none); the vocabulary is
 derived from it by the usual rule: 256 byte symbols, the same with the
@@ -91,37 +91,59 @@ def clean_text(col: Column | str, unescape: bool = True) -> Column:
     return normalize_whitespace(c)
 
 
+CACHED_TOKENS = 200_000     # merged tokens a worker remembers
+
+
+class _Merger:
+    """Token -> ids with a bounded memory of the tokens met before."""
+
+    def __init__(self, merges: list[tuple[str, str]], variant: str):
+        self.vocab = build_vocab(merges, variant)
+        self.ranks = {tuple(m): i for i, m in enumerate(merges)}
+        self.symbols = byte_symbols()
+        self.specials = {t: [self.vocab[t]] for t in SPECIALS[variant]}
+        self.known = dict(self.specials)
+
+    def ids(self, token: str) -> list[int]:
+        got = self.known.get(token)
+        if got is None:
+            mapped = [self.symbols[b] for b in token.encode("utf-8")]
+            mapped[-1] += END_OF_WORD
+            got = [self.vocab[p] for p in bpe_word(mapped, self.ranks)]
+            if len(self.known) >= CACHED_TOKENS:
+                self.known = dict(self.specials)
+            self.known[token] = got
+        return got
+
+
 def token_ids(spark: SparkSession, tokens_df: DataFrame, merges: list[tuple[str, str]],
               variant: str = "clip") -> DataFrame:
     """(token) distinct rows -> (token, ids array<int>)."""
-    vocab = build_vocab(merges, variant)
-    ranks = {tuple(m): i for i, m in enumerate(merges)}
-    bc = spark.sparkContext.broadcast((vocab, ranks, byte_symbols()))
+    distinct = tokens_df.select("token").distinct()
+    return distinct.select("token", merged_ids(spark, F.array("token"), merges, variant).alias("ids"))
+
+
+def merged_ids(spark: SparkSession, token_arrays: Column, merges: list[tuple[str, str]], variant: str = "clip") -> Column:
+    """Array of tokens -> flat array of ids, in token order.  A worker merges a
+    token once and remembers it, so nothing is shuffled by token."""
+    bc = spark.sparkContext.broadcast((merges, variant))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        voc, rk, syms = bc.value
+        merger = _Merger(*bc.value)
         for s in batches:
-            out = []
-            for tok in s.tolist():
-                mapped = [syms[b] for b in tok.encode("utf-8")]
-                mapped[-1] = mapped[-1] + END_OF_WORD
-                out.append([voc[p] for p in bpe_word(mapped, rk)])
-            yield pd.Series(out)
+            yield pd.Series([None if toks is None else [i for t in toks for i in merger.ids(t)] for toks in s], dtype=object)
 
-    return tokens_df.select("token").distinct().select("token", _bpe("token").alias("ids"))
+    return _bpe(token_arrays)
 
 
 def encode_texts(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]], variant: str = "clip",
                  unescape: bool = True) -> DataFrame:
-    """(key, ids array<int>) without special tokens, in token order."""
-    spark = df.sparkSession
-    toks = df.select(key, F.posexplode(split_tokens(clean_text(text, unescape))).alias("tpos", "token"))
-    ids = token_ids(spark, toks, merges, variant)
-    joined = toks.join(ids, "token")
-    per_text = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tpos", "ids"))).alias("_t"))
-    seq = per_text.select(key, F.flatten(F.transform("_t", lambda s: s["ids"])).alias("ids"))
-    return df.select(key).join(seq, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """(key, ids array<int>) without start and end ids, in token order; a null
+    text has no ids.  Map-only: one row in, one row out."""
+    toks = split_tokens(clean_text(text, unescape), SPECIALS[variant])
+    ids = merged_ids(df.sparkSession, toks, merges, variant)
+    return df.select(key, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def context_window(ids: Column, sot: int, eot: int, length: int = CONTEXT_LENGTH, mode: str = "error") -> Column:

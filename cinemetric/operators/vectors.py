@@ -1,9 +1,8 @@
 """Vector-table operators: per-dimension statistics, class prototypes,
 item x class scoring, ranking and zero-shot classification.
 
-Per-dimension work is ``posexplode`` + grouped aggregation, so partial
-aggregation happens map-side and the shuffle carries (key, dim) partial
-sums only.  Item x class scoring never forms pairs as rows: the class matrix
+Per-dimension statistics are ``posexplode`` + grouped aggregation; mean vectors
+are one vector aggregate per key, so partial aggregation happens map-side.  Item x class scoring never forms pairs as rows: the class matrix
 (size checked, bounded by the number of classes) is a scalar subquery that
 Spark evaluates once and ships with the tasks; each item row computes its
 score array in place.
@@ -15,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +33,6 @@ def explode_dims(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vec).alias("dim", "x"))
 
 
-def collect_dims(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """(keys, dim, value) rows back to one ``array<double>`` per key (dim order)."""
-    return (df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", value))).alias("_a"))
-            .select(*keys, F.transform("_a", lambda s: s[value]).alias(out)))
-
-
 def scaler_fit(df: DataFrame, vec: str) -> DataFrame:
     """Per-dimension mean and population sd (sd 0 -> 1): rows (dim, mean, sd)."""
     return (explode_dims(df, [], vec).groupBy("dim")
@@ -57,11 +52,13 @@ def scaler_apply(df: DataFrame, vec: str, stats: DataFrame, out: str | None = No
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "mean_vec",
                  normalize_input: bool = False, normalize_output: bool = False) -> DataFrame:
-    """Per-key mean vector (temporal mean of frames, class prototype of prompts)."""
-    v = V.l2_normalize(vec) if normalize_input else F.col(vec)
-    means = (df.select(*keys, F.posexplode(v).alias("dim", "x")).groupBy(*keys, "dim")
-             .agg(F.avg("x").alias("m")))
-    res = collect_dims(means, keys, "m", out)
+    """Per-key mean vector (temporal mean of frames, class prototype of prompts):
+    one vector aggregate, so a task hands on one partial sum per key.  Null
+    vectors are left out."""
+    v = (V.l2_normalize(vec) if normalize_input else F.col(vec)).cast("array<double>")
+    mean = vector_to_array(Summarizer.mean(F.col("_v")))
+    res = (df.select(*keys, v.alias("_a")).where("_a is not null").select(*keys, array_to_vector("_a").alias("_v"))
+           .groupBy(*keys).agg(mean.alias(out)))
     return res.withColumn(out, V.l2_normalize(out)) if normalize_output else res
 
 

@@ -4,12 +4,14 @@ post-editing, score post-processing and metrics.  Each entry is
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators.quantiles import exact_quantile
+from ..operators.regressor import Regressor
 from ..session import read_table
 from . import proxies as P
 
@@ -268,8 +270,88 @@ def q_expression_predictions(spark, sf):
     return flagship(spark, sf).select("id", *OUTPUT_COLUMNS)
 
 
+class CountingEncoder:
+    """Two numbers per text: its length against ``cap`` and its share of
+    ``letter``; DuckDB can compute both."""
+    dim = 2
+
+    def __init__(self, cap: int, letter: str):
+        self.cap, self.letter = cap, letter
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([[min(len(t), self.cap) / self.cap, t.count(self.letter) / (len(t) + 1)] for t in texts], float).reshape(-1, 2)
+
+
+def _linear_network(bias: float, weights: list[float]) -> Regressor:
+    """A regressor whose output on non-negative inputs is
+    ``bias + sum(weights * inputs)`` (non-negative weights)."""
+    net = Regressor.init(len(weights))
+    p = {k: np.zeros_like(v) for k, v in net.params.items()}
+    p["scale_sd"] += 1
+    for i, w in enumerate(weights):
+        p["w1"][i, i], p["w2"][i, 0] = 1.0, w
+    p["w3"][0, 0], p["b3"][0] = 1.0, bias
+    return Regressor(p)
+
+
+# inputs: base length, base letter share, affect length, affect letter share
+SINGLE_NET = (1.2, [3.0, 2.0, 0.7, 4.0])
+MULTI_NET = (1.0, [4.5, 1.0, 0.2, 2.0])
+
+
+def q_expression_scores(spark, sf):
+    """The flagship plan end to end on the expression proxy (routes, lookup
+    with the failure rule, word scores given their sentence, normalisation,
+    tail smoothing) with counting encoders and a network that DuckDB can
+    recompute.  The lookup has no translations from one language."""
+    from .concreteness import TextEmbedder, predict_expressions
+    docs = read_table(spark, sf, "documents")
+    lookup = docs.where(~F.col("lang").isin("en", UNSERVED_LANGUAGE)).select("lang", "text", F.col("text").alias("translation"))
+    out = predict_expressions(
+        P.p_expr(spark, sf), "id", "text", "lang", single_model=_linear_network(*SINGLE_NET), multi_model=_linear_network(*MULTI_NET),
+        embedder=TextEmbedder(CountingEncoder(24, "e"), CountingEncoder(600, "a")), lookup=lookup)
+    return out.select("id", "Detected_Language", "Model_Used", "Is_Multiword", "Is_Sentence",
+                      F.round("Predicted_Concreteness", R6).alias("score"),
+                      F.size(F.split("Per_Word_Predictions", ";")).alias("n_word_scores"))
+
+
+UNSERVED_LANGUAGE = "de"
+
+
+def _net_sql(net, base: str, affect: str) -> str:
+    def two(t, cap, letter):
+        return [f"least(length({t}), {cap}) / {cap}.0", f"(length({t}) - length(replace({t}, '{letter}', ''))) / (length({t}) + 1.0)"]
+    terms = [f"{w} * ({x})" for w, x in zip(net[1], two(base, 24, "e") + two(affect, 600, "a"))]
+    return f"greatest(1.0, least(5.0, CAST({net[0]} + {' + '.join(terms)} AS DOUBLE)))"
+
+
+SQL_EXPRESSION_SCORES = P.with_ctes(P.P_EXPR_SQL) + f"""
+, lk AS (SELECT lang, text, min({_clean_sql('text')}) AS tr FROM documents
+         WHERE lang NOT IN ('en', '{UNSERVED_LANGUAGE}') GROUP BY lang, text)
+, j AS (SELECT e.id, coalesce(e.lang, 'unknown') AS lang, lk.tr,
+               CASE WHEN coalesce(e.lang, 'unknown') = 'en' OR lk.tr IS NULL THEN e.text ELSE lk.tr END AS t
+        FROM p_expr e LEFT JOIN lk ON lk.lang = coalesce(e.lang, 'unknown') AND lk.text = e.text WHERE e.text IS NOT NULL)
+, b AS (SELECT id, CASE WHEN lang <> 'en' AND tr IS NULL THEN 'unknown' ELSE lang END AS Detected_Language, t,
+               {_words_sql('t')} AS ws FROM j)
+, r AS (SELECT *, CASE WHEN len(ws) > 8 THEN 'Sentence' WHEN len(ws) > 1 THEN 'Multiword' ELSE 'Single-word' END AS Model_Used FROM b)
+, ph AS (SELECT id, Model_Used, CASE WHEN Model_Used = 'Single-word' THEN {_net_sql(SINGLE_NET, 't', 't')}
+                                     ELSE {_net_sql(MULTI_NET, 't', 't')} END AS p FROM r WHERE Model_Used <> 'Sentence')
+, st AS (SELECT Model_Used, avg(p) AS mu, stddev_samp(p) AS sd FROM ph GROUP BY 1)
+, w AS (SELECT id, t, unnest(ws) AS word FROM r WHERE Model_Used = 'Sentence')
+, wp AS (SELECT id, {_net_sql(SINGLE_NET, 'word', 't')} AS p FROM w)
+, ws AS (SELECT avg(p) AS mu, stddev_samp(p) AS sd FROM wp)
+, z AS (SELECT id, CASE WHEN sd IS NULL OR sd = 0 THEN 3.0 ELSE (p - mu) / sd + 3.0 END AS p FROM ph JOIN st USING (Model_Used)
+        UNION ALL SELECT id, avg(CASE WHEN sd IS NULL OR sd = 0 THEN 3.0 ELSE (p - mu) / sd + 3.0 END) FROM wp, ws GROUP BY id)
+, q AS (SELECT quantile_cont(p, 0.9) AS t FROM z)
+SELECT r.id, Detected_Language, Model_Used, len(ws) > 1 AS Is_Multiword, len(ws) > 8 AS Is_Sentence,
+       round(greatest(1.0, least(5.0, CASE WHEN q.t >= 5 THEN z.p WHEN z.p > q.t THEN z.p * (1 - 0.1 * (z.p - q.t) / (5 - q.t)) ELSE z.p END)), 6) AS score,
+       CAST(CASE WHEN Model_Used = 'Sentence' THEN len(ws) ELSE 1 END AS INTEGER) AS n_word_scores
+FROM r JOIN z USING (id), q"""
+
+
 QUERIES = {
     "expression_predictions": (q_expression_predictions, None),
+    "expression_scores": (q_expression_scores, SQL_EXPRESSION_SCORES),
     "expression_routes": (q_expression_routes, SQL_EXPRESSION_ROUTES),
     "route_counts": (q_route_counts, SQL_ROUTE_COUNTS),
     "clean_translation": (q_clean_translation, SQL_CLEAN_TRANSLATION),

@@ -11,16 +11,23 @@ routes are one DataFrame with a route column (no split and merge by position).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..functions.encoders import HashingEncoder, encode_column
 from ..operators import scoring as S
 from ..operators.regressor import Regressor, predict_column
-from ..session import cut_lineage
+from ..session import scratch_path
 from . import proxies as P
 
+SENTENCES_PER_STEP = 64      # sentences whose words are encoded together
+
 OUTPUT_COLUMNS = ["Predicted_Concreteness", "English_Translation", "Detected_Language",
                   "Is_Multiword", "Is_Sentence", "Model_Used", "Per_Word_Predictions"]
 
@@ -81,61 +88,84 @@ def predict_expressions(df: DataFrame, key: str, text: str, lang: str | None = N
     base = translate(df.dropna(subset=[text]), text, lang, lookup)
     tr = F.col("English_Translation")
     # the word count of a (possibly very long) text is computed once per row
-    base = base.withColumn("_row", F.col(key)).withColumn("_nw", T.n_words(tr))
+    base = base.withColumn("_nw", T.n_words(tr))
     nw = F.col("_nw")
     base = (base.withColumn("Is_Multiword", nw > T.MULTIWORD_MIN_WORDS)
             .withColumn("Is_Sentence", nw > T.SENTENCE_MIN_WORDS)
             .withColumn("Model_Used", T.route_of_count(nw)).drop("_nw"))
-    # _row is the caller's unique key, used to join word scores back to sentences.
     phrases = base.where(F.col("Model_Used") != T.ROUTE_SENTENCE)
     vecs = embedder.embed_distinct(phrases, "English_Translation")
-    scored = phrases.join(vecs, "English_Translation")
     raw = F.when(F.col("Model_Used") == T.ROUTE_SINGLE, predict_column("vec", single_model, spark)) \
            .otherwise(predict_column("vec", multi_model, spark))
-    scored = scored.withColumn("_p", S.clamp(raw)).drop("vec")
-    scored = S.znorm(scored, "_p", by=["Model_Used"], fixed_groups=True).drop("norm_degenerate") \
+    phrases = (phrases.join(vecs, "English_Translation").withColumn("_p", S.clamp(raw)).drop("vec")
+               .withColumn("_ws", F.lit(None).cast("array<double>")))
+    # a word's score depends on its sentence and itself: one call per batch of
+    # sentences encodes every distinct word once, so no (sentence, word) table
+    # is joined or shuffled and a word that stands in most texts is no hot key
+    sentences = base.where(F.col("Model_Used") == T.ROUTE_SENTENCE) \
+        .withColumn("_p", F.lit(None).cast("double")) \
+        .withColumn("_ws", word_scores_column(tr, T.words(tr), embedder, single_model, spark))
+    # written once as Parquet: the encoders and regressors run a single time,
+    # and the statistics and the tail quantile read only the score columns
+    path = scratch_path(spark, "scores")
+    phrases.unionByName(sentences).write.parquet(path)
+    rows = spark.read.parquet(path)
+    is_sentence = F.col("Model_Used") == T.ROUTE_SENTENCE
+    by_route = S.znorm(rows.where(~is_sentence), "_p", by=["Model_Used"], fixed_groups=True).drop("norm_degenerate", "_ws") \
         .withColumn("Per_Word_Predictions", F.lit(""))
-
-    sentences = base.where(F.col("Model_Used") == T.ROUTE_SENTENCE)
-    words = sentences.select("_row", F.posexplode(T.words(tr)).alias("_pos", "_word"))
-    svec = sentences.select("_row", encode_column(tr, embedder.affect).alias("svec"))
-    # A word's score depends only on (sentence, word): each distinct pair is
-    # embedded and scored once, and only the score goes back to the
-    # occurrences (repeated words in a long text are not re-scored, and the
-    # vectors never travel with every occurrence).
-    pairs = words.select("_row", "_word").distinct()
-    # distinct words (from the smaller pairs table); a word's score uses only
-    # the base encoder, so only that half is computed and shuffled
-    wvecs = (pairs.select("_word").distinct()
-             .select("_word", encode_column("_word", embedder.base).alias("wvec")))
-    # written once: the word-score statistics (a scalar subquery) and the
-    # per-sentence means both read these rows, so the encoder and regressor
-    # UDFs run a single time
-    pair_scores = cut_lineage(
-        pairs.join(svec, "_row").join(wvecs, "_word")
-        .withColumn("_w", S.clamp(predict_column(F.concat("wvec", "svec"),
-                                                 single_model, spark)))
-        .select("_row", "_word", "_w"))
-    wscored = words.join(pair_scores, ["_row", "_word"]).select("_row", "_pos", "_w")
+    sent = rows.where(is_sentence)
     if sentence_norm == "sentence":
-        wscored = S.znorm(wscored, "_w", by=["_row"])
+        sent = sent.withColumn("_ws", _normalised_within("_ws"))
     else:
-        wscored = S.znorm(wscored, "_w")
-    per_sentence = (wscored.groupBy("_row")
-                    .agg(F.avg("_w").alias("_p"),
-                         F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_ws")))
-    sent = (sentences.join(per_sentence, "_row", "left")
-            .withColumn("Per_Word_Predictions",
-                        F.coalesce(T.format_scores(F.transform("_ws", lambda s: s["_w"])), F.lit("3.0")))
-            .withColumn("_p", F.coalesce("_p", F.lit(3.0))).drop("_ws"))
-
-    # The tail threshold is a global quantile over every score: written once
-    # (reliable checkpoint), the encoders and regressors run a single time and
-    # both the quantile job and the output read the same rows.
-    allrows = cut_lineage(scored.unionByName(sent))
-    allrows = S.smooth_tail(allrows, "_p", quantile_method=quantile_method)
-    out = allrows.withColumn("Predicted_Concreteness", S.clamp("_p")).drop("_p", "_row", "was_translated")
-    return out
+        ws = sent.select(F.explode("_ws").alias("w")).agg(
+            F.struct(F.avg("w").alias("mu"), F.stddev_samp("w").alias("sd")).alias("s")).scalar()
+        sent = sent.withColumn("_st", ws).withColumn("_ws", _normalised("_ws", F.col("_st.mu"), F.col("_st.sd"))).drop("_st")
+    sent = (sent.withColumn("_p", F.coalesce(F.try_divide(F.aggregate("_ws", F.lit(0.0), lambda a, x: a + x), F.size("_ws")),
+                                             F.lit(S.TARGET_MEAN)))
+            .withColumn("Per_Word_Predictions", F.coalesce(T.format_scores("_ws"), F.lit("3.0"))).drop("_ws"))
+    allrows = S.smooth_tail(by_route.unionByName(sent), "_p", quantile_method=quantile_method)
+    return allrows.withColumn("Predicted_Concreteness", S.clamp("_p")).drop("_p", "was_translated")
+
+
+def _normalised(values: str, mu: Column, sd: Column) -> Column:
+    """Array z-normalised with the given statistics (no spread: all 3.0)."""
+    z = F.transform(values, lambda x: (x - mu) / sd * S.TARGET_SD + S.TARGET_MEAN)
+    return F.when(sd.isNull() | (sd == 0), F.transform(values, lambda x: F.lit(S.TARGET_MEAN))).otherwise(z)
+
+
+def _normalised_within(values: str) -> Column:
+    """Array z-normalised with its own mean and sample deviation."""
+    n = F.size(values)
+    mu = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu))
+    return _normalised(values, mu, F.sqrt(F.try_divide(square, n - 1)))
+
+
+def word_scores_column(sentence: Column, words: Column, embedder: TextEmbedder, model: Regressor,
+                       spark: SparkSession) -> Column:
+    """Clamped score of every word (in order) given its sentence: the regressor
+    on (base vector of the word, affect vector of the sentence)."""
+    bc = spark.sparkContext.broadcast(model.params)
+
+    @F.pandas_udf(ST.ArrayType(ST.DoubleType()))
+    def _scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m = Regressor(bc.value)
+        for texts, word_lists in batches:
+            out = []
+            for lo in range(0, len(texts), SENTENCES_PER_STEP):
+                lists = [list(w) for w in word_lists.iloc[lo:lo + SENTENCES_PER_STEP]]
+                number, distinct = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+                right = embedder.affect.encode(texts.iloc[lo:lo + SENTENCES_PER_STEP].fillna("").tolist())
+                left = m.hidden_left(np.asarray(embedder.base.encode(list(distinct)), float)) if len(distinct) else None
+                at = 0
+                for ws, vec in zip(lists, right):
+                    ids, back = np.unique(number[at:at + len(ws)], return_inverse=True)
+                    at += len(ws)
+                    scores = m.forward_pairs(left, ids, vec) if len(ids) else np.zeros(0)
+                    out.append(np.clip(scores, S.SCORE_MIN, S.SCORE_MAX)[back])
+            yield pd.Series(out, dtype=object)
+
+    return _scores(sentence, words)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,3 +67,28 @@ def test_half_written_cache_is_rebuilt(spark, tmp_dir):
     os.rename(f"{path}/_SUCCESS", f"{path}/_gone")
     assert sinks.feature_cache(spark, path, lambda: spark.range(100)).count() == 100
     assert sinks.feature_cache(spark, path, lambda: spark.range(3)).count() == 100
+
+
+def test_special_tokens_stay_whole(spark):
+    from cinemetric.operators import tokenize as TK
+    vocab = TK.build_vocab([])
+    got = {r["k"]: r["ids"] for r in TK.encode_texts(
+        spark.createDataFrame([(1, "a<|endoftext|>b"), (2, None), (3, "")], "k int, t string"), "k", "t", []).collect()}
+    assert got == {1: [vocab["a</w>"], vocab["<|endoftext|>"], vocab["b</w>"]], 2: [], 3: []}
+
+
+def test_scores_are_formatted_like_python(spark):
+    from cinemetric.functions import text as T
+    values = [1.005, 2.675, 0.125, 0.375, 4.625, 9.995, 3.0, 0.0, -1.005, 123.455]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(T.format_scores("v")).first()[0]
+    assert got == ";".join(f"{v:.2f}" for v in values)
+
+
+def test_pair_scores_equal_the_whole_network():
+    import numpy as np
+    from cinemetric.operators.regressor import Regressor
+    rng = np.random.default_rng(1)
+    net, left, right = Regressor.init(6, seed=2), rng.normal(size=(5, 4)), rng.normal(size=2)
+    ids = np.array([4, 0, 0, 3])
+    whole = net.forward(np.hstack([left[ids], np.tile(right, (4, 1))]))
+    assert np.allclose(net.forward_pairs(net.hidden_left(left), ids, right, step=3), whole)
