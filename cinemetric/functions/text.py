@@ -181,8 +181,18 @@ def format_scores(c, decimals: int = 2, sep: str = ";") -> Column:
     does (half-even on the binary value); 1 to 3 decimals."""
     if not 1 <= decimals <= 3:
         raise ValueError("format_scores takes 1 to 3 decimals")
-    return F.array_join(F.transform(_col(c), lambda x: F.when(F.isnan(x) | (F.abs(x) > 1e12), F.format_string(f"%.{decimals}f", x))
-                                    .otherwise(_fixed_point(x, decimals))), sep)
+    ten = 10 ** decimals
+
+    def one(x: Column) -> Column:
+        # a decimal cast rounds the shortest decimal form half-up, which can
+        # differ from the binary value only next to a tie
+        size = F.abs(x).cast(f"decimal(20,{decimals})").cast("string")
+        near_tie = F.abs(F.pmod(F.abs(x) * ten, F.lit(1.0)) - 0.5) < 1e-4
+        return (F.when(F.isnan(x) | (F.abs(x) > 1e12), F.format_string(f"%.{decimals}f", x))
+                .when(near_tie, _fixed_point(x, decimals))
+                .when(x < 0, F.concat(F.lit("-"), size)).otherwise(size))
+
+    return F.array_join(F.transform(_col(c), one), sep)
 
 
 def fill_template(template, name) -> Column:

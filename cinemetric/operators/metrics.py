@@ -76,9 +76,9 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     """Gaussian kernel density on an even grid (Scott bandwidth
     ``n^-1/5 * sample sd``; grid from ``min - cut*bw`` to ``max + cut*bw``).
 
-    The statistics are one row; then every task adds up the kernels of its rows
-    at the grid points, batch by batch, and hands on one row per point, so
-    nothing but ``points`` partial sums a task is shuffled.  A constant column
+    Values are counted first (equal values are one kernel) and the statistics
+    are one row; then every task adds up the kernels of its values at the grid
+    points, batch by batch, and hands on one partial sum per point.  A constant column
     has no bandwidth: its densities are null."""
     x = _c(column).cast("double")
     vals = df.where(x.isNotNull()).select(x.alias("v"))
@@ -93,9 +93,9 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     def kernels(batches):
         total = np.zeros(points)
         for b in batches:
-            v = b["v"].to_numpy()
+            v, w = b["v"].to_numpy(), b["w"].to_numpy()
             for at in range(0, len(v), 1024):
-                total += np.exp(-0.5 * ((grid[:, None] - v[at:at + 1024]) / bw) ** 2).sum(axis=1)
+                total += np.exp(-0.5 * ((grid[:, None] - v[at:at + 1024]) / bw) ** 2) @ w[at:at + 1024]
         yield pd.DataFrame({"i": np.arange(points, dtype=np.int32), "x": grid, "s": total})
 
     def no_kernels(batches):
@@ -103,7 +103,8 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
             pass
         yield pd.DataFrame({"i": np.arange(points, dtype=np.int32), "x": grid, "s": np.full(points, np.nan)})
 
-    sums = vals.mapInPandas(kernels if bw else no_kernels, schema).groupBy("i", "x").agg(F.sum("s").alias("s"))
+    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    sums = counted.mapInPandas(kernels if bw else no_kernels, schema).groupBy("i", "x").agg(F.sum("s").alias("s"))
     scale = F.lit(float(n * bw * math.sqrt(2 * math.pi)))
     return sums.select("i", "x", F.when(F.lit(bool(bw)), F.try_divide(F.col("s"), scale)).alias("density"))
 
