@@ -77,14 +77,17 @@ def test_weighted_f1(spark):
     assert r["accuracy"] == pytest.approx(0.5)
 
 
-def test_exact_quantiles_distributed_path(spark, monkeypatch):
+def test_exact_quantiles_distributed_path(spark):
     from cinemetric.operators import quantiles as Q
-    monkeypatch.setattr(Q, "SMALL_DISTINCT", 10)
     rng = np.random.default_rng(5)
     vals = np.round(rng.normal(size=3000), 2)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
     qs = [0.0, 0.25, 0.5, 0.9, 1.0]
     assert Q.exact_quantiles(df, "x", qs) == pytest.approx(list(np.quantile(vals, qs)), abs=1e-12)
+    nan = df.limit(9).select("x").unionByName(spark.createDataFrame([(float("nan"),)], "x double"))
+    low, high = Q.exact_quantiles(nan, "x", [0.0, 1.0])
+    assert low == low and high != high          # NaN stands above every number
+    assert Q.exact_quantiles(df.where("x > 99"), "x", qs) == [None] * 5
 
 
 @pytest.mark.parametrize("engine", ["sql", "numpy"])
