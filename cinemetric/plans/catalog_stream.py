@@ -19,6 +19,24 @@ def _events_stream(spark, sf):
             .option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
+SLICES, FILES_PER_SLICE = 3, 4
+
+
+def _events_in_slices(spark, sf):
+    """The events as a stream of several micro-batches in time order (time
+    slices of several files each, written one after the other), so that state
+    crosses batches."""
+    ev = read_table(spark, sf, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = ev.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    path = scratch_path(spark, "events")
+    for i in range(SLICES):
+        since, until = lo + (hi + 1 - lo) * i // SLICES, lo + (hi + 1 - lo) * (i + 1) // SLICES
+        ev.where((t >= since) & (t < until)).repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", FILES_PER_SLICE).parquet(path)
+
+
 def q_stream_every_nth(spark, sf):
     ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
     out = ST.every_nth(ev, "user_id", ["ts", "event_id"], 4)
@@ -35,9 +53,9 @@ FROM events) WHERE rn % 4 = 0"""
 def q_stream_every_nth_batchwise(spark, sf):
     """ST-01 in its scale form: per micro-batch two-level numbering with
     per-source counts kept in a versioned state table."""
-    ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
+    ev = _events_in_slices(spark, sf).select("event_id", "ts", "user_id", "value")
     out, state = scratch_path(spark, "every-nth-b"), scratch_path(spark, "every-nth-b-state")
-    ST.every_nth_batchwise(ev, "user_id", ["ts", "event_id"], 4, out, state, scratch_path(spark, "every-nth-b-ckpt"))
+    ST.every_nth_batchwise(ev, "user_id", ["ts", "event_id"], 4, out, state, scratch_path(spark, "every-nth-b-ckpt"), prune=True)
     return spark.read.parquet(out).select("user_id", "event_id")
 
 def q_stream_rolling_mean(spark, sf):
@@ -55,10 +73,10 @@ SQL_STREAM_ROLLING_MEAN = """SELECT event_id, round(avg(value) OVER (PARTITION B
 def q_stream_rolling_mean_batchwise(spark, sf):
     """ST-03 in its scale form: per micro-batch halo of the last k-1 values
     per source from a versioned state table, chunked rolling means."""
-    ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
+    ev = _events_in_slices(spark, sf).select("event_id", "ts", "user_id", "value")
     out, state = scratch_path(spark, "rolling-b"), scratch_path(spark, "rolling-b-state")
     ST.rolling_mean_batchwise(ev, "user_id", ["ts", "event_id"], "value", "event_id", 5, out, state,
-                              scratch_path(spark, "rolling-b-ckpt"))
+                              scratch_path(spark, "rolling-b-ckpt"), prune=True)
     return spark.read.parquet(out).select("event_id", F.round("rolling", R6).alias("rolling"))
 
 def q_stream_latest(spark, sf):

@@ -43,14 +43,22 @@ def every_nth(events: DataFrame, key: str, order: list[str], n: int = 4) -> Data
 
 
 
+def _drop_version(spark, state_path: str, batch_id: int) -> None:
+    """Remove a state version that no retry needs any more (a repeated batch
+    reads the version before its own)."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/batch={batch_id}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def every_nth_batchwise(events: DataFrame, key: str, order: list[str], n: int, out_path: str, state_path: str,
-                        checkpoint: str) -> None:
+                        checkpoint: str, prune: bool = False) -> None:
     """Scale form of ``every_nth`` for sources that may hold a large share of
     a micro-batch: each micro-batch is numbered per key in two levels over
     range chunks (``sequence.row_number``), offset by the key's count from
     the previous batches, and filtered; the counts live in a state table with
     one version per batch id.  Re-running a batch id overwrites the same
-    output and state version, so a retried batch gives the same rows.
+    output and state version, so a retried batch gives the same rows;
+    ``prune`` keeps only the last two state versions.
     Runs to completion (``availableNow``); the kept rows are appended under
     ``out_path`` as ``batch=<id>`` folders."""
     from ..operators.sequence import RANGE, row_number
@@ -75,6 +83,8 @@ def every_nth_batchwise(events: DataFrame, key: str, order: list[str], n: int, o
         else:
             counts = counts.select(key, F.col("_new").alias("_seen"))
         counts.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        if prune:
+            _drop_version(spark, state_path, batch_id - 2)
 
     q = (events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -108,14 +118,16 @@ def rolling_mean_stream(events: DataFrame, key: str, order: list[str], value: st
 
 
 def rolling_mean_batchwise(events: DataFrame, key: str, order: list[str], value: str, id_col: str, k: int,
-                           out_path: str, state_path: str, checkpoint: str, chunk_rows: int = 4096) -> None:
+                           out_path: str, state_path: str, checkpoint: str, chunk_rows: int = 4096,
+                           prune: bool = False) -> None:
     """Scale form of ``rolling_mean_stream``: per micro-batch, the last
     ``k - 1`` rows of every key from earlier batches (a state table versioned
     by batch id) are put in front of the batch rows, the rolling mean runs in
     chunks with a halo (``sequence.rolling_mean``), and the new last ``k - 1``
     rows per key are found with a two-level count, so a hot key is never one
     task.  Writes ``(key, id, rolling)`` for the batch rows under
-    ``out_path/batch=<id>``; a retried batch rewrites the same versions."""
+    ``out_path/batch=<id>``; a retried batch rewrites the same versions;
+    ``prune`` keeps only the last two state versions."""
     from ..operators.sequence import RANGE, rolling_mean, running_sums
 
     cols = list(dict.fromkeys([key, *order, value, id_col]))
@@ -136,6 +148,8 @@ def rolling_mean_batchwise(events: DataFrame, key: str, order: list[str], value:
         last = numbered.where(F.col("_n") > F.col("_n_total") - (k - 1))
         last.select(*cols, F.col("_n").cast("long").alias("_pos")) \
             .write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        if prune:
+            _drop_version(spark, state_path, batch_id - 2)
 
     q = (events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
