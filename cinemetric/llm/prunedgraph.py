@@ -9,7 +9,8 @@ A class's adjacency lists from its shards are united.  Then every class is
 searched in its shards: a greedy beam search from the shard's medoids, whose
 range expands through all vectors that may reach the threshold until none is
 left unexpanded.  Links are verified in double precision, counted in one shard
-only (the first that two classes share) and joined by union-find.  A recall
+only (the first that two classes share) and joined by union-find, first those of
+a task (its forest leaves the task as one link per class), then all.  A recall
 audit compares a sample of classes with all vectors; if it is below the goal,
 the overlap is widened and the search repeated.
 
@@ -199,6 +200,27 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids, "near": [ids[a[a >= 0]] for a in adj]})
 
 
+class Forest:
+    """Union-find over the classes of a task, with their numbers of links."""
+
+    def __init__(self, *ids: np.ndarray):
+        self.ids = np.unique(np.concatenate(ids))
+        self.tree = np.arange(len(self.ids))
+        self.n = np.zeros(len(self.ids), np.int64)
+
+    def link(self, rep: int, others: np.ndarray, n: int) -> None:
+        at = np.searchsorted(self.ids, rep)
+        trees = np.unique(self.tree[np.append(np.searchsorted(self.ids, others), at)])
+        if len(trees) > 1:
+            self.tree[np.isin(self.tree, trees[1:])] = trees[0]
+        self.n[at] += n
+
+    def rows(self) -> pd.DataFrame:
+        """One row per linked class: the smallest class of its tree and the count."""
+        some = np.bincount(self.tree, minlength=len(self.tree))[self.tree] > 1
+        return pd.DataFrame({"rep": self.ids[some], "other": self.ids[self.tree[some]], "n": self.n[some]})
+
+
 def _search(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -217,8 +239,8 @@ def _search(threshold: float):
         adj[row, rank] = at
         starts = medoids(x, shard % 2**31)
         theirs = [frozenset(s) for s in index["shards"]]
-        reps, others, counts = [], [], []
         q_all, q_ids = _matrix(query["unit"]), query["rep"].to_numpy()
+        forest = Forest(ids, q_ids)
         for lo in range(0, len(query), 256):
             qi, ni = search(x, adj, starts, q_all[lo:lo + 256], threshold)
             keep = q_ids[lo + qi] != ids[ni]
@@ -228,10 +250,8 @@ def _search(threshold: float):
                 own = frozenset(query["shards"][lo + j])
                 # a pair counts in the first shard that both are in
                 first = [min(own & theirs[i]) == shard for i in mine.tolist()]
-                reps.append(int(q_ids[lo + j]))
-                others.append(int(ids[mine].min()))
-                counts.append(int(size[mine][np.array(first, bool)].sum()))
-        return pd.DataFrame({"rep": np.array(reps, np.int64), "other": np.array(others, np.int64), "n": np.array(counts, np.int64)})
+                forest.link(int(q_ids[lo + j]), ids[mine], int(size[mine][np.array(first, bool)].sum()))
+        return forest.rows()
     return run
 
 
@@ -342,8 +362,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap:
 
 
 def _links(classes: DataFrame, n: int, threshold: float, overlap: int) -> DataFrame:
-    """(rep, other, n): per class and shard part its smallest linked class and
-    the number of vectors linked in this shard first."""
+    """(rep, other, n): per linked class and pair of shard parts the smallest
+    class that links found there reach, and the number of vectors linked in this
+    shard first."""
     placed = written(shards(classes, n, overlap).distinct(), "placed")
     sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * SHARD)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))

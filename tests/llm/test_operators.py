@@ -248,6 +248,41 @@ def test_vectors(spark, monkeypatch):
     assert prunedgraph.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def brute_vectors(rows, cut=0.9):
+    """vec_id -> (n_links, component_id)."""
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = (u @ u.T) >= cut
+    np.fill_diagonal(link, False)
+    root = np.array([i for i, _ in rows])
+    while True:
+        low = np.minimum(root, np.where(link, root[None, :], root.max()).min(axis=1))
+        if (low == root).all():
+            return {i: (int(n), int(r)) for (i, _), n, r in zip(rows, link.sum(axis=1), root)}
+        root = low
+
+
+def chains(rng, groups, width=24):
+    """Chains of 2 to 9 vectors, neighbours at 25 degrees, and their shuffled ids."""
+    rows = []
+    for _ in range(groups):
+        a, b = np.linalg.qr(rng.normal(size=(width, 2)))[0].T
+        rows += [np.cos(t) * a + np.sin(t) * b for t in np.radians(25) * np.arange(rng.integers(2, 10))]
+    return [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(rows)), rows)]
+
+
+def test_vector_chains(spark):
+    four = [(i, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))]) for i, a in ((1, 0), (3, 25), (4, 50), (2, 75))]
+    for rows in (four, chains(np.random.default_rng(8), 40)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        classes = spark.createDataFrame([(i, 1, bytearray((np.array(v) / np.linalg.norm(v)).tobytes())) for i, v in rows], "rep long, n long, unit binary")
+        links = prunedgraph._links(classes, len(rows), 0.9, 2)
+        roots = {r.node: r.root for r in components.components(links, "rep", "other").collect()}
+        want = brute_vectors(rows)
+        assert roots == {i: c for i, (_, c) in want.items()}
+        assert {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(df).collect()} == want
+
+
 def test_fm_identity():
     rng = np.random.default_rng(1)
     v, w = rng.normal(size=(factormachine.FEATURES, factormachine.FACTORS)), rng.normal(size=factormachine.FEATURES)
