@@ -11,8 +11,9 @@ range expands through all vectors that may reach the threshold until none is
 left unexpanded.  Links are verified in double precision, counted in one shard
 only (the first that two classes share) and joined by union-find, first those of
 a task (its forest leaves the task as one link per class), then all.  A recall
-audit compares a sample of classes with all vectors; if it is below the goal,
-the overlap is widened and the search repeated.
+audit compares a sample of classes, drawn before the search, with all vectors;
+if the found share is below the goal for classes of any number of links, the
+overlap is widened and the search repeated, and at last all are compared.
 
 A shard above ``SHARD`` members is cut into parts; each part has its graph, and
 the members search all parts, so no task holds more than two parts.
@@ -21,6 +22,7 @@ the members search all parts, so no task holds more than two parts.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 
+log = logging.getLogger(__name__)
+
 SHARD = 2000
 SAMPLE = 4000              # vectors the centres of a level are fitted on, at most (about)
 ALPHA = 1.2
@@ -39,7 +43,8 @@ DEGREE = 32
 NEAR, RANDOM = 64, 24
 BEAM = 48
 SLACK = 0.1                # the search also walks through vectors this far below the threshold
-AUDIT = 200                # classes compared with all vectors
+AUDIT = 200                # classes compared with all vectors at first, about
+LINKED = 100               # and more of them until so many have links
 GOAL = 0.95
 APART = 0.8                # centres more similar than this are one
 
@@ -298,34 +303,92 @@ def shards(classes: DataFrame, n: int, overlap: int) -> DataFrame:
     return coarse.join(fine, "coarse").select("rep", "n", "unit", "coarse", "centres").mapInPandas(_fine(overlap), "rep long, n long, unit binary, shard long")
 
 
-def _audit_counts(q: np.ndarray, ids: np.ndarray, threshold: float):
-    def run(batches):
-        for pdf in batches:
-            x = _matrix(pdf["unit"])
-            hit = (x @ q.T >= threshold) & (pdf["rep"].to_numpy()[:, None] != ids[None, :])
-            yield pd.DataFrame({"rep": ids, "n": (hit * pdf["n"].to_numpy()[:, None]).sum(axis=0)})
+def _compare(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        index, query = (pdf[pdf["role"] == r].sort_values("rep") for r in (0, 1))
+        x, ids, size = _matrix(index["unit"]), index["rep"].to_numpy(), index["n"].to_numpy()
+        q, q_ids = _matrix(query["unit"]), query["rep"].to_numpy()
+        forest = Forest(ids, q_ids)
+        for lo in range(0, len(q) if len(x) else 0, 256):
+            s = q[lo:lo + 256] @ x.T
+            s[q_ids[lo:lo + 256, None] == ids[None, :]] = -2
+            qi, ni = np.nonzero(s >= threshold - 1e-9)
+            ok = np.einsum("ij,ij->i", q[lo + qi], x[ni]) >= threshold
+            qi, ni = qi[ok], ni[ok]
+            for j in np.unique(qi).tolist():
+                mine = ni[qi == j]
+                forest.link(int(q_ids[lo + j]), ids[mine], int(size[mine].sum()))
+        return forest.rows()
     return run
 
 
-def audit(classes: DataFrame, counts: DataFrame, n: int, threshold: float) -> float:
-    """Share of the links of about ``AUDIT`` classes, by brute force against
-    all vectors, that the search found (1.0 if they have none)."""
+def exact_links(queries: DataFrame, classes: DataFrame, m: int, n: int, threshold: float) -> DataFrame:
+    """(rep, other, n) as from ``_links``, by comparing about ``m`` of the ``n``
+    classes with all of them in blocks."""
+    qs, xs = max(1, math.ceil(m / (2 * SHARD))), max(1, math.ceil(n / (2 * SHARD)))
+    own = lambda parts: F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    index = classes.select(every(qs).alias("i"), own(xs).alias("j"), F.lit(0).alias("role"), "rep", "n", "unit")
+    query = queries.select(own(qs).alias("i"), every(xs).alias("j"), F.lit(1).alias("role"), "rep", "n", "unit")
+    return written(index.union(query).groupBy("i", "j").applyInPandas(_compare(threshold), "rep long, other long, n long"), "exact")
+
+
+def truth(classes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, int]:
+    """(all links of a sample, how many classes it was drawn to hold).  The sample
+    is drawn by a hash of the class alone and grows until ``LINKED`` of its
+    classes have links or it is the whole table (``n``)."""
     h = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 20))
-    linked = classes.join(counts.select("rep"), "rep", "left_semi")
-    m = linked.count()
-    half = AUDIT // 2
-    plain = classes.where(h < int((1 << 20) * min(1.0, half / n)))
-    q = plain.unionByName(linked.where(h < int((1 << 20) * min(1.0, half / max(1, m))))).select("rep", "unit").distinct().toPandas().sort_values("rep")
-    if not len(q):
-        return 1.0
-    ids = q["rep"].to_numpy()
-    true = classes.select("rep", "n", "unit").mapInPandas(_audit_counts(_matrix(q["unit"]), ids, threshold), "rep long, n long") \
-        .groupBy("rep").agg(F.sum("n").alias("true"))
-    both = true.join(counts.select("rep", "n"), "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return 1.0 if not both["t"] else both["f"] / both["t"]
-
-
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2) -> DataFrame:
+    links, low, size = None, 0, AUDIT
+    while True:
+        size = min(size, n)
+        high = (1 << 20) if size == n else math.ceil((1 << 20) * size / n)
+        more = exact_links(classes.where((h >= low) & (h < high)), classes, size, n, threshold)
+        links = more if links is None else links.union(more)
+        if size == n or links.where("n > 0").select("rep").distinct().count() >= LINKED:
+            return links, size
+        low, size = high, 4 * size
+
+
+def audit(true: DataFrame, links: DataFrame) -> float:
+    """Recall of ``links`` on the sample ``true``: per class the share of its
+    links that was found, averaged over classes with about as many links (powers
+    of four); the lowest of these averages, so that neither a hot group's links
+    nor its classes stand for pairs (1.0 if there are no links)."""
+    true = true.groupBy("rep").agg(F.sum("n").alias("all")).where(F.col("all") > 0)
+    both = true.join(links.groupBy("rep").agg(F.sum("n").alias("found")), "rep", "left")
+    share = F.least("all", F.coalesce("found", F.lit(0))) / F.col("all")
+    low = both.groupBy(F.floor(F.log2("all") / 2).alias("size")).agg(F.avg(share).alias("recall")).agg(F.min("recall")).first()[0]
+    return 1.0 if low is None else low
+
+
+def width_links(classes: DataFrame, n: int, threshold: float, overlap: int, report: list | None = None) -> DataFrame:
+    """Links of the classes of one width.  Searched with ``overlap`` clusters a
+    class, then twice and four times as many while recall is below ``GOAL``; if
+    that does not reach it, all classes are compared with each other."""
+    true, size = truth(classes, n, threshold)
+    if size == n:
+        links, wide, recall = true, None, 1.0
+    else:
+        wide = overlap
+        while True:
+            links = _links(classes, n, threshold, wide)
+            recall = audit(true, links)
+            if recall >= GOAL:
+                break
+            log.info("%d vectors: recall %.4f at overlap %d, below %.2f", n, recall, wide, GOAL)
+            if report is not None:
+                report.append({"classes": n, "sample": size, "overlap": wide, "recall": recall, "used": False})
+            if wide >= 4 * overlap:
+                links, wide, recall = exact_links(classes, classes, n, n, threshold), None, 1.0
+                break
+            wide *= 2
+    log.info("%d vectors: recall %.4f at overlap %s, by a sample of %d", n, recall, wide or "all (exact)", size)
+    if report is not None:
+        report.append({"classes": n, "sample": size, "overlap": wide, "recall": recall, "used": True})
+    return links
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2, report: list | None = None) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors with cosine >=
     ``threshold``), component_id (smallest vec_id that links reach), kept.
 
@@ -333,22 +396,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap:
     components link with nothing, as do rows with a null vec_id (their
     component is null and they are kept); equal vectors (also repeated rows)
     are linked with each other; only vectors of the same width are compared.
-    Other columns are ignored; an empty table gives an empty result."""
+    Other columns are ignored; an empty table gives an empty result.  The measured
+    recall of every search is logged and appended to ``report`` (overlap None:
+    compared exactly)."""
     spark = vectors.sparkSession
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
                    .mapInArrow(_clean, "vec_id long, unit binary, key binary"), "vectors")
     classes = written(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "classes")
     widths = [(r["w"], r["n"]) for r in classes.groupBy(F.octet_length("unit").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    found = []
-    for width, n in sorted(widths):
-        own = classes.where(F.octet_length("unit") == width)
-        wide = overlap
-        while True:
-            links = _links(own, n, threshold, wide)
-            if audit(own, links.groupBy("rep").agg(F.sum("n").alias("n")), n, threshold) >= GOAL or wide >= 4 * overlap:
-                break
-            wide *= 2
-        found.append(links)
+    found = [width_links(classes.where(F.octet_length("unit") == width), n, threshold, overlap, report) for width, n in sorted(widths)]
     links = found[0] if found else spark.createDataFrame([], "rep long, other long, n long")
     for more in found[1:]:
         links = links.union(more)

@@ -283,6 +283,31 @@ def test_vector_chains(spark):
         assert {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(df).collect()} == want
 
 
+def test_vector_recall(spark, monkeypatch):
+    # a hot group of a third of the rows, and pairs that a bad search loses altogether
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=24) + 0.03 * rng.normal(size=(300, 24))
+    pairs = np.repeat(rng.normal(size=(100, 24)), 2, axis=0) + 0.03 * rng.normal(size=(200, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([hot, pairs, rng.normal(size=(400, 24))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    real, tried = prunedgraph._links, []
+
+    def lossy(classes, n, threshold, overlap):
+        tried.append(overlap)
+        return real(classes.where("rep < 300 or rep >= 500"), n, threshold, overlap)
+    monkeypatch.setattr(prunedgraph, "_links", lossy)
+    monkeypatch.setattr(prunedgraph, "SHARD", 200)
+    report = []
+    got = {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(df, report=report).collect()}
+    assert got == brute_vectors(rows)
+    assert tried == [2, 4, 8] and [r["overlap"] for r in report] == [2, 4, 8, None] and all(r["recall"] < 0.95 for r in report[:3])
+    # a table with hardly any link: the sample grows until it is the table
+    report.clear()
+    few = [r for r in rows if r[0] >= 500] + rows[300:302]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(spark.createDataFrame(few, df.schema), report=report).collect()}
+    assert got == brute_vectors(few) and got[301] == (1, 300) and report[0]["sample"] == len(few)
+
+
 def test_fm_identity():
     rng = np.random.default_rng(1)
     v, w = rng.normal(size=(factormachine.FEATURES, factormachine.FACTORS)), rng.normal(size=factormachine.FEATURES)
