@@ -39,11 +39,11 @@ PAIRS = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 1.0, (
 PLACEHOLDER = re.compile(r"(?i)^(change_?me|example|your[_-].*|x{4,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\).*|none|null|true|false|todo.*|test|dummy|redacted|\[.*\])$")
 
 _SEPARATOR = re.compile(r":=|=>|(?<![=!<>:])=(?![=>])|:(?![:=])")
-_NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,79})[\"'`]?\]?[ \t]{0,8}\Z")
-_TERM = re.compile(r"[ \t]{0,8}(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_][A-Za-z0-9_.]*(?![A-Za-z0-9_.+/=\-@!#$%^&*]))|([^\s,;\"'`(){}\[\]<>|]+))")
+_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+_TAIL = _HEAD | frozenset("0123456789.-")
+_TERM = re.compile(r"[ \t]*+(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_][A-Za-z0-9_.]*(?![A-Za-z0-9_.+/=\-@!#$%^&*]))|([^\s,;\"'`(){}\[\]<>|]+))")
 _PLUS = re.compile(r"[ \t]*\+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-LINE = 4000                     # an expression is read within its line, this far at a time
 CUT = 0.85
 
 
@@ -67,17 +67,34 @@ def literal_weight(value: str, quoted: bool) -> float:
     return min(1.0, 0.35 * quoted + 0.3 * digits + 0.15 * odd + 0.1 * mixed + 0.25 * (entropy >= 2.8) + 0.15 * (n >= 12))
 
 
+def target(text: str, at: int) -> str:
+    """The name that ends before the separator at ``at``, or an empty string;
+    a walk back that no other separator's walk shares."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] == "]":
+        at -= 1
+    if at and text[at - 1] in "\"'`":
+        at -= 1
+    first = at
+    while first and text[first - 1] in _TAIL:
+        first -= 1
+    while first < at and text[first] not in _HEAD:
+        first += 1
+    return text[first:at]
+
+
 def pairs(text: str):
     """(name, [(literal, start, end, quoted), ...]) of each assignment in order,
     with constants propagated."""
     known: dict[str, list[tuple[str, int, int, bool]]] = {}
     for m in _SEPARATOR.finditer(text):
-        name = _NAME.search(text, max(0, m.start() - 100), m.start())
+        name = target(text, m.start())
         if not name:
             continue
         found: list[tuple[str, int, int, bool]] = []
         at = m.end()
-        while at - m.end() < LINE:
+        while True:
             t = _TERM.match(text, at)
             if not t:
                 break
@@ -96,10 +113,9 @@ def pairs(text: str):
                 break
             at = plus.end()
         if found:
-            target = name.group(1)
-            known[target] = found
-            known[target.rsplit(".", 1)[-1]] = found
-            yield target, found
+            known[name] = found
+            known[name.rsplit(".", 1)[-1]] = found
+            yield name, found
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:

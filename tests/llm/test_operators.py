@@ -200,6 +200,22 @@ def test_secrets(spark):
     assert secretscan.secret_spans(df.limit(0)).count() == 0
 
 
+def test_secrets_far(spark):
+    pad = " " * 40
+    long = " + ".join('"part%04dpartpart"' % i for i in range(600))
+    cases = [f'db_pwd{pad}= "hunter2Hunter2!"', f'"private_key"{pad}:{pad}"hunter2Hunter2!"', f'pwd ={pad}"hunter2Hunter2!"', f'A{pad}={pad}"hunter2Hunter2!"\npassphrase = A',
+             "x" * 300 + '_credentials\t\t\t\t\t\t\t\t\t\t= "hunter2Hunter2!"', f'passphrase = {long} + {pad}"hunter2Hunter2!"', "passphrase_" + "x" * 200 + ' = "hunter2Hunter2!"']
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secretscan.redact(docs).collect()}
+    for i, t in enumerate(cases):
+        named = [t[c:d] for k, _, _, c, d in secretscan.scan(t) if k == "named"]
+        assert named[-1] == "hunter2Hunter2!" and "hunter2" not in out[i] and "part" not in out[i], (i, named)
+    assert len(secretscan.scan(cases[5])) == 601
+    assert secretscan.scan(" " * 300000 + "=" + " " * 300000) == []
+    same = 'a["token"] = "x1y2z3w4v5"; -9.client-secret: `abCD1234efgh` # note: that'
+    assert [n for n, _ in secretscan.pairs(same)] == ["token", "client-secret", "note"]
+
+
 def test_licenses(spark):
     x = licensescan.TEMPLATES
     rows = [(1, "some words before\n" + x["MIT"] + " and after"), (2, None), (3, "nothing about the license here"),
