@@ -10,12 +10,13 @@ empty tables and extra columns; what becomes of them is said at each stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinemetric.llm import containment, factormachine, mixing, secretscan, superminhash
 from cinemetric.llm.queries import table
 from cinemetric.llm.storage import written
+from cinemetric.operators.sequence import global_row_index
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +34,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, 0.8): the
     one with the smallest doc_id; of rows that share a doc_id the one with the
-    smallest text.  Blank texts and null ids have no copies and stay."""
+    smallest text.  Rows are judged one by one: different texts under one doc_id
+    are different documents.  Blank texts have no copies and stay, one for each
+    doc_id; null ids stay."""
+    ids = F.col("doc_id").cast("long")
+    again = docs.select(ids.alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count():
+        return _dedup_rows(docs, ids).select(*docs.columns)
     groups = written(superminhash.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "groups")
     gone = groups.where("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    out = docs.join(gone.hint("merge"), "doc_id", "left_anti")       # the same plan at every size
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.limit(1).count():
-        again = written(again, "again")
-        one = Window.partitionBy("doc_id").orderBy("text")
-        twice = out.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-        out = out.join(again, "doc_id", "left_anti").unionByName(twice)
-    return out.select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)       # the same plan at every size
+
+
+def _dedup_rows(docs: DataFrame, ids: Column) -> DataFrame:
+    """``near_dedup`` of a table with repeated doc_ids: every row gets a number in
+    the order of (doc_id, text), which stands for its doc_id."""
+    row, key = "_row", "_id"
+    while row in docs.columns or key in docs.columns:
+        row, key = row + "_", key + "_"
+    rows = written(global_row_index(docs.withColumn(key, ids), [key, "text"], row), "rows")
+    named = F.when(F.col(key).isNotNull(), F.col(row))
+    groups = written(superminhash.near_duplicates(rows.select(named.alias("doc_id"), "text"), k=5, percent=80)
+                     .where("doc_id is not null").select(F.col("doc_id").alias(row), "n_shingles", "kept"), "groups")
+    blank = rows.select(row, key).join(groups.where("n_shingles = 0").select(row), row)
+    first = blank.groupBy(key).agg(F.min(row).alias("_first"))
+    gone = groups.where("not kept").select(row).union(blank.join(first, key).where(F.col(row) > F.col("_first")).select(row))
+    return rows.join(gone.hint("merge"), row, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

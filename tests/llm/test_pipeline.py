@@ -39,6 +39,18 @@ def test_stages(spark):
         assert stage(spark, now.limit(0), SF).count() == 0, name
 
 
+def test_repeated_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [(3, text["a"], "en"), (5, text["a"], "fr"), (5, text["b"], "en"), (3, text["c"], "en"), (7, text["c"] + " end", "en"), (6, text["d"], "en"), (6, text["d"], "en"),
+            (8, text["e"], "en"), (8, text["f"], "en"), (8, text["f"] + " end", "en"), (9, " ", "en"), (9, "", "en"), (9, None, "en"), (4, "", "en"), (None, text["g"], "en"), (None, text["a"], "en")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _row string").repartition(4)
+    out = P.near_dedup(spark, docs, SF)
+    assert out.schema == docs.schema
+    got = sorted(((r.doc_id, r.text, r._row) for r in out.collect()), key=repr)
+    assert got == sorted([rows[i] for i in (0, 2, 3, 5, 7, 8, 12, 13, 14, 15)], key=repr)
+    assert P.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
 def test_entry():
     import __spark_entry__ as E
     assert "pipeline" in E.queries() and "pipeline" not in E.oracle_sql()
