@@ -14,6 +14,7 @@ with the task; documents are scanned in one map-only pass.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -114,21 +115,42 @@ def matches(index: Index, text: str, hits: list[tuple[int, int, int]], coverage:
     for t, shifts in sorted(by.items()):
         words = index.words[t]
         need = max(1, len(words))
-        last = None
+        near: list[tuple[int, int]] = []        # word ranges found that later diagonals may meet
+
+        def found(s: int, lo: int, hi: int) -> tuple[int, int] | None:
+            if hi - lo < coverage * need - 1e-9:
+                return None
+            got, a, b = align(words, [plain(text[x:y]) for x, y in spans[lo:hi]], s - lo)
+            if not got or got < coverage * need - 1e-9:
+                return None
+            if (lo + a, lo + b) not in near:
+                near.append((lo + a, lo + b))
+                out.append((index.names[t], spans[lo + a][0], spans[lo + b - 1][1], got, got / need))
+            return lo + a, lo + b
+
         for s in sorted(set(shifts)):
-            if last is not None and s - last <= BAND:
-                continue
             lo, hi = max(0, s - BAND), min(len(spans), s + len(words) + BAND)
-            local = [plain(text[a:b]) for a, b in spans[lo:hi]]
-            got, a, b = align(words, local, s - lo)
-            if got >= coverage * need - 1e-9 and got:
-                out.append((index.names[t], spans[lo + a][0], spans[lo + b - 1][1], got, got / need))
-                last = s
+            near = [r for r in near if r[1] > lo]
+            found(s, lo, hi)
+            # what the ranges found leave of the window may hold another copy
+            free, at = [], lo
+            for a, b in sorted(near):
+                free.append((at, min(a, hi)))
+                at = max(at, b)
+            free.append((at, hi))
+            while free:
+                x, y = free.pop()
+                r = found(s, x, y)
+                if r:
+                    free += [(x, r[0]), (r[1], y)]
     # templates that are parts or variants of each other: the best coverage of a place stays
     out.sort(key=lambda r: (-r[3], -r[4], r[1], r[0]))
     kept: list[tuple] = []
+    places: list[tuple[int, int]] = []
     for r in out:
-        if not any(r[1] < k[2] and k[1] < r[2] for k in kept):
+        i = bisect.bisect(places, (r[1], r[2]))
+        if (i == 0 or places[i - 1][1] <= r[1]) and (i == len(places) or r[2] <= places[i][0]):
+            places.insert(i, (r[1], r[2]))
             kept.append(r)
     return sorted(kept, key=lambda r: (r[1], r[0]))
 

@@ -224,6 +224,19 @@ def test_licenses(spark):
     assert got == [(1, "MIT", x["MIT"]), (4, "GPL-3.0", x["GPL-3.0"].replace("work", "tiny work").upper()), (5, "Apache-2.0", x["Apache-2.0"]), (5, "BSD", x["BSD"])]
 
 
+def test_licenses_in_a_row(spark):
+    x = licensescan.TEMPLATES
+    rows = []
+    for name in ("MIT", "CC-BY-NC-4.0", "GPL-2.0"):
+        for n in (1, 2, 3, 4, 50):
+            for between in (" ", "\n", "\n# ", "\n// and ", " or a few more words here "):
+                rows.append((len(rows), between.join([x[name]] * n), name, n))
+    got = {}
+    for r in licensescan.licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.license, rows[r.doc_id][1][r.start:r.end]))
+    assert got == {i: [(name, x[name])] * n for i, _, name, n in rows}
+
+
 def test_rollup(spark, docs):
     state = scratch_path(spark, "rollup")
     c = lambda rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, version string, n_tokens long")
