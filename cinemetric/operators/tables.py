@@ -108,13 +108,24 @@ def attach_boxes(frames: DataFrame, boxes: DataFrame, keys: list[str], strict: b
     return j.withColumn("boxes", F.when(F.col("_b").isNull(), missing).otherwise(F.col("_b"))).drop("_b")
 
 
-def positional_join(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
+def positional_join(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str],
+                    unmatched: str = "raise") -> DataFrame:
     """Join two tables by row position (JN-06, JN-15): each side gets a dense
     index (``sequence.global_row_index``: range partitions, per-partition
-    counts, local positions), then an equi-join on it."""
+    counts, local positions), then an equi-join on it.  Rows of a longer side
+    are an error at run time, or with ``unmatched="null"`` returned with nulls
+    for the other side, or with ``unmatched="drop"`` left out."""
+    if unmatched not in ("raise", "null", "drop"):
+        raise ValueError(f"unmatched is raise, null or drop, not {unmatched}")
     a = global_row_index(left, order_left, "row_idx")
     b = global_row_index(right, order_right, "row_idx")
-    return a.join(b, "row_idx")
+    if unmatched == "drop":
+        return a.join(b, "row_idx")
+    j = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), "row_idx", "full")
+    if unmatched == "raise":
+        miss = F.raise_error(F.concat(F.lit("no row on the other side at position "), F.col("row_idx").cast("string"))).cast("boolean")
+        j = j.where(F.when(F.col("_a").isNull() | F.col("_b").isNull(), miss).otherwise(F.lit(True)))
+    return j.drop("_a", "_b")
 
 
 def label_index(df: DataFrame, label: str, classes: DataFrame, name: str = "name", idx: str = "class_id") -> DataFrame:

@@ -58,7 +58,8 @@ def _multi_hot_sql() -> str:
 def q_positional_join(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
     lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    return TB.positional_join(emb, lab, ["vec_id"], ["doc_id"])
+    # two tables of different lengths: positions that both have, as the twin
+    return TB.positional_join(emb, lab, ["vec_id"], ["doc_id"], unmatched="drop")
 
 
 SQL_POSITIONAL_JOIN = """

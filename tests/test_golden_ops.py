@@ -188,6 +188,18 @@ def test_logistic_matches_newton(spark):
     assert m.intercept == pytest.approx(b[3], abs=1e-5)
 
 
+def test_positional_join_lengths(spark):
+    ten, seven = (spark.range(n).select(F.col("id").alias(c)) for n, c in ((10, "a"), (7, "b")))
+    for x, y in ((ten, seven), (seven, ten)):
+        order = x.columns, y.columns
+        with pytest.raises(Exception, match="no row on the other side at position"):
+            TB.positional_join(x, y, *order).collect()
+        assert TB.positional_join(x, y, *order, unmatched="drop").count() == 7
+        got = {r.row_idx: (r.a, r.b) for r in TB.positional_join(x, y, *order, unmatched="null").collect()}
+        assert got == {i: (i, i if i < 7 else None) for i in range(10)}
+    assert TB.positional_join(ten, ten.withColumnRenamed("a", "b"), ["a"], ["b"]).columns == ["row_idx", "a", "b"]
+
+
 def test_table_helpers(spark):
     df = spark.createDataFrame([(["Anger", "Fear"],)], "n array<string>")
     mh = df.select(TB.multi_hot(F.col("n"))).first()[0]
