@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: ``name -> (spark_fn, duckdb_sql | None)``."""
+"""Registered queries of the operators: ``name -> (spark_fn, duckdb_sql | None)``."""
 
 from __future__ import annotations
 
@@ -145,7 +145,39 @@ t AS (WITH RECURSIVE r(d, x) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.d,
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, t.m AS component_id, v.vec_id = t.m AS kept FROM v LEFT JOIN n ON n.a = v.vec_id JOIN t ON t.d = v.vec_id
 """
 
+def op11_time_forward_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversationtrie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: Prefixes as lists of turns; a node's subtree is found along its members' paths.
+OP11_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT DISTINCT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+             xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, y:
+                 list_reduce(list_concat([xor(c, y)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda z, k: xor(z >> 1, 3988292384 * (z & 1))))) % 6 AS h FROM b),
+r AS (SELECT h.conv_id, pos AS o, role, text FROM h JOIN t ON t.conv_id = h.base AND pos <= h
+      UNION ALL SELECT h.conv_id, 10 + pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND pos > h),
+p AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY o) AS x FROM r GROUP BY conv_id),
+q AS (SELECT conv_id, coalesce(x, []) AS x FROM h LEFT JOIN p USING (conv_id)),
+n AS (SELECT conv_id, x, x[1:d] AS k, d FROM (SELECT conv_id, x, unnest(range(0, len(x) + 1)) AS d FROM q)),
+v AS (SELECT d AS depth, k, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(CASE WHEN len(x) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM n GROUP BY d, k),
+s AS (SELECT a.depth, a.k, u.conv_id, u.depth AS u_depth, (u.n_convs - 1) * CASE WHEN u.depth = 0 THEN 0 ELSE length(u.k[u.depth].text) END AS saved
+      FROM v u JOIN n ON n.conv_id = u.conv_id AND n.d <= u.depth JOIN v a ON a.depth = n.d AND a.k = n.k),
+e AS (SELECT u.depth - 1 AS depth, u.k[1:u.depth - 1] AS k, count(*) AS n_children FROM v u WHERE u.depth > 0 GROUP BY 1, 2),
+g AS (SELECT s.depth, s.k, sum(saved) AS saved, count(*) FILTER (e.n_children IS NULL) AS n_leaves
+      FROM s JOIN v u ON u.conv_id = s.conv_id AND u.depth = s.u_depth LEFT JOIN e ON e.depth = u.depth AND e.k = u.k GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, w.conv_id AS parent_conv_id, v.n_convs, coalesce(e.n_children, 0) AS n_children, g.n_leaves,
+       CAST(g.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN g ON g.depth = v.depth AND g.k = v.k LEFT JOIN e ON e.depth = v.depth AND e.k = v.k
+LEFT JOIN v w ON w.depth = v.depth - 1 AND w.k = v.k[1:v.depth - 1]
+"""
+
 QUERIES = {
+    "op11_time_forward_trie": (op11_time_forward_trie, OP11_SQL),
     "op2_factor_machine": (op2_factor_machine, None),
     "op4_assignment_lexing": (op4_assignment_lexing, None),
     "op6_subword_bag": (op6_subword_bag, None),
