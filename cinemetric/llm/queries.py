@@ -176,7 +176,38 @@ FROM v JOIN g ON g.depth = v.depth AND g.k = v.k LEFT JOIN e ON e.depth = v.dept
 LEFT JOIN v w ON w.depth = v.depth - 1 AND w.k = v.k[1:v.depth - 1]
 """
 
+def op12_rotated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rotatedclusters import cluster
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Every distance to every centroid, round after round."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN c{r} m USING (i) GROUP BY vec_id, c)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    move = """c{s} AS MATERIALIZED (SELECT o.c, o.i, coalesce((t - ((t % n) + n) % n) // n, o.x) AS x FROM c{r} o
+      LEFT JOIN (SELECT c, i, sum(x) AS t, count(*) AS n FROM a{r} JOIN v USING (vec_id) GROUP BY c, i) USING (c, i))"""
+    steps = [s for r in range(rounds + 1) for s in ([near.format(r=r)] + ([move.format(r=r, s=r + 1)] if r < rounds else []))]
+    return f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT vec_id, i, CAST(floor(1024 * e[i]) AS BIGINT) AS x FROM (SELECT vec_id, e, unnest(range(1, 65)) AS i FROM e WHERE len(list_filter(e, lambda y: isfinite(y))) = 64)),
+k AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v) QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, i, x FROM k JOIN v USING (vec_id)),
+{", ".join(steps)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (c)
+"""
+
+
+def op13_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_family_svm": (op13_family_svm, None),
+    "op12_rotated_clusters": (op12_rotated_clusters, _op12_sql()),
     "op11_time_forward_trie": (op11_time_forward_trie, OP11_SQL),
     "op2_factor_machine": (op2_factor_machine, None),
     "op4_assignment_lexing": (op4_assignment_lexing, None),
