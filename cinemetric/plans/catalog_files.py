@@ -10,15 +10,23 @@ the whole table.
 
 from __future__ import annotations
 
+import io
+import struct
+import tarfile
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import tables as TB
 from ..operators.regressor import Regressor, predict_column
 from ..operators.sequence import global_row_index
-from ..session import read_table, scratch_path
+from ..session import cut_lineage, read_table, scratch_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
+from ..sources.archives import archive_report
+from ..sources.images import image_audit
 from . import proxies as P
 from .catalog_index import SQL_CLIP_INDEX, q_clip_index
 
@@ -113,8 +121,80 @@ SELECT CAST(vec_id // {ROWS_PER_DOCUMENT} AS BIGINT) AS video, CAST(vec_id AS BI
        round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score FROM p_box"""
 
 
+IMAGE_KINDS = 11
+
+
+def _image_bytes(kind: int, width: int, height: int) -> bytes:
+    """The smallest file of one of eleven kinds: five formats, a format that the
+    scan does not take, a small, a damaged, a turned, an unknown and a double one."""
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    def directory(order, *tags):
+        return {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(order + "IH", 8, len(tags)) + b"".join(
+            struct.pack(order + "HHIHH", tag, 3, 1, value, 0) for tag, value in tags) + bytes(4)
+
+    def jpeg(*segments):
+        frame = (b"\xc0", struct.pack(">BHHB", 8, height, width, 3) + bytes(9))
+        return b"\xff\xd8" + b"".join(b"\xff" + m + struct.pack(">H", len(x) + 2) + x for m, x in (*segments, frame)) + b"\xff\xd9"
+    if kind in (0, 7):
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IEND", b"")
+        return png if kind == 0 else png[:20] + b"!" + png[21:]
+    if kind == 2:
+        return b"BM" + bytes(12) + struct.pack("<Iii", 40, width, -height) + bytes(28)
+    if kind == 3:
+        return directory("<", (0x100, width), (0x101, height))
+    if kind == 4:
+        return b"RIFF" + bytes(4) + b"WEBPVP8X" + struct.pack("<I", 10) + bytes(4) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
+    if kind == 5:
+        return b"GIF89a" + struct.pack("<HH", width, height) + bytes(3)
+    if kind == 8:
+        return jpeg((b"\xe1", b"Exif\0\0" + directory(">", (0x112, 6))))
+    if kind == 9:
+        return b"not an image"
+    if kind == 10:
+        return jpeg((b"\xe2", b"MPF\0" + bytes(8)))
+    return jpeg()
+
+
+def _image_rows(batches):
+    for pdf in batches:
+        content = [_image_bytes(k, w, h) for k, w, h in zip(pdf["kind"], pdf["width"], pdf["height"])]
+        yield pdf[["img"]].assign(content=content)
+
+
+def _images(spark, sf):
+    """(img, format, width, height, problem) of one image file per supplier,
+    written and read back."""
+    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("img"))
+    kind = (F.col("img") % IMAGE_KINDS).cast("int")
+    made = s.select("img", kind.alias("kind"), F.when(kind == 6, 9).otherwise(100 + F.col("img") % 50).cast("int").alias("width"),
+                    (10 + F.col("img") % 70).cast("int").alias("height")).mapInPandas(_image_rows, "img long, content binary")
+    path = scratch_path(spark, "images")
+    made.select("img", F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("img").text(path, lineSep="\0")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    folder = F.regexp_extract("path", r"/img=(\d+)/[^/]+$", 1).cast("long")
+    return image_audit(files).select(folder.alias("img"), "format", "width", "height", "problem")
+
+
+def q_image_headers(spark, sf):
+    """Format, shown size and fault of image files by their headers (FLT-15)."""
+    return _images(spark, sf)
+
+
+SQL_IMAGE_HEADERS = f"""
+WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS img, s_suppkey % {IMAGE_KINDS} AS k, CASE s_suppkey % {IMAGE_KINDS} WHEN 6 THEN 9 ELSE 100 + s_suppkey % 50 END AS w,
+                  10 + s_suppkey % 70 AS h FROM supplier)
+SELECT img, CASE k WHEN 0 THEN 'png' WHEN 2 THEN 'bmp' WHEN 3 THEN 'tiff' WHEN 4 THEN 'webp' WHEN 5 THEN 'gif' WHEN 10 THEN 'mpo'
+                   WHEN 7 THEN NULL WHEN 9 THEN NULL ELSE 'jpeg' END AS format,
+       CAST(CASE WHEN k IN (7, 9) THEN NULL WHEN k = 8 THEN h ELSE w END AS BIGINT) AS width,
+       CAST(CASE WHEN k IN (7, 9) THEN NULL WHEN k = 8 THEN w ELSE h END AS BIGINT) AS height,
+       CASE k WHEN 5 THEN 'format gif' WHEN 6 THEN 'too small' WHEN 7 THEN 'bad checksum' WHEN 9 THEN 'unknown format' END AS problem FROM s"""
+
+
 def _label_status(spark, sf):
-    """Label text files of seven kinds (by supplier key modulo 7) audited per image."""
+    """Label text files of seven kinds (by supplier key modulo 7) and image files
+    of eleven kinds audited per image."""
     s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("img"))
     kind = F.col("img") % 7
     good = F.when(F.col("img") % 2 == 0, "3 0.5 0.5 0.25 0.125").otherwise("3 0.1 0.1 0.5 0.1 0.5 0.4 0.1 0.4")
@@ -124,22 +204,21 @@ def _label_status(spark, sf):
     _documents(s.where(kind != 0).select("img", text.alias("value")), path, "img")
     labels = RD.read_detection_labels(spark, path)
     folder = F.regexp_extract("file", r"/img=(\d+)/[^/]+$", 1).cast("long")
-    images = s.join(labels.select(folder.alias("img"), F.col("file").alias("lf")), "img", "left")
+    images = s.join(labels.select(folder.alias("img"), F.col("file").alias("lf")), "img", "left").join(_images(spark, sf).select("img", "problem"), "img", "left")
     return RD.validate_labels(labels, images, F.coalesce("lf", F.lit("none")))
 
 
 def q_label_statuses(spark, sf):
-    """Label file audit: missing, empty, corrupt or found (SRC-14, FLT-15)."""
+    """Label and image file audit: missing, empty, corrupt or found (SRC-14, FLT-15)."""
     first = F.try_element_at("rows", F.lit(1))
-    return _label_status(spark, sf).select(F.col("img").cast("long").alias("img"), "status",
+    return _label_status(spark, sf).select(F.col("img").cast("long").alias("img"), "status", "problem",
                                            F.round(F.try_element_at(first, F.lit(4)), 6).alias("w"))
 
 
-SQL_LABEL_STATUSES = """
-SELECT CAST(s_suppkey AS BIGINT) AS img,
-       CASE s_suppkey % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty' WHEN 6 THEN 'found' ELSE 'corrupt' END AS status,
-       CASE WHEN s_suppkey % 7 < 2 THEN NULL WHEN s_suppkey % 7 = 6 AND s_suppkey % 2 = 1 THEN 0.4 ELSE 0.25 END::DOUBLE AS w
-FROM supplier"""
+SQL_LABEL_STATUSES = f"""
+SELECT img, CASE WHEN problem IS NOT NULL THEN 'corrupt' ELSE CASE img % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty' WHEN 6 THEN 'found' ELSE 'corrupt' END END AS status,
+       problem, CASE WHEN img % 7 < 2 THEN NULL WHEN img % 7 = 6 AND img % 2 = 1 THEN 0.4 ELSE 0.25 END::DOUBLE AS w
+FROM ({SQL_IMAGE_HEADERS})"""
 
 
 def q_label_report(spark, sf):
@@ -231,16 +310,76 @@ def q_frame_files(spark, sf):
 SQL_FRAME_FILES = "SELECT CAST(s_nationkey AS BIGINT) AS video, count(*) AS n_frames FROM supplier GROUP BY 1"
 
 
+def _tar(names: list[str], contents: list[bytes], form: int) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=form) as t:
+        for name, content in zip(names, contents):
+            member = tarfile.TarInfo(name)
+            member.size = len(content)
+            t.addfile(member, io.BytesIO(content))
+    return out.getvalue()
+
+
+def _frame_archives(rows: DataFrame, path: str, damage: bool = False) -> None:
+    """Tar files of at most ROWS_PER_DOCUMENT suppliers in the folder of their
+    nation, written as Spark text (its line end is a zero byte behind the
+    archive's end mark): by nation plain or gzip, GNU or POSIX, some names longer
+    than a header's field.  With ``damage`` two nations of five are cut off in
+    the last member or hit in the second header."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s_suppkey")
+        nation = int(pdf["s_nationkey"].iloc[0])
+        names = [("folder/" * 20 if k % 3 == 0 and not damage else "frames/") + f"{k:08d}.jpg" for k in pdf["s_suppkey"]]
+        raw = _tar(names, [n.encode() for n in pdf["s_name"]], tarfile.GNU_FORMAT if nation % 2 else tarfile.PAX_FORMAT)
+        if damage and nation % 5 == 2:
+            raw = raw[:1024 * (len(pdf) - 1) + 512]
+        if damage and nation % 5 == 3:
+            raw = raw[:1024 + 7] + b"!" + raw[1024 + 8:]
+        return pd.DataFrame({"s_nationkey": [nation], "g": [int(pdf["g"].iloc[0])], "value": [raw]})
+    tars = rows.withColumn("g", F.floor(F.col("s_suppkey") / ROWS_PER_DOCUMENT)).groupBy("s_nationkey", "g") \
+        .applyInPandas(pack, "s_nationkey long, g long, value binary")
+    tars = cut_lineage(tars.withColumn("value", F.col("value").cast("string")))
+    for packed, kind in ((F.col("s_nationkey") % 4 < 2, None), (F.col("s_nationkey") % 4 >= 2, "gzip")):
+        tars.where(packed).drop("g").write.mode("append").option("maxRecordsPerFile", 1).option("mapreduce.output.basename", "frames.tar") \
+            .partitionBy("s_nationkey").text(path, compression=kind, lineSep="\0")
+
+
 def q_packed_frames(spark, sf):
-    """Frame files packed per video with their bytes, read back (SNK-07)."""
-    out = scratch_path(spark, "packed")
-    SK.pack_frames(spark, _frame_files(spark, sf), out, glob="*.txt")
+    """Frames packed per video with their bytes, read back (SNK-07): suppliers
+    with an even key lie as files in a folder, the others in tar archives."""
+    suppliers = read_table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    path, out = scratch_path(spark, "frames"), scratch_path(spark, "packed")
+    _documents(suppliers.where("s_suppkey % 2 = 0").select("s_nationkey", F.col("s_name").alias("value")), path, "s_nationkey")
+    _frame_archives(suppliers.where("s_suppkey % 2 = 1"), f"{path}/archives")
+    SK.pack_frames(spark, path, out, glob="part*", archives="frames.tar*")
     back = spark.read.parquet(out)
     return back.select(F.regexp_extract(F.col("video_id").cast("string"), r"(\d+)$", 1).cast("long").alias("video"),
+                       F.when(F.col("frame_name").endswith(".jpg"), F.col("frame_name")).alias("member"),
                        F.trim(F.translate(F.decode("content", "UTF-8"), "\n", "")).alias("frame"))
 
 
-SQL_PACKED_FRAMES = "SELECT CAST(s_nationkey AS BIGINT) AS video, trim(s_name) AS frame FROM supplier"
+SQL_PACKED_FRAMES = """
+SELECT CAST(s_nationkey AS BIGINT) AS video, CASE WHEN s_suppkey % 2 = 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '.jpg' END AS member,
+       trim(s_name) AS frame FROM supplier"""
+
+
+def q_archive_report(spark, sf):
+    """Frames, bytes and damage of frame archives (SNK-07)."""
+    path = scratch_path(spark, "archives")
+    _frame_archives(read_table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name"), path, damage=True)
+    report = archive_report(spark, path, "frames.tar*")
+    return report.groupBy(F.regexp_extract("archive", r"=(\d+)/[^/]+$", 1).cast("long").alias("video"), "error") \
+        .agg(F.count(F.lit(1)).alias("n_archives"), F.sum("n_frames").alias("n_frames"), F.sum("n_bytes").alias("n_bytes"))
+
+
+SQL_ARCHIVE_REPORT = f"""
+WITH m AS (SELECT s_nationkey AS v, s_suppkey // {ROWS_PER_DOCUMENT} AS g, strlen(s_name) AS b,
+                  row_number() OVER (PARTITION BY s_nationkey, s_suppkey // {ROWS_PER_DOCUMENT} ORDER BY s_suppkey) AS i,
+                  count(*) OVER (PARTITION BY s_nationkey, s_suppkey // {ROWS_PER_DOCUMENT}) AS n FROM supplier),
+k AS (SELECT v, g, CASE v % 5 WHEN 2 THEN 'member cut off' WHEN 3 THEN 'bad header checksum' END AS error,
+             CASE v % 5 WHEN 2 THEN i < n WHEN 3 THEN i = 1 ELSE true END AS whole, b FROM m)
+SELECT CAST(v AS BIGINT) AS video, error, count(DISTINCT g) AS n_archives, CAST(count(*) FILTER (whole) AS BIGINT) AS n_frames,
+       CAST(coalesce(sum(b) FILTER (whole), 0) AS BIGINT) AS n_bytes FROM k GROUP BY v, error"""
 
 
 def q_fingerprint(spark, sf):
@@ -276,6 +415,24 @@ SELECT row_number() OVER (ORDER BY video_id, cap_idx) - 1 AS row_idx, CAST(video
 FROM ({SQL_CLIP_INDEX})"""
 
 
+def q_clip_index_array(spark, sf):
+    """Clip index documents, one JSON array a file, read by byte ranges with
+    every clip's place in its file (SRC-11)."""
+    idx = q_clip_index(spark, sf).withColumn("doc", F.floor(F.col("video_id") / ROWS_PER_DOCUMENT))
+    fields = ["video_id", "duration", "start_frame", "end_frame", "text", "neutral_score", "has_person"]
+    row = F.struct("video_id", "cap_idx", F.struct(F.col("video_id").cast("string").alias("video_id"), *fields[1:]).alias("clip"))
+    docs = idx.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    path = scratch_path(spark, "clip-arrays")
+    _documents(docs.select("doc", F.to_json(F.transform("r", lambda x: x["clip"])).alias("value")), path, "doc")
+    return RD.read_clip_index(spark, path).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+SQL_CLIP_INDEX_ARRAY = f"""
+SELECT row_number() OVER (PARTITION BY video_id // {ROWS_PER_DOCUMENT} ORDER BY video_id, cap_idx) - 1 AS row_idx, CAST(video_id AS VARCHAR) AS video_id, duration,
+       CAST(start_frame AS INTEGER) AS start_frame, CAST(end_frame AS INTEGER) AS end_frame, coalesce(text, '') AS text, neutral_score, has_person
+FROM ({SQL_CLIP_INDEX})"""
+
+
 def q_regressor_weights(spark, sf):
     """Regressor weights saved and loaded: the loaded model scores every vector
     like the saved one (SNK-10)."""
@@ -317,6 +474,7 @@ QUERIES = {
     "tsv_per_video": (q_tsv_per_video, SQL_TSV_PER_VIDEO),
     "json_map": (q_json_map, SQL_JSON_MAP),
     "boxes_json": (q_boxes_json, SQL_BOXES_JSON),
+    "image_headers": (q_image_headers, SQL_IMAGE_HEADERS),
     "label_statuses": (q_label_statuses, SQL_LABEL_STATUSES),
     "label_report": (q_label_report, SQL_LABEL_REPORT),
     "prompt_vocab": (q_prompt_vocab, SQL_PROMPT_VOCAB),
@@ -324,9 +482,11 @@ QUERIES = {
     "media_list": (q_media_list, SQL_MEDIA_LIST),
     "frame_files": (q_frame_files, SQL_FRAME_FILES),
     "packed_frames": (q_packed_frames, SQL_PACKED_FRAMES),
+    "archive_report": (q_archive_report, SQL_ARCHIVE_REPORT),
     "fingerprint": (q_fingerprint, SQL_FINGERPRINT),
     "sentences_json": (q_sentences_json, SQL_SENTENCES_JSON),
     "clip_index_lines": (q_clip_index_lines, SQL_CLIP_INDEX_LINES),
+    "clip_index_array": (q_clip_index_array, SQL_CLIP_INDEX_ARRAY),
     "regressor_weights": (q_regressor_weights, SQL_REGRESSOR_WEIGHTS),
     "geo_subset": (q_geo_subset, SQL_GEO_SUBSET),
     "word_categories": (q_word_categories, SQL_WORD_CATEGORIES),

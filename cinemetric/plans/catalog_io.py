@@ -16,11 +16,15 @@ from .catalog_index import SQL_CLIP_INDEX, q_clip_index
 
 def q_expressions_csv(spark, sf):
     """Expressions with a rating written as quoted multi-line CSV, read back
-    (SRC-01, SRC-02, FLT-01)."""
+    (SRC-01, SRC-02, FLT-01); those that Latin-1 can hold lie in files of that
+    encoding, with another order of the columns."""
     e = P.p_expr(spark, sf).select("id", F.col("text").alias("Word"),
                                    (F.length("text") % 41 / 10.0 + 1).cast("string").alias("Conc.M"))
     path = scratch_path(spark, "expressions")
-    e.write.option("header", True).option("escape", '"').csv(path)
+    narrow = F.regexp_replace("Word", r"[^\x00-\xff]", "").eqNullSafe(F.col("Word"))
+    put = {"header": True, "escape": '"'}
+    e.where(~narrow).write.options(**put).csv(path)
+    e.where(narrow).select("`Conc.M`", "Word", "id").write.mode("append").options(**put, encoding="ISO-8859-1").csv(path)
     back = RD.read_expressions(spark, path)
     return back.select("id", "expr_text", F.round("rating", 6).alias("rating"))
 

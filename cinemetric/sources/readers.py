@@ -1,19 +1,26 @@
 """Readers for the reference's file formats, all as Spark scans.
 
-Whole-file reads (``wholetext``) are used only where a file is one JSON
-document or where line order inside a file is data; every other reader is a
-splittable line/CSV/JSON scan.  Orders that matter (caption order, index row
-order) become explicit columns from ``posexplode``, never row order.
+Whole-file reads (``wholetext``) are used only where line order inside a small
+file is data; every other reader is a splittable line/CSV/JSON scan, also of
+files that are one JSON document or hold quoted line ends (``splits``).  Orders
+that matter (caption order, index row order) become explicit columns, never row
+order.
 """
 
 from __future__ import annotations
 
 import ast
+import csv
+import io
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .splits import CsvScanner, elements, entering_states, json_elements
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -48,28 +55,47 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: UTF-8 when the bytes are valid UTF-8, else Latin-1 (the whole
-    file falls back, like a decode error would)."""
-    return (spark.read.format("binaryFile").load(path)
-            .select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("UTF-8"))
-                    .otherwise(F.lit("ISO-8859-1")).alias("encoding")))
+def _header_names(head: str, utf8: bool) -> list[str]:
+    """Column names of a header record as Spark's CSV reader would name them:
+    ``_c<i>`` for an empty name, a position behind a repeated one."""
+    text = head.encode("latin-1").decode("utf-8" if utf8 else "latin-1").removeprefix("\ufeff").rstrip("\r")
+    names = next(csv.reader(io.StringIO(text, newline="")), [])
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def read_csv_records(spark: SparkSession, path) -> DataFrame:
+    """CSV files with a header, every column a string (SRC-01): quoted fields may
+    hold line ends, a file that is not UTF-8 as a whole is read as Latin-1, and
+    files are united by column name.  One file is read by many tasks
+    (``splits``): whether a line end lies inside quotes, and whether all ranges
+    of its file are UTF-8, is known from a summary per byte range.  Lines end
+    with LF or CR LF.  The driver holds the distinct headers."""
+    scanner = CsvScanner()
+    states = cut_lineage(entering_states(spark, path, scanner))
+    heads = states.where("block = 0").select("head", "utf8").distinct().collect()
+    rows = elements(spark, path, scanner, states).where("row_idx > 0")
+    rows = rows.join(F.broadcast(states.where("block = 0").select("file", "head", "utf8")), "file")
+    frames = []
+    for h in sorted(heads, key=lambda h: (h["head"] or "", h["utf8"])):
+        if h["head"] is None:
+            continue
+        names = _header_names(h["head"], h["utf8"])
+        mine = rows.where(F.col("head").eqNullSafe(h["head"]) & (F.col("utf8") == F.lit(h["utf8"])))
+        # guarded by the file's own flag: the optimizer may run this before the filter
+        text = F.when(F.col("utf8"), F.col("text").cast("string")).otherwise(F.decode("text", "ISO-8859-1"))
+        parsed = F.from_csv(text, ", ".join(f"`{n.replace('`', '``')}` string" for n in names), {"escape": '"', "multiLine": "true"})
+        frames.append(mine.select(parsed.alias("r")).select("r.*"))
+    if not frames:
+        raise ValueError(f"no header in {path}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
 def read_expressions(spark: SparkSession, path: str) -> DataFrame:
     """Expression CSV (SRC-01/02, FLT-01): header, quoted fields, per-file
     encoding.  Adds ``expr_text`` and (when a rating column exists) ``rating``;
-    rows without text are dropped.  The listing of file encodings is one row
-    per file."""
-    enc = file_encodings(spark, path).collect()  # one row per input file
-    frames = []
-    for encoding in sorted({r["encoding"] for r in enc}):
-        files = [r["path"] for r in enc if r["encoding"] == encoding]
-        frames.append(spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-                      .option("encoding", encoding).csv(files))
-    df = frames[0]
-    for f in frames[1:]:
-        df = df.unionByName(f, allowMissingColumns=True)
+    rows without text are dropped."""
+    df = read_csv_records(spark, path)
     text = resolve_column(df.columns, TEXT_COLUMNS)
     rating = resolve_column(df.columns, RATING_COLUMNS, required=False)
     df = df.withColumn("expr_text", _q(text)).dropna(subset=["expr_text"])
@@ -143,23 +169,28 @@ def read_tsv_per_video(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    """A JSON document that is one map ``{key: value}`` -> rows (key, value) (SRC-08)."""
-    doc = spark.read.text(path, wholetext=True)
-    return doc.select(F.explode(F.from_json("value", f"map<string, {value_type}>")).alias("key", "value"))
+    """JSON documents that are one map ``{key: value}`` -> rows (key, value)
+    (SRC-08); of a key that a document holds twice the last value counts."""
+    entry = json_elements(spark, path, "{")
+    rows = entry.select("file", "row_idx", F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), f"map<string, {value_type}>")).alias("key", "value"))
+    return rows.groupBy("file", "key").agg(F.max_by(F.struct("value"), "row_idx").alias("last")).select("key", "last.value")
 
 
-TRANSCRIPT_TYPE = "array<struct<text:string, start:double, duration:double>>"
+def _parent(file) -> Column:
+    return F.regexp_extract(file, r"/([^/]+)/[^/]+$", 1)
+
+
+CAPTION_TYPE = "struct<text:string, start:double, duration:double>"
 
 
 def read_transcripts(spark: SparkSession, path: str, video_from: str = "dir") -> DataFrame:
     """Transcript JSON arrays, one file per video (SRC-09): rows
     (video_id, cap_idx, text, start, duration); the video id is the parent
     directory name (or the file stem)."""
-    doc = spark.read.text(path, wholetext=True)
-    vid = (F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1) if video_from == "dir"
-           else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1))
-    ex = doc.select(vid.alias("video_id"), F.posexplode(F.from_json("value", TRANSCRIPT_TYPE)).alias("cap_idx", "c"))
-    return ex.select("video_id", F.col("cap_idx").cast("long"), "c.text", "c.start", "c.duration")
+    entry = json_elements(spark, path, objects=True)
+    vid = _parent("file") if video_from == "dir" else F.regexp_extract("file", r"([^/]*)\.[^./]+$", 1)
+    return entry.select(vid.alias("video_id"), F.col("row_idx").alias("cap_idx"), F.from_json("value", CAPTION_TYPE).alias("c")) \
+        .select("video_id", "cap_idx", "c.text", "c.start", "c.duration")
 
 
 def read_boxes(spark: SparkSession, path: str, keyed_by_video: bool = False) -> DataFrame:
@@ -168,15 +199,12 @@ def read_boxes(spark: SparkSession, path: str, keyed_by_video: bool = False) ->
     Per-video files hold a list of one-key maps ``[{"00001321.jpg": [[x1,y1,x2,y2,s],...]}, ...]``;
     a later entry for the same frame wins (SET-08).  The whole-set form is one
     map ``{video: {frame: boxes}}``."""
-    doc = spark.read.text(path, wholetext=True)
     if keyed_by_video:
-        m = doc.select(F.explode(F.from_json("value", f"map<string, map<string, {BOX_ARRAY}>>")).alias("video_id", "fm"))
-        rows = m.select("video_id", F.explode("fm").alias("frame_name", "boxes"))
+        rows = read_json_map(spark, path, f"map<string, {BOX_ARRAY}>").select(F.col("key").alias("video_id"), F.explode("value").alias("frame_name", "boxes"))
     else:
-        vid = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-        lst = doc.select(vid.alias("video_id"),
-                         F.posexplode(F.from_json("value", f"array<map<string, {BOX_ARRAY}>>")).alias("pos", "m"))
-        ex = lst.select("video_id", "pos", F.explode("m").alias("frame_name", "boxes"))
+        entry = json_elements(spark, path, objects=True)
+        ex = entry.select(_parent("file").alias("video_id"), F.col("row_idx").alias("pos"),
+                          F.explode(F.from_json("value", f"map<string, {BOX_ARRAY}>")).alias("frame_name", "boxes"))
         rows = ex.groupBy("video_id", "frame_name").agg(F.max_by("boxes", "pos").alias("boxes"))
     return rows.withColumn("frame_idx", F.regexp_extract("frame_name", r"(\d+)\.", 1).cast("long"))
 
@@ -186,21 +214,18 @@ def frames_with_box(boxes: DataFrame) -> DataFrame:
     return boxes.where(F.size("boxes") > 0)
 
 
-CLIP_INDEX_TYPE = ("array<struct<video_id:string, duration:double, start_frame:int, end_frame:int, text:string, "
-                   "neutral_score:double, has_person:double>>")
+CLIP_TYPE = ("struct<video_id:string, duration:double, start_frame:int, end_frame:int, text:string, "
+             "neutral_score:double, has_person:double>")
 
 
 def read_clip_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Clip index JSON array; ``row_idx`` keeps the file order (SRC-11).  The
-    reference format is one array per file, read by one task per file;
+    """Clip index; ``row_idx`` keeps the file order (SRC-11).  The reference
+    format is one JSON array per file, of which many tasks read a range each;
     ``lines=True`` reads the JSON-lines form written by
-    ``sinks.write_clip_index`` (rows carry ``row_idx``), split across tasks."""
+    ``sinks.write_clip_index`` (rows carry ``row_idx``)."""
     if lines:
-        row = CLIP_INDEX_TYPE[len("array<"):-1]
-        return spark.read.schema(f"row_idx long, {row[len('struct<'):-1].replace(':', ' ')}").json(path)
-    doc = spark.read.text(path, wholetext=True)
-    return doc.select(F.posexplode(F.from_json("value", CLIP_INDEX_TYPE)).alias("row_idx", "r")).select(
-        F.col("row_idx").cast("long"), "r.*")
+        return spark.read.schema(f"row_idx long, {CLIP_TYPE[len('struct<'):-1].replace(':', ' ')}").json(path)
+    return json_elements(spark, path, objects=True).select("row_idx", F.from_json("value", CLIP_TYPE).alias("r")).select("row_idx", "r.*")
 
 
 def frame_manifest(spark: SparkSession, root: str, glob: str = "*.jpg") -> DataFrame:
@@ -245,14 +270,17 @@ def validate_labels(labels: DataFrame, images: DataFrame, label_path: Column) ->
     """Status per image (FLT-15): ``missing`` (no label file), ``empty``,
     ``corrupt`` (not 5 columns, a negative, a coordinate above 1, a duplicate
     row or an unparsable number) or ``found``.  ``images`` needs ``path``;
-    ``label_path`` maps it to the label file path."""
+    ``label_path`` maps it to the label file path.  With a column ``problem``
+    (``images.image_audit``: unreadable, below 10 pixels, unknown format) an
+    image that has one is ``corrupt`` whatever its labels are."""
     im = images.withColumn("label_file", label_path)
     j = im.join(labels.withColumnRenamed("file", "label_file"), "label_file", "left")
     r = F.col("rows")
     bad = (F.exists(r, lambda x: (F.size(x) != 5) | F.exists(x, lambda v: v.isNull() | (v < 0)))
            | F.exists(r, lambda x: F.exists(F.slice(x, 2, 4), lambda v: v > 1))
            | (F.size(F.array_distinct(r)) != F.size(r)))
-    status = (F.when(r.isNull(), F.lit("missing")).when(F.size(r) == 0, F.lit("empty"))
+    image = F.col("problem").isNotNull() if "problem" in images.columns else F.lit(False)
+    status = (F.when(image, F.lit("corrupt")).when(r.isNull(), F.lit("missing")).when(F.size(r) == 0, F.lit("empty"))
               .when(bad, F.lit("corrupt")).otherwise(F.lit("found")))
     return j.withColumn("status", status)
 

@@ -5,10 +5,13 @@ sink."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import format_scores
+from .archives import read_archives
 
 PREDICTION_COLUMNS = ["Predicted_Concreteness", "English_Translation", "Detected_Language", "Is_Multiword",
                       "Is_Sentence", "Model_Used", "Per_Word_Predictions"]
@@ -77,13 +80,22 @@ def write_incremental(df: DataFrame, path: str, partition_cols: list[str]) -> No
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
-def pack_frames(spark: SparkSession, root: str, out: str, glob: str = "*.jpg") -> None:
-    """Frame files -> Parquet partitioned by video (SNK-07): one container per
-    video directory, bytes kept as ``content``."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(root))
-    packed = files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("video_id"),
-                          F.regexp_extract("path", r"([^/]+)$", 1).alias("frame_name"), "content")
+def pack_frames(spark: SparkSession, root: str, out: str, glob: str | None = "*.jpg", archives: str | None = None) -> None:
+    """Frames -> Parquet partitioned by video (SNK-07): one container per video
+    directory, bytes kept as ``content``.  ``glob`` selects frame files,
+    ``archives`` tar files (plain or gzip) whose members are frames; the video is
+    the folder that holds the file or the archive.  Of a name that an archive
+    holds twice the last one is packed.  Damaged archives give the frames before
+    the damage; ``archives.archive_report`` lists them."""
+    parts = []
+    folder = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("video_id")
+    if glob:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+        parts.append(files.select(folder, F.regexp_extract("path", r"([^/]+)$", 1).alias("frame_name"), "content"))
+    if archives:
+        inside = read_archives(spark, root, archives).where("error is null").withColumnRenamed("archive", "path")
+        parts.append(inside.select(folder, "frame_name", "content"))
+    packed = reduce(DataFrame.unionByName, parts)
     # range slices of (video, frame): a video with many frames is packed by
     # several tasks (several files in its directory), never by one
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
