@@ -11,14 +11,17 @@ score array in place.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as TX
 from ..functions import vectors as V
@@ -134,6 +137,105 @@ def score_matrix(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec:
     return keyed.join(merged, "_item").drop("_item")
 
 
+def _top_of_block(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the k largest scores, largest first; of equal
+    scores the later column first."""
+    n, k = scores.shape[1], min(k, scores.shape[1])
+    if n > 4 * k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        tied = (scores >= least[:, None]).sum(axis=1) > k           # more candidates than places
+        cols = np.argpartition(scores, n - k, axis=1)[:, n - k:]
+        for i in np.flatnonzero(tied):
+            cols[i] = n - 1 - np.argsort(-scores[i, ::-1], kind="stable")[:k]
+        order = np.lexsort((-cols, -np.take_along_axis(scores, cols, 1)), axis=1)
+        return np.take_along_axis(cols, order, 1)
+    return n - 1 - np.argsort(-scores[:, ::-1], axis=1, kind="stable")[:, :k]
+
+
+def _block_scorer(block, first: int, k: int, scale: float, kind: pa.DataType):
+    """One block of classes (broadcast: matrix with a column per class, ids) and
+    batches of items with the vector ``_x``: every other column, the k best
+    classes as (negative score, negative class position, id), and the parts of
+    the log-sum-exp."""
+    def run(batches):
+        w, ids = block.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            scores = scale * (x @ w)
+            cols = _top_of_block(scores, k)
+            peak = scores.max(axis=1)
+            total = np.exp(scores - peak[:, None]).sum(axis=1)
+            offsets = np.arange(0, cols.size + 1, cols.shape[1], dtype=np.int32)
+            flat = cols.ravel()
+            best = pa.StructArray.from_arrays([pa.array(-np.take_along_axis(scores, cols, 1).ravel()), pa.array(-(flat.astype(np.int64) + first)),
+                                               pa.array([ids[i] for i in flat.tolist()], kind)], names=["ns", "ni", "c"])
+            rest = b.drop_columns(["_x"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(offsets), best), pa.array(peak), pa.array(total)],
+                                             names=[*rest.schema.names, "_top", "_peak", "_total"])
+    return run
+
+
+def top_classes(items: DataFrame, vec: str, classes: DataFrame, cls: str, cvec: str, k: int = 5, scale: float = 100.0,
+                max_values: int = MAX_MATRIX_VALUES) -> DataFrame:
+    """Add ``top`` = array of (rank, class_id, score) of the ``k`` best classes
+    by ``scale * <item, class>`` and ``lse``, the log-sum-exp over all classes
+    (so ``exp(score - lse)`` is the softmax).  Ties go to the later class in id
+    order.
+
+    Classes are cut into blocks of at most ``max_values`` numbers (classes x
+    width).  A block is broadcast and multiplied with batches of items; what an
+    item keeps of a block is k pairs and two numbers, whatever the number of
+    classes is, and the blocks' pairs are merged per item.  With one block it is
+    a map-only pass.  Without a class there is an empty ``top`` and a null ``lse``."""
+    spark = items.sparkSession
+    st = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(cvec)).alias("w")).first()
+    kind = classes.schema[cls].dataType
+    entry = f"struct<rank:int,class_id:{kind.simpleString()},score:double>"
+    if not st["n"]:
+        return items.withColumn("top", F.array().cast(f"array<{entry}>")).withColumn("lse", F.lit(None).cast("double"))
+    per_block = max(1, int(max_values) // int(st["w"] or 1))
+    numbered = classes.select(F.col(cls).alias("class_id"), F.col(cvec).cast("array<double>").alias("_v"))
+    one = st["n"] <= per_block
+    if not one:
+        numbered = cut_lineage(global_row_index(numbered, ["class_id"], "_ci"))
+    keyed = items if one else cut_lineage(items.withColumn("_item", F.monotonically_increasing_id()))
+    x = F.col(vec).cast("array<double>").alias("_x")
+    kept = keyed.select("*", x) if one else keyed.select("_item", x)
+    best = T.StructType([T.StructField("ns", T.DoubleType()), T.StructField("ni", T.LongType()), T.StructField("c", kind)])
+    schema = T.StructType([*[f for f in kept.schema if f.name != "_x"], T.StructField("_top", T.ArrayType(best)),
+                           T.StructField("_peak", T.DoubleType()), T.StructField("_total", T.DoubleType())])
+    parts = []
+    for first in range(0, st["n"], per_block):
+        mine = numbered.orderBy("class_id") if one else numbered.where((F.col("_ci") >= first) & (F.col("_ci") < first + per_block)).orderBy("_ci")
+        block = mine.collect()                                   # at most max_values numbers
+        matrix = spark.sparkContext.broadcast((np.array([r["_v"] for r in block], dtype=float).T, [r["class_id"] for r in block]))
+        parts.append(kept.mapInArrow(_block_scorer(matrix, first, k, scale, to_arrow_type(kind)), schema))
+    top = F.transform("_top", lambda t, i: F.struct((i + 1).cast("int").alias("rank"), t["c"].alias("class_id"), (-t["ns"]).alias("score"))).alias("top")
+    if one:
+        return parts[0].select(*items.columns, top, (F.col("_peak") + F.log("_total")).alias("lse"))
+    peak = F.array_max(F.transform("_p", lambda p: p["_peak"]))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("_item").agg(F.collect_list(F.struct("_top", "_peak", "_total")).alias("_p")) \
+        .select("_item", "_p", F.slice(F.array_sort(F.flatten(F.transform("_p", lambda p: p["_top"]))), 1, k).alias("_top"), peak.alias("_peak")) \
+        .select("_item", top, (F.col("_peak") + F.log(F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["_total"] * F.exp(p["_peak"] - F.col("_peak"))))).alias("lse"))
+    return keyed.join(merged, "_item").drop("_item")
+
+
+def top_pairs(df: DataFrame, keys: list[str], with_prob: bool = True) -> DataFrame:
+    """One row per (item, rank) of ``top_classes``: class, score and softmax
+    probability."""
+    out = df.select(*keys, "lse", F.explode("top").alias("_t")).select(*keys, "lse", "_t.*")
+    return (out.withColumn("prob", F.exp(F.col("score") - F.col("lse"))) if with_prob else out).drop("lse")
+
+
+def top_hit_rates(df: DataFrame, label: str, ks=(1, 5), by: list[str] | None = None) -> DataFrame:
+    """Share of items whose true label is among their best ``k`` (``top_classes``
+    with the largest of ``ks``)."""
+    hits = [F.avg(F.exists(F.slice("top", 1, k), lambda t: t["class_id"] == F.col(label)).cast("double")).alias(f"top{k}") for k in ks]
+    return df.groupBy(*by).agg(*hits) if by else df.agg(*hits)
+
+
 def ranked_classes(scores: Column, class_ids: Column) -> Column:
     """Array of (rank, class, score) sorted by score desc; ties go to the higher
     class index (classes are held in ascending id order)."""
@@ -185,8 +287,7 @@ def zero_shot(items: DataFrame, keys: list[str], vec: str, prompts: DataFrame, c
               k: int = 5) -> DataFrame:
     """Prototype per class from prompt vectors, cosine x 100 scores, top-k labels."""
     protos = class_prototypes(prompts, cls, pvec)
-    scored = score_matrix(items.withColumn(vec, V.l2_normalize(vec)), vec, protos, cls, "prototype")
-    return top_labels(scored, keys, "scores", k)
+    return top_pairs(top_classes(items.withColumn(vec, V.l2_normalize(vec)), vec, protos, cls, "prototype", k), keys)
 
 
 def word_numbers(tokens: DataFrame, keys: list[str], order: str, piece: str, end_marker: str = "</w>",

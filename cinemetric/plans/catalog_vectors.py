@@ -118,15 +118,19 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambd
 SELECT doc_id, wp AS word_no, [round(avg(length(piece)), 6), round(avg(i), 6)] AS word_vec
 FROM q GROUP BY doc_id, wp"""
 
-def _zero_shot_scores(spark, sf):
+def _zero_shot_data(spark, sf):
     v = P.p_vec(spark, sf)
     protos = O.class_prototypes(v.where(~F.col("is_test")), "label", "embedding")
-    test = v.where("is_test").withColumn("embedding", V.l2_normalize("embedding"))
-    return O.score_matrix(test, "embedding", protos, "label", "prototype")
+    return v.where("is_test").withColumn("embedding", V.l2_normalize("embedding")), protos
+
+
+def _zero_shot_top(spark, sf, k):
+    test, protos = _zero_shot_data(spark, sf)
+    return O.top_classes(test, "embedding", protos, "label", "prototype", k)
 
 
 def q_zero_shot_top5(spark, sf):
-    top = O.top_labels(_zero_shot_scores(spark, sf), ["vec_id"], "scores", 5)
+    top = O.top_pairs(_zero_shot_top(spark, sf, 5), ["vec_id"])
     return top.select("vec_id", "rank", "class_id", F.round("score", 4).alias("score"), F.round("prob", R6).alias("prob"))
 
 
@@ -136,7 +140,8 @@ FROM rk JOIN lse USING (vec_id) WHERE rank <= 5"""
 
 
 def q_topk_accuracy(spark, sf):
-    a = O.topk_accuracy(_zero_shot_scores(spark, sf), "label", "scores", (1, 5))
+    test, protos = _zero_shot_data(spark, sf)
+    a = O.topk_accuracy(O.score_matrix(test, "embedding", protos, "label", "prototype"), "label", "scores", (1, 5))
     return a.select(F.round("top1", R6).alias("top1"), F.round("top5", R6).alias("top5"))
 
 
@@ -147,8 +152,7 @@ SELECT round(avg(h1), 6) AS top1, round(avg(h5), 6) AS top5 FROM hits"""
 
 
 def q_zero_shot_f1(spark, sf):
-    s = _zero_shot_scores(spark, sf)
-    top1 = O.top_labels(s, ["vec_id", "label"], "scores", 1, with_prob=False)
+    top1 = O.top_pairs(_zero_shot_top(spark, sf, 1), ["vec_id", "label"], with_prob=False)
     f = M.weighted_f1(top1, "label", "class_id")
     return f.select(F.round("weighted_f1", R6).alias("weighted_f1"), F.round("accuracy", R6).alias("accuracy"))
 

@@ -31,8 +31,7 @@ def zero_shot_accuracy(items: DataFrame, key: str, text: str, label: str, classe
     # a Python UDF may not sit inside a higher-order function: encode first, then normalise
     iv = items.select(key, label, encode_column(text, encoder).alias("ivec")) \
         .withColumn("ivec", V.l2_normalize("ivec"))
-    scored = O.score_matrix(iv, "ivec", protos, cls, "prototype")
-    return O.topk_accuracy(scored, label, "scores", ks)
+    return O.top_hit_rates(O.top_classes(iv, "ivec", protos, cls, "prototype", max(ks)), label, ks)
 
 
 def select_templates(items: DataFrame, key: str, text: str, label: str, classes: DataFrame, cls: str,

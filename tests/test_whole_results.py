@@ -10,6 +10,7 @@ from cinemetric.operators import contrastive as L
 from cinemetric.operators import coverage as V
 from cinemetric.operators import metrics as M
 from cinemetric.operators import tables as T
+from cinemetric.operators import vectors as VE
 from cinemetric.sources import sinks
 
 
@@ -92,3 +93,59 @@ def test_pair_scores_equal_the_whole_network():
     ids = np.array([4, 0, 0, 3])
     whole = net.forward(np.hstack([left[ids], np.tile(right, (4, 1))]))
     assert np.allclose(net.forward_pairs(net.hidden_left(left), ids, right, step=3), whole)
+
+
+def test_one_batch_in_many_tiles(spark):
+    rng = np.random.default_rng(3)
+    n, x, y, s = 300, rng.normal(0, 1, (300, 5)), rng.normal(0, 1, (300, 5)), rng.normal(0, 2, (300, 4))
+    rows = [(None if i % 3 == 0 else i % 2, x[i].tolist(), y[i].tolist(), s[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "b int, x array<double>, y array<double>, s array<double>").repartition(5)
+    for tile in (17, 1000):
+        got = {r.b: r for r in L.contrastive_loss(df, "b", "x", "y", 3.0, "s", 0.5, tile=tile).collect()}
+        assert set(got) == {None, 0, 1}
+        for b in got:
+            mine = [i for i in range(n) if rows[i][0] == b]
+            logits = 3.0 * x[mine] @ y[mine].T
+            w = L.sentiment_weights(s[mine])
+            assert got[b].n == len(mine)
+            assert abs(got[b].loss - L.clip_loss_from_logits(logits)) < 1e-9
+            assert abs(got[b].reweighted_loss - L.clip_loss_from_logits(logits - 0.5 * w)) < 1e-9
+
+
+def test_tiles_merge_infinities(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.5], [1.0, 0.0]), (1, [0.5, 0.5], [0.0, 1.0]), (1, [0.1, 0.9], [0.3, 0.3])], "b int, x array<double>, s array<double>")
+    df = df.unionByName(df.where("s[0] = 1"))          # equal scores: an infinite weight, which takes the pair out
+    got = L.contrastive_loss(df, "b", "x", "x", 1.0, "s", 1.0, tile=1).first()
+    assert np.isfinite(got.reweighted_loss) and got.n == 4
+    assert L.contrastive_loss(df.limit(0), "b", "x", "x").count() == 0
+
+
+def _brute_top(x, c, ids, k, scale):
+    s = scale * x @ c.T
+    order = [sorted(range(len(ids)), key=lambda j: (-s[i, j], -j))[:k] for i in range(len(x))]
+    m = s.max(axis=1)
+    return [([(r + 1, ids[j], s[i, j]) for r, j in enumerate(o)], m[i] + np.log(np.exp(s[i] - m[i]).sum())) for i, o in enumerate(order)]
+
+
+@pytest.mark.parametrize("max_values", [10**6, 4 * 7, 1])
+def test_top_classes_in_blocks(spark, max_values):
+    rng = np.random.default_rng(1)
+    x, c = np.round(rng.normal(0, 1, (23, 4)), 1), np.round(rng.normal(0, 1, (30, 4)), 1)
+    c[11], c[29], c[3] = c[2], c[2], c[2]                          # equal scores
+    ids = [f"c{j:02d}" for j in range(30)]
+    items = spark.createDataFrame([(i, v.tolist(), "t") for i, v in enumerate(x)], "i int, v array<double>, top_ string").repartition(3)
+    classes = spark.createDataFrame([(n, v.tolist()) for n, v in zip(ids, c)], "name string, w array<double>").repartition(4)
+    got = VE.top_classes(items, "v", classes, "name", "w", 5, 2.0, max_values).orderBy("i").collect()
+    for r, (top, lse) in zip(got, _brute_top(x, c, ids, 5, 2.0)):
+        assert [(t.rank, t.class_id) for t in r.top] == [t[:2] for t in top] and abs(r.lse - lse) < 1e-9
+        assert np.allclose([t.score for t in r.top], [t[2] for t in top])
+    assert VE.top_classes(items, "v", classes.limit(0), "name", "w").where("size(top) = 0 and lse is null").count() == 23
+    assert VE.top_classes(items.limit(0), "v", classes, "name", "w").count() == 0
+    pairs = VE.top_pairs(VE.top_classes(items, "v", classes, "name", "w", 40, 2.0, max_values), ["i"])
+    assert pairs.count() == 23 * 30 and abs(pairs.agg(F.sum("prob")).first()[0] - 23) < 1e-9
+
+
+def test_top_of_block_takes_the_later_of_equal_classes():
+    s = np.zeros((2, 50))
+    s[1, [3, 7]] = 1
+    assert VE._top_of_block(s, 3).tolist() == [[49, 48, 47], [7, 3, 49]]
