@@ -3,18 +3,23 @@
 Scoring (ML-01) is an Arrow pandas UDF doing NumPy matrix products on whole
 batches; the weights travel once per executor as a broadcast variable.
 Fitting (ML-02) is full-batch gradient descent with Adam: each epoch one Spark
-job computes partial gradients per partition (``mapInPandas``) and sums them;
-only the small gradient vectors reach the driver.  Weights are stored as
-Parquet rows ``(name, shape, values)`` (SNK-10), never pickled.
+job computes partial gradients per partition (``mapInArrow``) and adds them up
+in two levels of vector aggregates; one gradient reaches the driver, however
+many partitions there are.  Weights are stored as Parquet rows
+``(name, shape, values)`` (SNK-10), never pickled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,47 +132,92 @@ def predict_column(vec: Column | str, model: Regressor, spark: SparkSession) ->
 
 
 def fit_scaler(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
-    """Per-dimension mean and population sd (sd 0 -> 1), distributed by dimension."""
-    stats = (df.select(F.posexplode(vec).alias("d", "x")).groupBy("d")
-             .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("d").collect())
-    m = np.array([r["m"] for r in stats])
-    s = np.array([r["s"] if r["s"] else 1.0 for r in stats])
-    return m, s
-
-
-def fit(df: DataFrame, vec: str, label: str, seed: int = 0, lr: float = LEARNING_RATE,
-        max_epochs: int = MAX_EPOCHS, patience: int = PATIENCE) -> tuple[Regressor, list[float]]:
-    """Full-batch MSE training with Adam and early stopping; keeps the best
-    weights (the reference keeps the last ones because of a shallow copy)."""
-    data = df.select(F.col(vec).alias("x"), F.col(label).cast("double").alias("y")).persist()
-    n = data.count()
-    dim = len(data.first()["x"])
-    model = Regressor.init(dim, seed)
-    model.params["scale_mean"], model.params["scale_sd"] = fit_scaler(data, "x")
-    keys = ["w1", "b1", "w2", "b2", "w3", "b3"]
-    m1 = {k: np.zeros_like(model.params[k]) for k in keys}
-    m2 = {k: np.zeros_like(model.params[k]) for k in keys}
+    """Per-dimension mean and population sd (sd 0 -> 1), by one vector aggregate."""
+    moments = Summarizer.metrics("mean", "variance", "count").summary(F.col("_v"))
+    r = df.select(array_to_vector(F.col(vec)).alias("_v")).agg(moments.alias("s")).select("s.*").first()
+    m, n = r["mean"].toArray(), r["count"]
+    s = np.sqrt(r["variance"].toArray() * (n - 1) / n)
+    return m, np.where(s > 0, s, 1.0)
+
+
+WEIGHTS = ["w1", "b1", "w2", "b2", "w3", "b3"]
+
+
+def _partials(params: dict, batch_rows: int = 4096):
+    def run(batches):
+        m = Regressor(params)
+        acc, loss, n = None, 0.0, 0
+        for b in batches:
+            for lo in range(0, b.num_rows, batch_rows):
+                part = b.slice(lo, batch_rows)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                g, more = m.grads(x, part.column("y").to_numpy(zero_copy_only=False))
+                flat = np.concatenate([g[k].ravel() for k in WEIGHTS])
+                acc = flat if acc is None else acc + flat
+                loss, n = loss + more, n + part.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"g": [acc.tolist()], "loss": [loss], "n": [n]})
+    return run
+
+
+def gradient(data: DataFrame, model: Regressor) -> tuple[dict, float, int]:
+    """(mean squared-error gradient per weight, mean loss, rows) over ``data``
+    (x, y), summed as a tree: partitions, groups of them, the total."""
+    parts = data.select("x", "y").mapInArrow(_partials(model.params), "g array<double>, loss double, n long")
+    fan = max(1, int(np.sqrt(data.rdd.getNumPartitions())))
+    total = Summarizer.sum(F.col("g")).alias("g")
+    sums = [F.sum("loss").alias("loss"), F.sum("n").alias("n")]
+    some = parts.select(F.pmod(F.spark_partition_id(), F.lit(fan)).alias("k"), array_to_vector("g").alias("g"), "loss", "n").groupBy("k").agg(total, *sums)
+    r = some.groupBy(F.lit(0).alias("all")).agg(total, *sums).first()      # grouped: no row, not an error, without rows
+    if r is None:
+        return {k: np.zeros_like(model.params[k]) for k in WEIGHTS}, 0.0, 0
+    flat, out, at = r["g"].toArray() / r["n"], {}, 0
+    for k in WEIGHTS:
+        size = model.params[k].size
+        out[k] = flat[at:at + size].reshape(model.params[k].shape)
+        at += size
+    return out, r["loss"] / r["n"], r["n"]
+
+
+def mean_loss(data: DataFrame, model: Regressor) -> float:
+    """Mean squared error over ``data`` (x, y)."""
+    p = predict_column("x", model, data.sparkSession)
+    return data.select((p - F.col("y")).alias("e")).agg(F.avg(F.col("e") * F.col("e"))).first()[0]
+
+
+def unite(*labelled: DataFrame) -> DataFrame:
+    """Labelled lists (text, rating) as one training list, each row with the
+    number of its list (``part``); every list keeps its repeated texts."""
+    return reduce(DataFrame.unionByName, [d.select("text", F.col("rating").cast("double").alias("rating"), F.lit(i).alias("part")) for i, d in enumerate(labelled)])
+
+
+def fit(df: DataFrame, vec: str, label: str, seed: int = 0, lr: float = LEARNING_RATE, max_epochs: int = MAX_EPOCHS,
+        patience: int = PATIENCE, held_out: Column | str | None = None) -> tuple[Regressor, list[float]]:
+    """Full-batch MSE training with Adam and early stopping: after ``patience``
+    epochs without a better loss.  The loss is that of the training rows, as in
+    the reference, or of the rows where ``held_out`` is true, which are then not
+    learned from.  Keeps the best weights (the reference keeps the last ones
+    because of a shallow copy).  Rows with a null vector or label are left out.
+    Returns the model and the training (or held-out) loss of every epoch."""
+    out = F.lit(False) if held_out is None else F.coalesce(F.expr(held_out) if isinstance(held_out, str) else held_out, F.lit(False))
+    data = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), out.alias("held")) \
+        .where("x is not null and y is not null").persist()
+    learned, judged = data.where("not held"), data.where("held")
+    head = learned.first()
+    if head is None:
+        raise ValueError("no labelled row to learn from")
+    model = Regressor.init(len(head["x"]), seed)
+    model.params["scale_mean"], model.params["scale_sd"] = fit_scaler(learned, "x")
+    m1 = {k: np.zeros_like(model.params[k]) for k in WEIGHTS}
+    m2 = {k: np.zeros_like(model.params[k]) for k in WEIGHTS}
     b1_, b2_, eps = 0.9, 0.999, 1e-8
     best, best_params, bad, losses = np.inf, None, 0, []
     for epoch in range(1, max_epochs + 1):
-        params = model.params
-
-        def part(batches):
-            m = Regressor(params)
-            acc, loss = None, 0.0
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                g, l = m.grads(np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy())
-                loss += l
-                acc = g if acc is None else {k: acc[k] + g[k] for k in g}
-            if acc is not None:
-                flat = np.concatenate([acc[k].ravel() for k in keys])
-                yield pd.DataFrame({"g": [flat.tolist()], "loss": [loss]})
-
-        parts = data.mapInPandas(part, "g array<double>, loss double").collect()
-        flat = np.sum([np.array(r["g"]) for r in parts], axis=0) / n
-        loss = sum(r["loss"] for r in parts) / n
+        grad, loss, _ = gradient(learned, model)
+        if held_out is not None:
+            loss = mean_loss(judged, model)
+            if loss is None:
+                raise ValueError("no held-out row to stop by")
         losses.append(loss)
         if loss < best - 1e-12:
             best, bad = loss, 0
@@ -176,13 +226,9 @@ def fit(df: DataFrame, vec: str, label: str, seed: int = 0, lr: float = LEARNING
             bad += 1
             if bad >= patience:
                 break
-        off = 0
-        for k in keys:
-            size = model.params[k].size
-            g = flat[off:off + size].reshape(model.params[k].shape)
-            off += size
-            m1[k] = b1_ * m1[k] + (1 - b1_) * g
-            m2[k] = b2_ * m2[k] + (1 - b2_) * g * g
+        for k in WEIGHTS:
+            m1[k] = b1_ * m1[k] + (1 - b1_) * grad[k]
+            m2[k] = b2_ * m2[k] + (1 - b2_) * grad[k] ** 2
             mh, vh = m1[k] / (1 - b1_ ** epoch), m2[k] / (1 - b2_ ** epoch)
             model.params[k] = model.params[k] - lr * mh / (np.sqrt(vh) + eps)
     data.unpersist()

@@ -4,6 +4,7 @@ have no SQL twin; tests check them against closed forms and invariants."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -11,6 +12,7 @@ from ..functions.encoders import HashingEncoder, encode_column
 from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import regressor as RG
+from ..session import read_table
 from . import proxies as P
 from .zero_shot import select_templates, zero_shot_accuracy
 
@@ -55,16 +57,71 @@ def q_ridge_probe(spark, sf):
 
 
 def q_regressor_fit(spark, sf):
-    """Fit the ReLU regressor on part names (rating from the retail price) for
-    a few epochs; one row per epoch with the training loss."""
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    enc = HashingEncoder(32, seed=5)
-    rating = F.lit(1.0) + F.lit(4.0) * (F.col("p_retailprice") - 900) / 1200
-    data = part.select(encode_column("p_name", enc).alias("x"), F.greatest(F.lit(1.0), F.least(F.lit(5.0), rating)).alias("y"))
-    _model, losses = RG.fit(data, "x", "y", seed=1, lr=5e-3, max_epochs=15, patience=5)
+    """Fit the ReLU regressor on two united labelled lists (part names rated by
+    price, nation names by region) until the loss of a held-out fifth has not
+    fallen for five epochs; one row per epoch with that loss."""
+    part, nation = read_table(spark, sf, "part"), read_table(spark, sf, "nation")
+    rating = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.lit(1.0) + F.lit(4.0) * (F.col("p_retailprice") - 900) / 1200))
+    both = RG.unite(part.select(F.col("p_name").alias("text"), rating.alias("rating")),
+                    nation.select(F.col("n_name").alias("text"), (F.col("n_regionkey") + 1).alias("rating")))
+    data = both.select(encode_column("text", HashingEncoder(32, seed=5)).alias("x"), "rating", (F.crc32("text") % 5 == 0).alias("held"))
+    _model, losses = RG.fit(data, "x", "rating", seed=1, lr=5e-3, max_epochs=20, held_out=F.col("held"))
     return spark.createDataFrame([(i + 1, float(l)) for i, l in enumerate(losses)], "epoch int, loss double")
 
 
+def formula_model(dim: int) -> RG.Regressor:
+    """A regressor whose weights DuckDB can compute: sines of the position."""
+    def wave(rows, cols, a, b):
+        i, j = np.arange(1, rows + 1)[:, None], np.arange(1, cols + 1)[None, :]
+        return np.sin(a * i + b * j) / np.sqrt(rows)
+    h1, h2 = RG.HIDDEN
+    return RG.Regressor({"scale_mean": np.zeros(dim), "scale_sd": np.ones(dim), "w1": wave(dim, h1, 1.3, 0.7), "b1": wave(1, h1, 0.0, 0.9)[0],
+                         "w2": wave(h1, h2, 0.8, 1.9), "b2": wave(1, h2, 0.0, 1.1)[0], "w3": wave(h2, 1, 2.3, 0.0), "b3": np.array([0.5])})
+
+
+def q_regressor_gradient(spark, sf):
+    """One training step's gradient over all vectors (ML-02): per weight array
+    and output unit the sum of the gradient and its sum weighted by the input's
+    position, and the mean loss."""
+    v = P.p_vec(spark, sf).select(F.transform("embedding", lambda x: x.cast("double") * 8).alias("x"), (F.col("label") / 2.0).alias("y"))
+    dim = len(v.first()["x"])
+    g, loss, n = RG.gradient(v, formula_model(dim))
+    rows = [("loss", 0, float(loss), float(n))]
+    for k in RG.WEIGHTS:
+        a = g[k].reshape(-1, g[k].shape[-1]) if g[k].ndim == 2 else g[k][None, :]
+        for j in range(a.shape[1]):
+            rows.append((k, j + 1, float(a[:, j].sum()), float((a[:, j] * np.arange(1, len(a) + 1)).sum())))
+    out = spark.createDataFrame(rows, "weights string, unit int, total double, weighted double")
+    return out.select("weights", "unit", F.round("total", R6).alias("total"), F.round("weighted", R6).alias("weighted"))
+
+
+def _gradient_sql() -> str:
+    """Forward and backward pass as joins over (row, unit) tables."""
+    h1, h2 = RG.HIDDEN
+    return P.with_ctes(P.P_VEC_SQL) + f"""
+, x AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) * 8 AS x FROM p_vec)
+, y AS (SELECT vec_id AS r, label / 2.0 AS y, count(*) OVER () AS n FROM p_vec)
+, d AS (SELECT max(i) AS d FROM x)
+, w1 AS (SELECT i, j, sin(1.3 * i + 0.7 * j) / sqrt(d) AS w FROM d, (SELECT unnest(range(1, 1025)) AS i), (SELECT unnest(range(1, {h1 + 1})) AS j) WHERE i <= d)
+, w2 AS (SELECT j, k, sin(0.8 * j + 1.9 * k) / sqrt({h1}) AS w FROM (SELECT unnest(range(1, {h1 + 1})) AS j), (SELECT unnest(range(1, {h2 + 1})) AS k))
+, a1 AS MATERIALIZED (SELECT r, j, sum(x * w) + sin(0.9 * j) AS a FROM x JOIN w1 USING (i) GROUP BY r, j)
+, a2 AS MATERIALIZED (SELECT r, k, sum(greatest(a, 0) * w) + sin(1.1 * k) AS a FROM a1 JOIN w2 USING (j) GROUP BY r, k)
+, o AS (SELECT r, sum(greatest(a, 0) * sin(2.3 * k) / sqrt({h2})) + 0.5 AS o FROM a2 GROUP BY r)
+, e AS (SELECT r, n, o - y AS e, 2 * (o - y) / n AS g FROM o JOIN y USING (r))
+, d2 AS MATERIALIZED (SELECT r, k, CASE WHEN a > 0 THEN g * sin(2.3 * k) / sqrt({h2}) ELSE 0 END AS g FROM a2 JOIN e USING (r))
+, d1 AS MATERIALIZED (SELECT r, j, CASE WHEN any_value(a) > 0 THEN sum(g * w) ELSE 0 END AS g FROM d2 JOIN w2 USING (k) JOIN a1 USING (r, j) GROUP BY r, j)
+, s1 AS (SELECT r, sum(x) AS x1, sum(x * i) AS xi FROM x GROUP BY r)
+, s2 AS (SELECT r, sum(greatest(a, 0)) AS x1, sum(greatest(a, 0) * j) AS xi FROM a1 GROUP BY r)
+, u AS (SELECT 'w1' AS weights, j AS unit, sum(g * x1) AS total, sum(g * xi) AS weighted FROM d1 JOIN s1 USING (r) GROUP BY j
+        UNION ALL SELECT 'b1', j, sum(g), sum(g) FROM d1 GROUP BY j
+        UNION ALL SELECT 'w2', k, sum(g * x1), sum(g * xi) FROM d2 JOIN s2 USING (r) GROUP BY k
+        UNION ALL SELECT 'b2', k, sum(g), sum(g) FROM d2 GROUP BY k
+        UNION ALL SELECT 'w3', 1, sum(g * greatest(a, 0)), sum(g * greatest(a, 0) * k) FROM a2 JOIN e USING (r)
+        UNION ALL SELECT 'b3', 1, sum(g), sum(g) FROM e
+        UNION ALL SELECT 'loss', 0, avg(e * e), any_value(n) FROM e)
+SELECT weights, CAST(unit AS INTEGER) AS unit, round(total, 6) AS total, round(weighted, 6) AS weighted FROM u"""
+
+
 def _brand_classes(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     classes = part.select(F.col("p_brand").alias("brand")).distinct() \
@@ -90,6 +147,7 @@ QUERIES = {
     "linear_probe_multilabel": (q_linear_probe_multilabel, None),
     "ridge_probe": (q_ridge_probe, None),
     "regressor_fit": (q_regressor_fit, None),
+    "regressor_gradient": (q_regressor_gradient, _gradient_sql()),
     "zero_shot_prompts": (q_zero_shot_prompts, None),
     "select_templates": (q_select_templates, None),
 }

@@ -74,6 +74,43 @@ def test_regressor_save_load_and_fit(spark, tmp_dir):
     assert losses[-1] < losses[0] / 2
 
 
+def test_gradient_equals_finite_differences(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+    data = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(9)
+    m = RG.Regressor.init(3, seed=2)
+    g, loss, n = RG.gradient(data, m)
+    assert n == 60 and loss == pytest.approx(((m.forward(x) - y) ** 2).mean()) and RG.mean_loss(data, m) == pytest.approx(loss)
+    for k in RG.WEIGHTS:
+        for at in list(np.ndindex(m.params[k].shape))[::173]:
+            old = m.params[k][at]
+            m.params[k][at] = old + 1e-6
+            up = ((m.forward(x) - y) ** 2).mean()
+            m.params[k][at] = old - 1e-6
+            down = ((m.forward(x) - y) ** 2).mean()
+            m.params[k][at] = old
+            assert g[k][at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    assert RG.gradient(data.limit(0), m)[2] == 0
+    mean, sd = RG.fit_scaler(data, "x")
+    assert mean == pytest.approx(x.mean(axis=0)) and sd == pytest.approx(x.std(axis=0))
+
+
+def test_fit_stops_by_the_held_out_loss(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(80, 6)), rng.normal(size=80)          # nothing to learn: the held-out loss soon rises
+    lists = [spark.createDataFrame([(str(i), float(y[i])) for i in part], "text string, rating double") for part in (range(0, 50), range(50, 80))]
+    both = RG.unite(*lists)
+    assert both.groupBy("part").count().orderBy("part").collect() == [(0, 50), (1, 30)]
+    known = spark.createDataFrame([(str(i), x[i].tolist()) for i in range(80)], "text string, v array<double>")
+    data = both.join(known, "text").unionByName(spark.createDataFrame([("n", 1.0, 0, None), ("m", None, 0, x[0].tolist())], "text string, rating double, part int, v array<double>"))
+    model, losses = RG.fit(data, "v", "rating", lr=1e-2, max_epochs=40, patience=3, held_out=F.col("text").cast("int") % 4 == 0)
+    held = np.arange(80) % 4 == 0
+    assert len(losses) < 40 and min(losses) < losses[-1]
+    assert ((model.forward(x[held]) - y[held]) ** 2).mean() == pytest.approx(min(losses))
+    with pytest.raises(ValueError):
+        RG.fit(data.limit(0), "v", "rating")
+
+
 def test_score_stream_matches_batch(spark, tmp_dir):
     rows = spark.createDataFrame([(i, "one two" if i % 2 else "word", 1.0 + (i % 5)) for i in range(20)],
                                  "id long, text string, raw double")
