@@ -1,9 +1,15 @@
 """Byte-level BPE tokenisation as a Spark job (SC-06..SC-10, UDF-07).
 
 text -> clean (entity unescape, whitespace collapse, lower) -> token split
-(JVM regex, special tokens whole) -> byte mapping and merges (Arrow pandas UDF
-on the token array, each worker remembering the tokens it has merged) -> ids in
-token order -> fixed-length context window.  No step shuffles.
+(JVM regex, special tokens whole) -> byte mapping and merges -> ids in token
+order -> fixed-length context window.
+
+There are two forms of the merges.  ``encode_texts`` is map-only: an Arrow
+pandas UDF on the token array, each worker remembering the tokens it has
+merged.  ``encode_with_dictionary`` merges every distinct token of the table
+exactly once, into a dictionary that is kept and can be extended, and joins it
+back; it pays where merging is dear (long merge tables, many texts that share
+their words) or the dictionary is wanted itself.
 
 The merge table is an input (the reference ships none); the vocabulary is
 derived from it by the usual rule: 256 byte symbols, the same with the
@@ -21,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_whitespace, tokens as split_tokens
+from ..session import cut_lineage
 
 # End-of-word marker, special tokens (two naming variants), context length.
 END_OF_WORD = "</w>"
@@ -137,6 +144,45 @@ def merged_ids(spark: SparkSession, token_arrays: Column, merges: list[tuple[str
     return _bpe(token_arrays)
 
 
+def word_dictionary(df: DataFrame, text: str, merges: list[tuple[str, str]], variant: str = "clip", unescape: bool = True,
+                    known: DataFrame | None = None) -> DataFrame:
+    """(token, n, ids): every distinct token of the table, how often it occurs
+    (partial counts, so a hot token is no hot task) and its ids, merged once.
+    ``known`` is an earlier dictionary, whose tokens are not merged again."""
+    found = df.select(F.explode(split_tokens(clean_text(text, unescape), SPECIALS[variant])).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if known is None:
+        return found.select("token", "n", merged_ids(df.sparkSession, F.array("token"), merges, variant).alias("ids"))
+    both = found.join(known.select("token", F.col("ids").alias("old")), "token", "left")
+    fresh = F.when(F.col("old").isNull(), F.array("token"))
+    return both.select("token", "n", F.coalesce("old", merged_ids(df.sparkSession, fresh, merges, variant)).alias("ids"))
+
+
+HOT_SHARE = 64              # a token is hot from this fraction of a shuffle partition's tokens on
+SALTS = 32
+
+
+def encode_with_dictionary(df: DataFrame, key: str, text: str, dictionary: DataFrame, variant: str = "clip", unescape: bool = True) -> DataFrame:
+    """(key, ids array<int>) like ``encode_texts``, from a dictionary of (token,
+    n, ids) that holds every token of the table.  The tokens that are hot (their
+    number is bounded by their share of all tokens) stand in the dictionary once
+    per salt, so a token that makes up a third of the table is joined by many
+    tasks; every other token is joined by its own hash."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = dictionary.agg(F.sum("n")).first()[0] or 0
+    least = max(1.0, total / (n * HOT_SHARE))
+    row = F.monotonically_increasing_id().alias("_row")
+    rows = cut_lineage(df.select(F.col(key), row, split_tokens(clean_text(text, unescape), SPECIALS[variant]).alias("_t")))
+    toks = rows.select("_row", F.posexplode("_t").alias("_p", "token"))
+    hot = F.broadcast(dictionary.where(F.col("n") >= least).select("token", F.lit(True).alias("_hot")))      # at most n * HOT_SHARE tokens
+    salted = toks.join(hot, "token", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash("_row", "_p"), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    spread = dictionary.select("token", "ids", F.explode(F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    found = salted.join(spread, ["token", "_salt"], "left")
+    ids = found.withColumn("ids", F.coalesce("ids", F.raise_error(F.concat(F.lit("not in the dictionary: "), "token")).cast("array<int>")))
+    whole = ids.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", "ids"))).alias("_w"))
+    return rows.join(whole, "_row", "left").select(key, F.coalesce(F.flatten(F.transform("_w", lambda x: x["ids"])), F.array().cast("array<int>")).alias("ids"))
+
+
 def encode_texts(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]], variant: str = "clip",
                  unescape: bool = True) -> DataFrame:
     """(key, ids array<int>) without start and end ids, in token order; a null

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.sequence import global_row_index
-from ..session import read_table, scratch_path
+from ..session import cut_lineage, read_table, scratch_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from . import proxies as P
@@ -305,12 +305,8 @@ DEMO_MERGES = [("t", "h"), ("th", "e</w>"), ("e", "r"), ("i", "n"), ("a", "n"),
                ("r", "e"), ("in", "g</w>"), ("an", "d</w>")]
 
 
-def q_context_tokens(spark, sf):
-    """Whole documents tokenised (entity unescape, clean, split, byte-level BPE
-    per distinct token) into 77-id context windows, truncated with the end id."""
+def _windows(enc):
     from ..operators import tokenize as TK
-    docs = read_table(spark, sf, "documents", spread_rows=True).select("doc_id", "text")
-    enc = TK.encode_texts(docs, "doc_id", "text", DEMO_MERGES)
     vocab = TK.build_vocab(DEMO_MERGES)
     sot, eot = (vocab[s] for s in TK.SPECIALS["clip"])
     win = TK.context_window(F.col("ids"), sot, eot, mode="truncate")
@@ -318,4 +314,55 @@ def q_context_tokens(spark, sf):
                       F.array_join(F.transform(win, lambda x: x.cast("string")), " ").alias("context"))
 
 
-QUERIES["context_tokens"] = (q_context_tokens, None)
+def q_context_tokens(spark, sf):
+    """Whole documents tokenised (entity unescape, clean, split, byte-level BPE
+    per token) into 77-id context windows, truncated with the end id."""
+    from ..operators import tokenize as TK
+    docs = read_table(spark, sf, "documents", spread_rows=True).select("doc_id", "text")
+    return _windows(TK.encode_texts(docs, "doc_id", "text", DEMO_MERGES))
+
+
+def q_dictionary_tokens(spark, sf):
+    """The same windows from a dictionary of the distinct tokens (UDF-07)."""
+    from ..operators import tokenize as TK
+    docs = read_table(spark, sf, "documents", spread_rows=True).select("doc_id", "text")
+    words = cut_lineage(TK.word_dictionary(docs, "text", DEMO_MERGES))
+    return _windows(TK.encode_with_dictionary(docs, "doc_id", "text", words))
+
+
+def _context_tokens_sql() -> str:
+    """Distinct tokens as symbols in brackets; a recursive step joins every
+    occurrence of the pair with the lowest rank.  The driver's documents hold no
+    entities, so nothing is unescaped."""
+    ranks = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(DEMO_MERGES))
+    n = len(DEMO_MERGES)
+    return rf"""
+WITH RECURSIVE m(rank, a, b) AS (VALUES {ranks})
+, m2 AS (SELECT rank, '⟦' || a || '⟧⟦' || b || '⟧' AS pair, '⟦' || a || b || '⟧' AS joined FROM m)
+, byte AS (SELECT x, x BETWEEN 33 AND 126 OR x BETWEEN 161 AND 172 OR x BETWEEN 174 AND 255 AS keep FROM (SELECT unnest(range(0, 256)) AS x))
+, sym AS (SELECT x, CASE WHEN keep THEN x ELSE 255 + CAST(sum(CASE WHEN keep THEN 0 ELSE 1 END) OVER (ORDER BY x) AS BIGINT) END AS point,
+                 row_number() OVER (ORDER BY keep DESC, x) - 1 AS id FROM byte)
+, vocab AS (SELECT chr(CAST(point AS INTEGER)) AS s, id FROM sym UNION ALL SELECT chr(CAST(point AS INTEGER)) || '</w>', 256 + id FROM sym
+            UNION ALL SELECT a || b, 512 + rank FROM m UNION ALL SELECT '<|startoftext|>', {512 + n} UNION ALL SELECT '<|endoftext|>', {513 + n})
+, clean AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))) AS t FROM documents)
+, tok AS (SELECT doc_id, w, generate_subscripts(w, 1) AS p, unnest(w) AS word
+          FROM (SELECT doc_id, regexp_extract_all(t, '(?i)<\|startoftext\|>|<\|endoftext\|>|''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+') AS w FROM clean))
+, words AS (SELECT DISTINCT word FROM tok)
+, hexed AS (SELECT word, hex(encode(word)) AS h FROM words)
+, bytes AS (SELECT word, i, length(h) // 2 AS n, CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS x FROM (SELECT word, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM hexed))
+, start AS (SELECT word, CASE WHEN word IN ('<|startoftext|>', '<|endoftext|>') THEN '⟦' || word || '⟧'
+                  ELSE string_agg('⟦' || chr(CAST(point AS INTEGER)) || CASE WHEN i = n THEN '</w>⟧' ELSE '⟧' END, '' ORDER BY i) END AS s FROM bytes JOIN sym USING (x) GROUP BY word)
+, step AS (SELECT word, s, 0 AS k FROM start
+           UNION ALL SELECT word, replace(s, pair, joined), k + 1 FROM (SELECT step.word, step.s, step.k, min(rank) AS rank FROM step, m2 WHERE contains(step.s, pair) GROUP BY ALL) JOIN m2 USING (rank))
+, merged AS (SELECT word, arg_max(s, k) AS s FROM step GROUP BY word)
+, parts AS (SELECT word, list(id ORDER BY i) AS ids FROM (SELECT word, generate_subscripts(l, 1) AS i, unnest(l) AS s
+            FROM (SELECT word, string_split(substr(s, 2, length(s) - 2), '⟧⟦') AS l FROM merged)) JOIN vocab USING (s) GROUP BY word)
+, doc AS (SELECT doc_id, flatten(list(ids ORDER BY p)) AS ids FROM tok JOIN parts USING (word) GROUP BY doc_id)
+, whole AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN doc USING (doc_id))
+, w AS (SELECT doc_id, len(ids) AS n_ids, list_concat(list_concat([{512 + n}], ids), [{513 + n}]) AS f FROM whole)
+SELECT doc_id, CAST(n_ids AS INTEGER) AS n_ids,
+       array_to_string(CASE WHEN len(f) > 77 THEN list_concat(f[1:76], [{513 + n}]) ELSE list_concat(f, list_transform(range(0, 77 - len(f)), lambda x: 0)) END, ' ') AS context FROM w"""
+
+
+QUERIES["context_tokens"] = (q_context_tokens, _context_tokens_sql())
+QUERIES["dictionary_tokens"] = (q_dictionary_tokens, _context_tokens_sql())

@@ -136,10 +136,55 @@ def q_zero_shot_prompts(spark, sf):
     return acc.select(F.round("top1", R6).alias("top1"), F.round("top5", R6).alias("top5"))
 
 
+class PlaceEncoder:
+    """One number per letter, where it stands first in the text (0: nowhere),
+    and the text's length, in 40ths; DuckDB can compute them."""
+
+    def __init__(self, letters: str):
+        self.letters, self.dim = letters, len(letters) + 1
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([[*(t.find(c) + 1 for c in self.letters), len(t)] for t in texts], float).reshape(-1, self.dim) / 40
+
+
+PLACES = PlaceEncoder("0123456789e.")
+
+
 def q_select_templates(spark, sf):
+    """Templates kept by forward selection, with the accuracy of every step (AG-33)."""
     items, classes = _brand_classes(spark, sf)
-    hist = select_templates(items, "p_partkey", "text", "brand", classes, "brand", "names", TEMPLATES)
-    return spark.createDataFrame(hist, "step int, template string, top1 double")
+    hist = select_templates(items, "p_partkey", "text", "brand", classes, "brand", "names", TEMPLATES, PLACES)
+    return spark.createDataFrame(hist, "step int, template string, top1 double").withColumn("top1", F.round("top1", R6))
+
+
+def _select_templates_sql() -> str:
+    """All steps of the selection in a row; a step that does not improve ends it."""
+    def places(text, *keys):
+        cols = ", ".join(keys)
+        each = " UNION ALL ".join(f"SELECT {cols}, {d} AS d, {x} / 40.0 AS x FROM src"
+                                  for d, x in enumerate([f"instr({text}, '{c}')" for c in PLACES.letters] + [f"length({text})"]))
+        total = f"sqrt(sum(x * x) OVER (PARTITION BY {cols}))"
+        return f"SELECT {cols}, d, CASE WHEN {total} = 0 THEN x ELSE x / {total} END AS x FROM ({each})"
+    grid = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEMPLATES))
+    steps = []
+    for r in range(len(TEMPLATES)):
+        before = "UNION ALL ".join(f"SELECT t FROM p{q} " for q in range(r)) or "SELECT -1 AS t WHERE false"
+        last = f"(SELECT acc FROM p{r - 1})" if r else "-1"
+        steps.append(f"""
+, m{r} AS MATERIALIZED (SELECT t, c, d, x + coalesce((SELECT sum(u.x) FROM s u WHERE u.c = s.c AND u.d = s.d AND u.t IN ({before})), 0) AS x FROM s WHERE t NOT IN ({before}))
+, n{r} AS MATERIALIZED (SELECT t, c, d, x / sqrt(sum(x * x) OVER (PARTITION BY t, c)) AS x FROM m{r})
+, h{r} AS (SELECT t, key, arg_max(c, (score, c)) AS c FROM (SELECT t, key, n{r}.c, sum(i.x * n{r}.x) AS score FROM i JOIN n{r} USING (d) GROUP BY t, key, n{r}.c) GROUP BY t, key)
+, p{r} AS MATERIALIZED (SELECT t, acc FROM (SELECT t, avg(CASE WHEN h.c = l.p_brand THEN 1.0 ELSE 0 END) AS acc FROM h{r} h JOIN part l ON l.p_partkey = h.key GROUP BY t)
+      WHERE acc > {last} ORDER BY acc DESC, t LIMIT 1)""")
+    rows = " UNION ALL ".join(f"SELECT {r + 1} AS step, t, acc FROM p{r}" for r in range(len(TEMPLATES)))
+    return f"""
+WITH g(t, template) AS (VALUES {grid})
+, i AS MATERIALIZED (WITH src AS (SELECT p_partkey AS key, p_brand || ' ' || p_name AS text FROM part) {places('text', 'key')})
+, pr AS (SELECT c, t, n, replace(template, '{{}}', name) AS prompt FROM g, (SELECT DISTINCT p_brand AS c, 1 AS n, p_brand AS name FROM part
+         UNION ALL SELECT DISTINCT p_brand, 2, lower(replace(p_brand, '#', ' ')) FROM part))
+, v AS MATERIALIZED (WITH src AS (SELECT * FROM pr) {places('prompt', 'c', 't', 'n')})
+, s AS MATERIALIZED (SELECT t, c, d, sum(x) AS x FROM v GROUP BY t, c, d){''.join(steps)}
+SELECT CAST(step AS INTEGER) AS step, template, round(acc, 6) AS top1 FROM ({rows}) JOIN g USING (t)"""
 
 
 QUERIES = {
@@ -149,5 +194,5 @@ QUERIES = {
     "regressor_fit": (q_regressor_fit, None),
     "regressor_gradient": (q_regressor_gradient, _gradient_sql()),
     "zero_shot_prompts": (q_zero_shot_prompts, None),
-    "select_templates": (q_select_templates, None),
+    "select_templates": (q_select_templates, _select_templates_sql()),
 }

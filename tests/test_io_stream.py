@@ -140,6 +140,24 @@ def test_bpe_and_context_window(spark):
     assert short[:4] == [1, 5, 2, 0] and len(short) == 77
 
 
+def test_dictionary_equals_map_only(spark):
+    """A hot token (a third of all), nulls, blanks, repeated rows, specials."""
+    merges = [("t", "h"), ("th", "e</w>"), ("a", "a"), ("aa", "a</w>")]
+    texts = ["the " * 400 + "aaaa é", None, "", "  ", "the aaaaa! 12 don't <|endoftext|> x", "the aaaaa! 12 don't <|endoftext|> x"] + [f"w{i} aaa{i}" for i in range(40)]
+    df = spark.createDataFrame([(i % 44, t) for i, t in enumerate(texts)], "k int, t string").repartition(3)
+    rows = lambda d: sorted((r["k"], r["ids"]) for r in d.collect())
+    words = TK.word_dictionary(df, "t", merges)
+    assert words.count() == words.select("token").distinct().count() and words.where("token = 'the'").first()["n"] == 402
+    want = rows(TK.encode_texts(df, "k", "t", merges))
+    assert rows(TK.encode_with_dictionary(df, "k", "t", words)) == want
+    half = TK.word_dictionary(df.where("k < 20"), "t", merges)
+    grown = TK.word_dictionary(df, "t", merges, known=half)
+    assert sorted(map(str, grown.collect())) == sorted(map(str, words.collect()))
+    with pytest.raises(Exception, match="not in the dictionary"):
+        TK.encode_with_dictionary(df, "k", "t", half).collect()
+    assert TK.encode_with_dictionary(df.limit(0), "k", "t", words).count() == 0
+
+
 def test_every_nth_batchwise_across_batches(spark, tmp_dir):
     """Three files streamed one per trigger (arrival order = time order): the
     versioned per-source counts carry over, and the kept events equal the

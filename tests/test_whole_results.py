@@ -149,3 +149,26 @@ def test_top_of_block_takes_the_later_of_equal_classes():
     s = np.zeros((2, 50))
     s[1, [3, 7]] = 1
     assert VE._top_of_block(s, 3).tolist() == [[49, 48, 47], [7, 3, 49]]
+
+
+def test_template_selection_equals_one_job_per_candidate(spark):
+    from cinemetric.plans import zero_shot as Z
+    rng = np.random.default_rng(2)
+    words = ["red fox", "blue jay", "old oak", "tin can", "sea urchin"]
+    classes = spark.createDataFrame([(i, [w, w.split()[1]]) for i, w in enumerate(words)], "c int, names array<string>")
+    rows = [(k, " ".join(rng.permutation([*words[k % 5].split(), "photo", "of", "shop", "bad"][: 2 + k % 4]).tolist()), None if k == 7 else k % 5) for k in range(60)]
+    items = spark.createDataFrame(rows, "k int, t string, label int").repartition(3)
+    templates = ["a photo of a {}.", "a bad photo of the {}.", "{} in a shop", "{}"]
+    want, chosen, best, left = [], [], -1.0, list(templates)
+    while left:                                                    # every candidate scored by itself
+        rates = [(Z.zero_shot_accuracy(items, "k", "t", "label", classes, "c", "names", chosen + [t], ks=(1,)).first()["top1"], -templates.index(t)) for t in left]
+        top, no = max(rates)
+        if top <= best:
+            break
+        best, t = top, templates[-no]
+        chosen.append(t)
+        left.remove(t)
+        want.append((len(chosen), t, pytest.approx(top)))
+    for values in (10**6, 64 * 4 * 2, 1):
+        assert Z.select_templates(items, "k", "t", "label", classes, "c", "names", templates, max_values=values) == want
+    assert Z.select_templates(items, "k", "t", "label", classes, "c", "names", templates, max_templates=1) == want[:1]
