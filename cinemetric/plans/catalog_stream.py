@@ -58,6 +58,22 @@ def q_stream_every_nth_batchwise(spark, sf):
     ST.every_nth_batchwise(ev, "user_id", ["ts", "event_id"], 4, out, state, scratch_path(spark, "every-nth-b-ckpt"), prune=True)
     return spark.read.parquet(out).select("user_id", "event_id")
 
+
+def q_stream_every_nth_idle(spark, sf):
+    """ST-01 over several micro-batches; counters live as long as the events do."""
+    ev = _events_in_slices(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    out = ST.every_nth(ev, "user_id", ["ts", "event_id"], 4, idle="3650 days")
+    return ST.run_available(out, scratch_path(spark, "every-nth-i"), scratch_path(spark, "every-nth-i-ckpt")).select("user_id", "event_id")
+
+
+def q_stream_rolling_mean_idle(spark, sf):
+    """ST-03 over several micro-batches; the last values live as long as the events do."""
+    ev = _events_in_slices(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    out = ST.rolling_mean_stream(ev, "user_id", ["ts", "event_id"], "value", "event_id", 5, idle="3650 days")
+    t = ST.run_available(out, scratch_path(spark, "rolling-i"), scratch_path(spark, "rolling-i-ckpt"))
+    return t.select("event_id", F.round("rolling", R6).alias("rolling"))
+
+
 def q_stream_rolling_mean(spark, sf):
     ev = _events_stream(spark, sf).select("event_id", "ts", "user_id", "value")
     out = ST.rolling_mean_stream(ev, "user_id", ["ts", "event_id"], "value", "event_id", 5)
@@ -124,6 +140,8 @@ FROM z, t"""
 
 
 QUERIES = {
+    "stream_every_nth_idle": (q_stream_every_nth_idle, SQL_STREAM_EVERY_NTH),
+    "stream_rolling_mean_idle": (q_stream_rolling_mean_idle, SQL_STREAM_ROLLING_MEAN),
     "stream_every_nth": (q_stream_every_nth, SQL_STREAM_EVERY_NTH),
     "stream_every_nth_batchwise": (q_stream_every_nth_batchwise, SQL_STREAM_EVERY_NTH),
     "stream_rolling_mean": (q_stream_rolling_mean, SQL_STREAM_ROLLING_MEAN),

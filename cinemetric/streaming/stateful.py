@@ -9,6 +9,13 @@
 * ``score_stream``: expression scoring on arriving rows with frozen
   statistics (per-route mean/sd and the tail threshold from a batch fit).
 
+
+Both keyed operators take ``idle``, a time to live in event time: the state of a
+source is dropped when the watermark (the latest event time less ``lateness``)
+has passed its last event by so much, so sources that fell silent leave the
+state instead of staying in it for good; one that comes back starts anew.
+Being bound to event time, a replay gives the same rows.
+
 Order inside a micro-batch is (event time, id); across micro-batches it is
 arrival order, as for a live camera.
 """
@@ -26,20 +33,41 @@ from ..functions import text as TX
 from ..operators import scoring as S
 
 
-def every_nth(events: DataFrame, key: str, order: list[str], n: int = 4) -> DataFrame:
-    """Events whose 1-based position within their key is a multiple of ``n``."""
+def _watched(events: DataFrame, time: str, idle: str | None, lateness: str | None) -> tuple[DataFrame, str]:
+    """The events with a watermark, and the kind of timeout, if state expires."""
+    if not idle:
+        return events, GroupStateTimeout.NoTimeout
+    return events.withWatermark(time, lateness or idle), GroupStateTimeout.EventTimeTimeout
+
+
+def _stay(state, last: pd.Timestamp, idle: str | None) -> None:
+    """Keep the state until ``idle`` after its last event."""
+    if idle:
+        due = int(pd.Timestamp(last).timestamp() * 1000) + int(pd.Timedelta(idle).total_seconds() * 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+
+def every_nth(events: DataFrame, key: str, order: list[str], n: int = 4, idle: str | None = None, lateness: str | None = None) -> DataFrame:
+    """Events whose 1-based position within their key is a multiple of ``n``;
+    with ``idle`` a key silent for so long (``order[0]`` is the event time, a
+    timestamp) is counted from one again.  ``lateness`` is how late events may
+    come (``idle`` if not given); later ones are dropped."""
+    events, kind = _watched(events, order[0], idle, lateness)
     schema = events.schema
     state_schema = "count long"
 
     def step(k, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else 0
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="mergesort")
         pos = seen + pd.RangeIndex(1, len(pdf) + 1)
         state.update((int(seen + len(pdf)),))
+        _stay(state, pdf[order[0]].iloc[-1], idle)
         yield pdf[(pos % n == 0)]
 
-    return events.groupBy(key).applyInPandasWithState(step, schema, state_schema, "append",
-                                                      GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, schema, state_schema, "append", kind)
 
 
 
@@ -96,13 +124,19 @@ def latest_per_source(events: DataFrame, key: str, ts: str, payload: list[str])
 
 
 def rolling_mean_stream(events: DataFrame, key: str, order: list[str], value: str, id_col: str,
-                        k: int = 5) -> DataFrame:
-    """Per event: mean of the last ``k`` values of its key (ring buffer in state)."""
+                        k: int = 5, idle: str | None = None, lateness: str | None = None) -> DataFrame:
+    """Per event: mean of the last ``k`` values of its key (ring buffer in
+    state); with ``idle`` the buffer of a key silent for so long is dropped
+    (see ``every_nth``)."""
+    events, kind = _watched(events, order[0], idle, lateness)
     id_type = dict(events.dtypes)[id_col]
     key_type = dict(events.dtypes)[key]
     out_schema = f"{key} {key_type}, {id_col} {id_type}, rolling double"
 
     def step(kk, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         buf = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="mergesort")
         means = []
@@ -110,10 +144,10 @@ def rolling_mean_stream(events: DataFrame, key: str, order: list[str], value: st
             buf = (buf + [float(v)])[-k:]
             means.append(sum(buf) / len(buf))
         state.update((buf,))
+        _stay(state, pdf[order[0]].iloc[-1], idle)
         yield pd.DataFrame({key: pdf[key].to_numpy(), id_col: pdf[id_col].to_numpy(), "rolling": means})
 
-    return events.groupBy(key).applyInPandasWithState(step, out_schema, "buf array<double>", "append",
-                                                      GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, out_schema, "buf array<double>", "append", kind)
 
 
 

@@ -143,7 +143,7 @@ def test_bpe_and_context_window(spark):
 def test_dictionary_equals_map_only(spark):
     """A hot token (a third of all), nulls, blanks, repeated rows, specials."""
     merges = [("t", "h"), ("th", "e</w>"), ("a", "a"), ("aa", "a</w>")]
-    texts = ["the " * 400 + "aaaa é", None, "", "  ", "the aaaaa! 12 don't <|endoftext|> x", "the aaaaa! 12 don't <|endoftext|> x"] + [f"w{i} aaa{i}" for i in range(40)]
+    texts = ["the " * 400 + "aaaa é", None, "", "  ", "the aaaaa! 12 don't <|endoftext|> x", "the aaaaa! 12 don't <|endoftext|> x"] + [f"{'z' * (i + 1)} aaa{i}" for i in range(40)]
     df = spark.createDataFrame([(i % 44, t) for i, t in enumerate(texts)], "k int, t string").repartition(3)
     rows = lambda d: sorted((r["k"], r["ids"]) for r in d.collect())
     words = TK.word_dictionary(df, "t", merges)
@@ -200,3 +200,20 @@ def test_rolling_mean_batchwise_across_batches(spark, tmp_dir):
             want[e] = sum(win) / len(win)
     assert got.keys() == want.keys()
     assert all(abs(got[e] - want[e]) < 1e-12 for e in want)
+
+
+def test_silent_sources_leave_the_state(spark, tmp_dir):
+    """Source 2 is silent for two of four micro-batches: with a short time to
+    live it starts anew in the last one, with a long one it goes on."""
+    batches = [[(1, 1), (2, 2), (3, 2), (4, 1)], [(50, 1)], [(60, 1)], [(70, 2), (71, 2), (72, 1), (73, 2)]]
+    for b in batches:
+        spark.createDataFrame([(e, e, u, float(e)) for e, u in b], "event_id long, t long, user_id long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_dir}/ev")
+    schema = spark.read.parquet(f"{tmp_dir}/ev").schema
+    for idle, kept, mean in (("10 seconds", 73, 70.0), ("1 day", 70, 25.0), (None, 70, 25.0)):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/ev") \
+            .select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "value")
+        name = str(idle).replace(" ", "")
+        out = ST.run_available(ST.every_nth(stream, "user_id", ["ts", "event_id"], 3, idle=idle), f"{tmp_dir}/n{name}", f"{tmp_dir}/nc{name}")
+        assert {r.event_id for r in out.where("user_id = 2").collect()} == {kept}, idle
+        roll = ST.run_available(ST.rolling_mean_stream(stream, "user_id", ["ts", "event_id"], "value", "event_id", 3, idle=idle), f"{tmp_dir}/r{name}", f"{tmp_dir}/rc{name}")
+        assert roll.where("event_id = 70").first().rolling == mean
