@@ -131,9 +131,10 @@ def average_precision(df: DataFrame, cls: str, label: str, score: str) -> DataFr
                                 F.first("P").alias("n_pos"))
 
 
-def roc_auc(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
-    """ROC AUC per class by the mid-rank formula (ties count one half);
-    null when a class has only positives or only negatives."""
+def roc_auc(df: DataFrame, cls: str, label: str, score: str, one_class: str = "error") -> DataFrame:
+    """ROC AUC per class by the mid-rank formula (ties count one half).  A class
+    that has only positives or only negatives has no AUC: an error, as in the
+    reference, or a null with ``one_class="null"`` (a mean then leaves it out)."""
     sc = _score_counts(df, cls, label, score)
     ranked = running_sum(sc, [cls], [F.col(score).asc()], "nn", "before", inclusive=False, chunk=RANGE)
     mid = F.col("before") + (F.col("nn") + 1) / 2.0
@@ -141,7 +142,8 @@ def roc_auc(df: DataFrame, cls: str, label: str, score: str) -> DataFrame:
                                   F.sum("nn").alias("T"))
     Nn = F.col("T") - F.col("P")
     auc = (F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * Nn)
-    return agg.select(cls, F.when((F.col("P") > 0) & (Nn > 0), auc).alias("auc"))
+    none = F.raise_error(F.concat(F.lit("only one class in the labels of "), F.col(cls).cast("string"))).cast("double")
+    return agg.select(cls, F.when((F.col("P") > 0) & (Nn > 0), auc).otherwise(none if one_class == "error" else F.lit(None)).alias("auc"))
 
 
 def macro(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -402,7 +402,36 @@ SELECT batch, CAST(ceil(CASE WHEN mx < 1 THEN mx ELSE 1.0 END * 640 / 32 + 0.5)
 FROM a"""
 
 
+BOXES_PER_FRAME = 40
+
+
+def q_suppressed_boxes(spark, sf):
+    """Boxes of a frame that survive greedy non-maximum suppression, by class
+    (UDF-06)."""
+    b = P.p_box(spark, sf).select(F.floor(F.col("vec_id") / BOXES_PER_FRAME).alias("frame"), "vec_id", "x1", "y1", "x2", "y2", "score", (F.col("label") % 3).alias("cls"))
+    kept = B.suppress_rows(b, ["frame"], "vec_id", overlap=0.2)
+    return kept.select("frame", "rank", *[F.round(c, R6).alias(c) for c in ("x1", "y1", "x2", "y2", "score", "cls")])
+
+
+#: Box after box of a frame and class; ``kept`` holds the places of those that stay.
+SQL_SUPPRESSED_BOXES = "WITH RECURSIVE " + P.P_BOX_SQL + f"""
+, b AS (SELECT vec_id // {BOXES_PER_FRAME} AS frame, label % 3 AS cls, vec_id, x1, y1, x2, y2, score, (x2 - x1) * (y2 - y1) AS area,
+               row_number() OVER (PARTITION BY vec_id // {BOXES_PER_FRAME}, label % 3 ORDER BY score DESC, vec_id) AS r FROM p_box WHERE score > 0.25)
+, near AS (SELECT a.frame, a.cls, a.r, list(z.r) FILTER (z.r IS NOT NULL) AS before FROM b a LEFT JOIN b z ON z.frame = a.frame AND z.cls = a.cls AND z.r < a.r
+           AND greatest(least(a.x2, z.x2) - greatest(a.x1, z.x1), 0) * greatest(least(a.y2, z.y2) - greatest(a.y1, z.y1), 0)
+             > 0.2 * (a.area + z.area - greatest(least(a.x2, z.x2) - greatest(a.x1, z.x1), 0) * greatest(least(a.y2, z.y2) - greatest(a.y1, z.y1), 0))
+           GROUP BY a.frame, a.cls, a.r)
+, step AS (SELECT frame, cls, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT frame, cls FROM b)
+           UNION ALL SELECT s.frame, s.cls, n.r, CASE WHEN n.before IS NOT NULL AND list_has_any(s.kept, n.before) THEN s.kept ELSE list_append(s.kept, n.r) END
+           FROM step s JOIN near n ON n.frame = s.frame AND n.cls = s.cls AND n.r = s.r + 1)
+, last AS (SELECT frame, cls, arg_max(kept, r) AS kept FROM step GROUP BY frame, cls)
+SELECT CAST(frame AS BIGINT) AS frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score, CAST(cls AS DOUBLE) AS cls
+FROM b JOIN last USING (frame, cls) WHERE list_contains(kept, r)"""
+
+
 QUERIES = {
+    "suppressed_boxes": (q_suppressed_boxes, SQL_SUPPRESSED_BOXES),
     "shots": (q_shots, SQL_SHOTS),
     "label_at_time": (q_label_at_time, SQL_LABEL_AT_TIME),
     "label_rows": (q_label_rows, SQL_LABEL_ROWS),

@@ -1,6 +1,7 @@
 """Registered queries that fit models (MLlib probes, the ReLU regressor) or
-select prompt templates.  These are iterative or optimiser-driven, so they
-have no SQL twin; tests check them against closed forms and invariants."""
+select prompt templates.  Where another solver can be written in SQL (normal
+equations, Newton's method, the selection unrolled) it is the twin; the others
+are checked by tests against closed forms and invariants."""
 
 from __future__ import annotations
 
@@ -56,6 +57,71 @@ def q_ridge_probe(spark, sf):
     return m.select(*[F.round(c, R6).alias(c) for c in m.columns])
 
 
+_PROBE_SQL = P.with_ctes(P.P_VEC_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, v AS (SELECT vec_id, is_test, label, CAST(list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS DOUBLE[]) AS e
+        FROM (SELECT vec_id, is_test, label, CAST(embedding AS DOUBLE[]) AS embedding FROM p_vec))"""
+
+
+def _solve_sql(name: str, system: str) -> str:
+    """Gauss-Jordan elimination: ``system`` has one row ``m``, the rows of a
+    square matrix with the right-hand sides behind; ``name`` gets the solved one."""
+    return f"""
+, {name}_step(k, m) AS (SELECT 1, m FROM {system} UNION ALL
+    SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda x: x / m[k][k])
+        ELSE list_transform(row, lambda x, j: x - row[k] / m[k][k] * m[k][j]) END) FROM {name}_step WHERE k <= len(m))
+, {name} AS (SELECT m FROM {name}_step ORDER BY k DESC LIMIT 1)"""
+
+
+def _ridge_sql() -> str:
+    """Ridge by its normal equations on centred columns."""
+    targets = ["label", "list_sum(e[1:4])", "e[11] * 10"]
+    return _PROBE_SQL + f"""
+, t AS (SELECT vec_id, is_test, e, [{', '.join(f'CAST({x} AS DOUBLE)' for x in targets)}] AS y FROM v)
+, x AS (SELECT vec_id, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM (SELECT vec_id, list_concat(e, y) AS f FROM t WHERE NOT is_test))
+, mu AS (SELECT i, avg(x) AS mu FROM x GROUP BY i)
+, c AS MATERIALIZED (SELECT vec_id, i, x - mu AS x FROM x JOIN mu USING (i))
+, d AS (SELECT len(any_value(e)) AS d FROM t)
+, g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) + CASE WHEN a.i = b.i THEN {L.RIDGE_ALPHA} ELSE 0 END AS g FROM c a JOIN c b USING (vec_id) WHERE a.i <= (SELECT d FROM d) GROUP BY a.i, b.i)
+, s AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM g GROUP BY i))""" + _solve_sql("w", "s") + f"""
+, p AS (SELECT vec_id, y, list_transform(range(1, {len(targets) + 1}), lambda o: q[d + o]
+               + list_sum(list_transform(e, lambda x, i: (x - q[i]) * m[i][d + o]))) AS p
+        FROM t, w, d, (SELECT list(mu ORDER BY i) AS q FROM mu) WHERE is_test)
+, z AS (SELECT unnest(p) AS p, unnest(y) AS y, generate_subscripts(y, 1) AS dim FROM p)
+, per AS (SELECT dim, avg((p - y) * (p - y)) AS mse, corr(p, y) AS r, 1 - avg((p - y) * (p - y)) / var_pop(y) AS r2 FROM z GROUP BY dim)
+SELECT round(avg(mse), 6) AS mean_mse, round(avg(r), 6) AS mean_pearson_r, round(avg(r2), 6) AS r2_uniform FROM per"""
+
+
+NEWTON_STEPS = 9
+
+
+def _multilabel_sql() -> str:
+    """One logistic fit per label by Newton's method, then the macro means."""
+    out = _PROBE_SQL + """
+, a AS MATERIALIZED (SELECT vec_id, is_test, list_append(e, 1.0) AS x, label FROM v)
+, long AS MATERIALIZED (SELECT vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM a WHERE NOT is_test)
+, d AS (SELECT len(any_value(x)) AS d FROM a)"""
+    penalty = 1.0 / L.LOGISTIC_C["multi_label"]
+    scores = []
+    for no, label in enumerate(["label < 5", "label % 2 = 0"]):
+        out += f"\n, w{no}_0 AS (SELECT list_transform(range(0, d), lambda i: 0.0::DOUBLE) AS w FROM d)"
+        for t in range(NEWTON_STEPS):
+            now, s = f"w{no}_{t}", f"{no}_{t}"
+            out += f"""
+, p{s} AS MATERIALIZED (SELECT vec_id, 1 / (1 + exp(-list_dot_product(x, w))) AS p, CASE WHEN {label} THEN 1.0 ELSE 0.0 END AS y FROM a, {now} WHERE NOT is_test)
+, h{s} AS (SELECT l.i, r.i AS j, sum(l.x * r.x * p * (1 - p)) + CASE WHEN l.i = r.i AND l.i < d THEN {penalty} ELSE 0 END AS h FROM long l JOIN long r USING (vec_id) JOIN p{s} USING (vec_id), d GROUP BY l.i, r.i, d)
+, f{s} AS (SELECT i, sum(x * (p - y)) + CASE WHEN i < d THEN {penalty} * any_value(w)[i] ELSE 0 END AS f FROM long JOIN p{s} USING (vec_id), d, {now} GROUP BY i, d)
+, s{s} AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list_append(list(h ORDER BY j), any_value(f)) AS r FROM h{s} JOIN f{s} USING (i) GROUP BY i))""" + _solve_sql(f"n{s}", f"s{s}") + f"""
+, w{no}_{t + 1} AS (SELECT list_transform(w, lambda x, i: x - m[i][len(w) + 1]) AS w FROM {now}, n{s})"""
+        scores.append(f"SELECT {no} AS cls, CASE WHEN {label} THEN 1 ELSE 0 END AS y, round(list_dot_product(x, w), 12) AS s FROM a, w{no}_{NEWTON_STEPS} WHERE is_test")
+    return out + f"""
+, lg AS ({' UNION ALL '.join(scores)})
+, sc AS (SELECT cls, s, sum(y) AS tp, count(*) AS nn FROM lg GROUP BY cls, s)
+, cum AS (SELECT *, sum(tp) OVER (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS ctp, sum(nn) OVER (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn,
+                 sum(tp) OVER (PARTITION BY cls) AS P, coalesce(sum(nn) OVER (PARTITION BY cls ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc)
+, ap AS (SELECT cls, sum(tp / P * ctp / cn) AS ap, (sum(tp * (before + (nn + 1) / 2.0)) - sum(tp) * (sum(tp) + 1) / 2.0) / (sum(tp) * (sum(nn) - sum(tp))) AS auc FROM cum GROUP BY cls)
+SELECT 'macro_ap' AS metric, round(avg(ap), 6) AS value FROM ap UNION ALL SELECT 'macro_auc', round(avg(auc), 6) FROM ap"""
+
+
 def q_regressor_fit(spark, sf):
     """Fit the ReLU regressor on two united labelled lists (part names rated by
     price, nation names by region) until the loss of a held-out fifth has not
@@ -189,8 +255,8 @@ SELECT CAST(step AS INTEGER) AS step, template, round(acc, 6) AS top1 FROM ({row
 
 QUERIES = {
     "linear_probe_multiclass": (q_linear_probe_multiclass, None),
-    "linear_probe_multilabel": (q_linear_probe_multilabel, None),
-    "ridge_probe": (q_ridge_probe, None),
+    "linear_probe_multilabel": (q_linear_probe_multilabel, _multilabel_sql()),
+    "ridge_probe": (q_ridge_probe, _ridge_sql()),
     "regressor_fit": (q_regressor_fit, None),
     "regressor_gradient": (q_regressor_gradient, _gradient_sql()),
     "zero_shot_prompts": (q_zero_shot_prompts, None),
