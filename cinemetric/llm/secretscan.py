@@ -2,15 +2,24 @@
 
 Source and configuration syntax is read as pairs of a name and an expression:
 ``name = "x"``, ``name: x``, ``"name": "x"``, ``name := 'x'``, ``NAME=x``,
-``m["name"] = "x"``, ``name => "x"``.  An expression is a literal, a name, or a
-sum of them; names that were given literals earlier in the text are constants
-and carry their literals along, so ``A = "..."`` followed by ``password = A``
-reports the literal at A.  A literal is scored by how sensitive its target name
-is and by its form.  Three plain patterns (assignments to secret words, access
-key ids, long hexadecimal runs) are always reported as well.
+``m["name"] = "x"``, ``name => "x"``, ``set("name", "x")``, ``set name "x"``,
+``#define NAME "x"``, ``<name>x</name>``, and block scalars behind ``name: |``.
+An expression is made of literals (quoted, triple quoted or bare) and names,
+joined by ``+``, ``or``, ``||``, ``??`` or by standing side by side, in brackets,
+as arguments of a call, and over several lines where a bracket, an operator or a
+backslash says so.  Names that were given an expression earlier in the text are
+constants, so ``A = "..."`` followed by ``password = A`` reports the literal at
+A.  A literal is scored by how sensitive its target name is and by its form.
+Three plain patterns (assignments to secret words, access key ids, long
+hexadecimal runs) are always reported as well.
+
+Expressions are nodes that refer to other nodes; a node's literals are offsets,
+and what scoring needs of them is added up once per node.  An expression ends
+where the next assignment begins, and a bare value goes on there by reference.
+So time and memory follow the text's length, whatever it refers to.
 
 The scan is a map-only pass; Python's ``re`` runs over whole texts, and the
-lexer only looks around separators.
+lexer only over texts that hold a part of a sensitive name.
 """
 
 from __future__ import annotations
@@ -18,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -41,8 +51,21 @@ PLACEHOLDER = re.compile(r"(?i)^(change_?me|example|your[_-].*|x{4,}|\*{3,}|<.*>
 _SEPARATOR = re.compile(r":=|=>|(?<![=!<>:])=(?![=>])|:(?![:=])")
 _HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
 _TAIL = _HEAD | frozenset("0123456789.-")
-_TERM = re.compile(r"[ \t]*+(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_][A-Za-z0-9_.]*(?![A-Za-z0-9_.+/=\-@!#$%^&*]))|([^\s,;\"'`(){}\[\]<>|]+))")
-_PLUS = re.compile(r"[ \t]*\+")
+# fixed values: a part of every sensitive name
+STEMS = re.compile(r"pass|pwd|secret|token|credential|bearer|key|connection", re.I)
+
+_STRING = re.compile(r"(?s:\"\"\"((?:[^\"\\]|\\.|\"(?!\"\"))*+)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*+)''')|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`")
+_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?![A-Za-z0-9_.+/=\-@!#$%^&*])")
+_PREFIX = re.compile(r"[bBfFrRuU]{1,2}(?=[\"'])")
+_CALL = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+[ \t]*\(")
+_BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>|]+")
+_BLANK, _BLANKS = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\n)*+")
+_JOIN = re.compile(r"\+(?!\+)|\|\||\?\?|or(?![A-Za-z0-9_])")
+_NEXT_LINE = re.compile(r"\s*+(?=\+|\|\||\?\?)")
+_BLOCK = re.compile(r"[ \t]*+[|>][+-]?[0-9]?[ \t]*+\r?\n")
+_XML = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>")
+_ARGUMENT = re.compile(r"\(\s*+([\"'])([A-Za-z_][A-Za-z0-9_.-]*+)\1\s*+,\s*+(?=[\"'])")
+_SET = re.compile(r"(?m)^[ \t]*+(?:set|export|setenv|\#[ \t]*+define|define)[ \t]++([A-Za-z_][A-Za-z0-9_.-]*+)[ \t]++(?=[\"'])")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 CUT = 0.85
 
@@ -55,16 +78,51 @@ def name_weight(name: str) -> float:
     return max(best, SENSITIVE.get("".join(parts), 0.0))
 
 
+class Form:
+    """What scoring needs of a text or of several ones in a row."""
+    __slots__ = ("n", "literals", "spaced", "quoted", "chars", "one")
+    MOST = 1 << 40               # counts end here, so that sums of sums stay numbers
+
+    def __init__(self) -> None:
+        self.n = self.literals = self.spaced = 0
+        self.quoted, self.chars, self.one = False, {}, None
+
+    def add(self, value: str, quoted: bool) -> None:
+        self.one = value if not self.literals else None
+        self.n += len(value)
+        self.literals += 1
+        self.spaced += " " in value.strip()
+        self.quoted |= quoted
+        for c, k in Counter(value).items():
+            c = c if c < "\x80" else chr(128 + ord(c) % 64)       # as many kinds of characters at most
+            self.chars[c] = self.chars.get(c, 0) + k
+
+    def join(self, other: "Form") -> None:
+        self.one = other.one if not self.literals else None if other.literals else self.one
+        self.n, self.literals = min(self.MOST, self.n + other.n), min(self.MOST, self.literals + other.literals)
+        self.spaced = min(self.MOST, self.spaced + other.spaced)
+        self.quoted |= other.quoted
+        for c, k in other.chars.items():
+            self.chars[c] = min(self.MOST, self.chars.get(c, 0) + k)
+
+    def weight(self) -> float:
+        """How much it looks like a secret rather than words (0 to 1)."""
+        if self.n < 6 or 2 * self.spaced >= self.literals or self.one is not None and PLACEHOLDER.match(self.one):
+            return 0.0
+        n = sum(self.chars.values())
+        entropy = -sum(c / n * math.log2(c / n) for c in self.chars.values())
+        kinds = "".join(self.chars)
+        digits = any(c.isdigit() for c in kinds)
+        odd = any(not c.isalnum() for c in kinds)
+        mixed = any(c.islower() for c in kinds) and any(c.isupper() for c in kinds)
+        return min(1.0, 0.35 * self.quoted + 0.3 * digits + 0.15 * odd + 0.1 * mixed + 0.25 * (entropy >= 2.8) + 0.15 * (self.n >= 12))
+
+
 def literal_weight(value: str, quoted: bool) -> float:
-    """How much a literal looks like a secret rather than a word (0 to 1)."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    digits = any(c.isdigit() for c in value)
-    odd = any(not c.isalnum() for c in value)
-    mixed = any(c.islower() for c in value) and any(c.isupper() for c in value)
-    return min(1.0, 0.35 * quoted + 0.3 * digits + 0.15 * odd + 0.1 * mixed + 0.25 * (entropy >= 2.8) + 0.15 * (n >= 12))
+    """``Form.weight`` of one literal."""
+    form = Form()
+    form.add(value, quoted)
+    return form.weight()
 
 
 def target(text: str, at: int) -> str:
@@ -84,38 +142,198 @@ def target(text: str, at: int) -> str:
     return text[first:at]
 
 
-def pairs(text: str):
-    """(name, [(literal, start, end, quoted), ...]) of each assignment in order,
-    with constants propagated."""
-    known: dict[str, list[tuple[str, int, int, bool]]] = {}
-    for m in _SEPARATOR.finditer(text):
+class Node:
+    """An assignment: its target name and the parts of its expression, which are
+    literals (start, end, quoted) or other nodes."""
+    __slots__ = ("name", "parts", "form")
+
+    def __init__(self, name: str):
+        self.name, self.parts, self.form = name, [], None
+
+
+def _lines(text: str, start: int, end: int):
+    """Literals of a text of several lines: each line without its margins."""
+    while start < end:
+        stop = text.find("\n", start, end)
+        stop = end if stop < 0 else stop
+        a, b = start, stop
+        while a < b and text[a] in " \t\r":
+            a += 1
+        while a < b and text[b - 1] in " \t\r":
+            b -= 1
+        if a < b:
+            yield a, b, True
+        start = stop + 1
+
+
+def _block(text: str, at: int, separator: int) -> list[tuple[int, int, bool]]:
+    """Literals of the block scalar whose lines start at ``at``: those indented
+    more than the line of its name."""
+    line = text.rfind("\n", 0, separator) + 1
+    indent = len(text[line:separator]) - len(text[line:separator].lstrip(" -"))
+    first = at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        body = text[at:stop].strip(" \t\r")
+        if body and stop - at - len(text[at:stop].lstrip(" ")) <= indent:
+            break
+        at = stop + 1
+    return list(_lines(text, first, min(at, len(text))))
+
+
+def _expression(text: str, at: int, end: int, known: dict[str, Node]) -> tuple[list, bool]:
+    """(parts, whether a bare value runs on into the next assignment) of the
+    expression at ``at``; ``end`` is where the next assignment's separator
+    stands, which ends it outside quotes."""
+    parts: list = []
+    depth, joined, last = 0, True, None             # joined: an operator or bracket calls for another term
+    while at < len(text):
+        at = (_BLANKS if depth or joined and parts else _BLANK).match(text, at).end()
+        if at >= len(text) or at >= end:
+            break
+        if m := _PREFIX.match(text, at):
+            at = m.end()
+        c = text[at]
+        if c in "\"'`" and (m := _STRING.match(text, at)):
+            if not joined and last != "string":
+                break
+            g = m.lastindex
+            parts += list(_lines(text, *m.span(g))) if g < 3 else [(*m.span(g), True)]
+            at, joined, last = m.end(), False, "string"
+        elif c in "([":
+            depth, joined, at = depth + 1, True, at + 1
+        elif c in ")]":
+            depth, joined, at = depth - 1, False, at + 1
+            if depth < 0:
+                break
+            last = "bracket"
+        elif c == "," and depth:
+            joined, at = True, at + 1
+        elif c == "\n" or c == "\r":
+            m = _NEXT_LINE.match(text, at)
+            if not m or m.end() >= end:
+                break
+            at = m.end()
+        elif (m := _JOIN.match(text, at)) and not joined:
+            joined, at = True, m.end()
+        elif not joined:
+            break
+        elif m := _CALL.match(text, at, end):
+            depth, joined, at, last = depth + 1, True, m.end(), "call"
+        elif (m := _WORD.match(text, at)) and m.end() <= end:
+            stop = _BLANK.match(text, m.end()).end()
+            if stop >= end and m.end() < end or m.end() == end:
+                # the next assignment's target, unless a bare value runs on
+                if m.end() == end and not depth:
+                    parts.append((*m.span(), False))
+                    return parts, True
+                break
+            found = known.get(m.group()) or ("." in m.group() and known.get(m.group().rsplit(".", 1)[1])) or None
+            parts.append(found or (*m.span(), False))
+            at, joined, last = m.end(), False, "word"
+        elif m := _BARE.match(text, at, end):
+            parts.append((*m.span(), False))
+            if m.end() == end:
+                return parts, True
+            at, joined, last = m.end(), False, "bare"
+        else:
+            break
+    return parts, False
+
+
+def pairs(text: str) -> list[tuple[str, Node]]:
+    """(name, node) of each assignment, in the order of their kinds and places,
+    with constants resolved to the nodes before them."""
+    nodes: list[Node] = []
+    known: dict[str, Node] = {}
+    seps = list(_SEPARATOR.finditer(text))
+    before: Node | None = None                       # whose bare value runs on into this assignment
+    for i, m in enumerate(seps):
+        end = seps[i + 1].start() if i + 1 < len(seps) else len(text) + 1
         name = target(text, m.start())
-        if not name:
+        block = _BLOCK.match(text, m.end()) if m.group() == ":" else None
+        if not name and before is None:
             continue
-        found: list[tuple[str, int, int, bool]] = []
-        at = m.end()
-        while True:
-            t = _TERM.match(text, at)
-            if not t:
-                break
-            if t.group(4) is not None:
-                if t.group(4) in known:
-                    found += known[t.group(4)]
-                elif "." in t.group(4) and t.group(4).rsplit(".", 1)[1] in known:
-                    found += known[t.group(4).rsplit(".", 1)[1]]
-                else:
-                    found.append((t.group(4), t.start(4), t.end(4), False))
+        node = Node(name)
+        if block:
+            node.parts, on = _block(text, block.end(), m.start()), False
+        else:
+            node.parts, on = _expression(text, m.end(), end, known)
+        if before is not None:
+            before.parts.append(node)
+        before = node if on else None
+        if name and node.parts:
+            known[name] = known[name.rsplit(".", 1)[-1]] = node
+            nodes.append(node)
+    for m in _XML.finditer(text):
+        node = Node(m.group(1))
+        node.parts = list(_lines(text, *m.span(2)))
+        nodes.append(node)
+    for pattern, group in ((_ARGUMENT, 2), (_SET, 1)):
+        for m in pattern.finditer(text):
+            t = _STRING.match(text, m.end())
+            if t:
+                node = Node(m.group(group))
+                node.parts = list(_lines(text, *t.span(t.lastindex))) if t.lastindex < 3 else [(*t.span(t.lastindex), True)]
+                nodes.append(node)
+    return [(n.name, n) for n in nodes if n.parts]
+
+
+def _form(text: str, node: Node) -> Form:
+    """The form of a node's whole expression; every node's is made once, and a
+    node that refers back to itself counts once."""
+    stack = [node]
+    open_ = set()
+    while stack:
+        top = stack[-1]
+        waiting = [p for p in top.parts if isinstance(p, Node) and p.form is None and id(p) not in open_] if id(top) not in open_ else []
+        open_.add(id(top))
+        if waiting:
+            stack += waiting
+            continue
+        stack.pop()
+        if top.form is None:
+            form = Form()
+            for p in top.parts:
+                if not isinstance(p, Node):
+                    form.add(text[p[0]:p[1]], p[2])
+                elif p.form is not None:
+                    form.join(p.form)
+            top.form = form
+    return node.form
+
+
+def _literals(node: Node, done: set[int]):
+    """Literals of a node and of those it refers to, each node's once."""
+    stack = [node]
+    while stack:
+        top = stack.pop()
+        if id(top) in done:
+            continue
+        done.add(id(top))
+        for p in top.parts:
+            if isinstance(p, Node):
+                stack.append(p)
             else:
-                g = next(i for i in (1, 2, 3, 5) if t.group(i) is not None)
-                found.append((t.group(g), t.start(g), t.end(g), g < 5))
-            plus = _PLUS.match(text, t.end())
-            if not plus:
-                break
-            at = plus.end()
-        if found:
-            known[name] = found
-            known[name.rsplit(".", 1)[-1]] = found
-            yield name, found
+                yield p[0], p[1]
+
+
+def _named(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Literals given to sensitive names, without those that overlap a base span."""
+    starts, reach, found, done = [], [], set(), set()
+    for a, b in sorted(base):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
+    for name, node in pairs(text):
+        weight = name_weight(name)
+        if weight < 0.7 or weight * 0.5 + 0.5 * _form(text, node).weight() < CUT - 0.1:
+            continue
+        for a, b in _literals(node, done):
+            at = bisect_left(starts, b)
+            if a < b and not (at and reach[at - 1] > a):
+                found.add((a, b))
+    return sorted(found)
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:
@@ -130,20 +348,8 @@ def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span(), *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span(), *m.span()) for m in HEX.finditer(text)]
-    if seps:
-        base = sorted((a, b) for _, a, b, _, _ in out)
-        seen = set()
-        for name, found in pairs(text):
-            weight = name_weight(name)
-            if weight < 0.7:
-                continue
-            whole = "".join(f[0] for f in found)
-            if weight * 0.5 + 0.5 * literal_weight(whole, any(f[3] for f in found)) < CUT - 0.1:
-                continue
-            for _, a, b, _ in found:
-                if (a, b) not in seen and b > a and not any(x < b and a < y for x, y in base):
-                    seen.add((a, b))
-                    out.append(("named", a, b, a, b))
+    if STEMS.search(text):
+        out += [("named", a, b, a, b) for a, b in _named(text, [x[1:3] for x in out])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -184,7 +390,9 @@ def secret_spans(docs: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
     base spans ``kind:start:end``), spans (all, also ``named`` ones) and n_named.
     Offsets are code points, ends exclusive.  Null and empty texts have no
     spans (the hash of an empty string); repeated rows report alike; other
-    columns are ignored; an empty table gives an empty result."""
+    columns, also of the result's names, are ignored; an empty table gives an
+    empty result.  Texts of any length are scanned whole, in time and memory
+    that follow their length."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.mapInArrow(_reports, fields + ", n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long")
