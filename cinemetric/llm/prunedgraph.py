@@ -10,10 +10,15 @@ searched in its shards: a greedy beam search from the shard's medoids, whose
 range expands through all vectors that may reach the threshold until none is
 left unexpanded.  Links are verified in double precision, counted in one shard
 only (the first that two classes share) and joined by union-find, first those of
-a task (its forest leaves the task as one link per class), then all.  A recall
-audit compares a sample of classes, drawn before the search, with all vectors;
-if the found share is below the goal for classes of any number of links, the
-overlap is widened and the search repeated, and at last all are compared.
+a task (its forest leaves the task as one link per class), then all.
+
+Recall is measured in every run, whether the table holds links or not: a sample
+of vectors is turned by known angles within the threshold, and these planted
+queries are searched like any class; the share that finds the vector it was
+made of is one figure.  The other compares a sample of classes, drawn before
+the search, with all vectors.  Both samples have a fixed size.  If a figure is
+below the goal, the overlap is widened and the search repeated; the last search
+answers, with its figure, unless ``exact`` asks for a comparison of all.
 
 A shard above ``SHARD`` members is cut into parts; each part has its graph, and
 the members search all parts, so no task holds more than two parts.
@@ -43,8 +48,10 @@ DEGREE = 32
 NEAR, RANDOM = 64, 24
 BEAM = 48
 SLACK = 0.1                # the search also walks through vectors this far below the threshold
-AUDIT = 200                # classes compared with all vectors at first, about
-LINKED = 100               # and more of them until so many have links
+AUDIT = 200                # classes compared with all vectors, about
+PLANTED = 400              # vectors turned and searched for, about
+ENOUGH = 20                # audited classes with about as many links, for their recall to count
+CHUNK = 20_000             # vectors that meet a coarse cluster's centres at once
 GOAL = 0.95
 APART = 0.8                # centres more similar than this are one
 
@@ -232,7 +239,8 @@ def _search(threshold: float):
         index = pdf[pdf["role"] == 0].sort_values("rep").reset_index(drop=True)
         query = pdf[pdf["role"] == 1].sort_values("rep").reset_index(drop=True)
         if not len(index) or not len(query):
-            return pd.DataFrame({"rep": [], "other": [], "n": []})
+            return pd.DataFrame({"rep": [], "other": [], "n": [], "planted": []})
+        plant, query = query[query["n"] == 0], query[query["n"] > 0].reset_index(drop=True)
         x, ids, size = _matrix(index["unit"]), index["rep"].to_numpy(), index["n"].to_numpy()
         lists = [np.asarray(a, np.int64) for a in index["near"]]
         flat = np.concatenate(lists)
@@ -256,7 +264,12 @@ def _search(threshold: float):
                 # a pair counts in the first shard that both are in
                 first = [min(own & theirs[i]) == shard for i in mine.tolist()]
                 forest.link(int(q_ids[lo + j]), ids[mine], int(size[mine][np.array(first, bool)].sum()))
-        return forest.rows()
+        p_all, p_ids, met = _matrix(plant["unit"]), plant["rep"].to_numpy(), [np.zeros(0, np.int64)]
+        for lo in range(0, len(plant), 256):
+            qi, ni = search(x, adj, starts, p_all[lo:lo + 256], threshold)
+            met.append(p_ids[lo + qi][p_ids[lo + qi] == ids[ni]])
+        met = np.unique(np.concatenate(met))
+        return pd.concat([forest.rows().assign(planted=False), pd.DataFrame({"rep": met, "other": met, "n": 1, "planted": True})])
     return run
 
 
@@ -277,14 +290,14 @@ def _fine_centres(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fine(overlap: int):
-    def run(batches):
-        for pdf in batches:
-            for (coarse, blob), g in pdf.groupby(["coarse", "centres"], sort=False):
-                x = _matrix(g["unit"])
-                c = np.frombuffer(blob, np.float64).reshape(-1, x.shape[1])
-                near = np.argsort(-(x @ c.T), axis=1)[:, :overlap]
-                yield pd.DataFrame({"rep": np.repeat(g["rep"].to_numpy(), near.shape[1]), "n": np.repeat(g["n"].to_numpy(), near.shape[1]),
-                                    "unit": np.repeat(g["unit"].to_numpy(), near.shape[1]), "shard": coarse * (1 << 20) + near.reshape(-1)})
+    def run(pdf: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"rep": [], "n": [], "unit": [], "shard": []})
+        x = _matrix(pdf["unit"])
+        c = np.frombuffer(centre["centres"].iloc[0], np.float64).reshape(-1, x.shape[1])
+        near = np.argsort(-(x @ c.T), axis=1)[:, :overlap]
+        return pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(), near.shape[1]), "n": np.repeat(pdf["n"].to_numpy(), near.shape[1]),
+                             "unit": np.repeat(pdf["unit"].to_numpy(), near.shape[1]), "shard": int(pdf["coarse"].iloc[0]) * (1 << 20) + near.reshape(-1)})
     return run
 
 
@@ -292,15 +305,21 @@ def shards(classes: DataFrame, n: int, overlap: int) -> DataFrame:
     """(rep, n, unit, shard): every class in its nearest clusters on two levels."""
     k1 = max(1, math.ceil(math.sqrt(n / SHARD)))
     h = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20))
-    sample = classes.where(h < int((1 << 20) * min(1.0, SAMPLE / n))).select("rep", "unit").toPandas().sort_values("rep")
+    known = classes.where("n > 0")
+    sample = known.where(h < max(1, int((1 << 20) * min(1.0, SAMPLE / n)))).select("rep", "unit").toPandas().sort_values("rep")
     if not len(sample):
-        sample = classes.select("rep", "unit").limit(1).toPandas()
+        sample = known.select("rep", "unit").limit(1).toPandas()
     top = centres(_matrix(sample["unit"]), k1)
     coarse = written(classes.select("rep", "n", "unit").mapInPandas(_nearest(top, overlap), "rep long, n long, unit binary, coarse long"), "coarse")
     sizes = coarse.groupBy("coarse").agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.ceil(F.col("m") / SHARD).cast("long"))
-    pick = coarse.join(sizes, "coarse").where(h < F.lit(1 << 20) * F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("m")))
+    sizes = F.broadcast(written(sizes, "sizes"))             # one row per coarse centre
+    pick = coarse.where("n > 0").join(sizes, "coarse").where(h < F.lit(1 << 20) * F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("m")))
     fine = written(pick.groupBy("coarse").applyInPandas(_fine_centres, "coarse long, centres binary"), "centres")
-    return coarse.join(fine, "coarse").select("rep", "n", "unit", "coarse", "centres").mapInPandas(_fine(overlap), "rep long, n long, unit binary, shard long")
+    # a cluster's centres meet its members once per chunk, not on every row
+    chunks = F.ceil(F.col("m") / CHUNK)
+    left = coarse.join(sizes, "coarse").select("rep", "n", "unit", "coarse", F.pmod(F.xxhash64("rep", F.lit(7)), chunks).alias("chunk"))
+    right = fine.join(sizes, "coarse").select(F.col("coarse").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("d"), "centres")
+    return left.groupBy("coarse", "chunk").cogroup(right.groupBy("c", "d")).applyInPandas(_fine(overlap), "rep long, n long, unit binary, shard long")
 
 
 def _compare(threshold: float):
@@ -333,62 +352,83 @@ def exact_links(queries: DataFrame, classes: DataFrame, m: int, n: int, threshol
     return written(index.union(query).groupBy("i", "j").applyInPandas(_compare(threshold), "rep long, other long, n long"), "exact")
 
 
-def truth(classes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, int]:
-    """(all links of a sample, how many classes it was drawn to hold).  The sample
-    is drawn by a hash of the class alone and grows until ``LINKED`` of its
-    classes have links or it is the whole table (``n``)."""
-    h = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 20))
-    links, low, size = None, 0, AUDIT
-    while True:
-        size = min(size, n)
-        high = (1 << 20) if size == n else math.ceil((1 << 20) * size / n)
-        more = exact_links(classes.where((h >= low) & (h < high)), classes, size, n, threshold)
-        links = more if links is None else links.union(more)
-        if size == n or links.where("n > 0").select("rep").distinct().count() >= LINKED:
-            return links, size
-        low, size = high, 4 * size
+def _hash_share(classes: DataFrame, salt: int, m: int, n: int) -> DataFrame:
+    """About ``m`` of the ``n`` classes, by a hash of the class alone."""
+    h = F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(1 << 40))
+    return classes.where(h < math.ceil((1 << 40) * min(1.0, m / n)))
+
+
+def truth(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """All links of about ``AUDIT`` classes."""
+    return exact_links(_hash_share(classes, 9, AUDIT, n), classes, min(AUDIT, n), n, threshold)
+
+
+def _turn(threshold: float):
+    """Unit vectors turned by an angle whose cosine lies evenly between the
+    threshold and 1, in a direction drawn for the class."""
+    def run(batches):
+        for pdf in batches:
+            units = []
+            for rep, unit in zip(pdf["rep"], pdf["unit"]):
+                rng, u = np.random.default_rng(int(rep) % 2**63), np.frombuffer(unit, np.float64)
+                w = rng.normal(size=len(u))
+                w -= (w @ u) * u
+                c = threshold + (1 - threshold) * rng.uniform(0.01, 1)
+                size = np.linalg.norm(w)
+                units.append((c * u + np.sqrt(max(0.0, 1 - c * c)) * w / size).tobytes() if size > 1e-9 else unit)
+            yield pd.DataFrame({"rep": pdf["rep"], "n": 0, "unit": units})
+    return run
+
+
+def planted(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """About ``PLANTED`` turned vectors (rep of the class they were made of, n = 0)."""
+    return written(_hash_share(classes, 13, PLANTED, n).select("rep", "unit").mapInPandas(_turn(threshold), "rep long, n long, unit binary"), "planted")
 
 
-def audit(true: DataFrame, links: DataFrame) -> float:
+def audit(true: DataFrame, links: DataFrame) -> float | None:
     """Recall of ``links`` on the sample ``true``: per class the share of its
     links that was found, averaged over classes with about as many links (powers
-    of four); the lowest of these averages, so that neither a hot group's links
-    nor its classes stand for pairs (1.0 if there are no links)."""
+    of four); the lowest of the averages over at least ``ENOUGH`` classes, so
+    that neither a hot group's links nor its classes stand for pairs, and none
+    hangs on a few classes.  None if there is none."""
     true = true.groupBy("rep").agg(F.sum("n").alias("all")).where(F.col("all") > 0)
     both = true.join(links.groupBy("rep").agg(F.sum("n").alias("found")), "rep", "left")
     share = F.least("all", F.coalesce("found", F.lit(0))) / F.col("all")
-    low = both.groupBy(F.floor(F.log2("all") / 2).alias("size")).agg(F.avg(share).alias("recall")).agg(F.min("recall")).first()[0]
-    return 1.0 if low is None else low
-
-
-def width_links(classes: DataFrame, n: int, threshold: float, overlap: int, report: list | None = None) -> DataFrame:
-    """Links of the classes of one width.  Searched with ``overlap`` clusters a
-    class, then twice and four times as many while recall is below ``GOAL``; if
-    that does not reach it, all classes are compared with each other."""
-    true, size = truth(classes, n, threshold)
-    if size == n:
-        links, wide, recall = true, None, 1.0
-    else:
-        wide = overlap
-        while True:
-            links = _links(classes, n, threshold, wide)
-            recall = audit(true, links)
-            if recall >= GOAL:
-                break
-            log.info("%d vectors: recall %.4f at overlap %d, below %.2f", n, recall, wide, GOAL)
-            if report is not None:
-                report.append({"classes": n, "sample": size, "overlap": wide, "recall": recall, "used": False})
-            if wide >= 4 * overlap:
-                links, wide, recall = exact_links(classes, classes, n, n, threshold), None, 1.0
-                break
-            wide *= 2
-    log.info("%d vectors: recall %.4f at overlap %s, by a sample of %d", n, recall, wide or "all (exact)", size)
+    bins = both.groupBy(F.floor(F.log2("all") / 2).alias("size")).agg(F.avg(share).alias("recall"), F.count(F.lit(1)).alias("classes"))
+    return bins.where(F.col("classes") >= ENOUGH).agg(F.min("recall")).first()[0]
+
+
+def width_links(classes: DataFrame, n: int, threshold: float, overlap: int, report: list | None = None, exact: bool = False) -> DataFrame:
+    """Links of the classes of one width, searched in the graph with ``overlap``
+    clusters a class, then twice and four times as many while the measured
+    recall is below ``GOAL``.  Only with ``exact``, and if that does not reach it
+    either, all classes are compared with each other."""
+    true, turned = truth(classes, n, threshold), planted(classes, n, threshold)
+    asked, wide = turned.count(), overlap
+    while True:
+        got = _links(classes, n, threshold, wide, turned)
+        links = got.where("not planted").drop("planted")
+        found = got.where("planted").select("rep").distinct().count() / asked if asked else 1.0
+        seen = audit(true, links)
+        recall = found if seen is None else min(found, seen)
+        last = recall >= GOAL or wide >= 4 * overlap
+        log.info("%d vectors: %.4f of %d planted ones found, audit %s, at overlap %d", n, found, asked, seen, wide)
+        if report is not None:
+            report.append({"classes": n, "planted": found, "audit": seen, "overlap": wide, "recall": recall, "used": last and (recall >= GOAL or not exact)})
+        if last:
+            break
+        wide *= 2
+    if recall >= GOAL:
+        return links
+    log.warning("%d vectors: recall %.4f is below %.2f at overlap %d", n, recall, GOAL, wide)
+    if not exact:
+        return links
     if report is not None:
-        report.append({"classes": n, "sample": size, "overlap": wide, "recall": recall, "used": True})
-    return links
+        report.append({"classes": n, "planted": 1.0, "audit": 1.0, "overlap": None, "recall": 1.0, "used": True})
+    return exact_links(classes, classes, n, n, threshold)
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2, report: list | None = None) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2, report: list | None = None, exact: bool = False) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors with cosine >=
     ``threshold``), component_id (smallest vec_id that links reach), kept.
 
@@ -397,14 +437,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap:
     component is null and they are kept); equal vectors (also repeated rows)
     are linked with each other; only vectors of the same width are compared.
     Other columns are ignored; an empty table gives an empty result.  The measured
-    recall of every search is logged and appended to ``report`` (overlap None:
-    compared exactly)."""
+    recall of every search is logged and appended to ``report``.  ``exact``: where
+    it stays below the goal, all vectors are compared, which takes the square of
+    their number (overlap None in ``report``)."""
     spark = vectors.sparkSession
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
                    .mapInArrow(_clean, "vec_id long, unit binary, key binary"), "vectors")
     classes = written(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "classes")
     widths = [(r["w"], r["n"]) for r in classes.groupBy(F.octet_length("unit").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    found = [width_links(classes.where(F.octet_length("unit") == width), n, threshold, overlap, report) for width, n in sorted(widths)]
+    found = [width_links(classes.where(F.octet_length("unit") == width), n, threshold, overlap, report, exact) for width, n in sorted(widths)]
     links = found[0] if found else spark.createDataFrame([], "rep long, other long, n long")
     for more in found[1:]:
         links = links.union(more)
@@ -417,22 +458,27 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, overlap:
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(classes: DataFrame, n: int, threshold: float, overlap: int) -> DataFrame:
-    """(rep, other, n): per linked class and pair of shard parts the smallest
-    class that links found there reach, and the number of vectors linked in this
-    shard first."""
-    placed = written(shards(classes, n, overlap).distinct(), "placed")
+def _links(classes: DataFrame, n: int, threshold: float, overlap: int, turned: DataFrame | None = None) -> DataFrame:
+    """(rep, other, n, planted): per linked class and pair of shard parts the
+    smallest class that links found there reach, and the number of vectors linked
+    in this shard first; and (planted true) every class that a vector of
+    ``turned`` was made of and found."""
+    every = classes.select("rep", "n", "unit")
+    placed = written(shards(every if turned is None else every.union(turned.select("rep", "n", "unit")), n, overlap).distinct(), "placed")
     sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * SHARD)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))
     placed = placed.join(sizes, "shard").withColumn("part", part)
-    lists = placed.groupBy("shard", "part").applyInPandas(_build, "rep long, near array<long>")
+    members = placed.where("n > 0")
+    lists = members.groupBy("shard", "part").applyInPandas(_build, "rep long, near array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    where = placed.groupBy("rep").agg(F.collect_set("shard").alias("shards"))
-    nodes = placed.join(written(united.join(where, "rep"), "graph"), "rep")
+    where = members.groupBy("rep").agg(F.collect_set("shard").alias("shards"))
+    nodes = members.join(written(united.join(where, "rep"), "graph"), "rep")
     fan = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cols = ["shard", "i", "j", "role", "rep", "n", "unit", "near", "shards"]
+    none = F.lit(None).cast("array<long>")
+    asked = nodes.withColumn("near", none).unionByName(placed.where("n = 0").withColumn("near", none).withColumn("shards", none), allowMissingColumns=True)
     index = nodes.withColumn("j", F.col("part")).withColumn("i", fan).withColumn("role", F.lit(0)).select(*cols)
-    query = nodes.withColumn("i", F.col("part")).withColumn("j", fan).withColumn("role", F.lit(1)).withColumn("near", F.lit(None).cast("array<long>")).select(*cols)
+    query = asked.withColumn("i", F.col("part")).withColumn("j", fan).withColumn("role", F.lit(1)).select(*cols)
     rows = index.withColumn("j", F.col("j").cast("int")).withColumn("i", F.col("i").cast("int")) \
         .union(query.withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int")))
-    return written(rows.groupBy("shard", "i", "j").applyInPandas(_search(threshold), "rep long, other long, n long"), "links")
+    return written(rows.groupBy("shard", "i", "j").applyInPandas(_search(threshold), "rep long, other long, n long, planted boolean"), "links")

@@ -404,20 +404,50 @@ def test_vector_recall(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     real, tried = prunedgraph._links, []
 
-    def lossy(classes, n, threshold, overlap):
+    def lossy(classes, n, threshold, overlap, turned=None):
         tried.append(overlap)
-        return real(classes.where("rep < 300 or rep >= 500"), n, threshold, overlap)
-    monkeypatch.setattr(prunedgraph, "_links", lossy)
+        return real(classes.where("rep < 300 or rep >= 500"), n, threshold, overlap, turned)
     monkeypatch.setattr(prunedgraph, "SHARD", 200)
     report = []
     got = {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(df, report=report).collect()}
+    assert got == brute_vectors(rows) and [r["used"] for r in report] == [True] and report[0]["planted"] >= 0.95
+    monkeypatch.setattr(prunedgraph, "_links", lossy)
+    report.clear()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(df, report=report, exact=True).collect()}
     assert got == brute_vectors(rows)
-    assert tried == [2, 4, 8] and [r["overlap"] for r in report] == [2, 4, 8, None] and all(r["recall"] < 0.95 for r in report[:3])
-    # a table with hardly any link: the sample grows until it is the table
+    assert tried == [2, 4, 8] and [r["overlap"] for r in report] == [2, 4, 8, None] and all(r["planted"] < 0.95 for r in report[:3])
+    # the search answers unless the comparison is asked for, with its figure
     report.clear()
-    few = [r for r in rows if r[0] >= 500] + rows[300:302]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(spark.createDataFrame(few, df.schema), report=report).collect()}
-    assert got == brute_vectors(few) and got[301] == (1, 300) and report[0]["sample"] == len(few)
+    got = {r.vec_id: r.n_links for r in prunedgraph.near_duplicate_vectors(df, report=report).collect()}
+    assert got[300] == 0 and report[-1]["used"] and report[-1]["recall"] < 0.95 and report[-1]["overlap"] == 8
+
+
+@pytest.mark.parametrize("linked", [0, 30])
+def test_the_graph_answers_with_and_without_links(spark, monkeypatch, linked):
+    """Neither a table without links nor one with a few is compared pair by pair."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2400, 32))
+    x[:linked] = x[1000:1000 + linked] + 0.1 * rng.normal(size=(linked, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    real, compared, searched = prunedgraph.exact_links, [], []
+    monkeypatch.setattr(prunedgraph, "SHARD", 300)
+    monkeypatch.setattr(prunedgraph, "exact_links", lambda q, c, m, n, t: compared.append(q.count()) or real(q, c, m, n, t))
+    links = prunedgraph._links
+    monkeypatch.setattr(prunedgraph, "_links", lambda *a: searched.append(a[3]) or links(*a))
+    report = []
+    got = {r.vec_id: (r.n_links, r.component_id) for r in prunedgraph.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), report=report).collect()}
+    assert searched and len(compared) == 1 and compared[0] < 300
+    assert report[-1]["recall"] >= 0.95 and got == brute_vectors(rows)
+
+
+def test_planted_vectors_keep_their_angle(spark):
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(50, 9))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    classes = spark.createDataFrame([(i, 2, bytearray(v.tobytes())) for i, v in enumerate(u)] + [(99, 1, bytearray(np.ones(1).tobytes()))], "rep long, n long, unit binary")
+    for r in prunedgraph.planted(classes, 51, 0.9).collect():
+        v = np.frombuffer(bytes(r.unit), np.float64)
+        assert r.n == 0 and abs(np.linalg.norm(v) - 1) < 1e-12 and (r.rep == 99 or 0.9 < v @ u[r.rep] <= 1)
 
 
 def test_fm_identity():
