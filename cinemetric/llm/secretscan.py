@@ -52,7 +52,7 @@ _SEPARATOR = re.compile(r":=|=>|(?<![=!<>:])=(?![=>])|:(?![:=])")
 _HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
 _TAIL = _HEAD | frozenset("0123456789.-")
 # fixed values: a part of every sensitive name
-STEMS = re.compile(r"pass|pwd|secret|token|credential|bearer|key|connection", re.I)
+STEMS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key", "connection")
 
 _STRING = re.compile(r"(?s:\"\"\"((?:[^\"\\]|\\.|\"(?!\"\"))*+)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*+)''')|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?![A-Za-z0-9_.+/=\-@!#$%^&*])")
@@ -348,7 +348,8 @@ def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span(), *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span(), *m.span()) for m in HEX.finditer(text)]
-    if STEMS.search(text):
+    low = text.lower()
+    if any(stem in low for stem in STEMS):
         out += [("named", a, b, a, b) for a, b in _named(text, [x[1:3] for x in out])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
