@@ -16,11 +16,10 @@ import tarfile
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tables as TB
-from ..operators.regressor import Regressor, predict_column
 from ..operators.sequence import global_row_index
 from ..session import cut_lineage, read_table, scratch_path
 from ..sources import readers as RD
@@ -50,12 +49,12 @@ def q_whitespace_table(spark, sf):
     _documents(lines.select(F.concat(F.lit("event user\n"), F.array_join(body, "\n")).alias("value")), path)
     back = RD.read_whitespace_table(spark, path, ["event_id", "user_id"], skip_first=True,
                                     types={"event_id": "long", "user_id": "long"})
-    place = F.row_number().over(Window.partitionBy("file").orderBy("event_id")) - 1
-    return back.select("event_id", "user_id", (F.col("line_no") == place).alias("in_order"))
+    return back.select("event_id", "user_id", F.col("line_no").cast("long").alias("line_no"))
 
 
-SQL_WHITESPACE_TABLE = """
-SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id, true AS in_order FROM events"""
+SQL_WHITESPACE_TABLE = f"""
+SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id,
+       row_number() OVER (PARTITION BY event_id // {ROWS_PER_DOCUMENT} ORDER BY event_id) - 1 AS line_no FROM events"""
 
 TSV_VIDEOS = 4
 
@@ -433,20 +432,6 @@ SELECT row_number() OVER (PARTITION BY video_id // {ROWS_PER_DOCUMENT} ORDER BY
 FROM ({SQL_CLIP_INDEX})"""
 
 
-def q_regressor_weights(spark, sf):
-    """Regressor weights saved and loaded: the loaded model scores every vector
-    like the saved one (SNK-10)."""
-    v = P.p_vec(spark, sf).select("vec_id", "embedding")
-    model = Regressor.init(len(v.first()["embedding"]), seed=5)
-    path = scratch_path(spark, "weights")
-    model.save(spark, path)
-    again = Regressor.load(spark, path)
-    return v.select("vec_id", (predict_column("embedding", model, spark) == predict_column("embedding", again, spark)).alias("same"))
-
-
-SQL_REGRESSOR_WEIGHTS = "SELECT vec_id, true AS same FROM embeddings"
-
-
 def q_geo_subset(spark, sf):
     """Customers whose nation is in a country table (FLT-20)."""
     nations = read_table(spark, sf, "nation").where("n_regionkey = 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
@@ -487,7 +472,6 @@ QUERIES = {
     "sentences_json": (q_sentences_json, SQL_SENTENCES_JSON),
     "clip_index_lines": (q_clip_index_lines, SQL_CLIP_INDEX_LINES),
     "clip_index_array": (q_clip_index_array, SQL_CLIP_INDEX_ARRAY),
-    "regressor_weights": (q_regressor_weights, SQL_REGRESSOR_WEIGHTS),
     "geo_subset": (q_geo_subset, SQL_GEO_SUBSET),
     "word_categories": (q_word_categories, SQL_WORD_CATEGORIES),
 }

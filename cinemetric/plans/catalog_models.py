@@ -13,7 +13,7 @@ from ..functions.encoders import HashingEncoder, encode_column
 from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import regressor as RG
-from ..session import read_table
+from ..session import read_table, scratch_path
 from . import proxies as P
 from .zero_shot import select_templates, zero_shot_accuracy
 
@@ -161,18 +161,34 @@ def q_regressor_gradient(spark, sf):
     return out.select("weights", "unit", F.round("total", R6).alias("total"), F.round("weighted", R6).alias("weighted"))
 
 
-def _gradient_sql() -> str:
-    """Forward and backward pass as joins over (row, unit) tables."""
+def q_regressor_weights(spark, sf):
+    """Regressor weights saved and loaded again: the loaded model's score of
+    every vector (SNK-10, ML-01)."""
+    v = P.p_vec(spark, sf).select("vec_id", F.transform("embedding", lambda x: x * 8).alias("x"))
+    path = scratch_path(spark, "weights")
+    formula_model(len(v.first()["x"])).save(spark, path)
+    again = RG.Regressor.load(spark, path)
+    return v.select("vec_id", F.round(RG.predict_column("x", again, spark), R6).alias("score"))
+
+
+def _forward_sql() -> str:
+    """Tables x, w1, w2, a1, a2 and o: the formula model's layers per vector."""
     h1, h2 = RG.HIDDEN
     return P.with_ctes(P.P_VEC_SQL) + f"""
 , x AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) * 8 AS x FROM p_vec)
-, y AS (SELECT vec_id AS r, label / 2.0 AS y, count(*) OVER () AS n FROM p_vec)
 , d AS (SELECT max(i) AS d FROM x)
 , w1 AS (SELECT i, j, sin(1.3 * i + 0.7 * j) / sqrt(d) AS w FROM d, (SELECT unnest(range(1, 1025)) AS i), (SELECT unnest(range(1, {h1 + 1})) AS j) WHERE i <= d)
 , w2 AS (SELECT j, k, sin(0.8 * j + 1.9 * k) / sqrt({h1}) AS w FROM (SELECT unnest(range(1, {h1 + 1})) AS j), (SELECT unnest(range(1, {h2 + 1})) AS k))
 , a1 AS MATERIALIZED (SELECT r, j, sum(x * w) + sin(0.9 * j) AS a FROM x JOIN w1 USING (i) GROUP BY r, j)
 , a2 AS MATERIALIZED (SELECT r, k, sum(greatest(a, 0) * w) + sin(1.1 * k) AS a FROM a1 JOIN w2 USING (j) GROUP BY r, k)
-, o AS (SELECT r, sum(greatest(a, 0) * sin(2.3 * k) / sqrt({h2})) + 0.5 AS o FROM a2 GROUP BY r)
+, o AS (SELECT r, sum(greatest(a, 0) * sin(2.3 * k) / sqrt({h2})) + 0.5 AS o FROM a2 GROUP BY r)"""
+
+
+def _gradient_sql() -> str:
+    """Forward and backward pass as joins over (row, unit) tables."""
+    h2 = RG.HIDDEN[1]
+    return _forward_sql() + f"""
+, y AS (SELECT vec_id AS r, label / 2.0 AS y, count(*) OVER () AS n FROM p_vec)
 , e AS (SELECT r, n, o - y AS e, 2 * (o - y) / n AS g FROM o JOIN y USING (r))
 , d2 AS MATERIALIZED (SELECT r, k, CASE WHEN a > 0 THEN g * sin(2.3 * k) / sqrt({h2}) ELSE 0 END AS g FROM a2 JOIN e USING (r))
 , d1 AS MATERIALIZED (SELECT r, j, CASE WHEN any_value(a) > 0 THEN sum(g * w) ELSE 0 END AS g FROM d2 JOIN w2 USING (k) JOIN a1 USING (r, j) GROUP BY r, j)
@@ -198,7 +214,7 @@ def _brand_classes(spark, sf):
 
 def q_zero_shot_prompts(spark, sf):
     items, classes = _brand_classes(spark, sf)
-    acc = zero_shot_accuracy(items, "p_partkey", "text", "brand", classes, "brand", "names", TEMPLATES[:3])
+    acc = zero_shot_accuracy(items, "p_partkey", "text", "brand", classes, "brand", "names", TEMPLATES[:3], PLACES)
     return acc.select(F.round("top1", R6).alias("top1"), F.round("top5", R6).alias("top5"))
 
 
@@ -223,8 +239,9 @@ def q_select_templates(spark, sf):
     return spark.createDataFrame(hist, "step int, template string, top1 double").withColumn("top1", F.round("top1", R6))
 
 
-def _select_templates_sql() -> str:
-    """All steps of the selection in a row; a step that does not improve ends it."""
+def _places_sql() -> str:
+    """Tables g (templates), i (items) and s (sum per template and class of the
+    normalised prompt vectors), one row per dimension."""
     def places(text, *keys):
         cols = ", ".join(keys)
         each = " UNION ALL ".join(f"SELECT {cols}, {d} AS d, {x} / 40.0 AS x FROM src"
@@ -232,6 +249,26 @@ def _select_templates_sql() -> str:
         total = f"sqrt(sum(x * x) OVER (PARTITION BY {cols}))"
         return f"SELECT {cols}, d, CASE WHEN {total} = 0 THEN x ELSE x / {total} END AS x FROM ({each})"
     grid = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEMPLATES))
+    return f"""
+WITH g(t, template) AS (VALUES {grid})
+, i AS MATERIALIZED (WITH src AS (SELECT p_partkey AS key, p_brand || ' ' || p_name AS text FROM part) {places('text', 'key')})
+, pr AS (SELECT c, t, n, replace(template, '{{}}', name) AS prompt FROM g, (SELECT DISTINCT p_brand AS c, 1 AS n, p_brand AS name FROM part
+         UNION ALL SELECT DISTINCT p_brand, 2, lower(replace(p_brand, '#', ' ')) FROM part))
+, v AS MATERIALIZED (WITH src AS (SELECT * FROM pr) {places('prompt', 'c', 't', 'n')})
+, s AS MATERIALIZED (SELECT t, c, d, sum(x) AS x FROM v GROUP BY t, c, d)"""
+
+
+def _zero_shot_prompts_sql() -> str:
+    return _places_sql() + """
+, m AS (SELECT c, d, sum(x) AS x FROM s WHERE t < 3 GROUP BY c, d)
+, n AS (SELECT c, d, x / sqrt(sum(x * x) OVER (PARTITION BY c)) AS x FROM m)
+, k AS (SELECT key, c, row_number() OVER (PARTITION BY key ORDER BY score DESC, c DESC) AS r FROM (SELECT key, c, sum(i.x * n.x) AS score FROM i JOIN n USING (d) GROUP BY key, c))
+SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS top5
+FROM part JOIN k ON key = p_partkey AND c = p_brand"""
+
+
+def _select_templates_sql() -> str:
+    """All steps of the selection in a row; a step that does not improve ends it."""
     steps = []
     for r in range(len(TEMPLATES)):
         before = "UNION ALL ".join(f"SELECT t FROM p{q} " for q in range(r)) or "SELECT -1 AS t WHERE false"
@@ -243,13 +280,7 @@ def _select_templates_sql() -> str:
 , p{r} AS MATERIALIZED (SELECT t, acc FROM (SELECT t, avg(CASE WHEN h.c = l.p_brand THEN 1.0 ELSE 0 END) AS acc FROM h{r} h JOIN part l ON l.p_partkey = h.key GROUP BY t)
       WHERE acc > {last} ORDER BY acc DESC, t LIMIT 1)""")
     rows = " UNION ALL ".join(f"SELECT {r + 1} AS step, t, acc FROM p{r}" for r in range(len(TEMPLATES)))
-    return f"""
-WITH g(t, template) AS (VALUES {grid})
-, i AS MATERIALIZED (WITH src AS (SELECT p_partkey AS key, p_brand || ' ' || p_name AS text FROM part) {places('text', 'key')})
-, pr AS (SELECT c, t, n, replace(template, '{{}}', name) AS prompt FROM g, (SELECT DISTINCT p_brand AS c, 1 AS n, p_brand AS name FROM part
-         UNION ALL SELECT DISTINCT p_brand, 2, lower(replace(p_brand, '#', ' ')) FROM part))
-, v AS MATERIALIZED (WITH src AS (SELECT * FROM pr) {places('prompt', 'c', 't', 'n')})
-, s AS MATERIALIZED (SELECT t, c, d, sum(x) AS x FROM v GROUP BY t, c, d){''.join(steps)}
+    return _places_sql() + "".join(steps) + f"""
 SELECT CAST(step AS INTEGER) AS step, template, round(acc, 6) AS top1 FROM ({rows}) JOIN g USING (t)"""
 
 
@@ -258,7 +289,8 @@ QUERIES = {
     "linear_probe_multilabel": (q_linear_probe_multilabel, _multilabel_sql()),
     "ridge_probe": (q_ridge_probe, _ridge_sql()),
     "regressor_fit": (q_regressor_fit, None),
+    "regressor_weights": (q_regressor_weights, _forward_sql() + " SELECT r AS vec_id, round(o, 6) AS score FROM o"),
     "regressor_gradient": (q_regressor_gradient, _gradient_sql()),
-    "zero_shot_prompts": (q_zero_shot_prompts, None),
+    "zero_shot_prompts": (q_zero_shot_prompts, _zero_shot_prompts_sql()),
     "select_templates": (q_select_templates, _select_templates_sql()),
 }
