@@ -3,11 +3,18 @@
 A batch of changes inserts, deletes or revises documents' token counts.  A
 ledger holds the current count of every (document, tokenizer version); a batch
 turns each change into signed differences against it, and only the summed
-differences by source, language and tokenizer version are added to the totals,
-so maintaining them costs what changed, not the corpus.  A batch is committed
-once: its tables are written under its number and its last file, the success
-marker of the totals' differences, is the commit.  A repeated batch finds the
-marker and changes nothing; a batch cut off half way is written anew.
+differences by source, language and tokenizer version are added to the totals.
+A batch is committed once: its tables are written under its number and its last
+file, the success marker of the totals' differences, is the commit.  A repeated
+batch finds the marker and changes nothing; a batch cut off half way is written
+anew.
+
+What a commit costs follows the batch.  The ledger lies in buckets of documents,
+and a batch reads those that it touches.  After a commit the segments of the
+ledger and of the differences are merged like the digits of a binary counter,
+the last two while the later one covers as many batches, so n batches are at
+most ``log2(n) + 1`` segments and a row is rewritten as often.  A merged segment
+counts once its success marker is there; until then its parts do.
 
 Counting runs public byte-pair vocabularies (their folder is a parameter) in a
 map-only pass over whole texts.
@@ -19,13 +26,16 @@ import base64
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import written
+
 # fixed value: the vocabularies' split pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 TOKENIZERS = "/opt/tokenizers"
+BUCKETS = 64                 # of the ledger; fixed for the life of a state
 KEYS = ["source", "lang", "version"]
 LEDGER = "doc_id long, source string, lang string, version string, n_tokens long, alive boolean, batch long"
 DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -70,21 +80,78 @@ def _done(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def _folders(spark: SparkSession, top: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+
 def committed(spark: SparkSession, state: str) -> list[int]:
     """Numbers of the committed batches, in order."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/deltas")
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
-    return sorted(n for n in (int(x.split("-")[1]) for x in names if x.startswith("batch-")) if _done(spark, f"{state}/deltas/batch-{n}"))
+    names = [x for x in _folders(spark, f"{state}/deltas") if x.startswith("batch-")]
+    return sorted(n for n in (int(x.removeprefix("batch-")) for x in names) if _done(spark, f"{state}/deltas/batch-{n}"))
+
+
+def segments(spark: SparkSession, state: str, kind: str, batches: list[int]) -> list[tuple[str, int]]:
+    """(folder, batches covered) of the fewest segments that hold ``batches``,
+    in order; ``kind`` is ``ledger`` or ``deltas``."""
+    merged: dict[int, list[int]] = {}
+    for name in _folders(spark, f"{state}/{kind}"):
+        if name.startswith("merged-"):
+            lo, hi = (int(x) for x in name.removeprefix("merged-").split("_"))
+            merged.setdefault(lo, []).append(hi)
+    out, at = [], 0
+    while at < len(batches):
+        ends = sorted((hi for hi in merged.get(batches[at], []) if hi in batches), reverse=True)
+        hi = next((h for h in ends if _done(spark, f"{state}/{kind}/merged-{batches[at]}_{h}")), None)
+        n = batches.index(hi) + 1 - at if hi is not None else 1
+        out.append((f"{state}/{kind}/" + (f"merged-{batches[at]}_{hi}" if hi is not None else f"batch-{batches[at]}"), n))
+        at += n
+    return out
+
+
+def _bucket(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+
+
+def _write_ledger(rows: DataFrame, path: str) -> None:
+    rows.withColumn("bucket", _bucket("doc_id")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def _ledger(spark: SparkSession, state: str, batches: list[int]) -> DataFrame:
-    """Current row of every (document, version): the last batch's."""
+def _latest(rows: DataFrame) -> DataFrame:
+    """Of every (document, version) the last batch's row."""
+    fields = ["source", "lang", "n_tokens", "alive", "batch"]
+    return rows.groupBy("doc_id", "version").agg(F.max_by(F.struct(*fields), "batch").alias("x")).select("doc_id", "version", *[f"x.{c}" for c in fields])
+
+
+def _ledger(spark: SparkSession, state: str, batches: list[int], buckets: list[int] | None = None) -> DataFrame:
+    """Current row of every (document, version), of the given buckets."""
     if not batches:
         return spark.createDataFrame([], LEDGER)
-    rows = spark.read.schema(LEDGER).parquet(*[f"{state}/ledger/batch-{b}" for b in batches])
-    fields = ["source", "lang", "n_tokens", "alive"]
-    return rows.groupBy("doc_id", "version").agg(F.max_by(F.struct(*fields), "batch").alias("x")).select("doc_id", "version", *[f"x.{c}" for c in fields])
+    parts = [spark.read.schema(LEDGER + ", bucket int").parquet(path) for path, _ in segments(spark, state, "ledger", batches)]
+    rows = reduce(DataFrame.unionByName, parts)
+    return _latest((rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket"))
+
+
+def _merge(spark: SparkSession, state: str, batches: list[int]) -> None:
+    """Merge the last segments while the later one covers as many batches."""
+    for kind in ("ledger", "deltas"):
+        while True:
+            parts = segments(spark, state, kind, batches)
+            if len(parts) < 2 or parts[-2][1] > parts[-1][1]:
+                break
+            lo, hi = batches[len(batches) - parts[-1][1] - parts[-2][1]], batches[-1]
+            path = f"{state}/{kind}/merged-{lo}_{hi}"
+            if kind == "ledger":
+                _write_ledger(_latest(reduce(DataFrame.unionByName, [spark.read.schema(LEDGER + ", bucket int").parquet(p) for p, _ in parts[-2:]]).drop("bucket")), path)
+            else:
+                _summed(spark, [p for p, _ in parts[-2:]]).write.mode("overwrite").parquet(path)
+
+
+def _summed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    parts = [spark.read.schema(DELTA).parquet(p) for p in paths]
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], DELTA)
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def commit(spark: SparkSession, state: str, batch: int, changes: DataFrame) -> bool:
@@ -104,13 +171,15 @@ def commit(spark: SparkSession, state: str, batch: int, changes: DataFrame) -> b
     if before and before[-1] > batch:
         raise ValueError(f"batch {batch} is older than the last committed one, {before[-1]}")
     fields = ["source", "lang", "n_tokens"]
+    changes = written(changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), *fields, "version"), "changes")
     named = changes.where("doc_id is not null")
     new = named.groupBy("doc_id", "version").agg(F.max(F.struct((F.col("op") != "delete").alias("alive"), "n_tokens", "source", "lang")).alias("x")) \
         .select("doc_id", "version", F.struct("x.source", "x.lang", "x.n_tokens", "x.alive").alias("new"))
-    old = _ledger(spark, state, before).select("doc_id", "version", F.struct(*fields, "alive").alias("old"))
-    both = new.join(old, ["doc_id", "version"], "left")
+    touched = [r["b"] for r in named.select(_bucket("doc_id").alias("b")).distinct().collect()]
+    old = _ledger(spark, state, before, touched).select("doc_id", "version", F.struct(*fields, "alive").alias("old"))
+    both = written(new.join(old, ["doc_id", "version"], "left"), "differences")
     ledger = both.select("doc_id", "new.source", "new.lang", "version", "new.n_tokens", "new.alive", F.lit(batch).cast("long").alias("batch"))
-    ledger.write.mode("overwrite").parquet(f"{state}/ledger/batch-{batch}")
+    _write_ledger(ledger, f"{state}/ledger/batch-{batch}")
     signed = both.select("version", F.explode(F.array(
         F.struct(F.lit(1).alias("sign"), F.col("new").alias("row")), F.struct(F.lit(-1).alias("sign"), F.col("old").alias("row")))).alias("s")) \
         .where("s.row.alive").select("s.row.source", "s.row.lang", "version", "s.sign", "s.row.n_tokens")
@@ -118,26 +187,25 @@ def commit(spark: SparkSession, state: str, batch: int, changes: DataFrame) -> b
         "source", "lang", "version", F.when(F.col("op") == "insert", 1).otherwise(-1).alias("sign"), "n_tokens")
     delta = signed.unionByName(loose).groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
     delta.where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{state}/deltas/batch-{batch}")
+    _merge(spark, state, [*before, batch])
     return True
 
 
 def totals(spark: SparkSession, state: str) -> DataFrame:
     """source, lang, version, n_docs, n_tokens: the sum of all committed differences."""
-    parts = [spark.read.schema(DELTA).parquet(f"{state}/deltas/batch-{b}") for b in committed(spark, state)]
-    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], DELTA)
-    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+    return _summed(spark, [p for p, _ in segments(spark, state, "deltas", committed(spark, state))])
 
 
 def corpus_totals(docs: DataFrame, state: str, versions: tuple = VERSIONS, folder: str = TOKENIZERS) -> DataFrame:
     """Rollup of a whole table kept under ``state``: estimates are inserted,
     then revised to the tokenizers' counts, and the revision is sent twice, as
     a retried job would (documents without doc_id are inserted with their
-    counts in the second batch).  An empty table gives no rows."""
+    counts in the second batch).  Texts of any length are counted whole; other
+    columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     first = estimated_counts(docs.where("doc_id is not null"), versions).withColumn("op", F.lit("insert"))
     commit(spark, state, 1, first)
     counts = count_tokens(docs, versions, folder).withColumn("op", F.when(F.col("doc_id").isNull(), "insert").otherwise("revise"))
-    from .storage import written
     counts = written(counts, "counts")
     commit(spark, state, 2, counts)
     commit(spark, state, 2, counts)

@@ -339,6 +339,51 @@ def test_rollup(spark, docs):
     assert tokenrollup.corpus_totals(docs.limit(0), scratch_path(spark, "rollup")).count() == 0
 
 
+def test_rollup_costs_follow_the_batch(spark):
+    """Thirty small batches over a large first one, against a plain ledger: few
+    segments stay, and a batch reads the buckets that it touches."""
+    rng, state, ledger = random.Random(4), scratch_path(spark, "rollup"), {}
+    schema = "op string, doc_id long, source string, lang string, version string, n_tokens long, bucket string, batch string"
+    for batch in range(1, 31):
+        rows = [("insert", i, "s%d" % (i % 3), "en", "v", i) for i in range(3000)] if batch == 1 else \
+            [(rng.choice(["insert", "revise", "delete"]), i, rng.choice(["s0", "s1", None]), "en", "v", rng.randint(0, 99)) for i in rng.sample(range(3200), 4)]
+        assert tokenrollup.commit(spark, state, 10 * batch, spark.createDataFrame([(*r, "x", "y") for r in rows], schema))
+        for op, i, source, lang, _, n in rows:
+            ledger.pop(i, None) if op == "delete" else ledger.update({i: (source, n)})
+    want = {}
+    for source, n in ledger.values():
+        d, t = want.get(source, (0, 0))
+        want[source] = (d + 1, t + n)
+    done = tokenrollup.committed(spark, state)
+    assert {r.source: (r.n_docs, r.n_tokens) for r in tokenrollup.totals(spark, state).collect()} == want and done == [10 * b for b in range(1, 31)]
+    for kind in ("ledger", "deltas"):
+        parts = tokenrollup.segments(spark, state, kind, done)
+        assert sum(n for _, n in parts) == 30 and len(parts) <= 5
+    rows = tokenrollup._ledger(spark, state, done, [5, 6])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan
+    mine = {r.doc_id for r in rows.collect()}
+    every = {r.doc_id: r.b for r in spark.range(3200).select(F.col("id").alias("doc_id"), tokenrollup._bucket("id").alias("b")).collect()}
+    assert mine and {every[i] for i in mine} == {5, 6}
+
+
+def test_rollup_survives_a_lost_merge(spark):
+    state = scratch_path(spark, "rollup")
+    c = lambda *rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, version string, n_tokens long")
+    real = tokenrollup._merge
+    try:
+        tokenrollup._merge = lambda *a: None                 # the job ends between a commit and its merge
+        for b in (1, 2, 3):
+            tokenrollup.commit(spark, state, b, c(("insert", b, "s", "en", "v", b)))
+    finally:
+        tokenrollup._merge = real
+    assert len(tokenrollup.segments(spark, state, "ledger", [1, 2, 3])) == 3
+    assert not tokenrollup.commit(spark, state, 3, c(("insert", 9, "s", "en", "v", 9)))
+    tokenrollup.commit(spark, state, 4, c(("delete", 2, None, None, "v", None)))
+    assert [(r.n_docs, r.n_tokens) for r in tokenrollup.totals(spark, state).collect()] == [(2, 4)]
+    assert len(tokenrollup.segments(spark, state, "deltas", [1, 2, 3, 4])) < 4
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(prunedgraph, "SHARD", 60)
     rng = np.random.default_rng(3)
