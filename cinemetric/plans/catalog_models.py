@@ -122,6 +122,42 @@ def _multilabel_sql() -> str:
 SELECT 'macro_ap' AS metric, round(avg(ap), 6) AS value FROM ap UNION ALL SELECT 'macro_auc', round(avg(auc), 6) FROM ap"""
 
 
+SMALL_DIMS, SMALL_CLASSES = 8, 3
+
+
+def q_linear_probe_probabilities(spark, sf):
+    """Multinomial fit on the first components and three classes: the
+    probabilities of every test vector (ML-04)."""
+    small = lambda d: d.select("vec_id", F.slice("embedding", 1, SMALL_DIMS).alias("x"), (F.col("label") % SMALL_CLASSES).alias("y"))
+    train, test = (small(d) for d in _probe_data(spark, sf))
+    res = L.logistic_scores(train, test, "x", "y", L.LOGISTIC_C["large"], keys=["vec_id"])
+    return res.select("vec_id", "pred", *[F.round(F.col("probs")[i], 5).alias(f"p{i}") for i in range(SMALL_CLASSES)])
+
+
+def _multinomial_sql() -> str:
+    """Newton's method on all weights at once; the last class's intercept is 0."""
+    k, d = SMALL_CLASSES, SMALL_DIMS + 1
+    penalty = 1.0 / L.LOGISTIC_C["large"]
+    out = _PROBE_SQL + f"""
+, a AS MATERIALIZED (SELECT vec_id AS r, is_test, list_append(e[1:{SMALL_DIMS}], 1.0) AS x, label % {k} AS y FROM v)
+, q AS (SELECT c, i, (c - 1) * {d} + i AS n FROM (SELECT unnest(range(1, {k + 1})) AS c), (SELECT unnest(range(1, {d + 1})) AS i) WHERE (c - 1) * {d} + i < {k * d})
+, f AS MATERIALIZED (SELECT r, n, c, i, x[i] AS x, CASE WHEN y + 1 = c THEN 1.0 ELSE 0.0 END AS y FROM a, q WHERE NOT is_test)
+, w0 AS (SELECT list_transform(range(0, {k * d}), lambda i: 0.0::DOUBLE) AS w)"""
+    for t in range(NEWTON_STEPS):
+        parts = ", ".join(f"exp(list_dot_product(x, w[{c * d + 1}:{c * d + d}]))" for c in range(k))
+        out += f"""
+, e{t} AS MATERIALIZED (SELECT r, list_transform(z, lambda v: v / list_sum(z)) AS p FROM (SELECT r, [{parts}] AS z FROM a, w{t} WHERE NOT is_test))
+, h{t} AS (SELECT u.n AS i, o.n AS j, sum(u.x * o.x * p[u.c] * (CASE WHEN u.c = o.c THEN 1 ELSE 0 END - p[o.c])) + CASE WHEN u.n = o.n AND u.i < {d} THEN {penalty} ELSE 0 END AS h
+      FROM f u JOIN f o USING (r) JOIN e{t} USING (r) GROUP BY u.n, o.n, u.i)
+, g{t} AS (SELECT n AS i, sum(x * (p[c] - y)) + CASE WHEN f.i < {d} THEN {penalty} * any_value(w)[n] ELSE 0 END AS g FROM f JOIN e{t} USING (r), w{t} GROUP BY n, f.i)
+, s{t} AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, list_append(list(h ORDER BY j), any_value(g)) AS m FROM h{t} JOIN g{t} USING (i) GROUP BY i))""" + _solve_sql(f"n{t}", f"s{t}") + f"""
+, w{t + 1} AS (SELECT list_transform(w, lambda x, i: CASE WHEN i <= len(m) THEN x - m[i][len(m) + 1] ELSE 0 END) AS w FROM w{t}, n{t})"""
+    parts = ", ".join(f"exp(list_dot_product(x, w[{c * d + 1}:{c * d + d}]))" for c in range(k))
+    return out + f"""
+, z AS (SELECT r, list_transform(z, lambda v: v / list_sum(z)) AS p FROM (SELECT r, [{parts}] AS z FROM a, w{NEWTON_STEPS} WHERE is_test))
+SELECT r AS vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred, {', '.join(f'round(p[{c + 1}], 5) AS p{c}' for c in range(k))} FROM z"""
+
+
 def q_regressor_fit(spark, sf):
     """Fit the ReLU regressor on two united labelled lists (part names rated by
     price, nation names by region) until the loss of a held-out fifth has not
@@ -287,6 +323,7 @@ SELECT CAST(step AS INTEGER) AS step, template, round(acc, 6) AS top1 FROM ({row
 QUERIES = {
     "linear_probe_multiclass": (q_linear_probe_multiclass, None),
     "linear_probe_multilabel": (q_linear_probe_multilabel, _multilabel_sql()),
+    "linear_probe_probabilities": (q_linear_probe_probabilities, _multinomial_sql()),
     "ridge_probe": (q_ridge_probe, _ridge_sql()),
     "regressor_fit": (q_regressor_fit, None),
     "regressor_weights": (q_regressor_weights, _forward_sql() + " SELECT r AS vec_id, round(o, 6) AS score FROM o"),
