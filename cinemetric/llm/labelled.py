@@ -22,5 +22,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     n = known.count()
     if n > limit:
         steps = 1 << 20
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(steps)) < int(steps * limit / n))
+        share = steps * limit / n
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(steps)) < max(1, int(share)))
+        if share < 1:                    # a second hash for the part of the last step
+            known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(1 << 40)) < max(1, int(share * (1 << 40))))
     return docs.join(F.broadcast(known), "doc_id")

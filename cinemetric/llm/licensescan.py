@@ -193,8 +193,10 @@ def _scan(templates: dict[str, str], coverage: float):
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """One row per licence notice found: doc_id, license, start, end (code
     points, end exclusive), matched_words and coverage of the template; of
-    overlapping notices the one with more matched words.  Null and empty texts
-    have none; repeated rows report alike; other columns are ignored; an empty
-    table gives an empty result."""
+    overlapping notices the one with more matched words (of equal ones that with
+    more coverage, then the earlier, then the first name).  Null and empty texts
+    have none; repeated rows report alike; texts of any length are scanned whole;
+    other columns, also of the result's names, are ignored; an empty table gives
+    an empty result."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(dict(templates), coverage), "doc_id long, license string, start long, end long, matched_words long, coverage double")

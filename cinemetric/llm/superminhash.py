@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component_id (smallest doc_id that links reach) and kept (doc_id equals
     component_id).  A null or blank text has an empty set, links with nothing
     and is kept; rows with equal texts (also repeated rows) share a component;
-    a null doc_id takes part in no link, gets a null component and is kept; other columns
+    rows that share a doc_id are one node, whose links are those of all its
+    texts, and get one component; a null doc_id takes part in no link, gets a null component and is kept; other columns
     are ignored.  An empty table gives an empty result."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

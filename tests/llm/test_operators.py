@@ -6,13 +6,16 @@ import os
 import random
 import re
 import time
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cinemetric.llm import (components, containment, factormachine, licensescan, mixing, prunedgraph, secretscan, subwordbag, suffixmerge,
                             superminhash, tokenrollup)
+from cinemetric.llm import textarrays as T
 from cinemetric.llm.queries import QUERIES
 from cinemetric.session import scratch_path
 
@@ -517,6 +520,74 @@ def test_classifiers(spark, docs, op, label, cut):
     assert op.train(docs, labels.limit(0), label) is not None
 
 
+@pytest.mark.parametrize("op, label, cut", [(factormachine, "quality", 0.5), (subwordbag, "toxic", 0.7)])
+def test_classify_columns(spark, op, label, cut):
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = op.classify(d, labels, label, cut).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in d.select("doc_id").collect())
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= cut) and 0 <= r.score <= 1
+    # what is held out, and everything but the text, changes no score
+    other = labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col(label)).otherwise(F.col(label)))
+    again = op.classify(d.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string")), other, label, cut).collect()
+    assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in got}
+
+
+def test_scores_are_the_most_toxic_window():
+    """Scores from running sums against windows taken one by one."""
+    rng = np.random.default_rng(2)
+    value, bias, empty = rng.normal(size=subwordbag.BUCKETS).astype(np.float32), 0.3, -2.5
+    texts = ["one", "", None, "a b c d e", "Ünïcode wörds ärê hére tôo", "x" * 500 + " y " + "z" * 40, "the same the same the same"]
+    got = next(subwordbag._scores((value, bias, empty))([pa.RecordBatch.from_pydict({"_text": pa.array(texts, pa.string())})])).column("score").to_pylist()
+    for t, score in zip(texts, got):
+        words = words_of(t)
+        per = []
+        for w in words:
+            ids, _ = subwordbag.word_buckets(T.words(pa.array([w], pa.large_string())))
+            per.append((float(value[ids].astype(np.float64).sum()), len(ids)))
+        windows = [per[i:i + subwordbag.WINDOW] for i in range(len(per))]
+        z = max((sum(v for v, _ in x) / sum(n for _, n in x) for x in windows), default=empty - bias) + bias
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_equals_the_plain_one_inside_the_band():
+    rng = random.Random(6)
+    for _ in range(300):
+        template = rng.choices("abcdefgh", k=rng.randint(1, 30))
+        text = list(template)
+        for _ in range(rng.randint(0, licensescan.BAND // 2)):           # edits that stay inside the band
+            at = rng.randrange(len(text) + 1)
+            text[at:at + rng.randint(0, 1)] = rng.choices("abcdefgh", k=rng.randint(0, 1))
+        got, first, last = licensescan.align(template, text, 0)
+        assert got == lcs(template, text) and got == lcs(template, text[first:last])
+
+
+def test_long_templates_partial_and_altered(spark):
+    """A licence of 600 words as the caller's template: whole, with words changed,
+    cut short above and below the coverage, and among other text."""
+    rng = random.Random(7)
+    words = ["term%d" % rng.randrange(300) for _ in range(600)]
+    other = lambda n: " ".join("filler%d" % rng.randrange(5000) for _ in range(n))
+    changed = [w if i % 12 else "changed" for i, w in enumerate(words)]
+    texts = [" ".join(words), other(300) + " " + " ".join(changed) + " " + other(300), " ".join(words[:520]), " ".join(words[:450]), " ".join(words) + " " + " ".join(words), None, "", other(20000)]
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate(texts)] + [(0, texts[0], "x", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string, start int, coverage int")
+    got = sorted((r.doc_id, r.matched_words) for r in licensescan.licenses(df, {"Long": " ".join(words)}).collect())
+    assert got == [(0, 600), (0, 600), (1, 550), (2, 520), (4, 600), (4, 600)]
+    assert licensescan.licenses(df.limit(0)).count() == 0
+
+
 def test_unseen_misspelling(spark):
     sf = "/root/testdata/sf0.1"
     model = subwordbag.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
@@ -527,4 +598,4 @@ def test_unseen_misspelling(spark):
 
 
 def test_queries_registered():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 14))
