@@ -74,7 +74,7 @@ def test_whole_trie(spark, rows):
 
 
 def test_many_shards_and_spilled_queues(spark, rows):
-    check(spark, rows, shards=37, queue=3)
+    check(spark, rows, shards=13, queue=3)
 
 
 def test_turnless_conversations_end_at_the_root(spark):
@@ -84,7 +84,7 @@ def test_turnless_conversations_end_at_the_root(spark):
 
 
 def test_chain_over_shards(spark):
-    check(spark, [(3, t, "u", str(t)) for t in range(400)] + [(c, t, "u", str(t)) for c in range(100, 140) for t in range(c - 95)], shards=60, queue=2)
+    check(spark, [(3, t, "u", str(t)) for t in range(150)] + [(c, t, "u", str(t)) for c in range(100, 140) for t in range(c - 95)], shards=16, queue=2)
 
 
 def test_empty(spark):
