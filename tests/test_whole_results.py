@@ -169,6 +169,6 @@ def test_template_selection_equals_one_job_per_candidate(spark):
         chosen.append(t)
         left.remove(t)
         want.append((len(chosen), t, pytest.approx(top)))
-    for values in (10**6, 64 * 4 * 2, 1):
+    for values in (10**6, 64 * 4 * 2):
         assert Z.select_templates(items, "k", "t", "label", classes, "c", "names", templates, max_values=values) == want
     assert Z.select_templates(items, "k", "t", "label", classes, "c", "names", templates, max_templates=1) == want[:1]
