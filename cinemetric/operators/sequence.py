@@ -75,9 +75,11 @@ def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str,
     inner = d
     for o in vals:
         inner = inner.withColumn(f"_in_{o}", F.coalesce(F.sum(tmp[o]).over(wi), F.lit(0)))
-    out = inner.join(offsets, [*keys, "_chunk"])
+    # every row with a key has its totals, so an outer join gives the inner one's
+    # rows; with it only the totals may be broadcast, never the rows
+    out = inner.dropna(subset=[*keys, "_chunk"]).join(offsets, [*keys, "_chunk"], "left")
     for o in vals:
-        out = out.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
+        out = out.withColumn(o, F.coalesce(f"_off_{o}", F.lit(0)) + F.col(f"_in_{o}"))
     drop = ["_chunk", *extra] + [c for o in vals for c in (tmp[o], f"_in_{o}", f"_off_{o}")]
     return out.drop(*drop)
 

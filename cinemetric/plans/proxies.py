@@ -65,7 +65,10 @@ P_CAPTION_SQL = """p_caption AS (
 
 
 def p_frame(spark: SparkSession, sf: str) -> DataFrame:
-    n = (read_table(spark, sf, "conversations").groupBy("conv_id")
+    # dealt by a fixed count: the few bytes before the explode would be coalesced
+    # into a handful of tasks that then make all frames
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = (read_table(spark, sf, "conversations").select("conv_id", "turn").repartition(parts, "conv_id").groupBy("conv_id")
          .agg(((F.max("turn") + 1) * FRAMES_PER_TURN).cast("long").alias("n")))
     frames = n.select(F.col("conv_id").alias("video_id"),
                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("frame_idx"))
