@@ -12,14 +12,19 @@ from ..streaming import stateful as ST
 R6 = 6
 
 
+def _table_stream(spark, sf, name, **options):
+    """A table as a file stream, be it one file or a folder of files.  The file
+    source watches folders; a pattern (here of one name) also takes a file."""
+    schema = read_table(spark, sf, name).schema
+    return spark.readStream.schema(schema).options(**options).parquet(f"{sf.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _events_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # the file source watches a folder: take the events file of the table folder
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", "events.parquet").parquet(sf))
+    # one batch: the files of a folder need not follow the order of time
+    return _table_stream(spark, sf, "events")
 
 
-SLICES, FILES_PER_SLICE = 3, 4
+SLICES, FILES_PER_SLICE, FILES_PER_BATCH = 3, 4, 16
 
 
 def _events_in_slices(spark, sf):
@@ -116,10 +121,7 @@ def q_stream_scores(spark, sf):
     normalisation and tail smoothing with statistics frozen from a batch fit
     of the same table, applied to the documents read as a file stream."""
     stats, tail = ST.fit_frozen_stats(_doc_scores(read_table(spark, sf, "documents")), "text", "raw")
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "documents.parquet").parquet(sf))
-    out = ST.score_stream(_doc_scores(stream), "text", "raw", stats, tail)
+    out = ST.score_stream(_doc_scores(_table_stream(spark, sf, "documents", maxFilesPerTrigger=FILES_PER_BATCH)), "text", "raw", stats, tail)
     t = ST.run_available(out, scratch_path(spark, "scores"), scratch_path(spark, "scores-ckpt"))
     return t.select("doc_id", "Model_Used", F.round("Predicted_Concreteness", R6).alias("score"))
 

@@ -224,7 +224,7 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> DataFram
     q = (stream.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(out_path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out_path)   # no file of rows yet: an empty table
 
 
 def run_updates(stream: DataFrame, out_path: str, checkpoint: str, key: str) -> DataFrame:
