@@ -54,11 +54,19 @@ def scaler_apply(df: DataFrame, vec: str, stats: DataFrame, out: str | None = No
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "mean_vec",
-                 normalize_input: bool = False, normalize_output: bool = False) -> DataFrame:
+                 normalize_input: bool = False, normalize_output: bool = False, dims: int | None = None) -> DataFrame:
     """Per-key mean vector (temporal mean of frames, class prototype of prompts):
     one vector aggregate, so a task hands on one partial sum per key.  Null
-    vectors are left out."""
+    vectors are left out.  For very many keys of short vectors, ``dims`` (their
+    length, any other is an error) averages each component by itself, which
+    Spark does in a plain hash aggregate."""
     v = (V.l2_normalize(vec) if normalize_input else F.col(vec)).cast("array<double>")
+    if dims:
+        wrong = F.raise_error(F.lit(f"a vector is not of length {dims}")).cast("array<double>")
+        parts = df.select(*keys, v.alias("_a")).where("_a is not null").withColumn("_a", F.when(F.size("_a") == dims, F.col("_a")).otherwise(wrong))
+        res = (parts.groupBy(*keys).agg(*[F.avg(F.col("_a")[i]).alias(f"_m{i}") for i in range(dims)])
+               .select(*keys, F.array(*[f"_m{i}" for i in range(dims)]).alias(out)))
+        return res.withColumn(out, V.l2_normalize(out)) if normalize_output else res
     mean = vector_to_array(Summarizer.mean(F.col("_v")))
     res = (df.select(*keys, v.alias("_a")).where("_a is not null").select(*keys, array_to_vector("_a").alias("_v"))
            .groupBy(*keys).agg(mean.alias(out)))
@@ -301,7 +309,7 @@ def word_numbers(tokens: DataFrame, keys: list[str], order: str, piece: str, end
 
 
 def pool_subwords(tokens: DataFrame, keys: list[str], order: str, piece: str, vec: str,
-                  out: str = "word_vec", chunk=RANGE) -> DataFrame:
+                  out: str = "word_vec", chunk=RANGE, dims: int | None = None) -> DataFrame:
     """Word vector = mean of its sub-token vectors (AG-13)."""
     numbered = word_numbers(tokens, keys, order, piece, chunk=chunk)
-    return mean_vectors(numbered, [*keys, "word_no"], vec, out)
+    return mean_vectors(numbered, [*keys, "word_no"], vec, out, dims=dims)

@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import vectors as O
+from ..session import read_table
 from . import proxies as P
 
 R6 = 6
@@ -90,12 +91,19 @@ SQL_TEMPORAL_MEAN = P.with_ctes(P.P_VEC_SQL) + EXPLODE_SQL + """
 SELECT batch_id, dim, round(avg(x), 6) AS m FROM e GROUP BY batch_id, dim"""
 
 
+PARTS_PER_SPLIT = 64
+
 
 def q_subword_pooling(spark, sf):
     """Document words cut into 3-character pieces (the last one carries the
     end-of-word marker), piece vectors (length, piece index), then the word
-    number of every piece (WN-09) and the mean piece vector per word (AG-13)."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").isNotNull())
+    number of every piece (WN-09) and the mean piece vector per word (AG-13).
+    The texts are dealt by document before they are cut up, so that only they
+    are shuffled: a document's pieces stay in the task that holds its text."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text").dropna()
+    # many small parts, for a text's pieces are sorted at dozens of times its size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_PER_SPLIT * d.rdd.getNumPartitions())
+    d = d.repartition(parts, "doc_id")
     w = d.select("doc_id", F.posexplode(TX.words("text")).alias("wp", "word"))
     n = F.ceil(F.length("word") / 3.0).cast("int")
     p = w.select("doc_id", "wp", "word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
@@ -103,7 +111,7 @@ def q_subword_pooling(spark, sf):
     piece = F.when(F.col("i") == F.col("n") - 1, F.concat(piece, F.lit("</w>"))).otherwise(piece)
     toks = p.select("doc_id", (F.col("wp").cast("long") * (1 << 20) + F.col("i")).alias("pos"), piece.alias("piece"),
                     F.array(F.length(piece).cast("double"), F.col("i").cast("double")).alias("v"))
-    pooled = O.pool_subwords(toks, ["doc_id"], "pos", "piece", "v")
+    pooled = O.pool_subwords(toks, ["doc_id"], "pos", "piece", "v", chunk=None, dims=2)
     return pooled.select("doc_id", "word_no", F.transform("word_vec", lambda x: F.round(x, R6)).alias("word_vec"))
 
 
