@@ -21,20 +21,23 @@ from pyspark.sql import functions as F
 
 from ..operators import tables as TB
 from ..operators.sequence import global_row_index
-from ..session import cut_lineage, read_table, scratch_path
+from ..session import cut_lineage, read_table, scratch_path, spread
 from ..sources import readers as RD
 from ..sources import sinks as SK
-from ..sources.archives import archive_report
+from ..sources.archives import archive_report, read_archives
 from ..sources.images import image_audit
 from . import proxies as P
 from .catalog_index import SQL_CLIP_INDEX, q_clip_index
 
 ROWS_PER_DOCUMENT = 200
+# every task moves its own files to their place, not the driver all of them
+# (the folders are fresh and read only after the whole write)
+MANY_FILES = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
 
 
 def _documents(docs: DataFrame, path: str, *folders: str) -> None:
     """Write the text column ``value``, one file per row."""
-    w = docs.write.option("maxRecordsPerFile", 1)
+    w = docs.write.options(**MANY_FILES)
     (w.partitionBy(*folders) if folders else w).text(path)
 
 
@@ -162,18 +165,36 @@ def _image_rows(batches):
         yield pdf[["img"]].assign(content=content)
 
 
+def _tars(batches):
+    for pdf in batches:
+        for at in range(0, len(pdf), ROWS_PER_DOCUMENT):
+            some = pdf.iloc[at:at + ROWS_PER_DOCUMENT]
+            names = [f"{img}-{i}" for i, img in enumerate(some["img"])]
+            yield pd.DataFrame({"value": [_tar(names, [bytes(c) for c in some["content"]], tarfile.GNU_FORMAT)]})
+
+
+def _write_tars(files: DataFrame, path: str) -> None:
+    """Files (img, content) as members ``<img>-<number>`` of tar archives of at
+    most ROWS_PER_DOCUMENT files, written as Spark text like ``_frame_archives``."""
+    tars = files.select("img", "content").mapInPandas(_tars, "value binary")
+    tars.select(F.col("value").cast("string")).write.options(**MANY_FILES).option("mapreduce.output.basename", "files.tar").text(path, lineSep="\0")
+
+
+def _member_key(name: str):
+    return F.regexp_extract(name, r"([^/]+)-\d+$", 1).cast("long")
+
+
 def _images(spark, sf):
     """(img, format, width, height, problem) of one image file per supplier,
-    written and read back."""
-    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("img"))
+    written into tar archives and read back."""
+    s = read_table(spark, sf, "supplier", spread_rows=True).select(F.col("s_suppkey").alias("img"))
     kind = (F.col("img") % IMAGE_KINDS).cast("int")
     made = s.select("img", kind.alias("kind"), F.when(kind == 6, 9).otherwise(100 + F.col("img") % 50).cast("int").alias("width"),
                     (10 + F.col("img") % 70).cast("int").alias("height")).mapInPandas(_image_rows, "img long, content binary")
     path = scratch_path(spark, "images")
-    made.select("img", F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("img").text(path, lineSep="\0")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    folder = F.regexp_extract("path", r"/img=(\d+)/[^/]+$", 1).cast("long")
-    return image_audit(files).select(folder.alias("img"), "format", "width", "height", "problem")
+    _write_tars(made, path)
+    files = read_archives(spark, path, "files.tar*").withColumnRenamed("frame_name", "path")
+    return image_audit(files).select(_member_key("path").alias("img"), "format", "width", "height", "problem")
 
 
 def q_image_headers(spark, sf):
@@ -193,17 +214,16 @@ SELECT img, CASE k WHEN 0 THEN 'png' WHEN 2 THEN 'bmp' WHEN 3 THEN 'tiff' WHEN 4
 
 def _label_status(spark, sf):
     """Label text files of seven kinds (by supplier key modulo 7) and image files
-    of eleven kinds audited per image."""
-    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("img"))
+    of eleven kinds, both in tar archives, audited per image."""
+    s = read_table(spark, sf, "supplier", spread_rows=True).select(F.col("s_suppkey").alias("img"))
     kind = F.col("img") % 7
     good = F.when(F.col("img") % 2 == 0, "3 0.5 0.5 0.25 0.125").otherwise("3 0.1 0.1 0.5 0.1 0.5 0.4 0.1 0.4")
     text = (F.when(kind == 1, "").when(kind == 2, "3 0.5 0.5 0.25").when(kind == 3, "3 -0.5 0.5 0.25 0.125")
             .when(kind == 4, "3 1.5 0.5 0.25 0.125").when(kind == 5, "3 0.5 0.5 0.25 0.125\n3 0.5 0.5 0.25 0.125").otherwise(good))
     path = scratch_path(spark, "labels")
-    _documents(s.where(kind != 0).select("img", text.alias("value")), path, "img")
-    labels = RD.read_detection_labels(spark, path)
-    folder = F.regexp_extract("file", r"/img=(\d+)/[^/]+$", 1).cast("long")
-    images = s.join(labels.select(folder.alias("img"), F.col("file").alias("lf")), "img", "left").join(_images(spark, sf).select("img", "problem"), "img", "left")
+    _write_tars(s.where(kind != 0).select("img", F.encode(text, "UTF-8").alias("content")), path)
+    labels = RD.read_detection_labels(spark, path, archives="files.tar*")
+    images = s.join(labels.select(_member_key("file").alias("img"), F.col("file").alias("lf")), "img", "left").join(_images(spark, sf).select("img", "problem"), "img", "left")
     return RD.validate_labels(labels, images, F.coalesce("lf", F.lit("none")))
 
 
@@ -296,7 +316,7 @@ FROM documents WHERE doc_id % 4 <> 2"""
 def _frame_files(spark, sf) -> str:
     """One file per supplier in the folder of its nation."""
     path = scratch_path(spark, "frames")
-    _documents(read_table(spark, sf, "supplier").select("s_nationkey", F.col("s_name").alias("value")), path, "s_nationkey")
+    _documents(read_table(spark, sf, "supplier", spread_rows=True).select("s_nationkey", F.col("s_name").alias("value")), path, "s_nationkey")
     return path
 
 
@@ -337,16 +357,16 @@ def _frame_archives(rows: DataFrame, path: str, damage: bool = False) -> None:
         return pd.DataFrame({"s_nationkey": [nation], "g": [int(pdf["g"].iloc[0])], "value": [raw]})
     tars = rows.withColumn("g", F.floor(F.col("s_suppkey") / ROWS_PER_DOCUMENT)).groupBy("s_nationkey", "g") \
         .applyInPandas(pack, "s_nationkey long, g long, value binary")
-    tars = cut_lineage(tars.withColumn("value", F.col("value").cast("string")))
+    tars = spread(cut_lineage(tars.withColumn("value", F.col("value").cast("string"))))
     for packed, kind in ((F.col("s_nationkey") % 4 < 2, None), (F.col("s_nationkey") % 4 >= 2, "gzip")):
-        tars.where(packed).drop("g").write.mode("append").option("maxRecordsPerFile", 1).option("mapreduce.output.basename", "frames.tar") \
+        tars.where(packed).drop("g").write.mode("append").options(**MANY_FILES).option("mapreduce.output.basename", "frames.tar") \
             .partitionBy("s_nationkey").text(path, compression=kind, lineSep="\0")
 
 
 def q_packed_frames(spark, sf):
     """Frames packed per video with their bytes, read back (SNK-07): suppliers
     with an even key lie as files in a folder, the others in tar archives."""
-    suppliers = read_table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    suppliers = read_table(spark, sf, "supplier", spread_rows=True).select("s_suppkey", "s_nationkey", "s_name")
     path, out = scratch_path(spark, "frames"), scratch_path(spark, "packed")
     _documents(suppliers.where("s_suppkey % 2 = 0").select("s_nationkey", F.col("s_name").alias("value")), path, "s_nationkey")
     _frame_archives(suppliers.where("s_suppkey % 2 = 1"), f"{path}/archives")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .archives import read_archives
 from .splits import CsvScanner, elements, entering_states, json_elements
 
 # ---------------------------------------------------------------------------
@@ -238,15 +239,9 @@ def frame_manifest(spark: SparkSession, root: str, glob: str = "*.jpg") -> DataF
         .withColumn("frame_idx", F.regexp_extract("frame_name", r"(\d+)\.", 1).cast("long"))
 
 
-def read_detection_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label text per image (SRC-14): ``cls x y w h`` rows, or polygon rows
-    (more than 8 fields) turned into their bounding ``x y w h``.  Output: one
-    row per file with ``rows`` = array of double arrays (``null`` on a parse
-    error) and ``file``."""
-    # binaryFile keeps empty files (a text scan yields no row for them)
-    doc = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
-    lines = F.filter(F.split(F.trim("value"), r"\r?\n"), lambda l: F.trim(l) != "")
+def _label_rows(value: Column) -> Column:
+    """Rows of a label file's text, polygons as their bounding boxes."""
+    lines = F.filter(F.split(F.trim(value), r"\r?\n"), lambda l: F.trim(l) != "")
     parsed = F.transform(lines, lambda l: F.transform(F.split(F.trim(l), r"\s+"), lambda x: x.try_cast("double")))
     is_seg = F.exists(parsed, lambda r: F.size(r) > 8)
 
@@ -257,8 +252,23 @@ def read_detection_labels(spark: SparkSession, path: str) -> DataFrame:
         x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
         return F.array(r[0], (x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1)
 
-    rows = F.when(is_seg, F.transform(parsed, seg_to_box)).otherwise(parsed)
-    parsed_rows = doc.select("file", rows.alias("rows"))
+    return F.when(is_seg, F.transform(parsed, seg_to_box)).otherwise(parsed)
+
+
+def read_detection_labels(spark: SparkSession, path: str, archives: str | None = None) -> DataFrame:
+    """Label text per image (SRC-14): ``cls x y w h`` rows, or polygon rows
+    (more than 8 fields) turned into their bounding ``x y w h``.  Output: one
+    row per file with ``rows`` = array of double arrays (``null`` on a parse
+    error) and ``file``.  With ``archives`` the label files are the members of
+    the tar files of that pattern below ``path`` (``file``: archive and member);
+    of a damaged archive those before the damage."""
+    if archives:
+        inside = read_archives(spark, path, archives).where("error is null")
+        return inside.select(F.concat("archive", F.lit("/"), "frame_name").alias("file"), _label_rows(F.col("content").cast("string")).alias("rows"))
+    # binaryFile keeps empty files (a text scan yields no row for them)
+    doc = spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
+    parsed_rows = doc.select("file", _label_rows(F.col("value")).alias("rows"))
     # zero-length files are skipped by file scans but kept in the file index:
     # they are the "empty" label files (file names only, one row per file)
     listed = spark.createDataFrame([(f.replace("file:///", "file:/"),) for f in doc.inputFiles()], "file string")
@@ -286,9 +296,10 @@ def validate_labels(labels: DataFrame, images: DataFrame, label_path: Column) ->
 
 
 def label_report(status: DataFrame) -> DataFrame:
-    """Counts per status plus the total (AG-26)."""
-    per = status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    return per.unionByName(status.agg(F.lit("total").alias("status"), F.count(F.lit(1)).alias("n")))
+    """Counts per status plus the total (AG-26); the files are audited once and
+    the counts, a handful of rows, kept."""
+    per = cut_lineage(status.groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+    return per.unionByName(per.agg(F.lit("total").alias("status"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 def label_path_for(image_path: Column) -> Column:
