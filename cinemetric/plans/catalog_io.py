@@ -44,7 +44,8 @@ def q_transcripts_json(spark, sf):
                                                                           s["duration"].alias("duration"))))
                     .alias("value")))
     path = scratch_path(spark, "transcripts")
-    docs.write.partitionBy("video_id").text(path)
+    # every task moves its own folders to their place, not the driver all of them
+    docs.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("video_id").text(path)
     back = RD.read_transcripts(spark, path)
     return back.select(F.regexp_replace("video_id", "^video_id=", "").cast("long").alias("video_id"),
                        "cap_idx", "text", "start", "duration")
