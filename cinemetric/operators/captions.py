@@ -6,7 +6,11 @@ Input: ``(video_id, cap_idx, text, start, duration)``.  Caption order is data
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words as py_words
@@ -121,37 +125,54 @@ def label_words_by_video(words: DataFrame, labeller, video: str = "video_id",
                          captions_per_call: int | None = 256, halo: int = 32) -> DataFrame:
     """Model hook for punctuation (UDF-03): ``labeller(list[str]) -> list[(word,
     punc, conf)]`` sees the words of a video in order (a punctuation model
-    needs the running text).  Runs as ``applyInPandas`` per (video, run of
-    ``captions_per_call`` consecutive captions).  A run also sees the words of
-    ``halo`` captions before and after it and keeps only its own words' labels,
-    so the result equals one call over the whole video for any model whose
-    context is no longer than the halo; ``captions_per_call=None`` is that one
-    call.  The input needs ``word`` and ``time_range``; the output replaces
-    word/punc/conf."""
-    import pandas as pd
-
-    cols = [video, *order, "word", "time_range"]
-    schema = words.select(*cols).schema.add("punc", "string").add("punc_conf", "double")
-
-    def per_video(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="mergesort").reset_index(drop=True)
-        lab = labeller(pdf["word"].tolist())
-        if len(lab) != len(pdf):
-            raise ValueError("labeller must return one label per word")
-        pdf["word"] = [w for w, _, _ in lab]
-        pdf["punc"] = [p for _, p, _ in lab]
-        pdf["punc_conf"] = [float(c) for _, _, c in lab]
-        return pdf
-
+    needs the running text).  It is called once per (video, run of
+    ``captions_per_call`` consecutive captions): Spark gathers and sorts the
+    runs, and many of them reach Python in one batch.  A run also sees the
+    words of ``halo`` captions before and after it and keeps only its own
+    words' labels, so the result equals one call over the whole video for any
+    model whose context is no longer than the halo;
+    ``captions_per_call=None`` is that one call.  The input needs ``word`` and
+    ``time_range``; the output replaces word/punc/conf."""
     if captions_per_call:
         own, reach = F.floor(F.col(order[0]) / captions_per_call), F.lit(halo)
         first = F.floor((F.col(order[0]) - reach) / captions_per_call)
         last = F.floor((F.col(order[0]) + reach) / captions_per_call)
-        seen = words.select(*cols, own.alias("_own"), F.explode(F.sequence(first, last)).alias("_run"))
-
-        def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = per_video(pdf)
-            return out[out["_own"] == out["_run"]].drop(columns=["_own", "_run"])
+        runs = F.explode(F.sequence(first, last))
+    else:
+        own, runs = F.lit(0), F.lit(0)
+    cols = [video, *order, "word", "time_range"]
+    seen = words.select(*cols, own.alias("_own"), runs.alias("_run")).withColumn("_own", F.col("_own") == F.col("_run"))
+    run = Window.partitionBy(video, "_run")
+    # a run of other runs' words only is not called; the rows stay in order
+    numbered = (seen.withColumn("_n", F.row_number().over(run.orderBy(*[F.asc_nulls_last(o) for o in order])))
+                .withColumn("_any", F.max("_own").over(run)).where("_any").select(*cols, "_own", "_n"))
+    schema = words.select(*cols).schema.add("punc", "string").add("punc_conf", "double")
 
-        return seen.groupBy(video, "_run").applyInPandas(per_run, schema)
-    return words.select(*cols).groupBy(video).applyInPandas(per_video, schema)
+    def of_runs(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        """The runs that begin at ``starts`` labelled, their own words kept."""
+        seen_words, lab = t.column("word").to_pylist(), []
+        for lo, hi in zip(starts, [*starts[1:], t.num_rows]):
+            got = labeller(seen_words[lo:hi])
+            if len(got) != hi - lo:
+                raise ValueError("labeller must return one label per word")
+            lab.extend(got)
+        out = [pa.array([x[0] for x in lab], pa.string()) if c == "word" else t.column(c) for c in cols]
+        out += [pa.array([x[1] for x in lab], pa.string()), pa.array([float(x[2]) for x in lab], pa.float64())]
+        return pa.Table.from_arrays(out, [*cols, "punc", "punc_conf"]).filter(t.column("_own"))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = []              # the run that may go on in the next batch
+        for b in batches:
+            firsts = np.flatnonzero(b.column("_n").to_numpy() == 1)
+            if len(firsts) and (rest or firsts[-1]):
+                done = pa.Table.from_batches([*rest, b.slice(0, int(firsts[-1]))])
+                if done.num_rows:
+                    yield from of_runs(done, np.flatnonzero(done.column("_n").to_numpy() == 1).tolist()).to_batches()
+                rest = []
+            rest.append(b.slice(int(firsts[-1])) if len(firsts) else b)
+        if rest:
+            last = pa.Table.from_batches(rest)
+            if last.num_rows:
+                yield from of_runs(last, np.flatnonzero(last.column("_n").to_numpy() == 1).tolist()).to_batches()
+
+    return numbered.mapInArrow(label, schema)

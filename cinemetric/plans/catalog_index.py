@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import captions as C
 from ..operators import coverage as V
+from ..session import scratch_path
 from . import proxies as P
 
 R6 = 6
@@ -87,12 +88,14 @@ def _dot_labeller(words: list[str]) -> list[tuple[str, str, float]]:
 
 def q_regroup_labelled(spark, sf):
     """Sentences regrouped from words labelled by a Python punctuation model
-    through the hook (UDF-03: ``applyInPandas`` per run of captions of a
-    video); with the dot rule as the model it equals ``regroup_sentences``."""
+    through the hook (UDF-03: one call per run of captions of a video, its
+    labels written once); with the dot rule as the model it equals
+    ``regroup_sentences``."""
     keep_raw = lambda w: F.struct(w.alias("word"), F.lit("0").alias("punc"), F.lit(1.0).alias("punc_conf"))
     words = C.word_times(_captions(spark, sf), labeller=keep_raw)
-    lab = C.label_words_by_video(words, _dot_labeller)
-    s = C.regroup(lab, chunk=F.floor(F.col("cap_idx") / 256))
+    path = scratch_path(spark, "labelled")
+    C.label_words_by_video(words, _dot_labeller).write.parquet(path)
+    s = C.regroup(spark.read.parquet(path), chunk=F.floor(F.col("cap_idx") / 256))
     return s.select("video_id", "sent_idx", "text", F.round("start", R6).alias("start"),
                     F.round("end", R6).alias("end"), F.round("duration", R6).alias("duration"))
 
