@@ -34,6 +34,8 @@ TOKEN_PATTERN = r"(?i)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TEMPLATE_SLOT = "{}"
 
 _WS = r"(?U)\s+"
+# the characters that (?U)\s matches (Unicode White_Space)
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c) -> Column:
@@ -42,8 +44,9 @@ def _col(c) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace.
-    (Spark's ``trim`` removes only the space character.)"""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    (Spark's ``trim`` removes only the space character.)  Only the ends are
+    looked at, a pattern would search the whole text."""
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def _char_class(chars: str) -> str:
@@ -52,14 +55,14 @@ def _char_class(chars: str) -> str:
 
 def strip_chars(c, chars: str) -> Column:
     """``str.strip(chars)``: remove the given characters from both ends."""
-    cls = _char_class(chars)
-    return F.regexp_replace(_col(c), f"^{cls}+|{cls}+$", "")
+    return F.btrim(_col(c), F.lit(chars))
 
 
 def words(c) -> Column:
     """``str.split()`` with no argument: split on whitespace runs, no empties
     (an empty or blank string gives an empty array)."""
-    return F.filter(F.split(_col(c), _WS), lambda w: w != F.lit(""))
+    t = py_strip(c)
+    return F.when(t == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(t, _WS))
 
 
 def n_words(c) -> Column:
@@ -142,7 +145,7 @@ def translation_audit(cleaned, original) -> Column:
     cl, orig = _col(cleaned), _col(original)
     return (F.when(py_strip(cl) == F.lit(""), F.lit("empty"))
             .when(F.lower(cl) == F.lower(orig), F.lit("untranslated"))
-            .when(n_words(cl) > 3, F.lit("long")))
+            .when(cl.rlike(r"(?U)^\s*+(?:\S++\s++){3}\S"), F.lit("long")))      # more than three words
 
 
 def normalize_whitespace(c) -> Column:

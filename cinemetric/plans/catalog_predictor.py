@@ -48,9 +48,9 @@ SQL_ROUTE_COUNTS = f"""SELECT Model_Used, CAST(count(*) AS BIGINT) AS n_rows FRO
 # ---------------------------------------------------------------- translation post-editing
 def q_clean_translation(spark, sf):
     e = P.p_expr(spark, sf).dropna(subset=["text"])
-    cleaned = T.clean_translation("text")
-    return e.select("id", T.before_ellipsis("text").alias("head"), cleaned.alias("cleaned"),
-                    T.translation_audit(cleaned, F.col("text")).alias("warning"))
+    e = e.select("id", "text", T.clean_translation("text").alias("cleaned"))
+    return e.select("id", T.before_ellipsis("text").alias("head"), "cleaned",
+                    T.translation_audit("cleaned", "text").alias("warning"))
 
 
 def _strip_sql(x: str) -> str:
