@@ -5,7 +5,7 @@ text -> clean (entity unescape, whitespace collapse, lower) -> token split
 order -> fixed-length context window.
 
 There are two forms of the merges.  ``encode_texts`` is map-only: an Arrow
-pandas UDF on the token array, each worker remembering the tokens it has
+UDF on the token array, each worker remembering the tokens it has
 merged.  ``encode_with_dictionary`` merges every distinct token of the table
 exactly once, into a dictionary that is kept and can be extended, and joins it
 back; it pays where merging is dear (long merge tables, many texts that share
@@ -21,7 +21,9 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,13 +84,26 @@ def bpe_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]
     return word
 
 
+ROWS_PER_STEP = 256         # texts whose values a worker holds as Python objects
+
+
+def _by_slices(b: pa.Array, f, kind: pa.DataType) -> pa.Array:
+    """``f`` of an Arrow batch, a slice of rows at a time."""
+    parts = [f(b.slice(lo, ROWS_PER_STEP)) for lo in range(0, len(b), ROWS_PER_STEP)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def unescape_twice(col: Column | str) -> Column:
-    """HTML entity unescape applied twice, then strip (pandas UDF around the
+    """HTML entity unescape applied twice, then strip (Arrow UDF around the
     standard library; mojibake repair is not available and not applied)."""
 
-    @F.pandas_udf(T.StringType())
-    def _u(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else html.unescape(html.unescape(t)).strip())
+    def plain(t: str | None) -> str | None:
+        return None if t is None else html.unescape(html.unescape(t)).strip()
+
+    @F.arrow_udf(T.StringType())
+    def _u(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield _by_slices(b, lambda part: pa.array([plain(t) for t in part.to_pylist()], pa.string()), pa.string())
 
     return _u(F.col(col) if isinstance(col, str) else col)
 
@@ -123,6 +138,26 @@ class _Merger:
         return got
 
 
+    def arrays(self, lists: pa.Array) -> pa.Array:
+        """Lists of tokens -> lists of ids.  Only the distinct tokens become
+        Python strings, the ids are gathered by NumPy."""
+        coded = lists.flatten().dictionary_encode()
+        return _gather(lists, coded.indices.to_numpy(), [self.ids(t) for t in coded.dictionary.to_pylist()])
+
+
+def _gather(lists: pa.Array, index: np.ndarray, ids: list) -> pa.Array:
+    """Per list of tokens the ids of its tokens in order, ``index`` being each
+    token's place in ``ids``."""
+    size = np.fromiter((len(i) for i in ids), np.int64, len(ids))
+    pool = np.fromiter((x for i in ids for x in i), np.int32, int(size.sum()))
+    n = size[index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = pool[np.repeat((np.cumsum(size) - size)[index] - ends[:-1], n) + np.arange(ends[-1])]
+    tokens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = ends[np.concatenate([[0], np.cumsum(tokens)])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()), mask=lists.is_null())
+
+
 def token_ids(spark: SparkSession, tokens_df: DataFrame, merges: list[tuple[str, str]],
               variant: str = "clip") -> DataFrame:
     """(token) distinct rows -> (token, ids array<int>)."""
@@ -135,11 +170,11 @@ def merged_ids(spark: SparkSession, token_arrays: Column, merges: list[tuple[str
     token once and remembers it, so nothing is shuffled by token."""
     bc = spark.sparkContext.broadcast((merges, variant))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _bpe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merger = _Merger(*bc.value)
-        for s in batches:
-            yield pd.Series([None if toks is None else [i for t in toks for i in merger.ids(t)] for toks in s], dtype=object)
+        for b in batches:
+            yield _by_slices(b, merger.arrays, pa.list_(pa.int32()))
 
     return _bpe(token_arrays)
 
@@ -157,30 +192,32 @@ def word_dictionary(df: DataFrame, text: str, merges: list[tuple[str, str]], var
     return both.select("token", "n", F.coalesce("old", merged_ids(df.sparkSession, fresh, merges, variant)).alias("ids"))
 
 
-HOT_SHARE = 64              # a token is hot from this fraction of a shuffle partition's tokens on
-SALTS = 32
+BLOCK_BITS = 9              # 512 texts look their distinct tokens up together
 
 
 def encode_with_dictionary(df: DataFrame, key: str, text: str, dictionary: DataFrame, variant: str = "clip", unescape: bool = True) -> DataFrame:
     """(key, ids array<int>) like ``encode_texts``, from a dictionary of (token,
-    n, ids) that holds every token of the table.  The tokens that are hot (their
-    number is bounded by their share of all tokens) stand in the dictionary once
-    per salt, so a token that makes up a third of the table is joined by many
-    tasks; every other token is joined by its own hash."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = dictionary.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, total / (n * HOT_SHARE))
-    row = F.monotonically_increasing_id().alias("_row")
-    rows = cut_lineage(df.select(F.col(key), row, split_tokens(clean_text(text, unescape), SPECIALS[variant]).alias("_t")))
-    toks = rows.select("_row", F.posexplode("_t").alias("_p", "token"))
-    hot = F.broadcast(dictionary.where(F.col("n") >= least).select("token", F.lit(True).alias("_hot")))      # at most n * HOT_SHARE tokens
-    salted = toks.join(hot, "token", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash("_row", "_p"), F.lit(SALTS))).otherwise(0)).drop("_hot")
-    spread = dictionary.select("token", "ids", F.explode(F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    found = salted.join(spread, ["token", "_salt"], "left")
-    ids = found.withColumn("ids", F.coalesce("ids", F.raise_error(F.concat(F.lit("not in the dictionary: "), "token")).cast("array<int>")))
-    whole = ids.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", "ids"))).alias("_w"))
-    return rows.join(whole, "_row", "left").select(key, F.coalesce(F.flatten(F.transform("_w", lambda x: x["ids"])), F.array().cast("array<int>")).alias("ids"))
+    n, ids) that holds every token of the table.  Blocks of texts look their
+    distinct tokens up: a token is joined once a block, however often it stands
+    there, so no token is a hot key and the tokens of the texts are not
+    shuffled one by one; each block's texts then meet the block's tokens."""
+    row = F.monotonically_increasing_id()          # a block's rows lie in one partition
+    rows = cut_lineage(df.select(F.col(key), F.shiftright(row, BLOCK_BITS).alias("_block"),
+                                 split_tokens(clean_text(text, unescape), SPECIALS[variant]).alias("_t")))
+    needed = rows.select("_block", F.explode(F.array_distinct("_t")).alias("token")).distinct()
+    found = needed.join(dictionary.select("token", "ids"), "token", "left").select(
+        "_block", "token", F.coalesce("ids", F.raise_error(F.concat(F.lit("not in the dictionary: "), "token")).cast("array<int>")).alias("ids"))
+
+    def look_up(texts: pa.Table, words: pa.Table) -> pa.Table:
+        lists = texts.column("_t").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+        ids, index = words.column("ids").to_pylist(), pc.index_in(lists.flatten(), value_set=words.column("token"))
+        got = _gather(lists, index.to_numpy(), ids)
+        return pa.table([texts.column(key), pc.if_else(got.is_null(), pa.scalar([], got.type), got)], [key, "ids"])
+
+    schema = df.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
+    return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(look_up, schema)
 
 
 def encode_texts(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]], variant: str = "clip",
