@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread_by_rows
+
 # Layer widths and training settings of the reference regressor.
 HIDDEN = (128, 64)
 LEARNING_RATE = 5e-4
@@ -200,7 +202,8 @@ def fit(df: DataFrame, vec: str, label: str, seed: int = 0, lr: float = LEARNING
     because of a shallow copy).  Rows with a null vector or label are left out.
     Returns the model and the training (or held-out) loss of every epoch."""
     out = F.lit(False) if held_out is None else F.coalesce(F.expr(held_out) if isinstance(held_out, str) else held_out, F.lit(False))
-    data = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), out.alias("held")) \
+    # kept in parts of a bounded size: a task reads its part once an epoch
+    data = spread_by_rows(df).select(F.col(vec).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), out.alias("held")) \
         .where("x is not null and y is not null").persist()
     learned, judged = data.where("not held"), data.where("held")
     head = learned.first()

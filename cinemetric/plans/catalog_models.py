@@ -13,7 +13,7 @@ from ..functions.encoders import HashingEncoder, encode_column
 from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import regressor as RG
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, spread_by_rows
 from . import proxies as P
 from .zero_shot import select_templates, zero_shot_accuracy
 
@@ -166,6 +166,7 @@ def q_regressor_fit(spark, sf):
     rating = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.lit(1.0) + F.lit(4.0) * (F.col("p_retailprice") - 900) / 1200))
     both = RG.unite(part.select(F.col("p_name").alias("text"), rating.alias("rating")),
                     nation.select(F.col("n_name").alias("text"), (F.col("n_regionkey") + 1).alias("rating")))
+    both = spread_by_rows(both)          # texts are dealt, not vectors
     data = both.select(encode_column("text", HashingEncoder(32, seed=5)).alias("x"), "rating", (F.crc32("text") % 5 == 0).alias("held"))
     _model, losses = RG.fit(data, "x", "rating", seed=1, lr=5e-3, max_epochs=20, held_out=F.col("held"))
     return spark.createDataFrame([(i + 1, float(l)) for i, l in enumerate(losses)], "epoch int, loss double")

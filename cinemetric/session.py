@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "cinemetric") -> SparkSession:
@@ -74,6 +75,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+ROWS_PER_TASK = 200_000
+
+
+def spread_by_rows(df: DataFrame, most: int = ROWS_PER_TASK) -> DataFrame:
+    """Round-robin repartition only when a partition holds more than ``most``
+    rows: a table of short rows has few splits however many rows it has."""
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return df.repartition(-(-r["all"] // most)) if (r["most"] or 0) > most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if spread_rows else df
