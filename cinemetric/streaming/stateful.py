@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,15 @@ def _stay(state, last: pd.Timestamp, idle: str | None) -> None:
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
 
+def _in_order(parts: list[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """The rows of a key sorted, ties as they came, missing values last."""
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    cols = [pdf[c].to_numpy() for c in order]
+    if any(c.dtype.kind not in "iufM" for c in cols):
+        return pdf.sort_values(order, kind="mergesort")
+    return pdf.take(np.lexsort(cols[::-1]))
+
+
 def every_nth(events: DataFrame, key: str, order: list[str], n: int = 4, idle: str | None = None, lateness: str | None = None) -> DataFrame:
     """Events whose 1-based position within their key is a multiple of ``n``;
     with ``idle`` a key silent for so long (``order[0]`` is the event time, a
@@ -61,7 +71,7 @@ def every_nth(events: DataFrame, key: str, order: list[str], n: int = 4, idle: s
             state.remove()
             return
         seen = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="mergesort")
+        pdf = _in_order(list(pdfs), order)
         pos = seen + pd.RangeIndex(1, len(pdf) + 1)
         state.update((int(seen + len(pdf)),))
         _stay(state, pdf[order[0]].iloc[-1], idle)
@@ -138,12 +148,14 @@ def rolling_mean_stream(events: DataFrame, key: str, order: list[str], value: st
             state.remove()
             return
         buf = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="mergesort")
-        means = []
-        for v in pdf[value].tolist():
-            buf = (buf + [float(v)])[-k:]
-            means.append(sum(buf) / len(buf))
-        state.update((buf,))
+        pdf = _in_order(list(pdfs), order)
+        n, old = len(pdf), min(len(buf), k - 1)
+        run = np.concatenate([np.zeros(k - 1 - old), buf[len(buf) - old:], pdf[value].to_numpy(dtype=float)])
+        total = np.zeros(n)
+        for lag in range(k):               # oldest first, as a plain sum adds them
+            total += run[lag:lag + n]
+        means = total / np.minimum(np.arange(1, n + 1) + old, k)
+        state.update(((buf + run[k - 1:].tolist())[-k:],))
         _stay(state, pdf[order[0]].iloc[-1], idle)
         yield pd.DataFrame({key: pdf[key].to_numpy(), id_col: pdf[id_col].to_numpy(), "rolling": means})
 
