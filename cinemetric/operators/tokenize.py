@@ -206,18 +206,17 @@ def encode_with_dictionary(df: DataFrame, key: str, text: str, dictionary: DataF
                                  split_tokens(clean_text(text, unescape), SPECIALS[variant]).alias("_t")))
     needed = rows.select("_block", F.explode(F.array_distinct("_t")).alias("token")).distinct()
     found = needed.join(dictionary.select("token", "ids"), "token", "left").select(
-        "_block", "token", F.coalesce("ids", F.raise_error(F.concat(F.lit("not in the dictionary: "), "token")).cast("array<int>")).alias("ids"))
+        F.col("_block").alias("_of"), "token", F.coalesce("ids", F.raise_error(F.concat(F.lit("not in the dictionary: "), "token")).cast("array<int>")).alias("ids"))
 
     def look_up(texts: pa.Table, words: pa.Table) -> pa.Table:
-        lists = texts.column("_t").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
-        ids, index = words.column("ids").to_pylist(), pc.index_in(lists.flatten(), value_set=words.column("token"))
+        lists = pa.concat_arrays(texts.column("_t").chunks)
+        ids, index = words.column("ids").to_pylist(), pc.index_in(lists.flatten(), value_set=words.column("token").combine_chunks())
         got = _gather(lists, index.to_numpy(), ids)
-        return pa.table([texts.column(key), pc.if_else(got.is_null(), pa.scalar([], got.type), got)], [key, "ids"])
+        whole = pa.ListArray.from_arrays(got.offsets, got.values)          # a null text has no ids
+        return pa.table([texts.column(key), whole], [key, "ids"])
 
     schema = df.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(look_up, schema)
+    return rows.groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(look_up, schema)
 
 
 def encode_texts(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]], variant: str = "clip",
